@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundwork.session import ship
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,7 +68,13 @@ def per_text(df: DataFrame, fn: Callable[[Iterator[list]], Iterator[dict]], sche
         for columns in fn(slices(batches)):
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """mapInArrow, after this package has been sent to the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
 
 
 ROWS, BYTES = 512, 4 << 20

@@ -17,7 +17,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from groundwork.llm.common import per_text, slices, splitmix
+from groundwork.llm.common import map_arrow, per_text, slices, splitmix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -106,4 +106,4 @@ def keep(docs: DataFrame) -> DataFrame:
             mask = [measure(t)["kept"] for part in slices([batch.select([at])]) for t in part[0]]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from groundwork.llm import bpe, counts, jpeg, packing, quality, sharding
+from groundwork.llm import bpe, counts, jpeg, language, packing, quality, sharding, simhash
 from groundwork.llm.common import documents
 
 
@@ -19,6 +19,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -27,6 +31,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(documents(spark, sf_dir))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op9_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media(documents(spark, sf_dir))
 
@@ -36,6 +44,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_bpe_digests, op4_token_counts, op6_packing, op7_quality_rules, op9_jpeg_media, op10_sharding)
+    f.__name__: f for f in (op3_bpe_digests, op4_token_counts, op5_language, op6_packing, op7_quality_rules, op8_simhash, op9_jpeg_media, op10_sharding)
 }
 ORACLES: dict[str, str] = {}
