@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from groundwork.llm.common import map_arrow, materialize, per_text, pick, release
 
 SHINGLE, SEED, BITS = 4, 42, 4
-DENSE = 64  # points; fuller cells are searched from link to link
+DENSE = 8  # points; fuller cells are searched from link to link, so that they give no more links than points
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 FIELDS = np.uint64(0x5555555555555555)
 HALF = np.uint64(0xFFFFFFFF)
