@@ -102,15 +102,29 @@ def token_number(c: Column) -> Column:
     return F.coalesce((F.when(x.endswith("k"), number * 1000).when(x.endswith("m"), number * 1_000_000).otherwise(number)).cast("long"), F.lit(0))
 
 
+def one_decimal(n: Column, by: int) -> Column:
+    """n / by to one decimal as C and Python print it: at a tie the double's own error decides, else the even digit.
+
+    For n from `by` to 10 * by; whole numbers lose their `.0`.
+    """
+    low, rest, half = F.floor(n / (by // 10)), n % (by // 10), by // 20
+    exact = lambda c: c.cast("long").cast("decimal(19,0)")
+    double, true = exact((n / float(by)) * float(1 << 52)) * by, exact(n) * (1 << 52)
+    up = (rest > half) | ((rest == half) & ((double > true) | ((double == true) & (low % 2 == 1))))
+    tenths = low + F.when(up, 1).otherwise(0)
+    whole = F.floor(tenths / 10).cast("string")
+    return F.when(tenths % 10 == 0, whole).otherwise(F.concat(whole, F.lit("."), (tenths % 10).cast("string")))
+
+
 def token_text(n: Column) -> Column:
     """A number of tokens in short: 999, 1.5k, 15k, 1.5M, 15M."""
     n = F.coalesce(n, F.lit(0)).cast("long")
-    short = lambda by, unit: F.regexp_replace(F.format_string("%.1f" + unit, n / by), r"\.0" + unit, unit)
+    whole = lambda by: F.bround(n / float(by), 0).cast("long").cast("string")
     return (
-        F.when(n >= 10_000_000, F.format_string("%.0fM", n / 1e6))
-        .when(n >= 1_000_000, short(1e6, "M"))
-        .when(n >= 10_000, F.format_string("%.0fk", n / 1e3))
-        .when(n >= 1000, short(1e3, "k"))
+        F.when(n >= 10_000_000, F.concat(whole(10**6), F.lit("M")))
+        .when(n >= 1_000_000, F.concat(one_decimal(n, 10**6), F.lit("M")))
+        .when(n >= 10_000, F.concat(whole(1000), F.lit("k")))
+        .when(n >= 1000, F.concat(one_decimal(n, 1000), F.lit("k")))
         .otherwise(n.cast("string"))
     )
 
@@ -189,7 +203,7 @@ def metadata_header(title: Column, authors: Column, date: Column, subject: Colum
 
 def sentences(c: Column, least: int = 8) -> Column:
     """Sentences of at least `least` characters, or the whole text where none is."""
-    kept = F.filter(F.transform(F.split(F.trim(c), r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) >= least)
+    kept = F.filter(F.transform(F.split(F.trim(c), r"(?<=[.!?])\s+"), lambda p: F.trim(p)), lambda s: F.length(s) >= least)
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.trim(c)))
 
 
