@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from groundwork.llm.common import map_arrow, per_text, pick, slices
 
 BUCKETS, WIDTH, PER_LANGUAGE = 1 << 16, 16, 800
-EPOCHS, BATCH, RATE, ASIDE = 6, 32, 0.3, 5  # one in ASIDE sampled texts calibrates
+EPOCHS, STEPS, BATCH, RATE, ASIDE = 6, 400, 32, 0.2, 5  # at least EPOCHS and STEPS; one in ASIDE sampled texts calibrates
 UNKNOWN = "und"
 
 
@@ -70,8 +70,10 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], answers: np.ndarray, k: int,
     draw = np.random.default_rng(seed)
     embed = draw.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     weight, bias = draw.normal(0, 0.1, (WIDTH, k)).astype(np.float32), np.zeros(k, np.float32)
-    for epoch in range(EPOCHS):
-        order, rate = draw.permutation(len(texts)), RATE * (1 - epoch / EPOCHS)
+    squares = [np.full_like(weight, 1e-6), np.full_like(bias, 1e-2), np.full(BUCKETS, 1e-8, np.float32)]  # AdaGrad, a rate for each bucket
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(texts)))  # a small sample is gone over more often
+    for epoch in range(epochs):
+        order, rate = draw.permutation(len(texts)), RATE * (1 - epoch / epochs)
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
             rows = np.concatenate([texts[i][0] for i in some])
@@ -81,9 +83,14 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], answers: np.ndarray, k: int,
             miss = softmax(mean @ weight + bias)
             miss[np.arange(len(some)), answers[some]] -= 1
             back = np.repeat(miss @ weight.T, sizes, axis=0) * share[:, None]
-            weight -= rate * (mean.T @ miss)
-            bias -= rate * 0.1 * miss.sum(axis=0)
-            np.subtract.at(embed, rows, rate * 20 * back)
+            step = np.zeros_like(embed)
+            np.add.at(step, rows, back)
+            seen = np.unique(rows)
+            for x, g, q in ((weight, mean.T @ miss, squares[0]), (bias, miss.sum(axis=0), squares[1])):
+                q += g * g
+                x -= rate * g / np.sqrt(q)
+            squares[2][seen] += (step[seen] ** 2).sum(axis=1)
+            embed[seen] -= rate * step[seen] / np.sqrt(squares[2][seen])[:, None]
     return embed @ weight, bias
 
 
