@@ -20,8 +20,7 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     Extra columns are ignored, also those that differ from a wanted one by case only.
     """
     places = [df.columns.index(n) for n in names]
-    plain = df.toDF(*(f"_c{i}" for i in range(len(df.columns))))
-    return plain.select(*(F.col(f"_c{i}").alias(n) for i, n in zip(places, names)))
+    return numbered(df).select(*(F.col(f"_c{i}").alias(n) for i, n in zip(places, names)))
 
 
 def documents(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
@@ -74,7 +73,12 @@ def per_text(df: DataFrame, fn: Callable[[Iterator[list]], Iterator[dict]], sche
 def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
     """mapInArrow, after this package has been sent to the workers."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return numbered(df).mapInArrow(fn, schema)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named by place, so that names which differ by case only do not clash."""
+    return df.toDF(*(f"_c{i}" for i in range(len(df.columns))))
 
 
 ROWS, BYTES = 512, 4 << 20

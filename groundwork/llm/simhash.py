@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import map_arrow, materialize, per_text, pick, release
+from groundwork.llm.common import map_arrow, materialize, numbered, per_text, pick, release
 
 SHINGLE, SEED, BITS = 4, 42, 4
 DENSE = 8  # points; fuller cells are searched from link to link, so that they give no more links than points
@@ -231,8 +231,10 @@ def first_of_each(docs: DataFrame, n: int = SHINGLE, bits: int = BITS) -> DataFr
     found = marks.join(classes(marks, bits), "fp")
     gone = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
     few = gone.count() <= MOST_SENT
-    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    twice = materialize(marks.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
+    rows, key = numbered(docs), f"_c{docs.columns.index('doc_id')}"  # by place: names of other columns may clash
+    gone = gone.toDF(key)
+    left = rows.join(F.broadcast(gone) if few else gone, key, "left_anti")
+    twice = materialize(marks.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(key)), "twice")
     if not twice.isEmpty():
-        left = left.join(twice, "doc_id", "left_anti").union(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return left.select(*docs.columns)
+        left = left.join(twice, key, "left_anti").union(left.join(twice, key, "left_semi").dropDuplicates([key]))
+    return left.select(*rows.columns).toDF(*docs.columns)
