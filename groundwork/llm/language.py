@@ -22,34 +22,36 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import map_arrow, per_text, pick, slices
+from groundwork.llm.common import map_arrow, per_text, pick, slices, splitmix
 
 BUCKETS, WIDTH, PER_LANGUAGE = 1 << 16, 16, 800
 EPOCHS, STEPS, BATCH, RATE, ASIDE = 6, 400, 32, 0.2, 5  # at least EPOCHS and STEPS; one in ASIDE sampled texts calibrates
 UNKNOWN = "und"
 
 
-def buckets(word: str) -> np.ndarray:
-    w, crc = f"<{word}>".encode("utf-32-le", "surrogatepass"), zlib.crc32
-    n = len(w) // 4
-    found = [crc(w[4 * i : 4 * (i + k)]) for k in (1, 2, 3) for i in range(n - k + 1)]
-    return np.array([*found, crc(w)], np.int64) & (BUCKETS - 1)
+class Subwords(NamedTuple):
+    """Subwords of many words, each written <word>: by length, which letters begin one and its bucket; and each whole word's bucket."""
 
+    starts: np.ndarray
+    sizes: np.ndarray
+    runs: list[tuple[np.ndarray, np.ndarray]]
+    whole: np.ndarray
 
-class Words(dict):
-    """Word -> what make() gives for it, within a bound of words and of letters a word."""
+    def all(self) -> np.ndarray:
+        return np.concatenate([*(b[m] for m, b in self.runs), self.whole])
 
-    def __init__(self, make, most: int = 300_000):
-        super().__init__()
-        self.make, self.most = make, most
 
-    def __missing__(self, word: str):
-        made = self.make(word)
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = made
-        return made
+def subwords(words: list[str]) -> Subwords:
+    letters = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    length = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(length)
+    left = np.repeat(ends, length) - np.arange(len(letters))  # letters from here to the word's end
+    runs, code = [], np.zeros(len(letters), np.uint64)
+    for k in (1, 2, 3):
+        code = code * np.uint64(0x110000 + 1) + np.pad(letters, (0, k))[k - 1 : k - 1 + len(letters)] + np.uint64(1)
+        runs.append((left >= k, (splitmix(code) & np.uint64(BUCKETS - 1)).astype(np.int64)))
+    whole = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)) & (BUCKETS - 1)
+    return Subwords(ends - length, 3 * length - 2, runs, whole)
 
 
 class Model(NamedTuple):
@@ -110,12 +112,12 @@ def train(docs: DataFrame, chosen=None, per_language: int = PER_LANGUAGE) -> Mod
     def learn(batches):
         import pyarrow as pa
 
-        words, texts, answers = Words(buckets), [], []
+        texts, answers = [], []
         for text, lang in slices(batches):
             for t, x in zip(text, lang):
                 found = t.lower().split()
                 if found:
-                    at, n = np.unique(np.concatenate([words[w] for w in found]), return_counts=True)
+                    at, n = np.unique(subwords(found).all(), return_counts=True)
                     texts.append((at.astype(np.int32), (n / n.sum()).astype(np.float32)))
                     answers.append(names.index(x))
         answer = np.array(answers, np.int64)
@@ -138,22 +140,51 @@ def train(docs: DataFrame, chosen=None, per_language: int = PER_LANGUAGE) -> Mod
 
 
 class Predictor:
-    def __init__(self, model: Model | None):
-        self.model = model
-        self.words = Words(self.score)
-
-    def score(self, word: str) -> tuple[np.ndarray, int]:
-        at = buckets(word)
-        return self.model.table[at].sum(axis=0, dtype=np.float64), len(at)
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        if not self.model or not text or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
-        found = [self.words[w] for w in text.lower().split()]
-        total, n = np.sum([x for x, _ in found], axis=0), sum(k for _, k in found)
-        p = softmax((total / n + self.model.bias) / self.model.heat)
-        best = int(p.argmax())
-        return self.model.languages[best], float(p[best])
+    """Predicts texts in bulk. Sums of subword scores are kept by word, as rows of one array within a bound."""
+
+    def __init__(self, model: Model | None, most: int = 500_000, letters: int = 64):
+        self.model, self.most, self.letters = model, most, letters
+        self.reset()
+
+    def reset(self) -> None:
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((0, 1 + (len(self.model.languages) if self.model else 0)), np.float32)  # scores, and the number of subwords
+        self.used = 0
+
+    def learn(self, words: list[str]) -> None:
+        found = subwords(words)
+        by_letter = np.zeros((len(found.runs[0][0]), self.rows.shape[1] - 1), np.float32)
+        for begins, bucket in found.runs:
+            by_letter[begins] += self.model.table[bucket[begins]]
+        sums, sizes = np.add.reduceat(by_letter, found.starts, axis=0) + self.model.table[found.whole], found.sizes
+        if self.used + len(words) > len(self.rows):
+            self.rows = np.concatenate([self.rows[: self.used], np.zeros((len(words) + self.used, self.rows.shape[1]), np.float32)])
+        self.rows[self.used : self.used + len(words), :-1] = sums
+        self.rows[self.used : self.used + len(words), -1] = sizes
+        self.place.update(zip(words, range(self.used, self.used + len(words))))
+        self.used += len(words)
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        read = [bool(self.model and t and any(map(str.isalpha, t))) for t in texts]
+        lists = [t.lower().split() if ok else [] for t, ok in zip(texts, read)]
+        new = list(set().union(*lists).difference(self.place)) if lists else []
+        if self.used + len(new) > self.most:
+            self.reset()
+            new = list(set().union(*lists))
+        for at in range(0, len(new), 4096):
+            self.learn(new[at : at + 4096])
+        out = []
+        for ok, words in zip(read, lists):
+            if not ok:
+                out.append((UNKNOWN, 0.0))
+                continue
+            total = self.rows[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
+            p = softmax((total[:-1] / total[-1] + self.model.bias) / self.model.heat)
+            best = int(p.argmax())
+            out.append((self.model.languages[best], float(p[best])))
+        for w in [w for w in new if len(w) > self.letters]:
+            del self.place[w]
+        return out
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -162,7 +193,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(parts):
         p = Predictor(model)
         for doc_id, text in parts:
-            found = [p(t) for t in text]
+            found = p(text)
             yield {"doc_id": doc_id, "lang_pred": [x for x, _ in found], "score": [y for _, y in found]}
 
     return per_text(docs, run, "doc_id long, lang_pred string, score double")
@@ -177,7 +208,7 @@ def keep(docs: DataFrame, model: Model | None) -> DataFrame:
 
         p = Predictor(model)
         for batch in batches:
-            found = [p(t) for part in slices([batch.select([at])]) for t in part[0]]
+            found = [x for part in slices([batch.select([at])]) for x in p(part[0])]
             yield batch.filter(pa.array([x != UNKNOWN and y >= model.least for x, y in found], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
