@@ -37,7 +37,7 @@ class Ids:
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = {t.content: np.uint32(k).tobytes() for k, t in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
-        self.memory = Memory(self.library_ids)
+        self.memory = Memory(self.library_ids, 1_000_000)  # about 200 MB
 
     def library_ids(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
