@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -67,6 +68,13 @@ def start(unigram: np.ndarray, d: int = WIDTH, seed: int = 11) -> Parameters:
     return Parameters(draw.normal(0, 0.1, (k, d)), draw.normal(0, 0.1, (k, d)), np.ones((2, d)), np.log(unigram))
 
 
+def gathered(rows: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
+    """Sums of values (n, width) by row number."""
+    width = values.shape[1]
+    at = (rows[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(at, values.ravel(), k * width).reshape(k, width)
+
+
 class Trainer:
     """AdaGrad on the NCE loss over batches of (before, before that, word)."""
 
@@ -87,13 +95,9 @@ class Trainer:
         up = 1 / (1 + np.exp(np.clip(hit, -30, 30)))  # 1 - sigmoid, ascent for data
         down = 1 / (1 + np.exp(np.clip(-false, -30, 30)))  # sigmoid, descent for noise
         back = up[:, None] * last[word] - down @ last[noise]
-        g_first, g_last, g_bias = np.zeros_like(first), np.zeros_like(last), np.zeros_like(bias)
-        np.add.at(g_first, a, back * scale[0])
-        np.add.at(g_first, b, back * scale[1])
-        np.add.at(g_last, word, up[:, None] * hidden)
-        np.subtract.at(g_last, noise, down.T @ hidden)
-        np.add.at(g_bias, word, up)
-        np.subtract.at(g_bias, noise, down.sum(axis=0))
+        g_first = gathered(np.concatenate([a, b]), np.concatenate([back * scale[0], back * scale[1]]), len(bias))
+        g_last = gathered(np.concatenate([word, noise]), np.concatenate([up[:, None] * hidden, -(down.T @ hidden)]), len(bias))
+        g_bias = np.bincount(word, up, len(bias)) - np.bincount(noise, down.sum(axis=0), len(bias))
         g_scale = np.stack([(back * va).sum(axis=0), (back * vb).sum(axis=0)])
         for x, g, q in zip(self.p, (g_first, g_last, g_scale, g_bias), self.square):
             g /= len(word)
@@ -149,13 +153,16 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return per_text(docs, run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def class_ids(known: dict[str, tuple[int, int]], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Classes and counts of words; count 0 where a word was not sent."""
-    get, none = known.get, (REST, 0)
-    return np.fromiter((get(w, none)[0] for w in words), np.int64, len(words)), np.fromiter((get(w, none)[1] for w in words), np.int64, len(words))
+COUNT = 44  # bits of a count in a word's code; its class lies above
+
 
+def class_ids(known: dict[str, int], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and counts of words, from their codes; class REST and count 0 where a word was not sent."""
+    code = np.fromiter(map(known.get, words, repeat(REST)), np.int64, len(words))
+    return code >> COUNT, code & ((1 << COUNT) - 1)
 
-def train(docs: DataFrame, known: dict[str, tuple[int, int]], unigram: np.ndarray, rounds: int = ROUNDS) -> Parameters:
+
+def train(docs: DataFrame, known: dict[str, int], unigram: np.ndarray, rounds: int = ROUNDS) -> Parameters:
     """Parameter averaging over all tasks; docs (doc_id, text) are training texts."""
     p, k = start(unigram), len(unigram)
 
@@ -209,6 +216,18 @@ def train(docs: DataFrame, known: dict[str, tuple[int, int]], unigram: np.ndarra
     return p
 
 
+def most_frequent(counts: DataFrame, n: int) -> list:
+    """The n most frequent tokens, ties by token. Counts are first told by power of two, so that a sort sees a few times n rows, not n of each task."""
+    power = F.floor(F.log2(F.col("c").cast("double"))).cast("int")
+    sizes = sorted(((r["p"], r["n"]) for r in counts.groupBy(power.alias("p")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 64 rows
+    least, seen = 0, 0
+    for p, size in sizes:
+        least, seen = p, seen + size
+        if seen >= n:
+            break
+    return counts.filter(power >= least).repartition(1 + seen // 200_000).orderBy(F.desc("c"), "token").limit(n).collect()
+
+
 PART = "doc_id long, row long, n_tokens long, near_known long, near_base double, near_score double, far array<struct<token:string,n:long>>"
 
 
@@ -220,10 +239,10 @@ def score(docs: DataFrame, by: int = 7, held: int = 2, classes: int = CLASSES, s
     ends = training.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] + ends, total["v"] + (ends > 0)
-    frequent = counts.filter(F.length("token") <= SENT_CHARS).orderBy(F.desc("c"), "token").limit(sent).collect()  # at most `sent` short words
+    frequent = most_frequent(counts.filter(F.length("token") <= SENT_CHARS), sent)
     own = frequent[: classes - 2]
-    #: word -> class, count; only words sent here have a count, others are joined
-    known = {r["token"]: (i + 2 if i < len(own) else REST, r["c"]) for i, r in enumerate(frequent)}
+    #: word -> class and count in one number; only words sent here have a count, others are joined
+    known = {r["token"]: (i + 2 if i < len(own) else REST) << COUNT | r["c"] for i, r in enumerate(frequent)}
     rest_n, rest_v = total["n"] - sum(r["c"] for r in own), total["v"] - len(own)
     sizes = np.array([rest_n + 1, ends + 1, *(r["c"] for r in own)], np.float64)
     parameters = train(training, known, sizes / sizes.sum()) if ends else None
