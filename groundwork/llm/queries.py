@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from groundwork.llm import bpe, counts, jpeg, language, licenses, lm, packing, quality, sharding, simhash
+from groundwork.llm import bpe, counts, jpeg, language, licenses, lm, oracles, packing, quality, sharding, simhash
 from groundwork.llm.common import documents
 
 
@@ -54,4 +54,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_licenses, op2_lm_scores, op3_bpe_digests, op4_token_counts, op5_language, op6_packing, op7_quality_rules, op8_simhash, op9_jpeg_media, op10_sharding)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_licenses": oracles.licence_sql(), "op7_quality_rules": oracles.quality_sql()}

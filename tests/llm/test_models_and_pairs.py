@@ -213,3 +213,20 @@ def test_pipeline_of_edges(spark, edges, empty):
     for docs in (edges, empty):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, "").count() <= 200_000
+
+
+@pytest.mark.parametrize("name", ["op1_licenses", "op7_quality_rules"])
+def test_queries_equal_their_twins(spark, name):
+    import duckdb
+
+    from groundwork.llm import queries
+    from tests.conftest import SF
+    from tests.test_oracles import value
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    found = con.execute(queries.ORACLES[name])
+    at = [[d[0] for d in found.description].index(c) for c in columns]
+    assert sorted(tuple(value(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(value(r[i]) for i in at) for r in found.fetchall())
