@@ -99,18 +99,41 @@ def tasks(phases: DataFrame, rounds: int = 2) -> DataFrame:
     return x.select("id", F.col("seq").cast("long").alias("seq"), "kind", F.when(before.isNull(), F.array().cast("array<string>")).otherwise(F.array(before)).alias("depends_on"), (F.col("ingest") & first).alias("ingest"))
 
 
+PLAN_ROWS = 100_000  # a plan is made on the driver from settings; up to this size its levels are worked out there
+
+
 def levels(nodes: DataFrame) -> DataFrame:
-    """nodes (id, depends_on) -> id, level: 0 without dependencies, else one more than the deepest. Rounds follow the graph's depth; a cycle is an error."""
-    from pyspark.sql.types import LongType
+    """nodes (id, depends_on) -> id, level: 0 without known dependencies, else one more than the deepest; a cycle is an error.
 
-    edges = nodes.select("id", F.explode("depends_on").alias("dep")).join(nodes.select(F.col("id").alias("dep")), "dep")
-    spark = nodes.sparkSession
+    Larger plans than PLAN_ROWS run as a recursive query, whose rounds follow the graph's depth.
+    """
+    spark, most = nodes.sparkSession, nodes.count()
+    if most <= PLAN_ROWS:
+        found = plan_levels({r["id"]: list(r["depends_on"]) for r in nodes.select("id", "depends_on").collect()})
+        return spark.createDataFrame(list(found.items()), "id string, level long")
     nodes.createOrReplaceTempView("_nodes")
-    edges.createOrReplaceTempView("_edges")
-    most = nodes.count() + 1
-    out = spark.sql("""WITH RECURSIVE r(id, level) MAX RECURSION LEVEL %d AS (SELECT id, 0L FROM _nodes UNION ALL SELECT e.id, r.level + 1 FROM r JOIN _edges e ON e.dep = r.id)
-        SELECT id, max(level) AS level FROM r GROUP BY id""" % most)
-    return out.withColumn("level", F.col("level").cast(LongType()))
+    nodes.select("id", F.explode("depends_on").alias("dep")).join(nodes.select(F.col("id").alias("dep")), "dep").createOrReplaceTempView("_edges")
+    return spark.sql(f"""WITH RECURSIVE r(id, level) MAX RECURSION LEVEL {most + 1} AS (SELECT id, 0L FROM _nodes UNION ALL SELECT e.id, r.level + 1 FROM r JOIN _edges e ON e.dep = r.id)
+        SELECT id, max(level) AS level FROM r GROUP BY id""")
+
+
+def plan_levels(depends: dict[str, list[str]]) -> dict[str, int]:
+    waits = {k: [d for d in v if d in depends] for k, v in depends.items()}
+    after: dict[str, list[str]] = {}
+    for k, v in waits.items():
+        for d in v:
+            after.setdefault(d, []).append(k)
+    left, level = {k: len(v) for k, v in waits.items()}, {k: 0 for k, v in waits.items() if not v}
+    queue = list(level)
+    for k in queue:
+        for n in after.get(k, ()):
+            left[n] -= 1
+            level[n] = max(level.get(n, 0), level[k] + 1)
+            if not left[n]:
+                queue.append(n)
+    if len(queue) < len(depends):
+        raise ValueError("the plan has a cycle")
+    return level
 
 
 def ready(nodes: DataFrame, status: DataFrame) -> DataFrame:

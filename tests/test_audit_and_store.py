@@ -164,11 +164,16 @@ def test_costs_of_a_log(spark):
     assert (r.entries, r.sent, r.received, r.cost) == (2, 38000, 150, 0.06)
 
 
-def test_execution_order_and_levels(spark):
+def test_execution_order_and_levels(spark, monkeypatch):
     nodes = [("c", ["a", "b"]), ("a", []), ("b", ["a"]), ("x", ["gone"]), ("d", ["c"])]
     assert dag.execution_order(nodes) == ["a", "b", "c", "d"]
     df = spark.createDataFrame(nodes, "id string, depends_on array<string>")
-    assert {r.id: r.level for r in dag.levels(df).collect()} == {"a": 0, "b": 1, "c": 2, "x": 0, "d": 3}
+    want = {"a": 0, "b": 1, "c": 2, "x": 0, "d": 3}
+    assert {r.id: r.level for r in dag.levels(df).collect()} == want
+    monkeypatch.setattr(dag, "PLAN_ROWS", 0)
+    assert {r.id: r.level for r in dag.levels(df).collect()} == want
+    with pytest.raises(ValueError):
+        dag.plan_levels({"a": ["b"], "b": ["a"]})
 
 
 def test_tumbling_refuses_zero():
