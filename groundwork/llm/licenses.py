@@ -107,6 +107,6 @@ def scan(docs: DataFrame, templates: list = TEMPLATES, base: int = BASE) -> Data
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = text.select("doc_id", F.regexp_count("text", F.lit(ANY_CASE)).cast("long").alias("n_words"), F.when(F.col("text").rlike(anchors), F.expr(found)).alias("f"))
     return rows.select(
-        "doc_id", "n_words", F.coalesce("f.n_base", F.lit(0)).alias("n_base"), "f.first_word", "f.last_word",
+        "doc_id", "n_words", F.coalesce("f.n_base", F.lit(0)).alias("n_base"), F.col("f.first_word").cast("long").alias("first_word"), F.col("f.last_word").cast("long").alias("last_word"),
         F.coalesce("f.base_labels", F.lit("")).alias("base_labels"), F.coalesce("f.labels", F.lit("")).alias("labels"), F.round(F.coalesce("f.score", F.lit(0.0)), 6).alias("score"),
     )
