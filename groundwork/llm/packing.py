@@ -16,6 +16,8 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +39,14 @@ class Ids:
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = {t.content: np.uint32(k).tobytes() for k, t in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
-        self.memory = Memory(self.library_ids, 1_000_000)  # about 200 MB
-
-    def library_ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        self.memory = Memory(self.library_ids)
+
+    def library_ids(self, pieces: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(pieces), 16_384):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[at : at + 16_384], add_special_tokens=False)]
+            ends = (4 * np.cumsum([*map(len, ids)])).tolist()
+            flat = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4).tobytes()
+            yield from (flat[i:j] for i, j in zip([0, *ends], ends))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         lists = [[(s, True) if s in self.special else (split(s), False) for s in (self.cut.split(t) if self.cut else [t]) if s] for t in texts]
