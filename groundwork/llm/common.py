@@ -1,4 +1,4 @@
-"""Shared plumbing of the training-data operators: column picking, tables in the shared folder, crc folds."""
+"""Shared plumbing of the training-data operators: column picking, tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.session import ship
@@ -95,10 +95,6 @@ def slices(batches: Iterable) -> Iterator[list]:
             at += n
 
 
-def crc_mod(column: Column, by: int) -> Column:
-    return F.crc32(column.cast("string").cast("binary")) % by
-
-
 def splitmix(x):
     """splitmix64 finaliser over a numpy uint64 array."""
     import numpy as np

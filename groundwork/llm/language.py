@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.llm.common import map_arrow, per_text, pick, slices, splitmix
+from groundwork.llm.pieces import forget
 
 BUCKETS, WIDTH, PER_LANGUAGE = 1 << 16, 16, 800
 EPOCHS, STEPS, BATCH, RATE, ASIDE = 6, 400, 32, 0.2, 5  # at least EPOCHS and STEPS; one in ASIDE sampled texts calibrates
@@ -142,7 +143,7 @@ def train(docs: DataFrame, chosen=None, per_language: int = PER_LANGUAGE) -> Mod
 class Predictor:
     """Predicts texts in bulk. Sums of subword scores are kept by word, as rows of one array within a bound."""
 
-    def __init__(self, model: Model | None, most: int = 500_000, letters: int = 64):
+    def __init__(self, model: Model | None, most: int = 300_000, letters: int = 64):
         self.model, self.most, self.letters = model, most, letters
         self.reset()
 
@@ -206,6 +207,7 @@ def keep(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        forget()
         p = Predictor(model)
         for batch in batches:
             found = [x for part in slices([batch.select([at])]) for x in p(part[0])]

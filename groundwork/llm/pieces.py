@@ -62,12 +62,22 @@ def split(text: str) -> list[str]:
     return [text[i:j] for i, j in zip(at, [*at[1:], len(text)])]
 
 
+_memories: list["Memory"] = []
+
+
+def forget() -> None:
+    """Empty all memories of this worker: for operators that do not use them but follow others that did."""
+    for m in _memories:
+        m.clear()
+
+
 class Memory(dict):
     """Piece -> its encoding, filled in bulk; emptied when it holds too many, so a worker's memory is bounded."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable], most: int = 400_000, chars: int = 64):
         super().__init__()
         self.encode, self.most, self.chars = encode, most, chars
+        _memories.append(self)
 
     def learn(self, lists: list[list[str]]) -> None:
         new = list(set().union(*lists).difference(self))

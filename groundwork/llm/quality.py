@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from groundwork.llm.common import map_arrow, per_text, slices, splitmix
+from groundwork.llm.pieces import forget
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -102,6 +103,7 @@ def keep(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        forget()
         for batch in batches:
             mask = [measure(t)["kept"] for part in slices([batch.select([at])]) for t in part[0]]
             yield batch.filter(pa.array(mask, pa.bool_()))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.llm.common import map_arrow, materialize, numbered, per_text, pick, release
+from groundwork.llm.pieces import forget
 
 SHINGLE, SEED, BITS = 4, 42, 4
 DENSE = 8  # points; fuller cells are searched from link to link, so that they give no more links than points
@@ -56,6 +57,7 @@ def fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fp (the 64 bits as a signed long)."""
 
     def run(parts):
+        forget()
         for doc_id, text in parts:
             yield {"doc_id": doc_id, "fp": [signed(fingerprint(t, n)) for t in text]}
 
