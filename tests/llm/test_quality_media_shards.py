@@ -134,6 +134,41 @@ def test_minimax_cuts_equal_brute_force():
         assert len(cuts) - 1 <= k and max(sum(sizes[a:b]) for a, b in zip(cuts, cuts[1:])) == best[len(sizes)]
 
 
+def loads_of(sizes, k):
+    big, cuts = sharding.plan(sizes, k)
+    edges = [0, *cuts, len(sizes)]
+    return [sizes[a] for a in big], [sum(s for i, s in enumerate(sizes[a:b], a) if i not in big) for a, b in zip(edges, edges[1:])]
+
+
+def test_plan_is_no_larger_than_contiguous_shards_and_uses_all():
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        sizes, k = (rng.integers(0, 30, rng.integers(1, 14)) ** int(rng.integers(1, 4))).tolist(), int(rng.integers(1, 7))
+        edges = [0, *sharding.minimax_cuts(sizes, k), len(sizes)]
+        alone, others = loads_of(sizes, k)
+        assert len(alone) + len(others) <= k and sum(alone) + sum(others) == sum(sizes)
+        assert max(alone + others) <= max(sum(sizes[a:b]) for a, b in zip(edges, edges[1:]))
+        assert sum(x > 0 for x in alone + others) == min(k, sum(x > 0 for x in sizes))
+
+
+@pytest.mark.parametrize("share", [0.03, 0.05, 0.1, 1 / 3])
+def test_a_large_group_leaves_the_other_shards_near_equal(share):
+    sizes = np.random.default_rng(7).integers(500, 1500, sharding.ATOMS).tolist()
+    sizes[30_000] = int(sum(sizes) * share / (1 - share))
+    alone, others = loads_of(sizes, 40)
+    assert alone == [sizes[30_000]] and len(others) == 39
+    assert max(others) - min(others) < 0.05 * max(others)
+
+
+def test_a_group_of_a_third_of_all_rows(spark):
+    texts = [(i, "copy " * 20 if i % 3 == 0 else f"text {i} " * 10) for i in range(6000)]
+    rows = sharding.shard(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).collect()
+    loads = check_shards(rows, texts)
+    copies = {r.shard for r in rows if r.doc_id % 3 == 0}
+    others = [load for s, load in loads.items() if s not in copies]
+    assert len(loads) == 40 and len(copies) == 1 and max(others) < 1.1 * min(others)
+
+
 def check_shards(rows, texts):
     groups, slots, loads = defaultdict(set), defaultdict(list), Counter()
     for r in rows:
