@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as t
 from groundwork.session import ship
+from groundwork.streaming.streams import shared_dir
 
 RRF = 60
 INDEX_ROWS = 50_000  # rows above which an approximate index pays
@@ -53,12 +56,24 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, within: str | None = No
 
     Each task multiplies its rows with blocks of query vectors in numpy and keeps its own k best
     a query (and group), so what is shuffled is k rows a task, query and group, not pairs. Ties go
-    to the smaller id, distances being rounded to 9 places.
+    to the smaller id, distances being rounded to 9 places. Queries of more than QUERY_BYTES are
+    dealt by their id to blocks of about half of that, which are searched one after another and
+    written to the shared folder, so that the driver and the tasks hold one block at a time.
     """
+    spark, size = queries.sparkSession, _bytes(queries)
+    if size <= QUERY_BYTES:
+        return _nearest(queries, base, k, within, metric)
+    path, blocks = f"{shared_dir(spark)}/nearest-{uuid.uuid4().hex}", -(-2 * size // QUERY_BYTES)
+    for at in range(blocks):
+        found = _nearest(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at), base, k, within, metric)
+        found.write.mode("append").parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
+def _nearest(queries: DataFrame, base: DataFrame, k: int, within: str | None, metric: str) -> DataFrame:
+    """nearest() of one block of queries."""
     ship(queries.sparkSession)
-    some = queries.select("query_id", F.col("vector").cast("array<double>")).collect() if _fits(queries) else None
-    if some is None:
-        raise ValueError("the query set is too large to send; call nearest() on blocks of it")
+    some = queries.select("query_id", F.col("vector").cast("array<double>")).collect()
     ids = np.array([r["query_id"] for r in some], np.int64)
     matrix = np.array([r["vector"] for r in some], np.float64).reshape(len(some), -1)
     norms = np.linalg.norm(matrix, axis=1)
@@ -97,10 +112,10 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, within: str | None = No
     return best.withColumn("rank", rank.cast("long")).filter(F.col("rank") < k)
 
 
-def _fits(queries: DataFrame) -> bool:
+def _bytes(queries: DataFrame) -> int:
     n = queries.count()
     width = (queries.select(F.size("vector")).first() or [0])[0] if n else 0
-    return n * width * 8 <= QUERY_BYTES
+    return n * width * 8
 
 
 def fuse(hits: DataFrame, k: int | None = None, c: int = RRF, by: tuple[str, ...] = ("query_id",), payload: tuple[str, ...] = ("id",)) -> DataFrame:

@@ -72,6 +72,18 @@ def test_fusion_ignores_the_order_of_rows(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
+@pytest.mark.parametrize("how", [{"k": 5}, {"k": 3, "metric": "l2"}, {"k": 4, "within": "label"}])
+def test_blocks_of_queries_find_what_one_block_does(spark, monkeypatch, how):
+    from tests.conftest import SF
+
+    from groundwork.plans.retrieval import asked, base
+
+    whole = sorted(map(tuple, retrieval.nearest(asked(spark, SF), base(spark, SF), **how).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 5 * 64 * 8)
+    assert retrieval._bytes(asked(spark, SF)) > 2 * retrieval.QUERY_BYTES
+    assert sorted(map(tuple, retrieval.nearest(asked(spark, SF), base(spark, SF), **how).collect())) == whole
+
+
 def test_approximate_search_recalls(spark):
     from tests.conftest import SF
 
