@@ -201,7 +201,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is told with at least the calibrated score."""
+    """The rows of docs, with all their columns, whose language is told with at least the calibrated score.
+
+    Without a model, all that have a letter: nothing was learned by which to reject them.
+    """
     at = docs.columns.index("text")
 
     def run(batches):
@@ -210,6 +213,9 @@ def keep(docs: DataFrame, model: Model | None) -> DataFrame:
         forget()
         p = Predictor(model)
         for batch in batches:
+            if model is None:
+                yield batch.filter(pa.array([any(map(str.isalpha, t or "")) for part in slices([batch.select([at])]) for t in part[0]], pa.bool_()))
+                continue
             found = [x for part in slices([batch.select([at])]) for x in p(part[0])]
             yield batch.filter(pa.array([x != UNKNOWN and y >= model.least for x, y in found], pa.bool_()))
 

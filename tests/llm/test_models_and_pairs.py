@@ -184,6 +184,17 @@ def test_first_of_each_keeps_one_row_of_a_class(edges, empty):
     assert simhash.first_of_each(empty).count() == 0
 
 
+def test_language_filter_without_labels_keeps_texts_with_a_letter(spark, edges):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    docs = edges.withColumn("lang", F.lit(None).cast("string"))
+    got = [r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()]
+    assert sorted(map(str, got)) == sorted(str(d) for d, t, *_ in EDGES if any(map(str.isalpha, t or "")))
+    assert None in got and len(got) == 8
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, sample, tmp_path):
     import corpus_pipeline
     from tests.llm.test_quality_media_shards import brute
