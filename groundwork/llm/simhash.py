@@ -54,14 +54,15 @@ def signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, fp (the 64 bits as a signed long)."""
+    """docs (doc_id, text, longs...) -> doc_id, fp (the 64 bits as a signed long), longs..."""
+    longs = docs.columns[2:]
 
     def run(parts):
         forget()
-        for doc_id, text in parts:
-            yield {"doc_id": doc_id, "fp": [signed(fingerprint(t, n)) for t in text]}
+        for doc_id, text, *more in parts:
+            yield {"doc_id": doc_id, "fp": [signed(fingerprint(t, n)) for t in text], **dict(zip(longs, more))}
 
-    return per_text(docs, run, "doc_id long, fp long")
+    return per_text(docs, run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *longs)))
 
 
 def cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,15 +229,26 @@ MOST_SENT = 500_000  # ids that may be broadcast (about 16 MB); more are joined
 
 
 def first_of_each(docs: DataFrame, n: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """One row of each class, with all columns: the smallest doc_id, once. A row without doc_id cannot be named and stays."""
-    marks = materialize(fingerprints(pick(docs, "doc_id", "text"), n), "marks")
-    found = marks.join(classes(marks, bits), "fp")
-    gone = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    """One row of each class, with all columns: that of the smallest doc_id, or without one if no row of the class has an id.
+
+    Rows are told apart by id and a hash of the text, so rows of one id and different texts are held
+    or removed each by its own class.
+    """
+    marks = materialize(fingerprints(pick(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text")), n), "marks")
+    member = components(links(materialize(marks.select("fp").distinct(), "fingerprints"), bits))
+    found = marks.join(member.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
+    first = found.groupBy("root").agg(least.alias("least"), F.count("*").alias("n")).filter("n > 1").select("root", F.col("least.doc_id").alias("id"), F.col("least.hash").alias("own"))
+    gone = materialize(found.join(first, "root").filter("not (doc_id <=> id and hash = own)").select("doc_id", "hash").distinct(), "gone")
     few = gone.count() <= MOST_SENT
     rows, key = numbered(docs), f"_c{docs.columns.index('doc_id')}"  # by place: names of other columns may clash
-    gone = gone.toDF(key)
-    left = rows.join(F.broadcast(gone) if few else gone, key, "left_anti")
-    twice = materialize(marks.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(key)), "twice")
+    rows = rows.withColumn("hash", F.xxhash64(f"_c{docs.columns.index('text')}"))
+
+    def among(some: DataFrame):
+        return F.col(key).eqNullSafe(some["doc_id"]) & (rows["hash"] == some["hash"])
+
+    left = rows.join(F.broadcast(gone) if few else gone, among(gone), "left_anti")
+    twice = materialize(marks.groupBy("doc_id", "hash").count().filter("count > 1").select("doc_id", "hash"), "twice")
     if not twice.isEmpty():
-        left = left.join(twice, key, "left_anti").union(left.join(twice, key, "left_semi").dropDuplicates([key]))
-    return left.select(*rows.columns).toDF(*docs.columns)
+        left = left.join(twice, among(twice), "left_anti").union(left.join(twice, among(twice), "left_semi").dropDuplicates([key, "hash"]))
+    return left.drop("hash").toDF(*docs.columns)

@@ -184,6 +184,17 @@ def test_first_of_each_keeps_one_row_of_a_class(edges, empty):
     assert simhash.first_of_each(empty).count() == 0
 
 
+def test_first_of_each_tells_rows_of_one_id_or_none_apart(spark):
+    import random
+
+    draw = random.Random(3)
+    a, b, c, d = (" ".join(draw.choices("one two three four five six seven eight nine ten".split(), k=80)) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, d), (5, d), (None, c), (None, "x y"), (None, "x y"), (None, "X  y"), (None, "z"), (4, None), (None, "")]
+    got = simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    left = Counter((r.doc_id, r.text if r.text is None else " ".join(r.text.lower().split())) for r in got)
+    assert left == Counter([(1, a), (2, b), (3, c), (3, d), (None, "x y"), (None, "z"), (4, None)])
+
+
 def test_language_filter_without_labels_keeps_texts_with_a_letter(spark, edges):
     from pyspark.sql import functions as F
 
