@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from groundwork.llm.common import per_text
-from groundwork.llm.pieces import Memory, split
+from groundwork.llm.pieces import Memory, split_all
 
 FAR = np.int64(1) << 60
 FOREST = 256  # bytes; longer pieces get a tree of their own
@@ -174,7 +174,7 @@ class Coder:
         self.memory = Memory(lambda pieces: encode_pieces(self.ranks, pieces))
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
-        lists = [split(t) for t in texts]
+        lists = split_all(texts)
         self.memory.learn(lists)
         known = self.memory.__getitem__
         for pieces in lists:

@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.llm.common import per_text, splitmix
-from groundwork.llm.pieces import Memory, library, split
+from groundwork.llm.pieces import Memory, library, split_all
 
 GROUP = 4096
+BULK, LINE = 16_384, 256  # pieces encoded at a time, pieces a line
+REMEMBERED = 800_000  # pieces, about 200 bytes each
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long, ord long, sequence_id long, offset long"
 
 
@@ -39,20 +41,44 @@ class Ids:
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = {t.content: np.uint32(k).tobytes() for k, t in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
-        self.memory = Memory(self.library_ids)
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
+        self.memory = Memory(self.library_ids, REMEMBERED)
+
+    def library_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece. Pieces without inner white space are encoded LINE together, each ended by a line feed, whose id tells them apart."""
+        out: list[bytes] = [b""] * len(pieces)
+        plain = [k for k, x in enumerate(pieces) if not any(map(str.isspace, x[1:])) and (x[0] == " " and len(x) > 1 or not x[0].isspace())] if self.feed is not None else []
+        done = set()
+        for at in range(0, len(plain), BULK):
+            some = plain[at : at + BULK]
+            lines = ["\n".join([*(pieces[k] for k in some[i : i + LINE]), ""]) for i in range(0, len(some), LINE)]
+            flat = self.flat(lines)[0]
+            ends = np.flatnonzero(flat == self.feed)
+            if len(ends) == len(some):
+                raw, stops = flat.tobytes(), (4 * ends).tolist()
+                for k, i, j in zip(some, [0, *(x + 4 for x in stops)], stops):
+                    out[k] = raw[i:j]
+                done.update(some)
+        rest = [k for k in range(len(pieces)) if k not in done]
+        for at in range(0, len(rest), BULK):
+            flat, sizes = self.flat([pieces[k] for k in rest[at : at + BULK]])
+            raw, stops = flat.tobytes(), (4 * np.cumsum(sizes)).tolist()
+            for k, i, j in zip(rest[at : at + BULK], [0, *stops], stops):
+                out[k] = raw[i:j]
+        return out
 
-    def library_ids(self, pieces: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(pieces), 16_384):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[at : at + 16_384], add_special_tokens=False)]
-            ends = (4 * np.cumsum([*map(len, ids)])).tolist()
-            flat = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4).tobytes()
-            yield from (flat[i:j] for i, j in zip([0, *ends], ends))
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = [*map(len, ids)]
+        return np.fromiter(chain.from_iterable(ids), "<u4", sum(sizes)), sizes
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        lists = [[(s, True) if s in self.special else (split(s), False) for s in (self.cut.split(t) if self.cut else [t]) if s] for t in texts]
-        self.memory.learn([x for parts in lists for x, special in parts if not special] or [[]])
-        known = self.memory.__getitem__
-        out = [b"".join(self.special[x] if special else b"".join(map(known, x)) for x, special in parts) for parts in lists]
+        parts = [self.cut.split(t) if self.cut else [t] for t in texts]  # every other part is a special string
+        lists = split_all([x for p in parts for x in p[::2]])
+        self.memory.learn(lists)
+        known, cut = self.memory.__getitem__, iter(lists)
+        out = [b"".join([self.special[x] if k % 2 else b"".join(map(known, next(cut))) for k, x in enumerate(p)]) for p in parts]
         self.memory.trim()
         return out
 
@@ -94,13 +120,13 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, grou
         c, end = ids_of(path), np.uint32(end_id).tobytes()
         for doc_id, text in parts:
             out = {k.split()[0]: [] for k in PIECES.split(", ")}
-            for d, ids in zip(doc_id, c.batch([t or "" for t in text])):
+            dealt = (splitmix(np.uint64(task << 40) + np.arange(row, row + len(doc_id), dtype=np.uint64)) % np.uint64(groups)).tolist()
+            for d, ids, where in zip(doc_id, c.batch([t or "" for t in text]), dealt):
                 ids += end
                 n = len(ids) // 4
                 for at in range(0, n, capacity):
                     size = min(capacity, n - at)
                     whole = size == capacity
-                    where = int(splitmix(np.array([task << 40 | row], np.uint64))[0] % np.uint64(groups))
                     values = (d, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n, None if whole else where, task << 40 | row, 1 << 62 | task << 40 | full if whole else None, 0 if whole else None)
                     for column, v in zip(out.values(), values):
                         column.append(v)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import os
-import unicodedata
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -15,21 +14,44 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 WHITE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
 
+#: The code points above plane 3 and outside plane 14 are unassigned or private in every Unicode version.
+PLANES = (*range(0x40000), *range(0xE0000, 0xF0000))
+
+
 @functools.lru_cache(1)
 def classes() -> np.ndarray:
-    """The class of each code point."""
-    kind = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    """The class of each code point, as the tokenizers library tells them, so that its Unicode version counts and not Python's.
+
+    One string of all code points is split by the library; each run of one class is told by whether
+    its last character stays in one piece with a letter, or with a digit, before it.
+    """
+    from tokenizers import pre_tokenizers
+
+    cut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    table = np.full(0x110000, OTHER, np.uint8)
+    known = [c for c in PLANES if not 0xD800 <= c < 0xE000]
+    place, line = np.array(known), "".join(map(chr, known))
+    for _, (i, j) in cut(line):
+        one = lambda before: len(cut(before + line[j - 1])) == 1  # noqa: E731, B023
+        table[place[i:j]] = LETTER if one("a") else NUMBER if one("1") else OTHER
     table[list(WHITE)] = SPACE
     return table
 
 
+END = 0x110000  # stands after each text where many are split at once
+
+
+@functools.lru_cache(1)
+def classes_and_end() -> np.ndarray:
+    return np.append(classes(), np.uint8(SPACE + 1))
+
+
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def starts(cp: np.ndarray) -> np.ndarray:
-    """Where pieces begin: as the pattern's alternatives would cut, worked out from runs of one class.
+    """Where pieces begin: as the pattern's alternatives would cut, worked out from runs of one class. END stands apart.
 
     A run of white space before something else gives up its last character; if that is a blank, it
     begins the next piece. A lone apostrophe that begins a piece takes s, t, m, d, re, ve or ll with it.
@@ -37,12 +59,12 @@ def starts(cp: np.ndarray) -> np.ndarray:
     n = len(cp)
     if not n:
         return np.empty(0, np.int64)
-    kind = classes()[cp]
+    kind = classes_and_end()[cp]
     cut = np.zeros(n + 3, bool)
     cut[0] = True
-    cut[1:n] = kind[1:] != kind[:-1]
+    cut[1:n] = (kind[1:] != kind[:-1]) | (kind[1:] > SPACE)
     first = np.flatnonzero(cut)
-    after = first[1:][kind[first[:-1]] == SPACE]
+    after = first[1:][(kind[first[:-1]] == SPACE) & (kind[first[1:]] <= SPACE)]
     cut[after - 1] = True
     cut[after[cp[after - 1] == 32]] = False
     quote = np.flatnonzero((cp[:-1] == 39) & cut[: n - 1] & (kind[1:] == LETTER))
@@ -57,9 +79,25 @@ def starts(cp: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:n])
 
 
+def split_all(texts: list[str]) -> list[list[str]]:
+    """The pieces of each text, cut on one array of all of them."""
+    if not texts:
+        return []
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+    cp = points("\0".join(texts) + "\0").copy()
+    cp[ends] = END
+    cut = starts(cp)
+    last = np.searchsorted(cut, ends).tolist()  # each text's END is a start of its own
+    begin, out, k = 0, [], 0
+    for text, at_end, j in zip(texts, ends.tolist(), last):
+        at = (cut[k : j + 1] - begin).tolist()
+        out.append([text[x:y] for x, y in zip(at, at[1:])])
+        begin, k = at_end + 1, j + 1
+    return out
+
+
 def split(text: str) -> list[str]:
-    at = starts(points(text)).tolist()
-    return [text[i:j] for i, j in zip(at, [*at[1:], len(text)])]
+    return split_all([text])[0]
 
 
 _memories: list["Memory"] = []
@@ -72,24 +110,40 @@ def forget() -> None:
 
 
 class Memory(dict):
-    """Piece -> its encoding, filled in bulk; emptied when it holds too many, so a worker's memory is bounded."""
+    """Piece -> its encoding, filled in bulk, in two generations: where the younger one is full, the
+    older is forgotten, and what is met again moves to the younger; a worker's memory is bounded.
+    """
 
     def __init__(self, encode: Callable[[list[str]], Iterable], most: int = 400_000, chars: int = 64):
         super().__init__()
         self.encode, self.most, self.chars = encode, most, chars
+        self.old: dict = {}
+        self.long: list[str] = []
         _memories.append(self)
 
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+
     def learn(self, lists: list[list[str]]) -> None:
-        new = list(set().union(*lists).difference(self))
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list(set().union(*lists))
+        wanted = set().union(*lists)
+        new = wanted.difference(self)
+        if len(self) + len(new) > self.most // 2:
+            self.old, new = dict(self), wanted
+            super().clear()
+        if self.old:
+            again = new.intersection(self.old)
+            self.update((x, self.old[x]) for x in again)
+            new -= again
+        new = list(new)
         self.update(zip(new, self.encode(new)))
+        self.long = [x for x in new if len(x) > self.chars]
 
     def trim(self) -> None:
-        """Forget what is too long to be worth its place."""
-        for key in [k for k in self if len(k) > self.chars]:
-            del self[key]
+        """Forget what was learned last and is too long to be worth its place."""
+        for x in self.long:
+            del self[x]
+        self.long = []
 
 
 @functools.lru_cache(4)

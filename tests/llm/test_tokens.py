@@ -13,7 +13,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from groundwork.llm import bpe, counts, packing
+from groundwork.llm import bpe, counts, packing, pieces
 from groundwork.llm.common import pick
 from groundwork.llm.pieces import library, split
 from tests.llm.conftest import EDGES
@@ -25,7 +25,7 @@ def reference():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(RANKS).rank, special_tokens={})
 
 
-ALPHABET = "abst'revlmd  \n\t 12é$%中  _-\x85²½\x1c"
+ALPHABET = "abst'revlmd  \n\t 12é$%中  _-\x85²½\x1c\U00013879\U00010d40\ua7cb\0"
 
 
 @settings(max_examples=300, deadline=None)
@@ -41,6 +41,53 @@ def test_pieces_and_ids_equal_the_library(text):
     assert packing.ids_of(JSON).batch([text]) == [np.array(expected, "<u4").tobytes()]
 
 
+def test_classes_of_all_code_points_equal_the_libraries():
+    """Each code point after a letter, a digit and a sign; both libraries have newer tables than Python may have."""
+    every = np.array([c for c in pieces.PLANES if not 0xD800 <= c < 0xE000 and c not in (10, 39)])
+    cut = library(JSON).pre_tokenizer.pre_tokenize_str
+    ranks = {bytes([b]): b for b in range(256)}
+    ranks |= {bytes([p, b]): 256 + 256 * k + b for k, p in enumerate(b"a1!") for b in range(256)}  # a first token of two bytes: one piece
+    pair = tiktoken.Encoding("pairs", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for before, kind in (("a", pieces.LETTER), ("1", pieces.NUMBER)):
+        want = pieces.classes()[every] == kind
+        line = "\n".join(before + chr(c) for c in every)
+        ids = np.array(pair.encode_ordinary(line))
+        begins = np.cumsum([0, *(1 + (ids >= 256))])[:-1]
+        second = np.cumsum([0, *(2 + len(chr(c).encode()) for c in every)])[:-1] + 1
+        assert (~np.isin(second, begins) == want).all()
+        for at in range(0, len(every), 4096):
+            begins = [i for _, (i, _) in cut("\n".join(before + chr(c) for c in every[at : at + 4096]))]
+            assert (~np.isin(3 * np.arange(len(want[at : at + 4096])) + 1, begins) == want[at : at + 4096]).all()
+    beyond = "".join(chr(c) for c in range(0x40000, 0x110000) if not 0xE0000 <= c < 0xF0000)
+    assert all(len(cut("!" + beyond[at : at + 4096])) == 1 for at in range(0, len(beyond), 4096))
+
+
+def test_letters_newer_than_python_keep_their_ids():
+    for text in ("m\U00013879'd", "\U00013879's x", "1\U00010d40 \U00010d41a", "\ua7cb'll"):
+        ids = bpe.coder(RANKS).encode(text)
+        expected = library(JSON).encode(text, add_special_tokens=False).ids
+        assert ids == reference().encode_ordinary(text) == expected
+        assert counts.counter(JSON).count([text]) == [len(expected)]
+        assert packing.ids_of(JSON).batch([text, "", text]) == [np.array(expected, "<u4").tobytes(), b"", np.array(expected, "<u4").tobytes()]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(ALPHABET, max_size=30), max_size=5))
+def test_splitting_many_texts_equals_splitting_each(texts):
+    assert pieces.split_all(texts) == [split(t) for t in texts]
+    assert pieces.split_all(texts) == [[t[i:j] for _, (i, j) in library(JSON).pre_tokenizer.pre_tokenize_str(t)] for t in texts]
+
+
+def test_memory_of_two_generations_gives_what_it_was_told():
+    told = []
+    m = pieces.Memory(lambda new: [told.append(x) or x.upper() for x in new], most=8)
+    for words in ("a b c", "d e", "a f", "g h a", "a b c d e f g h i j"):
+        m.learn([words.split()])
+        assert [m[w] for w in words.split()] == [w.upper() for w in words.split()]
+        m.trim()
+    assert len(m.old) <= 10 and told.count("a") < 4
+
+
 def test_long_pieces():
     c, r = bpe.coder(RANKS), reference()
     for text in ("a" * 5000, "ab" * 700, " " * 999 + "x", "=" * 3000, "the" * 300):
