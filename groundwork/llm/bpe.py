@@ -16,12 +16,13 @@ import base64
 import functools
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from groundwork.llm.common import per_text
-from groundwork.llm.pieces import Memory, split_all
+from groundwork.llm.pieces import Store
 
 FAR = np.int64(1) << 60
 FOREST = 256  # bytes; longer pieces get a tree of their own
@@ -171,18 +172,17 @@ class Coder:
 
     def __init__(self, path: str):
         self.ranks = ranks(path)
-        self.memory = Memory(lambda pieces: encode_pieces(self.ranks, pieces))
+        self.store = Store(self.flat)
+
+    def flat(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = encode_pieces(self.ranks, pieces)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
-        lists = split_all(texts)
-        self.memory.learn(lists)
-        known = self.memory.__getitem__
-        for pieces in lists:
-            ids: list[int] = []
-            for x in map(known, pieces):
-                ids += x
-            yield ids
-        self.memory.trim()
+        flat, edges = self.store.encoded(texts)
+        for i, j in zip(edges.tolist(), edges[1:].tolist()):
+            yield flat[i:j].tolist()
 
     def encode(self, text: str) -> list[int]:
         return next(self.encode_batch([text]))

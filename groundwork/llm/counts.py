@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from groundwork.llm.common import per_text
-from groundwork.llm.pieces import LETTER, NUMBER, OTHER, SPACE, Memory, classes
+from groundwork.llm.pieces import LETTER, NUMBER, OTHER, SPACE, Store, classes
 
 # States of the cutter.
 START, IN_L, IN_N, IN_O, BLANK, WHITE, QUOTE, QUOTE_R, QUOTE_V, QUOTE_L, DONE = STATES = range(11)
@@ -144,7 +144,7 @@ class Counter:
         self.most = most
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.reset()
-        self.memory = Memory(lambda pieces: [self.count_piece(p.encode()) for p in pieces])
+        self.store = Store(self.count_pieces, cut=lambda cp: np.flatnonzero(cuts(cp)), dtype=np.int64)
 
     def reset(self) -> None:
         #: A state: for each suffix that may grow into a token, (suffix, the token before it, tokens up to there less all so far).
@@ -202,37 +202,16 @@ class Counter:
             total += n
         return total
 
+    def count_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([self.count_piece(p.encode()) for p in pieces], np.int64), np.ones(len(pieces), np.int64)
+
     def count(self, texts: list[str]) -> list[int]:
-        """Tokens of each text."""
-        parts, owner, extra = [], [], [0] * len(texts)
-        for k, text in enumerate(texts):
-            for part in self.special.split(text) if self.special else [text]:
-                parts.append(part)
-                owner.append(k)
-                extra[k] += 1
-        extra = [x - 1 for x in extra]
-        end = np.array([0x110000], np.uint32)
-        flat = np.concatenate([y for p in parts for y in (np.frombuffer(p.encode("utf-32-le", "surrogatepass"), np.uint32), end)] or [end])
-        begins = np.flatnonzero(cuts(flat)).tolist()
-        joined = "\0".join(parts) + "\0"
-        ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-        bounds = sorted([*begins, *ends.tolist()])
-        pieces = [joined[i:j] for i, j in zip(begins, self.following(begins, bounds))]
-        self.memory.learn([pieces])
-        counts = np.fromiter(map(self.memory.__getitem__, pieces), np.int64, len(pieces))
-        self.memory.trim()
-        sums = np.concatenate([[0], np.cumsum(counts)])
-        where = np.searchsorted(begins, np.concatenate([[0], ends])) if begins else np.zeros(len(ends) + 1, np.int64)
-        per_part = sums[where[1:]] - sums[where[:-1]]
-        out = np.array(extra, np.int64)
-        np.add.at(out, owner, per_part)
-        return out.tolist()
-
-    @staticmethod
-    def following(begins: list[int], bounds: list[int]) -> list[int]:
-        """For each start, the next start or end of a text."""
-        b = np.array(bounds, np.int64)
-        return b[np.searchsorted(b, begins, side="right")].tolist() if begins else []
+        """Tokens of each text; its special strings count one each."""
+        parts = [self.special.split(t) if self.special else [t] for t in texts]
+        values, edges = self.store.encoded([x for p in parts for x in p])
+        sums = np.concatenate([[0], np.cumsum(values)])[edges]
+        last = np.cumsum([0, *map(len, parts)])
+        return (sums[last[1:]] - sums[last[:-1]] + np.diff(last) - 1).tolist()
 
 
 @functools.lru_cache(2)

@@ -16,7 +16,6 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -25,62 +24,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.llm.common import per_text, splitmix
-from groundwork.llm.pieces import Memory, library, split_all
+from groundwork.llm.pieces import Store, library, ranges
 
 GROUP = 4096
 BULK, LINE = 16_384, 256  # pieces encoded at a time, pieces a line
-REMEMBERED = 800_000  # pieces, about 200 bytes each
+REMEMBERED = 800_000  # pieces, about 100 bytes each
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long, ord long, sequence_id long, offset long"
 
 
 class Ids:
-    """Ids by the tokenizers library, piece by piece, as little-endian unsigned 32-bit bytes."""
+    """Ids by the tokenizers library, piece by piece, as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
         self.tokenizer = library(path)
         added = self.tokenizer.get_added_tokens_decoder()
-        self.special = {t.content: np.uint32(k).tobytes() for k, t in added.items()}
+        self.special = {t.content: np.array([k], "<u4") for k, t in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else None
-        self.memory = Memory(self.library_ids, REMEMBERED)
-
-    def library_ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece. Pieces without inner white space are encoded LINE together, each ended by a line feed, whose id tells them apart."""
-        out: list[bytes] = [b""] * len(pieces)
-        plain = [k for k, x in enumerate(pieces) if not any(map(str.isspace, x[1:])) and (x[0] == " " and len(x) > 1 or not x[0].isspace())] if self.feed is not None else []
-        done = set()
-        for at in range(0, len(plain), BULK):
-            some = plain[at : at + BULK]
-            lines = ["\n".join([*(pieces[k] for k in some[i : i + LINE]), ""]) for i in range(0, len(some), LINE)]
-            flat = self.flat(lines)[0]
-            ends = np.flatnonzero(flat == self.feed)
-            if len(ends) == len(some):
-                raw, stops = flat.tobytes(), (4 * ends).tolist()
-                for k, i, j in zip(some, [0, *(x + 4 for x in stops)], stops):
-                    out[k] = raw[i:j]
-                done.update(some)
-        rest = [k for k in range(len(pieces)) if k not in done]
-        for at in range(0, len(rest), BULK):
-            flat, sizes = self.flat([pieces[k] for k in rest[at : at + BULK]])
-            raw, stops = flat.tobytes(), (4 * np.cumsum(sizes)).tolist()
-            for k, i, j in zip(rest[at : at + BULK], [0, *stops], stops):
-                out[k] = raw[i:j]
-        return out
-
-    def flat(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        self.store = Store(self.library_ids, REMEMBERED)
+
+    def library_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces and how many each has. Pieces without a line feed are encoded LINE together, each ended by one, whose id tells them apart."""
+        plain = np.array([self.feed is not None and not any(map(str.isspace, x[1:])) and (x[0] != " " or len(x) > 1) and not (x[0] != " " and x[0].isspace()) for x in pieces], bool)
+        ids, size = [], np.zeros(len(pieces), np.int64)
+        for whole in (True, False):
+            which = np.flatnonzero(plain == whole)
+            for at in range(0, len(which), BULK):
+                part = which[at : at + BULK]
+                some = [pieces[k] for k in part.tolist()]
+                if whole:
+                    flat, _ = self.flat(["\n".join([*some[i : i + LINE], ""]) for i in range(0, len(some), LINE)])
+                    ends = np.flatnonzero(flat == self.feed)
+                    if len(ends) != len(some):
+                        raise ValueError("a piece of this tokenizer holds the line feed's id")
+                    size[part] = np.diff(ends, prepend=-1) - 1
+                    flat = np.delete(flat, ends)
+                else:
+                    flat, size[part] = self.flat(some)
+                ids.append(flat)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        begin = np.empty(len(pieces), np.int64)
+        begin[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate([np.empty(0, "<u4"), *ids])[ranges(begin, size)], size
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = [*map(len, ids)]
-        return np.fromiter(chain.from_iterable(ids), "<u4", sum(sizes)), sizes
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), "<u4", int(size.sum())), size
 
-    def batch(self, texts: list[str]) -> list[bytes]:
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
         parts = [self.cut.split(t) if self.cut else [t] for t in texts]  # every other part is a special string
-        lists = split_all([x for p in parts for x in p[::2]])
-        self.memory.learn(lists)
-        known, cut = self.memory.__getitem__, iter(lists)
-        out = [b"".join([self.special[x] if k % 2 else b"".join(map(known, next(cut))) for k, x in enumerate(p)]) for p in parts]
-        self.memory.trim()
-        return out
+        flat, edges = self.store.encoded([x for p in parts for x in p[::2]])
+        plain = iter(np.split(flat, edges[1:-1]))
+        return [next(plain) if len(p) == 1 else np.concatenate([self.special[x] if k % 2 else next(plain) for k, x in enumerate(p)]) for p in parts]
 
 
 @functools.lru_cache(2)
@@ -117,17 +114,17 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, grou
         from pyspark import TaskContext
 
         task, row, full = TaskContext.get().partitionId(), 0, 0
-        c, end = ids_of(path), np.uint32(end_id).tobytes()
+        c = ids_of(path)
         for doc_id, text in parts:
             out = {k.split()[0]: [] for k in PIECES.split(", ")}
             dealt = (splitmix(np.uint64(task << 40) + np.arange(row, row + len(doc_id), dtype=np.uint64)) % np.uint64(groups)).tolist()
             for d, ids, where in zip(doc_id, c.batch([t or "" for t in text]), dealt):
-                ids += end
-                n = len(ids) // 4
+                ids = np.append(ids, np.uint32(end_id))
+                n = len(ids)
                 for at in range(0, n, capacity):
                     size = min(capacity, n - at)
                     whole = size == capacity
-                    values = (d, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n, None if whole else where, task << 40 | row, 1 << 62 | task << 40 | full if whole else None, 0 if whole else None)
+                    values = (d, at, size, zlib.crc32(ids[at : at + size]), n, None if whole else where, task << 40 | row, 1 << 62 | task << 40 | full if whole else None, 0 if whole else None)
                     for column, v in zip(out.values(), values):
                         column.append(v)
                     full += whole

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import functools
 import os
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 
+from groundwork.llm.common import splitmix
+
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
 #: The code points with Unicode's White_Space property.
@@ -79,71 +81,142 @@ def starts(cp: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:n])
 
 
-def split_all(texts: list[str]) -> list[list[str]]:
-    """The pieces of each text, cut on one array of all of them."""
-    if not texts:
-        return []
-    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
-    cp = points("\0".join(texts) + "\0").copy()
-    cp[ends] = END
-    cut = starts(cp)
-    last = np.searchsorted(cut, ends).tolist()  # each text's END is a start of its own
-    begin, out, k = 0, [], 0
-    for text, at_end, j in zip(texts, ends.tolist(), last):
-        at = (cut[k : j + 1] - begin).tolist()
-        out.append([text[x:y] for x, y in zip(at, at[1:])])
-        begin, k = at_end + 1, j + 1
-    return out
-
-
 def split(text: str) -> list[str]:
-    return split_all([text])[0]
+    at = starts(points(text)).tolist()
+    return [text[i:j] for i, j in zip(at, [*at[1:], len(text)])]
 
 
-_memories: list["Memory"] = []
+_stores: list["Store"] = []
 
 
 def forget() -> None:
-    """Empty all memories of this worker: for operators that do not use them but follow others that did."""
-    for m in _memories:
-        m.clear()
+    """Empty all stores of this worker: for operators that do not use them but follow others that did."""
+    for s in _stores:
+        s.clear()
+
+
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indexes begin, begin + 1, ... of each range, one after another."""
+    before = np.cumsum(size) - size
+    return np.repeat(begin - before, size) + np.arange(int(size.sum()))
 
 
-class Memory(dict):
-    """Piece -> its encoding, filled in bulk, in two generations: where the younger one is full, the
-    older is forgotten, and what is met again moves to the younger; a worker's memory is bounded.
+@functools.lru_cache(1)
+def letters_hashed() -> np.ndarray:
+    out = splitmix(np.arange(END + 1, dtype=np.uint64))
+    out[END] = 0
+    return out
+
+
+class Store:
+    """The values (ids, or a count) of pieces met before, as arrays, so that texts are encoded without a Python object a piece.
+
+    A piece is found by a 64-bit hash of its code points and then compared with the code points kept
+    for it; a piece that differs from them, or is too long to be worth its place, is encoded anew each
+    time. Where more than `most` pieces are held, the half that was not met for longest is forgotten,
+    so a worker's memory is bounded (about 100 bytes a piece).
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], most: int = 400_000, chars: int = 64):
-        super().__init__()
-        self.encode, self.most, self.chars = encode, most, chars
-        self.old: dict = {}
-        self.long: list[str] = []
-        _memories.append(self)
+    BLOCK = 1 << 18  # pieces worked on at a time
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000, chars: int = 64, cut: Callable = starts, dtype=np.uint32):
+        self.encode, self.most, self.chars, self.cut, self.dtype = encode, most, chars, cut, dtype
+        self.places = splitmix(np.arange(chars, dtype=np.uint64) + np.uint64(1 << 32)) | np.uint64(1)
+        self.clear()
+        _stores.append(self)
 
     def clear(self) -> None:
-        super().clear()
-        self.old = {}
-
-    def learn(self, lists: list[list[str]]) -> None:
-        wanted = set().union(*lists)
-        new = wanted.difference(self)
-        if len(self) + len(new) > self.most // 2:
-            self.old, new = dict(self), wanted
-            super().clear()
-        if self.old:
-            again = new.intersection(self.old)
-            self.update((x, self.old[x]) for x in again)
-            new -= again
-        new = list(new)
-        self.update(zip(new, self.encode(new)))
-        self.long = [x for x in new if len(x) > self.chars]
-
-    def trim(self) -> None:
-        """Forget what was learned last and is too long to be worth its place."""
-        for x in self.long:
-            del self[x]
-        self.long = []
+        long = lambda: np.empty(0, np.int64)
+        self.key, self.entry = np.empty(0, np.uint64), long()  # sorted hashes; which entry each belongs to
+        self.stamp, self.value, self.count, self.begin, self.length = long(), long(), long(), long(), long()  # of each entry
+        self.values, self.letters = np.empty(0, self.dtype), np.empty(0, np.uint32)
+        self.now = 0
+
+    def halve(self) -> None:
+        kept = np.sort(np.argsort(-self.stamp, kind="stable")[: self.most // 2])
+        new = np.full(len(self.stamp), -1, np.int64)
+        new[kept] = np.arange(len(kept))
+        entry = new[self.entry]
+        self.key, self.entry = self.key[entry >= 0], entry[entry >= 0]
+        self.values, self.letters = self.values[ranges(self.value[kept], self.count[kept])], self.letters[ranges(self.begin[kept], self.length[kept])]
+        self.stamp, self.count, self.length = self.stamp[kept], self.count[kept], self.length[kept]
+        self.value, self.begin = np.cumsum(self.count) - self.count, np.cumsum(self.length) - self.length
+
+    def append(self, pieces: list[str]) -> np.ndarray:
+        """Entries of these pieces, at the end."""
+        values, count = self.encode(pieces)
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        first = len(self.stamp)
+        self.value = np.concatenate([self.value, len(self.values) + np.cumsum(count) - count])
+        self.begin = np.concatenate([self.begin, len(self.letters) + np.cumsum(length) - length])
+        self.count, self.length = np.concatenate([self.count, count]), np.concatenate([self.length, length])
+        self.values = np.concatenate([self.values, np.asarray(values, self.dtype)])
+        self.letters = np.concatenate([self.letters, points("".join(pieces))])
+        self.stamp = np.concatenate([self.stamp, np.full(len(pieces), self.now)])
+        return np.arange(first, len(self.stamp))
+
+    def block(self, line: str, cp: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the pieces cp[begin : begin + size], in order, and how many each has."""
+        self.now += 1
+        low, high = int(begin[0]), int(begin[-1] + size[-1])
+        some, offset = cp[low:high], begin - low
+        place = np.arange(high - low) - np.repeat(offset, np.diff(offset, append=high - low))
+        own = np.add.reduceat(letters_hashed()[some] * self.places[np.minimum(place, self.chars - 1)], offset)
+        del place
+        short = np.flatnonzero(size <= self.chars)
+        keys, first, back = np.unique(own[short], return_index=True, return_inverse=True)
+        at = np.searchsorted(self.key, keys)
+        found = np.zeros(len(keys), bool)
+        if len(self.key):
+            found = self.key[np.minimum(at, len(self.key) - 1)] == keys
+        entry = np.empty(len(keys), np.int64)
+        entry[found] = self.entry[at[found]]
+        text = lambda k: line[begin[k] : begin[k] + size[k]]
+        if not found.all():
+            new = np.flatnonzero(~found)
+            entry[new] = self.append([text(k) for k in short[first[new]].tolist()])
+            self.key, self.entry = np.insert(self.key, at[new], keys[new]), np.insert(self.entry, at[new], entry[new])
+        self.stamp[entry] = self.now
+        mine = np.full(len(begin), -1, np.int64)
+        mine[short] = entry[back]
+        same = self.length[mine[short]] == size[short]
+        held, asked = mine[short[same]], short[same]
+        n = size[asked]
+        if len(asked):
+            unlike = self.letters[ranges(self.begin[held], n)] != some[ranges(offset[asked], n)]
+            if unlike.any():
+                same[np.flatnonzero(same)[np.logical_or.reduceat(unlike, np.cumsum(n) - n)]] = False
+        mine[short[~same]] = -1
+        once = np.flatnonzero(mine < 0)
+        kept = len(self.stamp), len(self.values), len(self.letters)
+        if len(once):
+            mine[once] = self.append([text(k) for k in once.tolist()])
+        count = self.count[mine]
+        out = self.values[ranges(self.value[mine], count)]
+        if len(once):
+            self.stamp, self.value, self.count, self.begin, self.length = (x[: kept[0]] for x in (self.stamp, self.value, self.count, self.begin, self.length))
+            self.values, self.letters = self.values[: kept[1]], self.letters[: kept[2]]
+        if len(self.stamp) > self.most:
+            self.halve()
+        return out, count
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Values of all pieces of all texts, and the edges between texts."""
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+        line = "\0".join([*texts, ""])
+        cp = points(line).copy()
+        cp[ends] = END
+        mark = np.zeros(len(cp), bool)
+        mark[self.cut(cp)] = True
+        mark[ends] = True
+        at = np.flatnonzero(mark)
+        size, real = np.diff(at, append=len(cp)), cp[at] != END
+        begin, size = at[real], size[real]
+        del mark, at, real
+        found = [self.block(line, cp, begin[i : i + self.BLOCK], size[i : i + self.BLOCK]) for i in range(0, len(begin), self.BLOCK)]
+        values = np.concatenate([np.empty(0, self.dtype), *(v for v, _ in found)])
+        upto = np.cumsum(np.concatenate([[0], *(n for _, n in found)]).astype(np.int64))
+        return values, upto[np.concatenate([[0], np.searchsorted(begin, ends)])]
 
 
 @functools.lru_cache(4)

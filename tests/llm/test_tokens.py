@@ -38,7 +38,7 @@ def test_pieces_and_ids_equal_the_library(text):
     assert "".join(split(text)) == text
     expected = library(JSON).encode(text, add_special_tokens=False).ids
     assert counts.counter(JSON).count([text]) == [len(expected)]
-    assert packing.ids_of(JSON).batch([text]) == [np.array(expected, "<u4").tobytes()]
+    assert [x.tolist() for x in packing.ids_of(JSON).batch([text])] == [expected]
 
 
 def test_classes_of_all_code_points_equal_the_libraries():
@@ -68,24 +68,45 @@ def test_letters_newer_than_python_keep_their_ids():
         expected = library(JSON).encode(text, add_special_tokens=False).ids
         assert ids == reference().encode_ordinary(text) == expected
         assert counts.counter(JSON).count([text]) == [len(expected)]
-        assert packing.ids_of(JSON).batch([text, "", text]) == [np.array(expected, "<u4").tobytes(), b"", np.array(expected, "<u4").tobytes()]
+        assert [x.tolist() for x in packing.ids_of(JSON).batch([text, "", text])] == [expected, [], expected]
+
+
+def told(log):
+    """An encoding that is known: a piece's code points, doubled."""
+
+    def encode(some):
+        log.extend(some)
+        return np.array([2 * ord(c) for x in some for c in x], np.uint32), np.array([*map(len, some)], np.int64)
+
+    return encode
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(ALPHABET, max_size=30), max_size=5))
-def test_splitting_many_texts_equals_splitting_each(texts):
-    assert pieces.split_all(texts) == [split(t) for t in texts]
-    assert pieces.split_all(texts) == [[t[i:j] for _, (i, j) in library(JSON).pre_tokenizer.pre_tokenize_str(t)] for t in texts]
-
-
-def test_memory_of_two_generations_gives_what_it_was_told():
-    told = []
-    m = pieces.Memory(lambda new: [told.append(x) or x.upper() for x in new], most=8)
-    for words in ("a b c", "d e", "a f", "g h a", "a b c d e f g h i j"):
-        m.learn([words.split()])
-        assert [m[w] for w in words.split()] == [w.upper() for w in words.split()]
-        m.trim()
-    assert len(m.old) <= 10 and told.count("a") < 4
+@given(st.lists(st.lists(st.text(ALPHABET, max_size=30), max_size=5), max_size=4), st.sampled_from([4, 1000]), st.sampled_from([2, 64]), st.sampled_from([3, 1 << 18]))
+def test_store_gives_what_it_was_told(batches, most, chars, block):
+    s = pieces.Store(told([]), most=most, chars=chars)
+    s.BLOCK = block
+    for texts in batches:
+        values, edges = s.encoded(texts)
+        assert [values[i:j].tolist() for i, j in zip(edges, edges[1:])] == [[2 * ord(c) for c in t] for t in texts]
+        assert len(s.stamp) <= most + block and (np.diff(s.key.astype(object)) > 0).all()
+
+
+def test_store_compares_pieces_of_one_hash(monkeypatch):
+    """All pieces share one hash: each but the first is encoded anew, and right."""
+    s = pieces.Store(told([]))
+    s.places[:] = 0
+    for texts in (["ab cd", "", " cd x"], ["x cd", "ab"]):
+        values, edges = s.encoded(texts)
+        assert [values[i:j].tolist() for i, j in zip(edges, edges[1:])] == [[2 * ord(c) for c in t] for t in texts]
+
+
+def test_store_remembers():
+    log: list = []
+    s = pieces.Store(told(log), most=6)
+    for text in ("a b c", "a b c", " d a", " b c" * 50):
+        s.encoded([text])
+    assert log.count(" b") == log.count("a") == 1
 
 
 def test_long_pieces():
