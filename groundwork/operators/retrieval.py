@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as t
-from groundwork.session import ship
-from groundwork.streaming.streams import shared_dir
+from groundwork.session import shared_dir, ship
 
 RRF = 60
 INDEX_ROWS = 50_000  # rows above which an approximate index pays

@@ -38,3 +38,14 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(top.parent))
         spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share. Where it is unset, a local session (tests) gets a folder of its own; a cluster an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='groundwork-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found

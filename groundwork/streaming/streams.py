@@ -5,7 +5,6 @@ Each stream, run to its end over all input, gives the rows of its batch form.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,16 +13,7 @@ from pyspark.sql import functions as F
 
 from groundwork.functions import text as t
 from groundwork.operators import referee
-from groundwork.session import ship
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='groundwork-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+from groundwork.session import shared_dir, ship
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
