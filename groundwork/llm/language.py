@@ -4,7 +4,7 @@ A word's subwords are its one- to three-letter runs, marked at its ends, and the
 hashed into one of BUCKETS rows of an embedding table. A text is the mean of its subwords' rows; a
 linear softmax gives the language. Both are trained by stochastic gradient descent in numpy, in
 one task, on a bounded sample: about PER_LANGUAGE labelled training rows of each language, chosen
-by a hash. A part of the sample is kept aside to fit a temperature and the score below which a
+by a hash where they are read, so that only the sample goes to that task. A part of the sample is kept aside to fit a temperature and the score below which a
 filter rejects. For prediction the table and the softmax multiply out to one score row a bucket.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, and so is every text
@@ -108,7 +108,7 @@ def train(docs: DataFrame, chosen=None, per_language: int = PER_LANGUAGE) -> Mod
     names = sorted(counts)
     chance = F.create_map(*[F.lit(v) for k in names for v in (k, min(1.0, per_language / counts[k]))])
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.crc32(F.col("text").cast("binary"))), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.filter(draw < chance[F.col("lang")]).select("text", "lang").coalesce(1).sortWithinPartitions("lang", F.xxhash64("text"), "text")
+    sample = rows.filter(draw < chance[F.col("lang")]).select("text", "lang").repartition(1).sortWithinPartitions("lang", F.xxhash64("text"), "text")
 
     def learn(batches):
         import pyarrow as pa
