@@ -6,8 +6,12 @@ fingerprints within four bits lie within two in the first 16 coordinates or with
 16. A unit grid serves both ranges: a point enters its own cell of the first half and the cells
 one step up or down, and its own cell of the last half and those one step up; two points in range
 meet in a cell. In each cell the exact distance is checked and a spanning forest of the links is
-kept, so a dense cell gives no more links than points. Components come from rounds of joins that
-hang every neighbour under the smallest one, written to the shared folder round by round.
+kept, so a dense cell gives no more links than points; a crowded cell is split by the bits of the
+other half. Components come from rounds of joins that hang every neighbour under the smallest one,
+written to the shared folder round by round.
+
+Near copies by similarity (first_of_each) lie beyond that reach: texts that share the least shingle
+under one of some orders, or that the grid links, are candidates, and their shingles are compared.
 
 Defined results: null and empty texts, and texts of white space, have fingerprint zero and are one
 class; fewer words than a shingle make one shingle; repeated rows repeat their results; a null
@@ -21,34 +25,45 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import map_arrow, materialize, numbered, per_text, pick, release
+from groundwork.llm.common import map_arrow, materialize, numbered, per_text, pick, release, slices, splitmix
 from groundwork.llm.pieces import forget
 
 SHINGLE, SEED, BITS = 4, 42, 4
+HELD, CROWDED = 1 << 18, 1 << 15  # rows held at a time; points of a cell beyond which it is split
+LINK, LATER = 0, 1
 DENSE = 8  # points; fuller cells are searched from link to link, so that they give no more links than points
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 FIELDS = np.uint64(0x5555555555555555)
 HALF = np.uint64(0xFFFFFFFF)
 
 
-def fingerprint(text: str | None, n: int = SHINGLE) -> int:
-    """The 64-bit SimHash; each bit set in more than half the shingles' hashes."""
+def shingle_hashes(text: str | None, n: int) -> tuple[bytes, np.ndarray]:
+    """A text's words joined by blanks, and the hash of each shingle, repeats included."""
     import xxhash
 
     words = (text or "").encode().translate(LOWERED).split()
-    if not words:
-        return 0
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if not words:
+        return joined, np.empty(0, np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words]).tolist()
     starts = [0, *ends[:-1]]
     hashes = [digest(joined[i : j - 1], SEED) for i, j in zip(starts, ends[n - 1 :])] if len(words) >= n else [digest(joined, SEED)]
+    return joined, np.array(hashes, np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash; each bit set in more than half the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        some = np.array(hashes[at : at + (1 << 16)], ">u8")
+        some = hashes[at : at + (1 << 16)].astype(">u8")
         ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, n: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, n)[1])
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -145,42 +160,98 @@ def cell_links(cell: np.ndarray, fp: np.ndarray, bits: int) -> list[tuple[int, i
     return forest(fp[a].tolist(), fp[b].tolist()) if a else []
 
 
-def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """fps (fp, distinct) -> a, b: links that span each class of fingerprints within `bits` bits, each checked exactly."""
-    if bits > 4:
-        raise ValueError("the grid's reach is four bits")
+def spread(batches):
+    """fp -> (cell, fp), a row for each cell that a point enters."""
+    import pyarrow as pa
 
-    def spread(batches):
-        import pyarrow as pa
+    for batch in batches:
+        fp = batch.column(0).to_numpy()
+        who, where = cells(fp)
+        for at in range(0, len(who), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(where[at : at + (1 << 16)]), pa.array(fp[who[at : at + (1 << 16)]])], ["cell", "fp"])
 
-        for batch in batches:
-            fp = batch.column(0).to_numpy()
-            who, where = cells(fp)
-            for at in range(0, len(who), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(where[at : at + (1 << 16)]), pa.array(fp[who[at : at + (1 << 16)]])], ["cell", "fp"])
+
+def split_cells(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Finer cells of points that share a cell: points within four bits agree on all bits of one of five parts of the other half."""
+    x = fp.astype(np.uint64)
+    other = np.where(cell >> 32 != 0, x & HALF, x >> np.uint64(32))
+    own, step = splitmix(cell.astype(np.uint64)), np.uint64(32)
+    edges = np.linspace(0, 32, BITS + 2).astype(int).tolist()
+    parts = [(other >> np.uint64(i)) & np.uint64((1 << (j - i)) - 1) for i, j in zip(edges, edges[1:])]
+    return np.concatenate([splitmix(own ^ (part + np.uint64(k) * (np.uint64(1) << step))).astype(np.int64) for k, part in enumerate(parts)]), np.tile(fp, len(parts))
+
+
+def meeting(bits: int, most: int | None, most_held: int):
+    """Rows (cell, fp) in order of cell -> (kind, a, b): links of kind LINK; where a cell has more than `most` points, its rows themselves, of kind LATER."""
 
     def meet(batches):
         import pyarrow as pa
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        rows = 0
+        def rows(kind, a, b):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int64)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
 
-        def out(found):
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+        def linked(cell, fp):
+            found = cell_links(cell, fp, bits)
+            return rows(LINK, [x for x, _ in found], [y for _, y in found])
 
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n, dense = 0, None
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            rows += batch.num_rows
-            if rows >= 1 << 18:
+            for at in range(0, batch.num_rows, most_held):
+                cell, fp = (batch.column(i).slice(at, most_held).to_numpy() for i in (0, 1))
+                if dense is not None:
+                    k = int(np.searchsorted(cell, dense, side="right"))
+                    if k:
+                        yield rows(LATER, cell[:k], fp[:k])
+                    if k == len(cell):
+                        continue
+                    cell, fp, dense = cell[k:], fp[k:], None
+                held.append((cell, fp))
+                n += len(cell)
+                if n < most_held:
+                    continue
                 cell, fp = (np.concatenate(x) for x in zip(*held))
                 whole = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
-                yield out(cell_links(cell[:whole], fp[:whole], bits))
-                held, rows = [(cell[whole:], fp[whole:])], len(cell) - whole
+                if whole:
+                    yield linked(cell[:whole], fp[:whole])
+                cell, fp = cell[whole:], fp[whole:]
+                held, n = [(cell, fp)], len(cell)
+                if most is not None and n > most:
+                    yield rows(LATER, cell, fp)
+                    held, n, dense = [], 0, cell[-1]
         if held:
-            yield out(cell_links(*(np.concatenate(x) for x in zip(*held)), bits))
+            yield linked(*(np.concatenate(x) for x in zip(*held)))
+
+    return meet
 
-    met = map_arrow(fps.select("fp"), spread, "cell long, fp long").repartition("cell").sortWithinPartitions("cell", "fp")
-    return map_arrow(met, meet, "a long, b long")
+
+def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """fps (fp, distinct) -> a, b: links that span each class of fingerprints within `bits` bits, each checked exactly.
+
+    A worker holds HELD rows and one cell. Cells of more than CROWDED points are not searched whole:
+    their points go to finer cells, by the bits of the other half.
+    """
+    if bits > BITS:
+        raise ValueError(f"the grid's reach is {BITS} bits")
+    form = "kind long, a long, b long"
+
+    def searched(rows: DataFrame, most: int | None) -> DataFrame:
+        return map_arrow(rows.repartition("cell").sortWithinPartitions("cell", "fp"), meeting(bits, most, HELD), form)
+
+    first = materialize(searched(map_arrow(fps.select("fp"), spread, "cell long, fp long"), CROWDED), "met")
+    found, later = first.filter(F.col("kind") == LINK).select("a", "b"), first.filter(F.col("kind") == LATER).select("a", "b")
+    if later.isEmpty():
+        return found
+
+    def finer(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 16):
+                cell, fp = split_cells(*(batch.column(i).slice(at, 1 << 16).to_numpy() for i in (0, 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fp)], ["cell", "fp"])
+
+    return found.union(searched(map_arrow(later, finer, "cell long, fp long"), None).select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -225,24 +296,120 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, bits: int = BITS) -> Data
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# ---- Near copies by similarity: at 0.8 two texts lie some ten bits apart, beyond the grid's reach.
+
+WORDS, SIMILAR, DRAWS, REACH, FEW = 5, 0.8, 6, 24, 8  # words a shingle; Jaccard similarity; minima drawn a text; bits beyond which a pair is not verified; texts paired each with each
+SKETCH = "doc_id long, hash long, fp long, node string, n long, keys array<long>"
+
+
+def minima(shingles: np.ndarray, draws: int = DRAWS) -> list[int]:
+    """Keys that similar texts share: the least shingle under each of some orders, and the least ones of two neighbouring orders."""
+    if not len(shingles):
+        return []
+    least = [int(splitmix(shingles ^ splitmix(np.array([k], np.uint64))[0]).min()) for k in range(draws)]
+    both = [(k + 1 << 60) ^ x * 3 ^ least[(k + 1) % draws] for k, x in enumerate(least)]
+    return splitmix(np.array([x & (1 << 64) - 1 for x in (*(x + k for k, x in enumerate(least)), *both)], np.uint64)).astype(np.int64).tolist()
+
+
+def sketches(docs: DataFrame, n: int = WORDS) -> DataFrame:
+    """docs (doc_id, text, hash) -> SKETCH: node names a sequence of words by 128 bits, n is its number of distinct shingles."""
+
+    def run(parts):
+        import xxhash
+
+        forget()
+        for doc_id, text, own in parts:
+            out = {"doc_id": doc_id, "hash": own, "fp": [], "node": [], "n": [], "keys": []}
+            for t in text:
+                joined, hashes = shingle_hashes(t, n)
+                distinct = np.unique(hashes)
+                out["fp"].append(signed(majority(hashes)))
+                out["node"].append(xxhash.xxh128_hexdigest(joined))
+                out["n"].append(len(distinct))
+                out["keys"].append(minima(distinct))
+            yield out
+
+    return per_text(docs, run, SKETCH)
+
+
+def candidates(nodes: DataFrame, similarity: float = SIMILAR, reach: int = REACH) -> DataFrame:
+    """nodes (node, fp, n, keys) -> a, b: pairs that may be similar, at most FEW a key and text.
+
+    Of the texts that share a key, each is paired with the shortest and with the longest one, and
+    up to FEW texts each with each; texts of one fingerprint with the least of them; and
+    fingerprints as the grid links them.
+    """
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", "fp", "n")
+    me = F.struct("n", "node", "fp")
+    ends = keyed.groupBy("key").agg(F.min(me).alias("low"), F.max(me).alias("high"), F.count("*").alias("m")).filter("m > 1")
+    met = keyed.join(ends, "key").select("node", "fp", "n", F.explode(F.array("low", "high")).alias("x"))
+    ratio = F.least("n", "x.n") >= F.lit(similarity) * F.greatest("n", "x.n")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("x.fp"))) <= reach
+    starred = met.filter(ratio & near).select("node", F.col("x.node").alias("other"))
+    some = keyed.join(ends.filter(f"m between 3 and {FEW}").select("key"), "key")
+    each = some.join(some.select("key", me.alias("x")), "key").filter((F.col("node") < F.col("x.node")) & ratio & near).select("node", F.col("x.node").alias("other"))
+    first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("m")), "prints")
+    same = nodes.join(first.filter("m > 1"), "fp").select("node", F.col("first").alias("other"))
+    grid = links(first.select("fp"))
+    a, b = first.select(F.col("fp").alias("a"), F.col("first").alias("node")), first.select(F.col("fp").alias("b"), F.col("first").alias("other"))
+    gridded = grid.join(a, "a").join(b, "b").select("node", "other")
+    return starred.union(each).union(same).union(gridded).filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILAR, n: int = WORDS) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose distinct shingles have that Jaccard similarity; texts (node, text)."""
+    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+
+    def run(batches):
+        import pyarrow as pa
+
+        last: dict[str, np.ndarray] = {}
+
+        def shingles(node: str, text: str) -> np.ndarray:
+            if node not in last:
+                if len(last) > 8:
+                    last.clear()
+                last[node] = np.unique(shingle_hashes(text, n)[1])
+            return last[node]
+
+        for a, b, ta, tb in slices(batches):
+            kept = []
+            for k, (x, y, s, t) in enumerate(zip(a, b, ta, tb)):
+                u, v = shingles(x, s), shingles(y, t)
+                common = len(np.intersect1d(u, v, assume_unique=True))
+                if common >= similarity * (len(u) + len(v) - common):
+                    kept.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in kept], pa.string()) for x in (a, b)], ["a", "b"])
+
+    return map_arrow(both, run, "a string, b string")
+
+
 MOST_SENT = 500_000  # ids that may be broadcast (about 16 MB); more are joined by shuffle
 
 
-def first_of_each(docs: DataFrame, n: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """One row of each class, with all columns: that of the smallest doc_id, or without one if no row of the class has an id.
+def first_of_each(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR) -> DataFrame:
+    """One row of each class of near copies, with all columns: that of the smallest doc_id, or without one if no row of the class has an id.
 
-    Rows are told apart by id and a hash of the text, so rows of one id and different texts are held
-    or removed each by its own class.
+    Near copies have at least that Jaccard similarity on distinct shingles of n words, checked
+    exactly; classes are what links of near copies connect. Texts of the same words are copies;
+    null and empty texts and those of white space are one class. Rows are told apart by id and a
+    hash of the text, so rows of one id and different texts are held or removed each by its own
+    class. Ties in id go by hash; repeated rows leave one; extra columns may have any names; an
+    empty table gives an empty result.
     """
-    marks = materialize(fingerprints(pick(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text")), n), "marks")
-    member = components(links(materialize(marks.select("fp").distinct(), "fingerprints"), bits))
-    found = marks.join(member.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    key, body = f"_c{docs.columns.index('doc_id')}", f"_c{docs.columns.index('text')}"  # by place: names of other columns may clash
+    marks = materialize(sketches(pick(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text")), n), "marks")
+    nodes = materialize(marks.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "keys")), F.min("hash").alias("hash")), "nodes")
+    pairs = materialize(candidates(nodes.select("node", "fp", "n", "keys"), similarity), "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "hash"), "node")
+    texts = pick(docs, "text").withColumn("hash", F.xxhash64("text")).join(needed, "hash").dropDuplicates(["node"]).select("node", "text")
+    member = components(materialize(verified(pairs, materialize(texts, "texts"), similarity, n), "near"))
+    found = marks.select("doc_id", "hash", "node").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
     first = found.groupBy("root").agg(least.alias("least"), F.count("*").alias("n")).filter("n > 1").select("root", F.col("least.doc_id").alias("id"), F.col("least.hash").alias("own"))
     gone = materialize(found.join(first, "root").filter("not (doc_id <=> id and hash = own)").select("doc_id", "hash").distinct(), "gone")
     few = gone.count() <= MOST_SENT
-    rows, key = numbered(docs), f"_c{docs.columns.index('doc_id')}"  # by place: names of other columns may clash
-    rows = rows.withColumn("hash", F.xxhash64(f"_c{docs.columns.index('text')}"))
+    rows = numbered(docs).withColumn("hash", F.xxhash64(body))
 
     def among(some: DataFrame):
         return F.col(key).eqNullSafe(some["doc_id"]) & (rows["hash"] == some["hash"])
