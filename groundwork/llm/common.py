@@ -61,9 +61,26 @@ def per_text(df: DataFrame, fn: Callable[[Iterator[list]], Iterator[dict]], sche
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
-    """mapInArrow, after this package has been sent to the workers."""
+    """mapInArrow, after this package has been sent to the workers; each task gives its memory back, since workers live on."""
     ship(df.sparkSession)
-    return numbered(df).mapInArrow(fn, schema)
+
+    def run(batches: Iterable) -> Iterator:
+        yield from fn(batches)
+        give_back()
+
+    return numbered(df).mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return memory that Python and Arrow have freed but hold to the system, where its C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def numbered(df: DataFrame) -> DataFrame:

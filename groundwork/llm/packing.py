@@ -28,7 +28,7 @@ from groundwork.llm.pieces import Store, library, ranges
 
 GROUP = 4096
 BULK, LINE = 16_384, 256  # pieces encoded at a time, pieces a line
-REMEMBERED = 800_000  # pieces, about 100 bytes each
+REMEMBERED = 500_000  # pieces, about 100 bytes each
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long, ord long, sequence_id long, offset long"
 
 

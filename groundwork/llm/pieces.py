@@ -117,7 +117,7 @@ class Store:
     so a worker's memory is bounded (about 100 bytes a piece).
     """
 
-    BLOCK = 1 << 18  # pieces worked on at a time
+    BLOCK = 1 << 17  # pieces worked on at a time
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000, chars: int = 64, cut: Callable = starts, dtype=np.uint32):
         self.encode, self.most, self.chars, self.cut, self.dtype = encode, most, chars, cut, dtype

@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, bits: int = BITS) -> Data
 # ---- Near copies by similarity: at 0.8 two texts lie some ten bits apart, beyond the grid's reach.
 
 WORDS, SIMILAR, DRAWS, REACH, FEW = 5, 0.8, 6, 24, 8  # words a shingle; Jaccard similarity; minima drawn a text; bits beyond which a pair is not verified; texts paired each with each
-SKETCH = "doc_id long, hash long, fp long, node string, n long, keys array<long>"
+SKETCH = "doc_id long, hash long, fp long, node binary, n long, keys array<long>"
 
 
 def minima(shingles: np.ndarray, draws: int = DRAWS) -> list[int]:
@@ -324,7 +324,7 @@ def sketches(docs: DataFrame, n: int = WORDS) -> DataFrame:
                 joined, hashes = shingle_hashes(t, n)
                 distinct = np.unique(hashes)
                 out["fp"].append(signed(majority(hashes)))
-                out["node"].append(xxhash.xxh128_hexdigest(joined))
+                out["node"].append(xxhash.xxh128_digest(joined))
                 out["n"].append(len(distinct))
                 out["keys"].append(minima(distinct))
             yield out
@@ -339,14 +339,16 @@ def candidates(nodes: DataFrame, similarity: float = SIMILAR, reach: int = REACH
     up to FEW texts each with each; texts of one fingerprint with the least of them; and
     fingerprints as the grid links them.
     """
-    keyed = nodes.select(F.explode("keys").alias("key"), "node", "fp", "n")
+    every = nodes.select(F.explode("keys").alias("key"), "node", "fp", "n")
+    shared = materialize(every.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "keys")
+    keyed = materialize(every.join(shared, "key"), "shared")  # most keys are one text's own and go here
     me = F.struct("n", "node", "fp")
-    ends = keyed.groupBy("key").agg(F.min(me).alias("low"), F.max(me).alias("high"), F.count("*").alias("m")).filter("m > 1")
+    ends = keyed.groupBy("key").agg(F.min(me).alias("low"), F.max(me).alias("high"))
     met = keyed.join(ends, "key").select("node", "fp", "n", F.explode(F.array("low", "high")).alias("x"))
     ratio = F.least("n", "x.n") >= F.lit(similarity) * F.greatest("n", "x.n")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("x.fp"))) <= reach
     starred = met.filter(ratio & near).select("node", F.col("x.node").alias("other"))
-    some = keyed.join(ends.filter(f"m between 3 and {FEW}").select("key"), "key")
+    some = keyed.filter(f"m between 3 and {FEW}")
     each = some.join(some.select("key", me.alias("x")), "key").filter((F.col("node") < F.col("x.node")) & ratio & near).select("node", F.col("x.node").alias("other"))
     first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("m")), "prints")
     same = nodes.join(first.filter("m > 1"), "fp").select("node", F.col("first").alias("other"))
@@ -363,9 +365,10 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILAR, n:
     def run(batches):
         import pyarrow as pa
 
-        last: dict[str, np.ndarray] = {}
+        forget()
+        last: dict[bytes, np.ndarray] = {}
 
-        def shingles(node: str, text: str) -> np.ndarray:
+        def shingles(node: bytes, text: str) -> np.ndarray:
             if node not in last:
                 if len(last) > 8:
                     last.clear()
@@ -379,9 +382,9 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILAR, n:
                 common = len(np.intersect1d(u, v, assume_unique=True))
                 if common >= similarity * (len(u) + len(v) - common):
                     kept.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in kept], pa.string()) for x in (a, b)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in kept], pa.binary()) for x in (a, b)], ["a", "b"])
 
-    return map_arrow(both, run, "a string, b string")
+    return map_arrow(both, run, "a binary, b binary")
 
 
 MOST_SENT = 500_000  # ids that may be broadcast (about 16 MB); more are joined by shuffle
