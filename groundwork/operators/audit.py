@@ -172,9 +172,10 @@ def claim_blocks(lines: DataFrame, at: DataFrame, margin: int = 2, paragraphs_ea
     spans = spans.withColumn("nth", F.row_number().over(Window.partitionBy("doc", "part").orderBy("run")))
     own = at.join(x.filter(~F.col("edge")).select("doc", "idx", "part", "run"), ["doc", "idx"]).join(spans.select("doc", "part", "run", "nth"), ["doc", "part", "run"])
     near = spans.select("doc", "part", F.col("nth").alias("other"), "lo", "hi")
-    reach = own.join(near, ["doc", "part"]).filter(F.abs(F.col("other") - F.col("nth")) <= paragraphs_each_way)
+    others = F.sequence(F.col("nth") - paragraphs_each_way, F.col("nth") + paragraphs_each_way)
+    reach = own.withColumn("other", F.explode(others)).join(near, ["doc", "part", "other"])
     bounds = reach.groupBy("doc", "idx").agg((F.min("lo") - margin).alias("lo"), (F.max("hi") + margin).alias("hi"))
-    taken = bounds.join(lines.select("doc", F.col("idx").alias("i"), "line"), "doc").filter("i between lo and hi")
+    taken = bounds.select("doc", "idx", F.explode(F.sequence("lo", "hi")).alias("i")).join(lines.select("doc", F.col("idx").alias("i"), "line"), ["doc", "i"])
     block = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda s: s["line"]), "\n")
     return taken.groupBy("doc", "idx").agg(F.regexp_replace(block, r"^\s+|\s+$", "").alias("block"))
 

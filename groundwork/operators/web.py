@@ -113,8 +113,9 @@ def rank_instances(rows: DataFrame, top: int = 5, engine: str = "google cse") ->
     x = rows.select(F.explode(F.from_json("json", f"struct<instances:{INSTANCE}>")["instances"]).alias("url", "i"))
     y = x.select("url", F.col("i.network_type").alias("net"), F.coalesce("i.uptime.uptimeMonth", F.lit(0.0)).alias("uptime"), F.coalesce(F.col("i.timing.search.all.median"), F.lit(999.0)).alias("latency"), F.col("i.html.grade").alias("grade"), F.coalesce(F.element_at("i.engines", F.lit(engine))["error_rate"], F.lit(0.0)).alias("errors"))
     good = y.filter((F.col("net") == "normal") & (F.col("uptime") >= 99) & F.col("grade").isin("A", "A+", "V") & (F.col("errors") < 50))
-    place = F.row_number().over(Window.orderBy(F.desc("uptime"), "latency", "url"))
-    return good.withColumn("place", place.cast("long")).filter(F.col("place") <= top).select("place", "url", "uptime", "latency")
+    best = good.orderBy(F.desc("uptime"), "latency", "url").limit(top)  # each task keeps `top`
+    place = F.row_number().over(Window.orderBy(F.desc("uptime"), "latency", "url"))  # over those few
+    return best.select(place.cast("long").alias("place"), "url", "uptime", "latency")
 
 
 def first_answer(replies: DataFrame, top: int = 10) -> DataFrame:

@@ -77,9 +77,9 @@ def settings(phases: DataFrame, defaults: DataFrame) -> DataFrame:
     """phases (phase, key, value) over defaults (key, value): every key of every phase, the phase's value first."""
     names = phases.select("phase").distinct()
     keys = phases.select("key").union(defaults.select("key")).distinct()
-    every = names.crossJoin(F.broadcast(keys))
+    every = names.crossJoin(keys)
     own, base = phases.groupBy("phase", "key").agg(F.max("value").alias("own")), defaults.select("key", F.col("value").alias("base"))
-    return every.join(own, ["phase", "key"], "left").join(F.broadcast(base), "key", "left").select("phase", "key", F.coalesce("own", "base").alias("value"))
+    return every.join(own, ["phase", "key"], "left").join(base, "key", "left").select("phase", "key", F.coalesce("own", "base").alias("value"))
 
 
 def tasks(phases: DataFrame, rounds: int = 2) -> DataFrame:

@@ -41,7 +41,7 @@ def ground_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = quotes.count() * sources.count()  # both from file footers
     found = audit.grounded_pairs(quotes, sources, sized).groupBy("quote_id").agg(F.count("*").alias("n_sources"), F.min("source_id").alias("first_source"))
     n = F.coalesce("n_sources", F.lit(0))
-    return quotes.join(F.broadcast(found), "quote_id", "left").select(
+    return quotes.join(found, "quote_id", "left").select(
         F.col("quote_id").alias("item_id"), F.when(n > 0, "validated").otherwise("evidence").alias("tag"), n.alias("n_sources"), "first_source", t.quote_hash(F.col("quote")).alias("quote_hash")
     )
 
@@ -75,9 +75,9 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = audit.anchors(review(spark, sf_dir)).withColumn("h", t.quote_hash(F.col("quote")))
     sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
     quotes = a.select(F.col("h").alias("quote_id"), "quote").dropDuplicates(["quote_id"])
-    hit = audit.grounded_pairs(quotes, sources, 0).select(F.col("quote_id").alias("h")).distinct().withColumn("hit", F.lit(True))
+    hit = audit.grounded_pairs(quotes, sources, quotes.count() * sources.count()).select(F.col("quote_id").alias("h")).distinct().withColumn("hit", F.lit(True))
     base = table(spark, sf_dir, "benchmark").filter("item_id % 2 = 0").select((F.col("item_id") % 4).alias("doc"), t.quote_hash(F.col("text")).alias("h")).distinct().withColumn("base", F.lit(True))
-    flags = a.join(F.broadcast(hit), "h", "left").join(F.broadcast(base), ["doc", "h"], "left")
+    flags = a.join(hit, "h", "left").join(base, ["doc", "h"], "left")
     return flags.select(
         "doc", "idx", "ord", "hdr", "tag", "quote", "h", "raw", F.coalesce("hit", F.lit(False)).alias("grounded"), audit.soft(F.col("quote"), F.col("uncertain")).alias("is_soft"),
         F.coalesce("base", F.lit(False)).alias("in_baseline"), (F.col("doc") % 2 == 0).alias("has_baseline"), F.when(F.col("doc") < 2, "agreed").when(F.col("doc") == 2, "deadlock").alias("state"),
@@ -116,7 +116,7 @@ def counters(j: DataFrame) -> DataFrame:
 def audit_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of a document's audit, the anchor floor against its baseline and the exit code."""
     base = table(spark, sf_dir, "benchmark").filter("item_id % 2 = 0").groupBy((F.col("item_id") % 4).alias("doc")).agg(F.count_distinct(t.quote_hash(F.col("text"))).alias("baseline"))
-    x = counters(judged(spark, sf_dir)).join(F.broadcast(base), "doc", "left").withColumn("baseline", F.coalesce("baseline", F.lit(0)))
+    x = counters(judged(spark, sf_dir)).join(base, "doc", "left").withColumn("baseline", F.coalesce("baseline", F.lit(0)))
     floor = (F.col("baseline") > 0) & (F.col("total") < F.col("baseline"))
     return x.withColumn("floor_violation", floor).withColumn("exit_code", audit.exit_code(F.col("tripped"), F.col("floor_violation"), F.col("doc") == 3))
 

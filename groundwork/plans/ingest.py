@@ -216,6 +216,24 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_rows(f.select(F.concat(F.expr(REPO), F.lit("/"), "rel").alias("source_file"), kind.alias("kind"), paths.language(F.col("rel")).alias("language"), "text"))
 
 
+CODED = """concat(chr(10), '  lead ', doc_id, chr(10), 'func f', doc_id, '() {', chr(10), '  a', doc_id, '()', chr(10), chr(10), '  b()', chr(10), '}', chr(10), '# note', chr(10), chr(10), text, CASE doc_id % 3 WHEN 0 THEN chr(10) ELSE '' END)"""
+
+
+def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of all documents' texts, each after a function with a blank line in it."""
+    return chunking.code_blocks(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.expr(CODED.replace("chr(", "char(")).alias("text")))
+
+
+CODE_BLOCKS = rf"""WITH x AS (SELECT doc_id, string_split_regex({CODED}, '\r\n|\n|\r') AS ls FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, CASE WHEN len(ls) > 1 AND ls[-1] = '' THEN ls[:-2] ELSE ls END AS ls FROM x),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM k),
+s AS (SELECT *, regexp_matches(line, '^[^\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}}})\]]') AS starts FROM l),
+g AS (SELECT *, greatest(sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY i), 1) AS g FROM s),
+b AS (SELECT doc_id, g, min(i) AS first_line, max(i) AS last_line, sum(length(line)) + count(*) - 1 AS n_chars, max(CASE WHEN starts THEN line END) AS head FROM g GROUP BY ALL),
+m AS (SELECT *, regexp_extract(head, '(?:(?:function|func|fn|class|def|struct|interface|sub)\s+([A-Za-z_]\w*)|^([A-Za-z_.]\w*)\s*(?:<-|=)\s*function|\b([A-Za-z_]\w*)\s*\()', ['a', 'b', 'c']) AS n FROM b)
+SELECT doc_id, first_line, last_line, CASE WHEN n.a <> '' THEN n.a WHEN n.b <> '' THEN n.b ELSE coalesce(n.c, '') END AS symbol, n_chars::BIGINT AS n_chars FROM m"""
+
+
 ENV = """CASE doc_id % 7 WHEN 0 THEN concat('export K', doc_id % 40, '="v ', doc_id, ' # kept"') WHEN 1 THEN concat('K', doc_id % 40, '=plain', doc_id, ' # note') WHEN 2 THEN '# comment' WHEN 3 THEN ''
  WHEN 4 THEN concat(' K', doc_id % 40, ' = ''single ', doc_id, '''') WHEN 5 THEN 'no assignment' ELSE concat('K', doc_id % 40, '=a=b#c') END"""
 
@@ -240,5 +258,5 @@ def metadata_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 METADATA_HEADERS = """WITH b AS (SELECT doc_id, concat_ws(chr(10), CASE WHEN doc_id % 2 = 0 THEN concat('- **Title**: T', doc_id) END, CASE WHEN doc_id % 3 = 0 THEN '- **Author(s)**: A, B' END, CASE WHEN doc_id % 7 = 0 AND coalesce(lang, '') <> '' THEN concat('- **Subject**: ', lang) END) AS b FROM documents)
 SELECT doc_id, CASE WHEN b = '' THEN '' ELSE concat('# Document Metadata', chr(10), chr(10), b, chr(10), chr(10), '---', chr(10), chr(10)) END AS header FROM b"""
 
-QUERIES = {f.__name__: f for f in (classify_paths, test_paths, walk_repos, top_level, incremental_files, repo_listing, ignore_rules, split_rules, glob_expansion, extractor_routing, cer_pairs, best_pages, joined_pages, chunk_windows, chunk_pack_lines, chunk_documents, env_entries, metadata_headers)}
+QUERIES = {f.__name__: f for f in (classify_paths, test_paths, walk_repos, top_level, incremental_files, repo_listing, ignore_rules, split_rules, glob_expansion, extractor_routing, cer_pairs, best_pages, joined_pages, chunk_windows, chunk_pack_lines, chunk_documents, code_blocks, env_entries, metadata_headers)}
 ORACLES = {k: globals()[k.upper()] for k in QUERIES if k.upper() in globals()}

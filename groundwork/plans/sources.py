@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as t
 from groundwork.operators import web
 from groundwork.plans.common import collapse, table
+from groundwork.session import shared_dir
 from groundwork.sources import catalog
 
 _RESOLVE = r"""CASE WHEN regexp_matches(c, '^[A-Za-z]+://') THEN c WHEN starts_with(c, '/') THEN concat(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1), c) WHEN c = '' THEN regexp_replace(url, '#.*$', '')
@@ -100,8 +103,8 @@ INSTANCE = """concat('"https://i', page_id, '.org": {"network_type": "', CASE pa
 
 
 def instance_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "pages").select(F.struct("page_id", F.expr(INSTANCE).alias("j")).alias("s"))
-    j = x.agg(F.concat(F.lit('{"instances": {'), F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["j"]), ","), F.lit("}}")).alias("json"))
+    """A listing a page; each holds one server."""
+    j = table(spark, sf_dir, "pages").select(F.concat(F.lit('{"instances": {'), F.expr(INSTANCE), F.lit("}}")).alias("json"))
     return web.rank_instances(j)
 
 
@@ -181,6 +184,60 @@ def delete_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 DELETE_BY_FILE = f"WITH {_CHUNKS} SELECT table_name, count(*) AS chunks FROM chunks WHERE NOT (starts_with(table_name, 'src1') AND (source_file = 'f7_x.md' OR ends_with(source_file, '/f7_x.md'))) GROUP BY 1"
 
 
+def _stored(spark: SparkSession, rows: DataFrame) -> catalog.Store:
+    """A new store in the shared folder that holds these rows."""
+    store = catalog.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.append(rows)
+    return store
+
+
+def _held(store: catalog.Store) -> DataFrame:
+    return store.read().groupBy("table_name").agg(F.count("*").alias("chunks"), F.count_distinct("source_file").alias("n_files"))
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(spark, sf_dir).withColumn("language", F.lit("en"))
+
+
+def store_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store holds after a part of all chunks, then all of them: the second append adds only files that a table lacks."""
+    rows = _rows(spark, sf_dir)
+    store = _stored(spark, rows.filter("seq % 5 < 2"))
+    store.append(rows)
+    return _held(store)
+
+
+STORE_APPEND = f"""WITH {_CHUNKS}, f AS (SELECT DISTINCT table_name, source_file FROM chunks WHERE seq % 5 < 2)
+SELECT table_name, count(*) AS chunks, count(DISTINCT source_file) AS n_files FROM chunks WHERE seq % 5 < 2 OR (table_name, source_file) NOT IN (SELECT (table_name, source_file) FROM f) GROUP BY 1"""
+
+
+def store_remove_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store holds once f7_x.md is removed from collection src1."""
+    store = _stored(spark, _rows(spark, sf_dir))
+    store.remove_file("f7_x.md", "src1")
+    return _held(store)
+
+
+STORE_REMOVE_FILE = f"""WITH {_CHUNKS} SELECT table_name, count(*) AS chunks, count(DISTINCT source_file) AS n_files FROM chunks
+WHERE NOT (starts_with(table_name, 'src1') AND (source_file = 'f7_x.md' OR ends_with(source_file, '/f7_x.md'))) GROUP BY 1"""
+
+
+def store_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store after its first table was dropped, the last one replaced by a part of its rows, and all compacted to a file each."""
+    rows = _rows(spark, sf_dir)
+    store = _stored(spark, rows)
+    names = store.tables()
+    store.overwrite(rows.filter((F.col("table_name") == names[-1]) & (F.col("seq") % 3 == 0)))
+    store.drop(names[0])
+    store.compact()
+    x = store.read().withColumn("part", F.input_file_name())
+    return x.groupBy("table_name").agg(F.count("*").alias("chunks"), F.count_distinct("source_file").alias("n_files"), F.count_distinct("part").alias("parts"))
+
+
+STORE_MAINTENANCE = f"""WITH {_CHUNKS}, n AS (SELECT min(table_name) AS a, max(table_name) AS z FROM chunks)
+SELECT table_name, count(*) AS chunks, count(DISTINCT source_file) AS n_files, 1::BIGINT AS parts FROM chunks, n WHERE table_name <> a AND (table_name <> z OR seq % 3 = 0) GROUP BY 1"""
+
+
 def chunk_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: chunks by table and type, with subtotals."""
     x = chunks(spark, sf_dir).rollup("table_name", "source_type").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
@@ -235,5 +292,5 @@ def fresh_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FRESH_CACHE = "SELECT event_id, epoch((SELECT max(ts) FROM events))::BIGINT - floor(epoch(ts))::BIGINT < 86400 AS fresh FROM events"
 
-QUERIES = {f.__name__: f for f in (page_links, ordered_links, url_stems, main_texts, fetch_counts, manifest_links, sitemap_pages, instance_ranking, metasearch, research_reports, url_lists, robots, list_files, full_document, delete_by_file, chunk_rollup, projects, cleared_sessions, endpoints, fresh_cache)}
+QUERIES = {f.__name__: f for f in (page_links, ordered_links, url_stems, main_texts, fetch_counts, manifest_links, sitemap_pages, instance_ranking, metasearch, research_reports, url_lists, robots, list_files, full_document, delete_by_file, store_append, store_remove_file, store_maintenance, chunk_rollup, projects, cleared_sessions, endpoints, fresh_cache)}
 ORACLES = {k: globals()[k.upper()] for k in QUERIES if k.upper() in globals()}

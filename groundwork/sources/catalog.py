@@ -58,9 +58,9 @@ class Store:
         self._write(rows.select([c for c in rows.columns if c != "table_name"] + ["table_name"]), "append", files_per_table)
 
     def overwrite(self, rows: DataFrame) -> None:
-        """Replace the tables that rows belong to."""
-        self.guard(rows) if not self.exists() else None
-        self._write(rows, "overwrite")
+        """Replace the tables that rows belong to; rows are refused as in append()."""
+        self.guard(rows)
+        self._write(rows.select([c for c in rows.columns if c != "table_name"] + ["table_name"]), "overwrite")
 
     def _write(self, rows: DataFrame, mode: str, files_per_table: int = 0) -> None:
         out = rows.repartition(files_per_table, "table_name") if files_per_table else rows

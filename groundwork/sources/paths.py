@@ -122,7 +122,7 @@ def expand(patterns: DataFrame, files: DataFrame) -> DataFrame:
     rx = F.concat(F.lit("^"), F.replace(F.replace(literal, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]")), F.lit("$"))
     rx = F.regexp_replace(rx, r"\[!", "[^")
     globs = patterns.filter(magic).withColumn("rx", rx)
-    found = files.select("path").join(F.broadcast(globs), F.expr("path rlike rx")).select("ord", "path")
+    found = files.select("path").join(globs, F.expr("path rlike rx")).select("ord", "path")
     both = found.unionByName(patterns.filter(~magic).select("ord", F.col("pattern").alias("path")))
     first = both.groupBy("path").agg(F.min("ord").alias("ord"))
     return first.select((F.row_number().over(Window.orderBy("ord", "path")) - 1).cast("long").alias("pos"), "path")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as t
@@ -116,10 +118,46 @@ def test_code_chunks():
     source = "import os\n\ndef f(a):\n    return a\n\nclass C:\n    def g(self):\n        return '" + "x" * 150 + "'\n\n    def h(self):\n        return 2\n"
     found = chunking.code(source, "python", 120)
     assert any(s == "f" or "def f" in c for c, _, _, s in found) and all(b >= a >= 1 for _, a, b, _ in found)
-    assert chunking.code(source, "cobol") == [] and chunking.code("def broken(", "python") == []
+    assert chunking.code(source, "cobol") == [] and [x[0] for x in chunking.code("def broken(", "python")] == ["def broken("]
     assert [x[3] for x in chunking.code("func a() {\n  1\n}\nfunc b() {\n  2\n}\n", "go", 16)] == ["a", "b"]
 
 
+PIECES = ["def f(a):", "    return a", "class C:", "    x = 1", "    def g(self):", "        return 2", "", "# note", "import os", "a = 1; b = 2", "broken(", "func h() {", "  y()", "}", "@d", "    # inside", "\x0c", "s = (1,", "  2)", "z = 'a\u2028b'", "if x: pass"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=25), st.sampled_from(["python", "go", "r"]), st.sampled_from(["\n", "\r\n", "\r"]), st.sampled_from([1, 15, 60, 2000]))
+def test_code_chunks_lose_no_line(lines, language, mark, most):
+    """Each line that is not blank lies in a chunk that says so, whatever the syntax; nothing is made up."""
+    source = mark.join(lines)
+    found = chunking.code(source, language, most)
+    joined = "\n".join(t for t, *_ in found)
+    for i, line in enumerate(lines, 1):
+        if line.strip():
+            assert any(a <= i <= b for _, a, b, _ in found)
+            assert line in joined or len(line) > most
+    if most == 2000:
+        assert [x for x in joined.split("\n") if x.strip()] == [x for x in lines if x.strip()]
+    for (_, _, b, _), (_, a, _, _) in zip(found, found[1:]):
+        assert a >= b or most < 2000
+
+
+def test_code_of_deep_syntax_is_still_chunked():
+    for source in ("(" * 5000 + ")" * 5000, "x = " + "-" * 100_000 + "1", "def f():\n  a\n\n  b\n# end"):
+        found = chunking.code(source, "python")
+        assert found and sum(len(t) for t, *_ in found) >= len(source.strip()) - source.count("\n")
+
+
+def test_long_fences_lose_nothing():
+    for head, foot in (("```py\n", "```"), ("~~~\n", "~~~"), ("```\n", "```"), ("``` title\n", "end```")):
+        body = "".join(f"line {i} {'x' * (i % 90)}\n" for i in range(60))
+        parts = chunking.fenced(head + body + foot, 300)
+        assert all(p.startswith(head[:3]) and p.endswith(foot[-3:] + "\n") for p in parts)
+        inner = "".join(p.split("\n", 1)[1][: -len("```\n")] for p in parts)
+        assert all(f"line {i} " in inner for i in range(60)) and ("title" in inner) == ("title" in head) and ("end" in inner) == ("end" in foot)
+    assert "".join(chunking.fenced("```\n" + "never closed\n" * 100, 50)).count("never closed") == 100
+
+
 def rows(spark, files, table="c_docs", width=3):
     return spark.createDataFrame([(f"text {f}", [0.1] * width, f, "doc", "", "", 0, 0, table) for f in files], catalog.SCHEMA)
 
@@ -137,6 +175,8 @@ def test_store(spark, tmp_path):
         s.append(spark.createDataFrame([("t", "f", "c_docs")], "text string, source_file string, table_name string"))
     assert s.remove_file("a.md", "c_") == 1 and s.read().count() == 4  # the sign _ in names is plain
     assert s.remove_file("x/a.md") == 1 and s.tables() == ["c_docs"]
+    with pytest.raises(ValueError):
+        s.overwrite(rows(spark, ["new.md"], width=4))
     s.compact()
     assert sorted(r.files for r in s.files().collect()) == ["a_md,r/b.md,r/c.md"]
     with pytest.raises(KeyError):
