@@ -1,11 +1,12 @@
 """Licence scans by a positional rare-token index, in DataFrame expressions alone.
 
-Each template (a notice or a phrase, with mandatory key phrases) is indexed under its words of
-highest inverse document frequency among the templates, with their places and weights. A text's
-indexed words are looked up; each posting proposes an alignment, the place where the template would
-begin. Alignments sorted by template and place are joined with their neighbours (a template has at
-most three postings), those of enough weight are kept, and the mandatory phrases are verified word
-by word at their places. Cost is linear in the text but for that sort; nothing is shuffled. Texts
+Each template (a whole notice or a phrase, with mandatory key phrases) is indexed under its RARE
+words of highest inverse document frequency among the templates, with their places and weights. A
+text's indexed words are looked up; each posting proposes an alignment, the place where the template
+would begin. Alignments sorted by template and place are joined with their neighbours (a template has
+at most RARE postings), those of enough weight are kept, and the mandatory phrases are verified word
+by word at their places. The score is the largest share of a found template's weight whose words
+stand at their places. Cost is linear in the text but for that sort; nothing is shuffled. Texts
 that hold no template's anchor word cannot verify a phrase and are only counted.
 
 Defined results: a null or empty text has no words and no labels (empty strings), null places and
@@ -23,6 +24,59 @@ from pyspark.sql import functions as F
 
 from groundwork.llm.common import LOWER, UPPER
 
+
+def worded(text: str) -> str:
+    """The words of a notice as scan() takes them, joined by blanks."""
+    return " ".join(re.findall(WORD, text.lower()))
+
+
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+# The wording of public notices.
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
+substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT
+NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS
+ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR
+BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE."""
+BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission."""
+BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING,
+BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
+AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to
+in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either
+express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
+this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and
+by any means."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not
+be misrepresented; you must not claim that you wrote the original software."""
+
 #: label, words of the template, mandatory phrases in it. The first three are the base phrases.
 TEMPLATES = [
     ("mit", "mit license", ["mit license"]),
@@ -38,10 +92,19 @@ TEMPLATES = [
     ("all-rights-reserved", "all rights reserved", ["all rights reserved"]),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission is hereby granted", "free of charge"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use", "source and binary forms"]),
+    ("mit-notice", worded(MIT), ["permission is hereby granted free of charge", "the software is provided as is"]),
+    ("isc", worded(ISC), ["with or without fee is hereby granted", "the author disclaims all warranties"]),
+    ("bsd-2-clause", worded(f"{BSD_HEAD} {BSD_TAIL}"), ["redistribution and use in source and binary forms", "provided with the distribution this software is provided by"]),
+    ("bsd-3-clause", worded(f"{BSD_HEAD} {BSD_NAMES} {BSD_TAIL}"), ["redistribution and use in source and binary forms", "to endorse or promote products derived from this software"]),
+    ("apache-2.0-notice", worded(APACHE), ["apache license version 2 0", "unless required by applicable law"]),
+    ("gpl-3.0-or-later", worded(GPL), ["gnu general public license as published by the free software foundation", "either version 3 of the license"]),
+    ("gpl-2.0-or-later", worded(GPL.replace("version 3", "version 2")), ["gnu general public license as published by the free software foundation", "either version 2 of the license"]),
+    ("mpl-2.0-notice", worded(MPL), ["subject to the terms of the mozilla public license", "if a copy of the mpl was not distributed"]),
+    ("unlicense", worded(UNLICENSE), ["free and unencumbered software released into the public domain"]),
+    ("zlib", worded(ZLIB), ["in no event will the authors be held liable", "must not be misrepresented"]),
 ]
 BASE = 3
-RARE, ENOUGH = 3, 0.6  # postings a template; share of their weight that proposes an alignment
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+RARE, ENOUGH = 5, 0.55  # postings a template; share of their weight that proposes an alignment
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -54,7 +117,7 @@ def index(templates: list = TEMPLATES) -> tuple[list[dict[int, float]], dict[str
     for t, x in enumerate(words):
         total = sum(idf[w] for w in x)
         weights.append({i: idf[w] / total for i, w in enumerate(x)})
-        best = sorted(range(len(x)), key=lambda i: (-idf[x[i]], i))[: 1 if len(x) <= RARE else RARE]
+        best = sorted(range(len(x)), key=lambda i: (-idf[x[i]], i))[:RARE]
         share = sum(idf[x[i]] for i in best)
         for i in best:
             postings.setdefault(x[i], []).append((t, i, idf[x[i]] / share))
@@ -91,7 +154,8 @@ def scan(docs: DataFrame, templates: list = TEMPLATES, base: int = BASE) -> Data
     hits = f"""array_sort(flatten(transform(w, (x, i) -> transform(
         filter(coalesce({looked_up}[x], array()), p -> i >= p.p), p -> named_struct('t', p.t, 'at', i - p.p, 'w', p.w)))))"""
     same = lambda k: f"if(get(h, i + {k}).t = x.t and get(h, i + {k}).at = x.at, get(h, i + {k}).w, 0D)"
-    summed = f"transform(h, (x, i) -> if(get(h, i - 1).t = x.t and get(h, i - 1).at = x.at, null, named_struct('t', x.t, 'at', x.at, 'w', x.w + {same(1)} + {same(2)})))"
+    others = " + ".join(map(same, range(1, RARE)))
+    summed = f"transform(h, (x, i) -> if(get(h, i - 1).t = x.t and get(h, i - 1).at = x.at, null, named_struct('t', x.t, 'at', x.at, 'w', x.w + {others})))"
     verified = f"""filter({summed}, x -> x.w >= {ENOUGH}D and
         forall({phrases}[int(x.t)], k -> slice(w, int(x.at) + k.at + 1, size(k.words)) = k.words))"""
     scored = f"""array_max(transform(v, x -> aggregate({whole}[int(x.t)], named_struct('i', 0, 's', 0D),

@@ -8,15 +8,18 @@ LOWERED = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'
 
 
 def licence_sql(templates: list = licenses.TEMPLATES, base: int = licenses.BASE) -> str:
-    weights, postings = licenses.index(templates)
-    words = [t.split() for _, t, _ in templates]
-    posted = ", ".join(f"({t}, {p}, '{w}', {x!r}::DOUBLE)" for w, found in postings.items() for t, p, x in found)
-    whole = ", ".join(f"({t}, {i}, '{w}', {weights[t][i]!r}::DOUBLE)" for t, x in enumerate(words) for i, w in enumerate(x))
-    needed = ", ".join(f"({t}, {licenses.place(words[t], p.split()) + j}, '{w}')" for t, (_, _, ps) in enumerate(templates) for p in ps for j, w in enumerate(p.split()))
-    labels = ", ".join(f"({t}, '{x}')" for t, (x, _, _) in enumerate(templates))
+    """The index is worked out in SQL from the templates' wording, apart from licenses.index."""
+    texts = ", ".join(f"({t}, '{x}', '{body}')" for t, (x, body, _) in enumerate(templates))
+    phrases = ", ".join(f"({t}, '{p}')" for t, (_, _, ps) in enumerate(templates) for p in ps)
     return f"""WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{licenses.WORD}') AS w FROM documents),
 u AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
-post(t, p, word, x) AS (VALUES {posted}), whole(t, p, word, x) AS (VALUES {whole}), need(t, p, word, needs) AS (SELECT *, count(*) OVER (PARTITION BY t) FROM (VALUES {needed}) v(t, p, word)), name(t, label) AS (VALUES {labels}),
+name AS (SELECT t, label, string_split(body, ' ') AS tw FROM (VALUES {texts}) v(t, label, body)),
+placed AS (SELECT t, unnest(tw) AS word, unnest(range(len(tw))) AS p FROM name),
+often AS (SELECT word, ln((1 + {len(templates)}) / (1 + count(DISTINCT t))::DOUBLE) + 0.01 AS idf FROM placed GROUP BY word),
+whole AS (SELECT t, p, word, idf, idf / sum(idf) OVER (PARTITION BY t) AS x FROM placed JOIN often USING (word)),
+post AS (SELECT t, p, word, idf / sum(idf) OVER (PARTITION BY t) AS x FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY idf DESC, p) AS nth FROM whole) WHERE nth <= {licenses.RARE}),
+phrase AS (SELECT t, pw, [i FOR i IN range(len(tw)) IF tw[i + 1:i + len(pw)] = pw][1] AS start FROM name JOIN (SELECT t, string_split(words, ' ') AS pw FROM (VALUES {phrases}) v(t, words)) USING (t)),
+need AS (SELECT t, p, word, count(*) OVER (PARTITION BY t) AS needs FROM (SELECT t, unnest(pw) AS word, unnest(range(start, start + len(pw))) AS p FROM phrase)),
 hit AS (SELECT doc_id, t, i - p AS pos FROM u JOIN post USING (word) WHERE i >= p GROUP BY ALL HAVING sum(x) >= {licenses.ENOUGH}),
 ok AS (SELECT doc_id, t, pos FROM hit JOIN need USING (t) JOIN u USING (doc_id) WHERE u.i = pos + p AND u.word = need.word GROUP BY ALL HAVING count(*) = any_value(needs)),
 s AS (SELECT doc_id, t, pos, least(sum(x), 1.0::DOUBLE) AS score FROM ok JOIN whole USING (t) JOIN u USING (doc_id) WHERE u.i = pos + p AND u.word = whole.word GROUP BY ALL),
