@@ -1,18 +1,24 @@
 """Language-model scoring: a log-bilinear model trained with noise-contrastive estimation.
 
 Counts of all training tokens are gathered in full (pre-aggregated in each task, then shuffled).
-The CLASSES - 2 most frequent words have classes of their own, beside one for all other words and
-one for the end. The model predicts a class from the two before it: each context word's vector is
-scaled by a vector of its place, the sum is multiplied with the vectors of all classes, and a
-softmax over these batched products gives normalised probabilities. Training runs over all
-training texts: every task starts from the same parameters and makes AdaGrad steps on the NCE loss
-with shared noise words; the tasks' parameters are averaged by weight, in a fixed number of groups.
-A word without a class has its class's probability times (c + 1) / (N' + V' + 1), c its count and
-N', V' those of all such training words, so that the model is a distribution over all words.
+The CLASSES - 2 most frequent words have classes of their own. The words after them share classes
+by frequency: each band holds the ranks up to twice those before it, so there are more bands the
+more words a corpus has, up to the SENT most frequent words. One class holds all words beyond, one
+the end. The model predicts a class from the two before it: each context word's vector is scaled by
+a vector of its place, the sum is multiplied with the vectors of all classes, and a softmax over
+these batched products gives normalised probabilities. Training runs over all training texts, in
+ROUNDS parts dealt by hash: in each round every task starts from the same parameters and makes
+AdaGrad steps on the NCE loss with shared noise words over its texts of that part; the tasks'
+parameters and squared gradients are averaged by weight, in a fixed number of groups, and start the
+next round. A word of a band has its class's probability times (c + 1) over the band's sum of that,
+c its count; a word beyond has (c + 1) / (N' + V' + 1), N' and V' the tokens and words beyond, so that
+the model is a distribution over all words.
 
 Scoring reads each text once. Words among the SENT most frequent (a bounded table) are looked up in
 place; the others go, counted by text, to a join with the full counts.
 
+Words of equal count are ranked by their bytes.
+
 Defined results: a null or empty text is the end token alone; with no training text every base
 probability is 1 / (0 + 1 * (0 + 1)) = 1 and so is the model's; a null doc_id counts as the empty
 string where rows are set aside; repeated rows are scored each; extra columns are ignored; an
@@ -34,8 +40,8 @@ from groundwork.llm.common import map_arrow, materialize, per_text, slices
 from groundwork.llm.simhash import LOWERED
 
 CLASSES, WIDTH, SENT, SENT_CHARS = 1024, 24, 50_000, 64
-NOISE, BATCH, RATE, GROUPS, ROUNDS = 64, 4096, 0.15, 16, 1
-REST, END = 0, 1  # classes of all other words, and of the end; contexts before the first word are END
+NOISE, BATCH, RATE, GROUPS, ROUNDS = 64, 4096, 0.15, 16, 4
+REST, END = 0, 1  # classes of words that are not sent to tasks, and of the end; contexts before the first word are END
 FLUSH = 200_000
 
 
@@ -78,9 +84,8 @@ def gathered(rows: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
 class Trainer:
     """AdaGrad on the NCE loss over batches of (before, before that, word)."""
 
-    def __init__(self, p: Parameters, unigram: np.ndarray, seed: int):
-        self.p = Parameters(*(x.astype(np.float32) for x in p))
-        self.square = [np.full_like(x, 0.05) for x in self.p]
+    def __init__(self, p: Parameters, square: Parameters, unigram: np.ndarray, seed: int):
+        self.p, self.square = p, square
         self.draw, self.n = np.random.default_rng(seed), 0
         self.cumulated = np.cumsum(unigram) / unigram.sum()
         self.offset = np.log(NOISE * unigram / unigram.sum()).astype(np.float32)
@@ -162,20 +167,42 @@ def class_ids(known: dict[str, int], words: list[str]) -> tuple[np.ndarray, np.n
     return code >> COUNT, code & ((1 << COUNT) - 1)
 
 
+class Vocabulary(NamedTuple):
+    known: dict[str, int]  # word -> class and count in one number, of words that are sent to tasks
+    sizes: np.ndarray  # training tokens of each class, one more for the rest and the end
+    shares: np.ndarray  # of each class, log10 of what a word's count + 1 is divided by; 0 where the word is the class
+
+
+def vocabulary(frequent: list[tuple[str, int]], words: int, distinct: int, ends: int, classes: int = CLASSES) -> Vocabulary:
+    """frequent: (token, count) of the words sent, most frequent first; words, distinct: training tokens without ends, and different ones."""
+    counts = np.array([c for _, c in frequent], np.float64)
+    own = classes - 2
+    at = np.arange(len(frequent))
+    cls = np.where(at < own, at + 2, own + 2 + np.floor(np.log2((at + 1) / (own + 1))).clip(0).astype(np.int64))
+    k = int(cls.max(initial=END)) + 1
+    sums, plus = np.bincount(cls, counts, k), np.bincount(cls, counts + 1, k)
+    beyond = words - counts.sum()
+    sums[REST], sums[END] = beyond + 1, ends + 1
+    plus[REST] = beyond + distinct - len(frequent) + 1
+    plus[END : own + 2] = 1
+    return Vocabulary({w: int(i) << COUNT | c for (w, c), i in zip(frequent, cls)}, sums, np.log10(plus))
+
+
 def train(docs: DataFrame, known: dict[str, int], unigram: np.ndarray, rounds: int = ROUNDS) -> Parameters:
     """Parameter averaging over all tasks; docs (doc_id, text) are training texts."""
     p, k = start(unigram), len(unigram)
+    raw = p.pack() + Parameters(*(np.full(x.shape, 0.05) for x in p)).pack()
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
 
     for turn in range(rounds):
-        raw = p.pack()
 
         def learn(batches, raw=raw, turn=turn):
             import pyarrow as pa
             from pyspark import TaskContext
 
             task = TaskContext.get().partitionId()
-            trainer, held, n = Trainer(Parameters.unpack(raw, k), unigram, 1000 * turn + task), [], 0
-            order = np.random.default_rng(task)
+            trainer = Trainer(*(Parameters.unpack(x, k) for x in (raw[: len(raw) // 2], raw[len(raw) // 2 :])), unigram, seed=task * rounds + turn)
+            order, held, n = np.random.default_rng(task * rounds + turn), [], 0
 
             def flush():
                 a, b, word = (np.concatenate(x) for x in zip(*held))
@@ -194,7 +221,7 @@ def train(docs: DataFrame, known: dict[str, int], unigram: np.ndarray, rounds: i
                     held, n = [], 0
             if held:
                 flush()
-            yield pa.RecordBatch.from_arrays([pa.array([task % GROUPS]), pa.array([trainer.p.pack()], pa.binary()), pa.array([float(trainer.n)])], ["grp", "p", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([task % GROUPS]), pa.array([trainer.p.pack() + trainer.square.pack()], pa.binary()), pa.array([float(trainer.n)])], ["grp", "p", "n"])
 
         def average(key, table):
             import pyarrow as pa
@@ -208,12 +235,12 @@ def train(docs: DataFrame, known: dict[str, int], unigram: np.ndarray, rounds: i
             return pa.table({"grp": pa.array([key[0].as_py()]), "p": pa.array([mean], pa.binary()), "n": pa.array([weight])})
 
         form = "grp long, p binary, n double"
-        rows = map_arrow(docs, learn, form).groupBy("grp").applyInArrow(average, form).orderBy("grp").collect()  # at most GROUPS rows
+        rows = map_arrow(docs.filter(part == turn), learn, form).groupBy("grp").applyInArrow(average, form).orderBy("grp").collect()  # at most GROUPS rows
         total = sum(r["n"] for r in rows)
         if total:
             mean = sum(np.frombuffer(r["p"], np.float32).astype(np.float64) * (r["n"] / total) for r in rows)
-            p = Parameters.unpack(mean.astype(np.float32).tobytes(), k)
-    return p
+            raw = mean.astype(np.float32).tobytes()
+    return Parameters.unpack(raw[: len(raw) // 2], k)
 
 
 def most_frequent(counts: DataFrame, n: int) -> list:
@@ -239,14 +266,11 @@ def score(docs: DataFrame, by: int = 7, held: int = 2, classes: int = CLASSES, s
     ends = training.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] + ends, total["v"] + (ends > 0)
-    frequent = most_frequent(counts.filter(F.length("token") <= SENT_CHARS), sent)
-    own = frequent[: classes - 2]
-    #: word -> class and count in one number; only words sent here have a count, others are joined
-    known = {r["token"]: (i + 2 if i < len(own) else REST) << COUNT | r["c"] for i, r in enumerate(frequent)}
-    rest_n, rest_v = total["n"] - sum(r["c"] for r in own), total["v"] - len(own)
-    sizes = np.array([rest_n + 1, ends + 1, *(r["c"] for r in own)], np.float64)
+    frequent = [(r["token"], r["c"]) for r in most_frequent(counts.filter(F.length("token") <= SENT_CHARS), sent)]
+    known, sizes, shares = vocabulary(frequent, total["n"], total["v"], ends, classes)
     parameters = train(training, known, sizes / sizes.sum()) if ends else None
-    base_log, rest_log = math.log10(n + v + 1), math.log10(rest_n + rest_v + 1)
+    last_own = classes - 1
+    base_log, rest_log = math.log10(n + v + 1), float(shares[REST])
 
     def run(parts):
         from pyspark import TaskContext
@@ -265,8 +289,8 @@ def score(docs: DataFrame, by: int = 7, held: int = 2, classes: int = CLASSES, s
                 far = Counter(w for w, k in zip(words, c) if not k)
                 here = c[c > 0]
                 near = np.log10(np.append(here, ends) + 1.0).sum() - (len(here) + 1) * base_log
-                rest_here = c[(c > 0) & (cls == REST)]
-                values = (d, task << 40 | row, len(words) + 1, len(here) + (ends > 0), near, x.sum() + (np.log10(rest_here + 1.0) - rest_log).sum(), [{"token": w, "n": k} for w, k in far.items()])
+                shared = cls > last_own
+                values = (d, task << 40 | row, len(words) + 1, len(here) + (ends > 0), near, x.sum() + (np.log10(c[shared] + 1.0) - shares[cls[shared]]).sum(), [{"token": w, "n": k} for w, k in far.items()])
                 for column, value in zip(out.values(), values):
                     column.append(value)
                 row += 1

@@ -39,6 +39,38 @@ def test_licences_verify_mandatory_phrases(spark):
     assert [r.labels for r in licenses.scan(docs).orderBy("doc_id").collect()] == ["apache", "apache,apache-2.0", "", "cc-by-nc-4.0", "mit", "mit"]
 
 
+def aligned(text):
+    """Labels and score by plain loops over every template and place."""
+    bodies = [body.split() for _, body, _ in licenses.TEMPLATES]
+    w = re.findall(licenses.WORD, (text or "").translate(LOWER))
+    labels, best = set(), 0.0
+    for (label, _, phrases), body in zip(licenses.TEMPLATES, bodies):
+        idf = [math.log((1 + len(bodies)) / (1 + sum(x in b for b in bodies))) + 0.01 for x in body]
+        rare = sorted(range(len(body)), key=lambda i: (-idf[i], i))[: licenses.RARE]
+        for at in range(len(w)):
+            same = [at + i < len(w) and w[at + i] == x for i, x in enumerate(body)]
+            enough = sum(idf[i] for i in rare if same[i]) >= licenses.ENOUGH * sum(idf[i] for i in rare)
+            places = [next(i for i in range(len(body)) if body[i : i + len(p.split())] == p.split()) for p in phrases]
+            if enough and all(all(same[i : i + len(p.split())]) for i, p in zip(places, phrases)):
+                labels.add(label)
+                best = max(best, sum(x for x, y in zip(idf, same) if y) / sum(idf))
+    return ",".join(sorted(labels)), best
+
+
+def test_licences_find_whole_notices(spark):
+    changed = licenses.MIT.replace("merge", "weave").replace("sublicense", "lend")
+    bsd = f"{licenses.BSD_HEAD}\n{licenses.BSD_TAIL}"
+    texts = [f"Copyright 2020 someone\n\n{t}\n\nmore words" for t in (licenses.MIT, changed, licenses.ISC, bsd, bsd.replace(licenses.BSD_TAIL, f"{licenses.BSD_NAMES} {licenses.BSD_TAIL}"), licenses.APACHE, licenses.GPL, licenses.MPL, licenses.UNLICENSE, licenses.ZLIB)]
+    texts += [licenses.MIT[:300], licenses.APACHE * 2, licenses.GPL.replace("version 3", "version 2").replace("any later", "no later"), " ".join(reversed(licenses.MIT.split())), "permission charge obtaining sublicense merge", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licenses.scan(docs).orderBy("doc_id").collect()
+    want = [aligned(t) for t in texts]
+    assert [r.labels for r in got] == [x for x, _ in want]
+    assert all(abs(r.score - x) < 1e-6 for r, (_, x) in zip(got, want))
+    own = ["mit-notice", "mit-notice", "isc", "bsd-2-clause", "bsd-3-clause", "apache-2.0-notice", "gpl-3.0-or-later", "mpl-2.0-notice", "unlicense", "zlib"]
+    assert all(x in r.labels.split(",") for x, r in zip(own, got)) and not {"bsd-3-clause"} & set(got[3].labels.split(","))
+
+
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
 
@@ -76,6 +108,87 @@ def test_language_model_is_normalised():
         assert abs((10.0 ** n(np.full(20, a), np.full(20, b), every)).sum() - 1) < 1e-5
 
 
+def test_language_model_scores_equal_plain_loops(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, int(rng.integers(0, 30))) if x < 60)) for i in range(60)] + [(60, None), (61, "never seen words"), (62, "w1 " + "w" * 80)]
+    own, sent = 4, 15
+
+    def fixed(docs, known, unigram):
+        p = lm.start(unigram, seed=3)
+        return lm.Parameters(*(x.astype(np.float32) for x in p._replace(first=p.first * 9, last=p.last * 9)))
+
+    monkeypatch.setattr(lm, "train", fixed)
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), classes=own + 2, sent=sent).collect()}
+    counts, ends = Counter(), 0
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update(words(text))
+            ends += 1
+    ranked = sorted((w for w in counts if len(w) <= lm.SENT_CHARS), key=lambda w: (-counts[w], w))[:sent]
+    cls = {w: i + 2 if i < own else own + 2 + int(math.log2((i + 1) / (own + 1))) for i, w in enumerate(ranked)}
+    assert max(cls.values()) == own + 3  # two bands
+    members = {k: [w for w in counts if cls.get(w, 0) == k] for k in range(own + 4)}
+    size = [sum(counts[w] for w in members[0]) + 1, ends + 1, *(sum(counts[w] for w in members[k]) for k in range(2, own + 4))]
+    first, last, scale, bias = fixed(None, None, np.array(size) / sum(size))
+
+    def share(w, k):
+        if 1 <= k < own + 2:
+            return 1.0
+        return (counts[w] + 1) / (sum(counts[x] + 1 for x in members[k]) + (k == 0))
+
+    def logs(a, b):
+        hidden = first[a] * scale[0] + first[b] * scale[1]
+        scores = [float(hidden @ last[k] + bias[k]) for k in range(len(bias))]
+        total = sum(math.exp(x) for x in scores)
+        return [math.exp(x) / total for x in scores]
+
+    for i, text in rows:
+        a, b, want = 1, 1, 0.0
+        for w in [*words(text), None]:
+            k = 1 if w is None else cls.get(w, 0)
+            want += math.log10(logs(a, b)[k] * (1.0 if w is None else share(w, k)))
+            a, b = k, a
+        assert abs(got[i] - want) < 1e-3 * max(1, abs(want))
+    everything = sum(logs(2, 3)[cls.get(w, 0)] * share(w, cls.get(w, 0)) for w in counts) + logs(2, 3)[1] + logs(2, 3)[0] * share("unseen", 0)
+    assert abs(everything - 1) < 1e-6  # all words, the end, and one place for words not seen
+
+
+def test_noise_contrastive_step_equals_numeric_gradients():
+    rng = np.random.default_rng(2)
+    k, d, n = 7, 3, 5
+    unigram = rng.random(k) + 0.1
+    unigram /= unigram.sum()
+    p = lm.Parameters(rng.normal(0, 1, (k, d)), rng.normal(0, 1, (k, d)), rng.normal(1, 0.3, (2, d)), rng.normal(0, 1, k))
+    a, b, word = (rng.integers(0, k, n) for _ in range(3))
+    noise = np.searchsorted(np.cumsum(unigram), np.random.default_rng(8).random(lm.NOISE)).clip(0, k - 1)
+
+    def objective(q):
+        total = 0.0
+        for x, y, w in zip(a, b, word):
+            hidden = q.first[x] * q.scale[0] + q.first[y] * q.scale[1]
+            told = lambda v: hidden @ q.last[v] + q.bias[v] - math.log(lm.NOISE * unigram[v])
+            total += -math.log1p(math.exp(-told(w))) - sum(math.log1p(math.exp(told(v))) for v in noise)
+        return total / n
+
+    copy = lm.Parameters(*(x.astype(np.float64) for x in p))
+    trainer = lm.Trainer(copy, lm.Parameters(*(np.full(x.shape, 0.05) for x in p)), unigram, seed=8)
+    trainer.step(a, b, word)
+    for name in p._fields:
+        before = getattr(p, name)
+        for at in np.ndindex(before.shape):
+            up, down = (p._replace(**{name: before + e * (np.arange(before.size).reshape(before.shape) == np.ravel_multi_index(at, before.shape))}) for e in (1e-5, -1e-5))
+            g = 100 * (objective(up) - objective(down)) / 2e-5
+            assert abs(getattr(trainer.p, name)[at] - (before[at] + lm.RATE * g / math.sqrt(0.05 + g * g))) < 1e-4
+
+
+def test_training_rounds_start_from_the_average(sample):
+    texts = pick(sample, "doc_id", "text").limit(200).cache()
+    known, sizes, _ = lm.vocabulary([("the", 50), ("of", 20)], 1000, 100, 200, 4)
+    once = lm.train(texts, known, sizes / sizes.sum(), rounds=1)
+    again = lm.train(texts, known, sizes / sizes.sum(), rounds=3)
+    assert all(np.isfinite(x).all() for x in (*once, *again)) and not np.allclose(once.last, again.last)
+
+
 def test_language_model_without_training_texts(spark, empty):
     ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
     docs = spark.createDataFrame([(i, "some words") for i in ids], "doc_id long, text string")
