@@ -45,9 +45,9 @@ REST, END = 0, 1  # classes of words that are not sent to tasks, and of the end;
 FLUSH = 200_000
 
 
-def tokens(text: str | None) -> list[str]:
-    """Words in order, A-Z lower-cased; bytes split at blank and 09-0D alone."""
-    return [w.decode() for w in (text or "").encode().translate(LOWERED).split()]
+def tokens(text: str | None) -> list[bytes]:
+    """Words in order, as UTF-8, A-Z lower-cased; bytes split at blank and 09-0D alone."""
+    return (text or "").encode().translate(LOWERED).split()
 
 
 class Parameters(NamedTuple):
@@ -75,10 +75,13 @@ def start(unigram: np.ndarray, d: int = WIDTH, seed: int = 11) -> Parameters:
 
 
 def gathered(rows: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
-    """Sums of values (n, width) by row number."""
-    width = values.shape[1]
-    at = (rows[:, None] * width + np.arange(width)).ravel()
-    return np.bincount(at, values.ravel(), k * width).reshape(k, width)
+    """Sums of values (n, width) by row number: rows are sorted, runs of equal ones added up."""
+    out = np.zeros((k, values.shape[1]), values.dtype)
+    order = np.argsort(rows.astype(np.uint16) if k <= 1 << 16 else rows, kind="stable")
+    sorted_rows = rows[order]
+    first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
+    out[sorted_rows[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
 
 
 class Trainer:
@@ -100,8 +103,8 @@ class Trainer:
         up = 1 / (1 + np.exp(np.clip(hit, -30, 30)))  # 1 - sigmoid, ascent for data
         down = 1 / (1 + np.exp(np.clip(-false, -30, 30)))  # sigmoid, descent for noise
         back = up[:, None] * last[word] - down @ last[noise]
-        g_first = gathered(np.concatenate([a, b]), np.concatenate([back * scale[0], back * scale[1]]), len(bias))
-        g_last = gathered(np.concatenate([word, noise]), np.concatenate([up[:, None] * hidden, -(down.T @ hidden)]), len(bias))
+        g_first = gathered(a, back, len(bias)) * scale[0] + gathered(b, back, len(bias)) * scale[1]
+        g_last = gathered(word, up[:, None] * hidden, len(bias)) - gathered(noise, down.T @ hidden, len(bias))
         g_bias = np.bincount(word, up, len(bias)) - np.bincount(noise, down.sum(axis=0), len(bias))
         g_scale = np.stack([(back * va).sum(axis=0), (back * vb).sum(axis=0)])
         for x, g, q in zip(self.p, (g_first, g_last, g_scale, g_bias), self.square):
@@ -147,13 +150,17 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
     def run(parts):
         seen: Counter = Counter()
+
+        def rows():
+            return {"token": [w.decode() for w in seen], "c": list(seen.values())}
+
         for _, text in parts:
             for t in text:
                 seen.update(tokens(t))
                 if len(seen) > FLUSH:
-                    yield {"token": list(seen), "c": list(seen.values())}
+                    yield rows()
                     seen.clear()
-        yield {"token": list(seen), "c": list(seen.values())}
+        yield rows()
 
     return per_text(docs, run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -161,14 +168,14 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 COUNT = 44  # bits of a count in a word's code; its class lies above
 
 
-def class_ids(known: dict[str, int], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def class_ids(known: dict[bytes, int], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Classes and counts of words, from their codes; class REST and count 0 where a word was not sent."""
     code = np.fromiter(map(known.get, words, repeat(REST)), np.int64, len(words))
     return code >> COUNT, code & ((1 << COUNT) - 1)
 
 
 class Vocabulary(NamedTuple):
-    known: dict[str, int]  # word -> class and count in one number, of words that are sent to tasks
+    known: dict[bytes, int]  # word -> class and count in one number, of words that are sent to tasks
     sizes: np.ndarray  # training tokens of each class, one more for the rest and the end
     shares: np.ndarray  # of each class, log10 of what a word's count + 1 is divided by; 0 where the word is the class
 
@@ -185,10 +192,10 @@ def vocabulary(frequent: list[tuple[str, int]], words: int, distinct: int, ends:
     sums[REST], sums[END] = beyond + 1, ends + 1
     plus[REST] = beyond + distinct - len(frequent) + 1
     plus[END : own + 2] = 1
-    return Vocabulary({w: int(i) << COUNT | c for (w, c), i in zip(frequent, cls)}, sums, np.log10(plus))
+    return Vocabulary({w.encode(): int(i) << COUNT | c for (w, c), i in zip(frequent, cls)}, sums, np.log10(plus))
 
 
-def train(docs: DataFrame, known: dict[str, int], unigram: np.ndarray, rounds: int = ROUNDS) -> Parameters:
+def train(docs: DataFrame, known: dict[bytes, int], unigram: np.ndarray, rounds: int = ROUNDS) -> Parameters:
     """Parameter averaging over all tasks; docs (doc_id, text) are training texts."""
     p, k = start(unigram), len(unigram)
     raw = p.pack() + Parameters(*(np.full(x.shape, 0.05) for x in p)).pack()
@@ -290,7 +297,7 @@ def score(docs: DataFrame, by: int = 7, held: int = 2, classes: int = CLASSES, s
                 here = c[c > 0]
                 near = np.log10(np.append(here, ends) + 1.0).sum() - (len(here) + 1) * base_log
                 shared = cls > last_own
-                values = (d, task << 40 | row, len(words) + 1, len(here) + (ends > 0), near, x.sum() + (np.log10(c[shared] + 1.0) - shares[cls[shared]]).sum(), [{"token": w, "n": k} for w, k in far.items()])
+                values = (d, task << 40 | row, len(words) + 1, len(here) + (ends > 0), near, x.sum() + (np.log10(c[shared] + 1.0) - shares[cls[shared]]).sum(), [{"token": w.decode(), "n": k} for w, k in far.items()])
                 for column, value in zip(out.values(), values):
                     column.append(value)
                 row += 1
