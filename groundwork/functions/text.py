@@ -154,12 +154,26 @@ def url_stem(url: Column) -> Column:
 
 
 def resolve_url(base: Column, link: Column) -> Column:
-    """An absolute address for a link, its fragment dropped. Dot segments are kept as they are."""
+    """An absolute address for a link, its fragment dropped and the dot segments of its path resolved."""
     clean = F.split_part(F.trim(link), F.lit("#"), F.lit(1))
     site = F.regexp_extract(base, r"^([A-Za-z]+://[^/?#]*)", 1)
-    folder = F.regexp_extract(F.concat(F.regexp_replace(base, "[?#].*$", ""), F.lit("")), r"^([A-Za-z]+://[^/]*(?:/.*/|/)?)", 1)
+    page = F.regexp_replace(base, "[?#].*$", "")
+    folder = F.regexp_extract(page, r"^([A-Za-z]+://[^/]*(?:/.*/|/)?)", 1)
     folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
-    return F.when(clean.rlike("^[A-Za-z]+://"), clean).when(clean.startswith("/"), F.concat(site, clean)).when(clean == "", F.regexp_replace(base, "#.*$", "")).otherwise(F.concat(folder, clean))
+    joined = F.when(clean.startswith("/"), F.concat(site, clean)).otherwise(F.concat(folder, clean))
+    whole = clean.rlike("^[A-Za-z]+://")
+    beside = F.concat(F.regexp_extract(base, "^([A-Za-z]+:)", 1), clean)
+    return F.when(whole, clean).when(clean.startswith("//"), beside).when(clean == "", F.regexp_replace(base, "#.*$", "")).when(clean.startswith("?"), F.concat(page, clean)).otherwise(without_dots(joined))
+
+
+def without_dots(url: Column) -> Column:
+    """An address whose path has no segments `.` and `..`; a `..` at the root goes nowhere."""
+    site, path = (F.regexp_extract(url, r"^([A-Za-z]+://[^/?#]*)([^?#]*)", i) for i in (1, 2))
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    kept = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda done, x: F.when(x == "..", F.when(F.size(done) > 1, up(done)).otherwise(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x))))
+    end = F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")
+    new = F.concat(site, F.array_join(kept, "/"), end, F.substr(url, F.length(site) + F.length(path) + 1))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), new).otherwise(url)
 
 
 def citation(source_type: Column, source_file: Column, first: Column, last: Column) -> Column:

@@ -14,13 +14,16 @@ from groundwork.session import shared_dir, ship
 RRF = 60
 INDEX_ROWS = 50_000  # rows above which an approximate index pays
 QUERY_BYTES = 64 << 20  # queries' vectors that may be sent to every task; more go in blocks
+HELD = 1 << 21  # hits that a task holds before it sends what it has
+COLLECTION = "knowledge"  # fixed value: the collection meant where none is named
 
 
-def choose_tables(tables: DataFrame, collection: str | None, kind: str | None = None) -> DataFrame:
+def choose_tables(tables: DataFrame, collection: str | None, kind: str | None = None, default: str = COLLECTION) -> DataFrame:
     """tables (table_name) that a collection stands for: all for * or empty, the exact one, else those it prefixes.
 
-    The kind (code or docs) is a suffix; an exact match ignores it.
+    An unset collection (None) is the one named `default`. The kind (code or docs) is a suffix; an exact match ignores it.
     """
+    collection = default if collection is None else collection
     name = F.col("table_name")
     of_kind = name.endswith("_" + kind) if kind in ("code", "docs") else F.lit(True)
     if not collection or collection == "*":
@@ -54,7 +57,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, within: str | None = No
     """queries (query_id, vector) x base (id, vector[, within]) -> query_id, id[, within], distance, rank from 0.
 
     Each task multiplies its rows with blocks of query vectors in numpy and keeps its own k best
-    a query (and group), so what is shuffled is k rows a task, query and group, not pairs. Ties go
+    a query (and group), so what is shuffled is k rows a task, query and group, not pairs; a task
+    whose best alone are more than HELD rows sends them as they come. Ties go
     to the smaller id, distances being rounded to 9 places. Queries of more than QUERY_BYTES are
     dealt by their id to blocks of about half of that, which are searched one after another and
     written to the shared folder, so that the driver and the tasks hold one block at a time.
@@ -79,9 +83,15 @@ def _nearest(queries: DataFrame, base: DataFrame, k: int, within: str | None, me
     columns = ["id", *([within] if within else []), "vector"]
     form = "query_id long, id long, " + (f"{within} long, " if within else "") + "distance double"
 
-    def run(batches):
+    def sent(held):
         import pyarrow as pa
 
+        q, found, group, d = held
+        cols = [pa.array(ids[q]), pa.array(found), *([pa.array(group)] if within else []), pa.array(d)]
+        return pa.RecordBatch.from_arrays(cols, names=["query_id", *columns[:-1], "distance"])
+
+    def run(batches):
+        held, size = [], 0
         for batch in batches:
             n = batch.num_rows
             if not n or not len(ids):
@@ -101,16 +111,35 @@ def _nearest(queries: DataFrame, base: DataFrame, k: int, within: str | None, me
                 for g in np.unique(groups):
                     own = np.flatnonzero(groups == g)
                     order = np.lexsort((np.broadcast_to(key[own], (len(block), len(own))), d[:, own]), axis=1)[:, :k]
-                    q = np.repeat(ids[at : at + 256], order.shape[1])
                     found = own[order].ravel()
-                    cols = [pa.array(q), pa.array(key[found]), *([pa.array(groups[found])] if within else []), pa.array(np.take_along_axis(d, own[order], axis=1).ravel())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["query_id", *columns[:-1], "distance"])
+                    held.append((np.repeat(np.arange(at, at + len(block)), order.shape[1]), key[found], groups[found], np.take_along_axis(d, own[order], axis=1).ravel()))
+                    size += len(found)
+                    if size > HELD:
+                        held = [best_of(held, k)]
+                        size = len(held[0][0])
+                        if size > HELD // 2:
+                            yield sent(held[0])
+                            held, size = [], 0
+        if held:
+            yield sent(best_of(held, k))
 
     best = base.select(F.col("id").cast("long"), *([F.col(within).cast("long").alias(within)] if within else []), "vector").mapInArrow(run, form)
     rank = F.row_number().over(Window.partitionBy("query_id", *([within] if within else [])).orderBy("distance", "id")) - 1
     return best.withColumn("rank", rank.cast("long")).filter(F.col("rank") < k)
 
 
+def best_of(parts: list[tuple], k: int) -> tuple:
+    """The k hits of least distance, then id, of each query and group; parts hold arrays of query, id, group, distance."""
+    q, found, group, d = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((found, d, group, q))
+    q, group = q[order], group[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (group[1:] != group[:-1])
+    first = np.flatnonzero(new)
+    kept = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k
+    return q[kept], found[order][kept], group[kept], d[order][kept]
+
+
 def _bytes(queries: DataFrame) -> int:
     n = queries.count()
     width = (queries.select(F.size("vector")).first() or [0])[0] if n else 0
@@ -199,9 +228,9 @@ def with_cells(base: DataFrame, centres, probes: int = 1) -> DataFrame:
     return base.mapInArrow(run, wide)
 
 
-def nearest_approximate(queries: DataFrame, base: DataFrame, k: int, cells: int = 16, probes: int = 6) -> DataFrame:
+def nearest_approximate(queries: DataFrame, base: DataFrame, k: int, cells: int = 16, probes: int = 6, centres=None) -> DataFrame:
     """k nearest by an inverted-file index: every row is indexed, the nearest cells probed, distances exact."""
-    centres = train_cells(base, cells)
+    centres = train_cells(base, cells) if centres is None else centres
     b = with_cells(base.select(F.col("id").cast("long").alias("id"), "vector"), centres).select("id", F.col("vector").alias("v"), F.explode("cells").alias("cell"))
     q = with_cells(queries.select(F.col("query_id").cast("long").alias("query_id"), "vector"), centres, probes).select("query_id", F.col("vector").alias("w"), F.explode("cells").alias("cell"))
     pairs = q.join(b, "cell").select("query_id", "id", F.round(cosine_distance(F.col("w"), F.col("v")), 9).alias("distance"))
@@ -209,6 +238,34 @@ def nearest_approximate(queries: DataFrame, base: DataFrame, k: int, cells: int
     return pairs.withColumn("rank", rank.cast("long")).filter(F.col("rank") < k)
 
 
+def index_cells(rows: int) -> int:
+    """Cells of an index over so many rows: about the root of the rows, so that no cell is hot."""
+    return min(4096, max(16, round(rows**0.5)))
+
+
+def probes_needed(queries: DataFrame, base: DataFrame, k: int, centres, recall: float = 0.95, sample: int = 64) -> int:
+    """How many cells a query must probe for this recall, measured against exact search for `sample` queries drawn by hash.
+
+    Each true neighbour lies in one cell, at some place in the order of the query's cells; the
+    wanted share of these places tells the probes.
+    """
+    some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(sample).select(F.col("query_id").cast("long").alias("query_id"), "vector")
+    near = nearest(some, base, k).select("query_id", "id")
+    own = with_cells(base.select(F.col("id").cast("long").alias("id"), "vector"), centres).select("id", F.col("cells")[0].alias("cell"))
+    order = with_cells(some, centres, len(centres)).select("query_id", "cells")
+    at = near.join(own, "id").join(order, "query_id").select((F.array_position("cells", F.col("cell"))).alias("at")).collect()  # sample * k rows
+    return int(np.quantile([r["at"] for r in at], recall, method="higher")) if at else 1
+
+
+def search(queries: DataFrame, base: DataFrame, k: int, rows: int = INDEX_ROWS) -> DataFrame:
+    """k nearest by cosine: exact up to `rows` vectors, beyond by an index whose probes are measured to recall 0.95."""
+    n = base.count()
+    if n <= rows:
+        return nearest(queries, base, k)
+    centres = train_cells(base, index_cells(n))
+    return nearest_approximate(queries, base, k, probes=probes_needed(queries, base, k, centres), centres=centres)
+
+
 def embed(rows: DataFrame, text: str = "text", width: int = 64) -> DataFrame:
     """The offline embedder: hashed letter 3-grams, unit length, order kept. An interface; models may stand in its place."""
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.lower(F.substring(F.col(text), i, 3))), F.lit(width)))

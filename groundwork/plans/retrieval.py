@@ -33,6 +33,14 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 KNN_TOPK = f"WITH {PAIRS} SELECT query_id, id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) - 1 AS rank FROM pairs) WHERE rank < 10"
 
 
+def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest five, exact or by the index as the number of rows tells."""
+    return r.search(asked(spark, sf_dir), base(spark, sf_dir), 5).select("query_id", "id", "rank")
+
+
+VECTOR_SEARCH = f"WITH {PAIRS} SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) - 1 AS rank FROM pairs) WHERE rank < 5"
+
+
 def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.nearest(asked(spark, sf_dir), base(spark, sf_dir), 5, metric="l2").select("query_id", "id", "rank")
 
@@ -130,18 +138,19 @@ RECALL_DEPTHS = """SELECT vec_id, CASE WHEN vec_id % 31 > 1 THEN least(greatest(
 
 def table_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What several collections stand for, over tables named after the documents' sources."""
-    names = table(spark, sf_dir, "documents").select(F.expr("concat(source, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '_x_code' ELSE '_docs' END)").alias("table_name")).distinct()
-    cases = (("*", None), ("*", "code"), ("src1", "docs"), ("src2_x", "code"), ("src2_x", "docs"), ("src", None), ("nothing", None), ("", "docs"))
-    parts = [r.choose_tables(names, c, k).select(F.lit(c).alias("collection"), F.lit(k or "").alias("kind"), "table_name") for c, k in cases]
+    names = table(spark, sf_dir, "documents").select(F.expr("concat(CASE source WHEN 'src5' THEN 'knowledge' ELSE source END, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '_x_code' ELSE '_docs' END)").alias("table_name")).distinct()
+    cases = (("*", None), ("*", "code"), ("src1", "docs"), ("src2_x", "code"), ("src2_x", "docs"), ("src", None), ("nothing", None), ("", "docs"), (None, None), (None, "docs"))
+    parts = [r.choose_tables(names, c, k).select(F.lit("unset" if c is None else c).alias("collection"), F.lit(k or "").alias("kind"), "table_name") for c, k in cases]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-TABLE_SELECTION = """WITH n AS (SELECT DISTINCT concat(source, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '_x_code' ELSE '_docs' END) AS table_name FROM documents),
-c(collection, kind) AS (VALUES ('*', ''), ('*', 'code'), ('src1', 'docs'), ('src2_x', 'code'), ('src2_x', 'docs'), ('src', ''), ('nothing', ''), ('', 'docs'))
-SELECT collection, kind, table_name FROM c, n WHERE CASE WHEN collection IN ('', '*') THEN kind = '' OR ends_with(table_name, '_' || kind)
+TABLE_SELECTION = """WITH n AS (SELECT DISTINCT concat(CASE source WHEN 'src5' THEN 'knowledge' ELSE source END, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '_x_code' ELSE '_docs' END) AS table_name FROM documents),
+v(collection, kind) AS (VALUES ('*', ''), ('*', 'code'), ('src1', 'docs'), ('src2_x', 'code'), ('src2_x', 'docs'), ('src', ''), ('nothing', ''), ('', 'docs'), ('unset', ''), ('unset', 'docs')),
+c AS (SELECT collection AS asked, CASE collection WHEN 'unset' THEN 'knowledge' ELSE collection END AS collection, kind FROM v)
+SELECT asked AS collection, kind, table_name FROM c, n WHERE CASE WHEN collection IN ('', '*') THEN kind = '' OR ends_with(table_name, '_' || kind)
  WHEN collection IN (SELECT table_name FROM n) THEN table_name = collection ELSE starts_with(table_name, collection || '_') AND (kind = '' OR ends_with(table_name, '_' || kind)) END"""
 
 
@@ -189,5 +198,5 @@ MODEL_SCORES = rf"""WITH x AS (SELECT item_id, lower(trim({REPLY})) AS l FROM be
 SELECT item_id, CASE WHEN l = '' THEN NULL WHEN regexp_matches(l, 'unsupported|not support|contradict') OR starts_with(l, 'no') THEN 0.0::DOUBLE WHEN regexp_matches(l, 'supported|entail') OR starts_with(l, 'yes') THEN 1.0::DOUBLE WHEN v BETWEEN 0 AND 1 THEN v END AS entailed,
  CASE WHEN item_id % 5 <> 0 THEN round((item_id % 9) / 9.0::DOUBLE, 6) END AS last_logit FROM y"""
 
-QUERIES = {f.__name__: f for f in (knn_topk, knn_l2, knn_by_label_rrf, single_list_bypass, region_score, rerank_scores, lexical_rerank, cite_concat, recall_depths, table_selection, query_truncation, knn_approximate, vector_width, embed_passages, model_scores)}
+QUERIES = {f.__name__: f for f in (knn_topk, vector_search, knn_l2, knn_by_label_rrf, single_list_bypass, region_score, rerank_scores, lexical_rerank, cite_concat, recall_depths, table_selection, query_truncation, knn_approximate, vector_width, embed_passages, model_scores)}
 ORACLES = {k: globals()[k.upper()] for k in QUERIES if k.upper() in globals()}

@@ -8,10 +8,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as t
-from groundwork.operators import audit, chunking, logs, retrieval, web
+from groundwork.operators import adding, audit, chunking, logs, retrieval, web
 from groundwork.plans import dag
 from groundwork.plans.events import tumble
-from groundwork.sources import catalog, paths
+from groundwork.sources import catalog, paths, sinks
 from groundwork.streaming import streams
 
 
@@ -86,6 +86,64 @@ def test_blocks_of_queries_find_what_one_block_does(spark, monkeypatch, how):
     assert sorted(map(tuple, retrieval.nearest(asked(spark, SF), base(spark, SF), **how).collect())) == whole
 
 
+@pytest.mark.parametrize("held", [1, 40, 1 << 21])
+def test_a_task_keeps_its_own_best(spark, monkeypatch, held):
+    from tests.conftest import SF
+
+    from groundwork.plans.retrieval import asked, base
+
+    want = sorted(map(tuple, retrieval.nearest(asked(spark, SF), base(spark, SF), 4, within="label").collect()))
+    monkeypatch.setattr(retrieval, "HELD", held)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = sorted(map(tuple, retrieval.nearest(asked(spark, SF), base(spark, SF), 4, within="label").collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
+def test_search_takes_the_index_by_the_number_of_rows(spark):
+    from tests.conftest import SF
+
+    from groundwork.plans.retrieval import asked, base
+
+    exact = {(r.query_id, r.id) for r in retrieval.search(asked(spark, SF), base(spark, SF), 5).collect()}
+    assert exact == {(r.query_id, r.id) for r in retrieval.nearest(asked(spark, SF), base(spark, SF), 5).collect()}
+    near = {(r.query_id, r.id) for r in retrieval.search(asked(spark, SF), base(spark, SF), 5, rows=100).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+    assert [retrieval.index_cells(n) for n in (0, 2_000, 50_001, 10**10)] == [16, 45, 224, 4096]
+
+
+def test_files_and_pages_are_added_once(spark, tmp_path):
+    store = catalog.Store(spark, str(tmp_path / "store"))
+    files = spark.createDataFrame([("a.py", "code", "python", "def f():\n    return 1\n"), ("b.md", "docs", "", "# B\n\nsome words here"), ("c.md", "docs", "", None)], "source_file string, kind string, language string, text string")
+    adding.add_files(store, files, "mine")
+    adding.add_files(store, files, "mine")
+    pages = spark.createDataFrame([("https://x.org/guide/start", "<html><body><p>" + "word " * 30 + "</p></body></html>"), ("https://x.org/none", "<p>short</p>"), ("https://x.org/null", None)], "url string, html string")
+    assert adding.add_pages(store, pages, "mine") == 1
+    held = [(r.table_name, r.source_file) for r in store.read().select("table_name", "source_file").distinct().collect()]
+    assert store.read().filter("source_file = 'a.py'").count() == 1 and {x for x, _ in held} == {"mine_code", "mine_docs"} and len(held) == 3
+    with pytest.raises(ValueError):
+        adding.add_pages(store, pages.filter("url like '%none'"), "mine")
+
+
+def test_sessions_are_logged_and_archived(spark, tmp_path):
+    log, old = str(tmp_path / "log"), str(tmp_path / "old")
+    turns = spark.createDataFrame([("s1", 1, "a"), ("s1", 2, "b"), ("s2", 1, None)], "session string, turn int, text string")
+    sinks.append_turns(turns, log)
+    sinks.append_turns(turns.filter("session = 's1' and turn = 2"), log)
+    assert sinks.archive(spark, log, "s1", old) and not sinks.archive(spark, log, "s1", old)
+    assert spark.read.parquet(log).count() == 1 and spark.read.parquet(old).count() == 3
+    sinks.append_turns(turns, log)
+    with pytest.raises(FileExistsError):
+        sinks.archive(spark, log, "s1", old)
+
+
+def test_lists_have_an_item_a_line(spark, tmp_path):
+    sinks.write_lines(spark.createDataFrame([("https://a",), (None,), ("b\nc",), ("",)], "url string"), "url", str(tmp_path / "urls"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "urls")).collect()) == ["", "b c", "https://a"]
+
+
 def test_approximate_search_recalls(spark):
     from tests.conftest import SF
 

@@ -93,3 +93,13 @@ def test_test_paths(spark, yes):
 def test_error_rate(spark):
     rows = spark.createDataFrame([("Hello, World", "hello world"), ("", "x"), ("abc", "abd"), ("a", "zzzz")], "r string, h string")
     assert [round(x[0], 4) for x in rows.select(t.error_rate(F.col("r"), F.col("h"))).collect()] == [0.0, 0.0, 0.3333, 4.0]
+
+
+def test_links_resolve_as_the_standard_library_does(spark):
+    from urllib.parse import urldefrag, urljoin
+
+    bases = ["https://x.org/a/b/c.html?q=1", "http://x.org", "https://x.org/a/", "https://x.org:80/a/b/../d"]
+    links = ["e", "./e", "../e", "../../e", "../../../../e", "/f/../g", "/./g/.", "..", ".", "h/..", "?p=../2", "//y.org/k/../m", "https://z.org/n/../o", "", "#top", "p/./q/../r?s=/../t#u", "...", "a..b"]
+    rows = [(b, x) for b in bases for x in links]
+    got = spark.createDataFrame(rows, "b string, x string").select("b", "x", t.resolve_url(F.col("b"), F.col("x")).alias("y")).collect()
+    assert [r for r in got if r.y != urldefrag(urljoin(r.b, r.x)).url] == []
