@@ -22,8 +22,12 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return numbered(df).select(*(F.col(f"_c{i}").alias(n) for i, n in zip(places, names)))
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    return pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), *(names or ("doc_id", "text")))
+    return pick(table(spark, sf_dir, "documents"), *(names or ("doc_id", "text")))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

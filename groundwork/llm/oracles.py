@@ -1,8 +1,8 @@
-"""DuckDB SQL of the operators whose results SQL can express: licence scans and quality rules."""
+"""DuckDB SQL of the operators whose results SQL can express: licence scans, quality rules, conversations."""
 
 from __future__ import annotations
 
-from groundwork.llm import licenses, quality
+from groundwork.llm import chats, licenses, quality
 
 LOWERED = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
 
@@ -48,3 +48,24 @@ dup AS (SELECT doc_id, count(*) AS dups, sum(length(array_to_string(regexp_extra
 a AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
 b AS (SELECT *, coalesce(dups, 0) AS n_dup_lines, coalesce(n{quality.BASE_WINDOW}, 0) AS n_repeat_words, coalesce(dup_chars, 0) / greatest(1, word_chars)::DOUBLE AS line_share, {", ".join(f"{share(n)} AS share_{n}" for n in quality.NGRAM_LIMITS)} FROM a LEFT JOIN dup USING (doc_id) {" ".join(joins)})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT {failed} AND line_share <= {quality.LINE_LIMIT} AND {limits} AS kept, line_share, {", ".join(f"share_{n}" for n in quality.NGRAM_LIMITS)} FROM b"""
+
+
+#: Conversations with empty roles and texts for nulls, and the order of their rows.
+TURNS = "SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, md5(md5(coalesce(role, '')) || coalesce(text, '')) AS digest FROM conversations"
+
+
+def chats_sql() -> str:
+    """Lengths and hashes straight from the table: no log, no template but for its length."""
+
+    def escaped(c: str) -> str:
+        c = f"replace({c}, chr(92), chr(92) || chr(92))"
+        for pattern, first in chats.CONTROL:
+            c = f"regexp_replace({c}, '{pattern}', '{first}' || chr(92) || chr(92) || chr(92) || '1', 'g')"
+        return c
+
+    marks = sum(map(len, (chats.BEGIN, chats.ROLE, chats.TEXT, chats.END)))
+    planted = ", ".join(f"({chats.PLANTED[0]}::BIGINT, {i}::BIGINT, '{r}', '{chats.PLANTED[1]}', '')" for i, r in enumerate(("user", "assistant")))
+    loss = "coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, digest) FILTER (role = 'assistant'), '')"
+    return f"""WITH t AS ({TURNS} UNION ALL SELECT * FROM (VALUES {planted}) v(conv_id, turn, role, text, digest))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, digest)) AS turns_sha256, CAST(length({loss}) AS BIGINT) AS loss_chars,
+ sha256({loss}) AS loss_sha256, CAST(sum({marks} + length({escaped("role")}) + length({escaped("text")})) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id"""

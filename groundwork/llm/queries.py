@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from groundwork.llm import bpe, counts, jpeg, language, licenses, lm, oracles, packing, quality, sharding, simhash
-from groundwork.llm.common import documents
+from groundwork.llm import bpe, chats, counts, jpeg, language, licenses, lm, oracles, packing, quality, sharding, simhash
+from groundwork.llm.common import documents, table
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), 40)
 
 
+def op13_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.digests(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licenses, op2_lm_scores, op3_bpe_digests, op4_token_counts, op5_language, op6_packing, op7_quality_rules, op8_simhash, op9_jpeg_media, op10_sharding)
+    f.__name__: f for f in (op1_licenses, op2_lm_scores, op3_bpe_digests, op4_token_counts, op5_language, op6_packing, op7_quality_rules, op8_simhash, op9_jpeg_media, op10_sharding, op13_chats)
 }
-ORACLES: dict[str, str] = {"op1_licenses": oracles.licence_sql(), "op7_quality_rules": oracles.quality_sql()}
+ORACLES: dict[str, str] = {"op1_licenses": oracles.licence_sql(), "op7_quality_rules": oracles.quality_sql(), "op13_chats": oracles.chats_sql()}
