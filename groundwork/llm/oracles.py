@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from groundwork.llm import chats, licenses, quality
+from groundwork.llm import chats, licenses, quality, trie
 
 LOWERED = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
 
@@ -69,3 +69,19 @@ def chats_sql() -> str:
     return f"""WITH t AS ({TURNS} UNION ALL SELECT * FROM (VALUES {planted}) v(conv_id, turn, role, text, digest))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, digest)) AS turns_sha256, CAST(length({loss}) AS BIGINT) AS loss_chars,
  sha256({loss}) AS loss_sha256, CAST(sum({marks} + length({escaped("role")}) + length({escaped("text")})) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id"""
+
+
+def trie_sql() -> str:
+    """Prefixes as hashed lists of digests; each node sums over the owners' prefixes, all lengths at once."""
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384)))"
+    return f"""WITH t AS ({TURNS}), o AS (SELECT conv_id, digest, strlen(text) AS bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos FROM t WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id), h AS (SELECT conv_id, n, xor({crc}, 4294967295) % {trie.HEADS} AS h, conv_id - conv_id % {trie.FAMILY} AS base FROM n),
+c AS (SELECT h.*, least(h, coalesce(b.n, 0)) AS m FROM h LEFT JOIN n b ON b.conv_id = h.base),
+r AS (SELECT conv_id, 0 AS depth, '' AS digest, 0 AS bytes FROM c UNION ALL SELECT c.conv_id, pos, digest, bytes FROM c JOIN o ON o.conv_id = base AND pos <= h
+ UNION ALL SELECT conv_id, pos - h + m, digest, bytes FROM c JOIN o USING (conv_id) WHERE pos > h),
+p AS (SELECT conv_id, depth, bytes, md5(string_agg(digest, ',') OVER (PARTITION BY conv_id ORDER BY depth)) AS key, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM r),
+g AS (SELECT key, depth, min(conv_id) AS owner, count(*) AS n, (count(*) - 1) * max(bytes) AS saved, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ids FROM p GROUP BY key, depth),
+up AS (SELECT g.key, p.key AS above FROM g JOIN p ON p.conv_id = owner AND p.depth = g.depth - 1), kids AS (SELECT above AS key, count(*) AS kids FROM up GROUP BY above),
+s AS (SELECT p.key, sum(saved) AS saved, count(*) FILTER (kids IS NULL) AS leaves FROM g LEFT JOIN kids USING (key) JOIN p ON p.conv_id = owner AND p.depth <= g.depth GROUP BY p.key)
+SELECT g.owner AS conv_id, CAST(g.depth AS BIGINT) AS depth, a.owner AS parent_conv_id, g.n AS n_convs, coalesce(kids, 0) AS n_children, leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(g.ids) AS ends_sha256
+FROM g JOIN s USING (key) LEFT JOIN kids USING (key) LEFT JOIN up USING (key) LEFT JOIN g a ON a.key = up.above"""

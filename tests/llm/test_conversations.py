@@ -11,7 +11,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from groundwork.llm import chats, oracles
+from groundwork.llm import chats, oracles, trie
 from groundwork.llm.queries import QUERIES
 from tests.conftest import SF
 
@@ -108,7 +108,7 @@ def test_no_python_runs_on_executors(spark):
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
 
-@pytest.mark.parametrize("name", ["op13_chats"])
+@pytest.mark.parametrize("name", ["op11_trie", "op13_chats"])
 def test_queries_equal_their_twins(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
@@ -118,4 +118,74 @@ def test_queries_equal_their_twins(spark, name):
 
 
 def oracles_by_name() -> dict:
-    return {"op13_chats": oracles.chats_sql()}
+    return {"op11_trie": oracles.trie_sql(), "op13_chats": oracles.chats_sql()}
+
+
+def expected_trie(rows) -> list[tuple]:
+    """Every node with its members, one by one, summed from the deepest up."""
+    turns = ordered(r for r in rows if r[0] is not None)
+    members, texts_at, ends = defaultdict(list), {(): ""}, defaultdict(list)
+    for c in sorted(turns):
+        h, base = zlib.crc32(str(c).encode()) % 9, c - (c % 5 if c >= 0 else -(-c % 5))
+        whole = tuple([*turns.get(base, [])[:h], *turns[c][h:]])
+        node = ()
+        members[node].append(c)
+        for turn in whole:
+            node = (node, turn)
+            members[node].append(c)
+            texts_at[node] = turn[1]
+        ends[node].append(c)
+
+    def depth(node):
+        d = 0
+        while node:
+            node, d = node[0], d + 1
+        return d
+
+    deep = {x: depth(x) for x in members}
+    kids, leaves, saved = defaultdict(int), defaultdict(int), defaultdict(int)
+    for x in sorted(members, key=deep.get, reverse=True):
+        saved[x] += (len(members[x]) - 1) * len(texts_at[x].encode())
+        leaves[x] += not kids[x]
+        if x:
+            kids[x[0]] += 1
+            leaves[x[0]] += leaves[x]
+            saved[x[0]] += saved[x]
+    return sorted((members[x][0], deep[x], members[x[0]][0] if x else None, len(members[x]), kids[x], leaves[x], saved[x], sha(",".join(map(str, ends[x])))) for x in members)
+
+
+COLUMNS = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def found_trie(df) -> list[tuple]:
+    return sorted(tuple(r[c] for c in COLUMNS) for r in trie.trie(df).collect())
+
+
+def test_trie_of_edges(spark, edges):
+    """Conversations of hundreds of turns that part from each other late, copies, and a trie of chains on chains."""
+    rng = random.Random(11)
+    rows = [r for r in edges if r[0] != 21]
+    rows += [(c, t, "user", f"same {t}" if t < 300 - 40 * (c % 5) else f"own {c} {t}") for c in range(100, 112) for t in range(180 + 20 * (c % 4))]
+    rows += [(c, t, "user", "x") for c in range(200, 230) for t in range(rng.randrange(14))] + [(c, t, "user", "y" if t == c - 300 else "x") for c in range(300, 314) for t in range(14)]
+    rows += [(400 + k, t, "user", "copy") for k in range(20) for t in range(9)]
+    df = spark.createDataFrame(rows, SCHEMA).select("*", F.lit("clash").alias("TEXT"), F.lit(1).alias("depth"), F.lit(2).alias("part"), F.lit(3).alias("row"), F.lit(4).alias("a")).repartition(3)
+    assert found_trie(df) == expected_trie(rows)
+
+
+def test_trie_of_few_conversations_and_of_none(spark):
+    assert found_trie(spark.createDataFrame([], SCHEMA)) == []
+    for rows in ([(1, 0, "user", "x")], [(3, 0, None, None), (3, 0, None, None), (None, 0, "user", "gone")], [(-4, 0, "user", "a"), (-5, 0, "user", "b"), (-5, 1, "user", "a")]):
+        assert found_trie(spark.createDataFrame(rows, SCHEMA)) == expected_trie(rows)
+
+
+def test_one_conversation_with_most_rows_is_counted_in_parts(spark):
+    rows = [(10, t % 700, "user", str(t % 50)) for t in range(5000)] + [(c, t, "user", str(t)) for c in range(20) for t in range(3) if c != 10]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert [(r["conv_id"], r["pos"], r["digest"]) for r in trie.in_order(df).orderBy("conv_id", "pos").collect()] == [(c, k + 1, digest(*x)) for c, xs in sorted(ordered(rows).items()) for k, x in enumerate(xs)]
+
+
+def test_totals_rise_over_many_rounds(spark):
+    """Ten chains, each hanging on the one before."""
+    chains = [(k, k - 1 if k else None, k, 1, int(k == 39), int(k < 39)) for k in range(40)]
+    df = spark.createDataFrame(chains, "conv_id long, parent long, at long, saved long, leaves long, missing long")
+    assert {(r["conv_id"], r["saved"], r["leaves"]) for r in trie.totals(df.filter("conv_id >= 30").withColumn("parent", F.when(F.col("conv_id") > 30, F.col("parent")))).collect()} == {(k, 40 - k, 1) for k in range(30, 40)}
