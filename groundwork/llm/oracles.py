@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from groundwork.llm import chats, licenses, quality, trie
+from groundwork.llm import chats, codes, licenses, quality, trie
 
 LOWERED = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
 
@@ -85,3 +85,21 @@ up AS (SELECT g.key, p.key AS above FROM g JOIN p ON p.conv_id = owner AND p.dep
 s AS (SELECT p.key, sum(saved) AS saved, count(*) FILTER (kids IS NULL) AS leaves FROM g LEFT JOIN kids USING (key) JOIN p ON p.conv_id = owner AND p.depth <= g.depth GROUP BY p.key)
 SELECT g.owner AS conv_id, CAST(g.depth AS BIGINT) AS depth, a.owner AS parent_conv_id, g.n AS n_convs, coalesce(kids, 0) AS n_children, leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(g.ids) AS ends_sha256
 FROM g JOIN s USING (key) LEFT JOIN kids USING (key) LEFT JOIN up USING (key) LEFT JOIN g a ON a.key = up.above"""
+
+
+def codes_sql() -> str:
+    """Every part against every entry, round by round."""
+    near = "list_sum([(x[i] - c[i]) * (x[i] - c[i]) FOR i IN range(1, len(x) + 1)])"
+    mean = "(s - ((s % n) + n) % n) // n"
+    rounds = [f"a0 AS (SELECT vec_id, p, min({near} * {codes.ENTRIES} + entry) AS least FROM q JOIN b0 USING (p) GROUP BY vec_id, p)"]
+    for k in range(codes.ROUNDS):
+        rounds.append(f"""m{k} AS (SELECT p, entry, list({mean} ORDER BY i) AS mean FROM (SELECT p, least % {codes.ENTRIES} AS entry, i, sum(v) AS s, count(*) AS n
+ FROM (SELECT p, least, unnest(x) AS v, unnest(range(len(x))) AS i FROM a{k} JOIN q USING (vec_id, p)) GROUP BY ALL) GROUP BY p, entry),
+b{k + 1} AS MATERIALIZED (SELECT p, entry, coalesce(mean, c) AS c FROM b{k} LEFT JOIN m{k} USING (p, entry)),
+a{k + 1} AS MATERIALIZED (SELECT vec_id, p, min({near} * {codes.ENTRIES} + entry) AS least FROM q JOIN b{k + 1} USING (p) GROUP BY vec_id, p)""")
+    return f"""WITH e AS (SELECT vec_id, label, [floor({codes.SCALE} * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+q AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // {codes.PARTS}) + 1:(p + 1) * (len(v) // {codes.PARTS})] AS x FROM e, range({codes.PARTS}) t(p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS entry, x AS c FROM q QUALIFY entry < {codes.ENTRIES}),
+{", ".join(rounds)},
+r AS (SELECT vec_id, string_agg(printf('%02x', (least % {codes.ENTRIES})::INT), '' ORDER BY p) AS code, CAST(sum(least // {codes.ENTRIES}) AS BIGINT) AS error FROM a{codes.ROUNDS} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, entry)) FROM b{codes.ROUNDS}) AS codebooks_sha256 FROM r JOIN e USING (vec_id)"""

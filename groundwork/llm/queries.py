@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from groundwork.llm import bpe, chats, counts, jpeg, language, licenses, lm, oracles, packing, quality, sharding, simhash, trie
+from groundwork.llm import bpe, chats, codes, counts, jpeg, language, licenses, lm, oracles, packing, quality, sharding, simhash, trie
 from groundwork.llm.common import documents, table
 
 
@@ -55,11 +55,15 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digests(table(spark, sf_dir, "embeddings"))
+
+
 def op13_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.digests(table(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licenses, op2_lm_scores, op3_bpe_digests, op4_token_counts, op5_language, op6_packing, op7_quality_rules, op8_simhash, op9_jpeg_media, op10_sharding, op11_trie, op13_chats)
+    f.__name__: f for f in (op1_licenses, op2_lm_scores, op3_bpe_digests, op4_token_counts, op5_language, op6_packing, op7_quality_rules, op8_simhash, op9_jpeg_media, op10_sharding, op11_trie, op12_codes, op13_chats)
 }
-ORACLES: dict[str, str] = {"op1_licenses": oracles.licence_sql(), "op7_quality_rules": oracles.quality_sql(), "op11_trie": oracles.trie_sql(), "op13_chats": oracles.chats_sql()}
+ORACLES: dict[str, str] = {"op1_licenses": oracles.licence_sql(), "op7_quality_rules": oracles.quality_sql(), "op11_trie": oracles.trie_sql(), "op12_codes": oracles.codes_sql(), "op13_chats": oracles.chats_sql()}
