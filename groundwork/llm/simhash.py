@@ -10,8 +10,8 @@ kept, so a dense cell gives no more links than points; a crowded cell is split b
 other half. Components come from rounds of joins that hang every neighbour under the smallest one,
 written to the shared folder round by round.
 
-Near copies by similarity (first_of_each) lie beyond that reach: texts that share the least shingle
-under one of some orders, or that the grid links, are candidates, and their shingles are compared.
+Near copies by similarity (first_of_each) lie beyond that reach: what the grid links is verified
+first, and an exact join by prefixes of the texts' sets of shingles finds all other links.
 
 Defined results: null and empty texts, and texts of white space, have fingerprint zero and are one
 class; fewer words than a shingle make one shingle; repeated rows repeat their results; a null
@@ -21,11 +21,13 @@ table gives an empty result. No cap on cells, partners or texts.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import map_arrow, materialize, numbered, per_text, pick, release, slices, splitmix
+from groundwork.llm.common import map_arrow, materialize, numbered, per_text, pick, release, splitmix
 from groundwork.llm.pieces import forget
 
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -298,21 +300,22 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, bits: int = BITS) -> Data
 
 # ---- Near copies by similarity: at 0.8 two texts lie some ten bits apart, beyond the grid's reach.
 
-WORDS, SIMILAR, DRAWS, REACH, FEW = 5, 0.8, 6, 24, 8  # words a shingle; Jaccard similarity; minima drawn a text; bits beyond which a pair is not verified; texts paired each with each
+WORDS, SIMILAR = 5, 0.8  # words a shingle; Jaccard similarity
+OUTSIDE, STARS, CHEAP = 64, 6, 8  # unlinked nodes of a key beyond which it is common; most rounds of stars; pairs a posting up to which all are verified at once
+COMMON = 1 << 20  # common shingles that are sent to tasks, the most frequent first: they only put the order right
 SKETCH = "doc_id long, hash long, fp long, node binary, n long, keys array<long>"
 
 
-def minima(shingles: np.ndarray, draws: int = DRAWS) -> list[int]:
-    """Keys that similar texts share: the least shingle under each of some orders, and the least ones of two neighbouring orders."""
-    if not len(shingles):
-        return []
-    least = [int(splitmix(shingles ^ splitmix(np.array([k], np.uint64))[0]).min()) for k in range(draws)]
-    both = [(k + 1 << 60) ^ x * 3 ^ least[(k + 1) % draws] for k, x in enumerate(least)]
-    return splitmix(np.array([x & (1 << 64) - 1 for x in (*(x + k for k, x in enumerate(least)), *both)], np.uint64)).astype(np.int64).tolist()
+def prefix(distinct: np.ndarray, similarity: float, common: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles of a set in the order (common or not, hash), of which similar sets must share one."""
+    if common is not None and len(common):
+        late = np.isin(distinct, common, assume_unique=True)
+        distinct = np.concatenate([distinct[~late], distinct[late]])
+    return distinct[: len(distinct) - math.ceil(similarity * len(distinct) - 1e-9) + 1]
 
 
-def sketches(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """docs (doc_id, text, hash) -> SKETCH: node names a sequence of words by 128 bits, n is its number of distinct shingles."""
+def sketches(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR, common=None) -> DataFrame:
+    """docs (doc_id, text, hash) -> SKETCH: node names a sequence of words by 128 bits, n is its number of distinct shingles, keys its prefix."""
 
     def run(parts):
         import xxhash
@@ -326,65 +329,175 @@ def sketches(docs: DataFrame, n: int = WORDS) -> DataFrame:
                 out["fp"].append(signed(majority(hashes)))
                 out["node"].append(xxhash.xxh128_digest(joined))
                 out["n"].append(len(distinct))
-                out["keys"].append(minima(distinct))
+                out["keys"].append(prefix(distinct, similarity, common.value if common else None).astype(np.int64))
             yield out
 
     return per_text(docs, run, SKETCH)
 
 
-def candidates(nodes: DataFrame, similarity: float = SIMILAR, reach: int = REACH) -> DataFrame:
-    """nodes (node, fp, n, keys) -> a, b: pairs that may be similar, at most FEW a key and text.
+def whole_sets(docs: DataFrame, n: int, among=None) -> DataFrame:
+    """docs (text) -> node, keys: all distinct shingles of each sequence of words, where `among` is given only of those that hold one of these shingles."""
+
+    def run(parts):
+        import xxhash
+
+        forget()
+        for (text,) in parts:
+            out = {"node": [], "keys": []}
+            for t in text:
+                joined, hashes = shingle_hashes(t, n)
+                distinct = np.unique(hashes)
+                if among is None or np.isin(among.value, distinct, assume_unique=True).any():
+                    out["node"].append(xxhash.xxh128_digest(joined))
+                    out["keys"].append(distinct.astype(np.int64))
+            yield out
+
+    return per_text(docs, run, "node binary, keys array<long>").groupBy("node").agg(F.first("keys").alias("keys"))
+
 
-    Of the texts that share a key, each is paired with the shortest and with the longest one, and
-    up to FEW texts each with each; texts of one fingerprint with the least of them; and
-    fingerprints as the grid links them.
+def postings(nodes: DataFrame) -> DataFrame:
+    """nodes (node, n, keys) -> key, pos, n, node of the prefix shingles that several nodes have."""
+    flat = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
+    shared = flat.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
+    keys = materialize(shared, "shared-keys")
+    found = materialize(flat.join(keys, "key"), "postings")
+    release(nodes.sparkSession, keys)
+    return found
+
+
+def open_postings(cells: DataFrame, member: DataFrame) -> DataFrame:
+    """Postings of the keys whose nodes are not all of one class yet: with each node's class, m nodes of the key, and whether it is outside the key's largest class."""
+    mine = materialize(cells.join(member, "node", "left").select("key", "pos", "n", "node", F.coalesce("root", "node").alias("class")), "classed")
+    sizes = mine.groupBy("key", "class").agg(F.count("*").alias("c"))
+    keys = sizes.groupBy("key").agg(F.max(F.struct("c", "class")).alias("most"), F.sum("c").alias("m")).filter("most.c < m")
+    keys = keys.select("key", "m", (F.col("m") - F.col("most.c")).alias("outside"), F.col("most.class").alias("largest"))
+    opened = materialize(mine.join(keys, "key").withColumn("out", F.col("class") != F.col("largest")).drop("largest"), "open-postings")
+    for done in (mine, cells):
+        release(cells.sparkSession, done)
+    return opened
+
+
+def may_be_similar(similarity: float):
+    """Whether two postings (pos, n) of one key leave enough shingles to share, if this is the first that the two sets share."""
+    shorter, longer = F.least("n", "x.n"), F.greatest("n", "x.n")
+    needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("x.n")) - 1e-9)
+    return (shorter >= F.lit(similarity) * longer - 1e-9) & (F.least(F.col("n") - F.col("pos"), F.col("x.n") - F.col("x.pos")) >= needed)
+
+
+def paired(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes, of left and right postings of one key and different classes, that may be similar."""
+    me = F.struct("node", "n", "pos", "class").alias("x")
+    met = left.join(right.select("key", me), "key").filter((F.col("class") != F.col("x.class")) & may_be_similar(similarity))
+    return met.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float = SIMILAR, n: int = WORDS) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose distinct shingles have that Jaccard similarity.
+
+    A node's shingles are read once a task of GROUP partners, not once a pair, and then stay while the partners' come in.
     """
-    every = nodes.select(F.explode("keys").alias("key"), "node", "fp", "n")
-    shared = materialize(every.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "keys")
-    keyed = materialize(every.join(shared, "key"), "shared")  # most keys are one text's own and go here
-    me = F.struct("n", "node", "fp")
-    ends = keyed.groupBy("key").agg(F.min(me).alias("low"), F.max(me).alias("high"))
-    met = keyed.join(ends, "key").select("node", "fp", "n", F.explode(F.array("low", "high")).alias("x"))
-    ratio = F.least("n", "x.n") >= F.lit(similarity) * F.greatest("n", "x.n")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("x.fp"))) <= reach
-    starred = met.filter(ratio & near).select("node", F.col("x.node").alias("other"))
-    some = keyed.filter(f"m between 3 and {FEW}")
-    each = some.join(some.select("key", me.alias("x")), "key").filter((F.col("node") < F.col("x.node")) & ratio & near).select("node", F.col("x.node").alias("other"))
+    pairs = materialize(pairs, "pairs")
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "hash"), "node"), "needed")
+    sent = F.broadcast(needed.select("hash")) if needed.count() <= MOST_SENT else needed.select("hash")
+    texts = pick(docs, "text").withColumn("hash", F.xxhash64("text")).join(sent, "hash", "left_semi").select("text")
+    sets = materialize(whole_sets(texts, n), "sets")
+    often = pairs.groupBy("b").agg(F.count("*").alias("partners"))
+    dealt = pairs.join(often, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("partners") / GROUP)).alias("part"))
+    partners = dealt.join(sets, dealt.a == sets.node).select("b", "part", F.lit(1).alias("kind"), "a", "keys")
+    centres = dealt.select("b", "part").distinct().join(sets, F.col("b") == sets.node).select("b", "part", F.lit(0).alias("kind"), F.col("b").alias("a"), "keys")
+
+    def run(batches):
+        import pyarrow as pa
+
+        centre = None
+        for b, _, kind, a, keys in sets_of(batches):
+            kept = []
+            for k, (is_partner, own) in enumerate(zip(kind, keys)):
+                if not is_partner:
+                    centre = own
+                    continue
+                common = len(np.intersect1d(centre, own, assume_unique=True))
+                if common >= similarity * (len(centre) + len(own) - common) - 1e-9:
+                    kept.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in kept], pa.binary()) for x in (a, b)], ["a", "b"])
+
+    together = centres.union(partners).repartition("b", "part").sortWithinPartitions("b", "part", "kind")
+    near = materialize(map_arrow(together, run, "a binary, b binary"), "near")
+    for done in (pairs, needed, sets):
+        release(docs.sparkSession, done)
+    return near
+
+
+def sets_of(batches):
+    """Arrow batches whose last column holds lists of longs -> the other columns as lists, that one as arrays."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            some = batch.slice(at, 256)
+            lists = some.column(some.num_columns - 1)
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            yield [*(c.to_pylist() for c in some.columns[:-1]), [flat[i:j] for i, j in zip(offsets, offsets[1:])]]
+
+
+GROUP = 1024  # partners of a node that one task verifies
+
+
+def gridded(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that the grid links or that have one fingerprint, each fingerprint standing for its least node."""
     first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("m")), "prints")
     same = nodes.join(first.filter("m > 1"), "fp").select("node", F.col("first").alias("other"))
-    grid = links(first.select("fp"))
     a, b = first.select(F.col("fp").alias("a"), F.col("first").alias("node")), first.select(F.col("fp").alias("b"), F.col("first").alias("other"))
-    gridded = grid.join(a, "a").join(b, "b").select("node", "other")
-    return starred.union(each).union(same).union(gridded).filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    linked = links(first.select("fp")).join(a, "a").join(b, "b").select("node", "other")
+    return same.union(linked).filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILAR, n: int = WORDS) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose distinct shingles have that Jaccard similarity; texts (node, text)."""
-    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+def distinct_nodes(marks: DataFrame) -> DataFrame:
+    return materialize(marks.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "keys")), F.min("hash").alias("hash")), "nodes")
 
-    def run(batches):
-        import pyarrow as pa
 
-        forget()
-        last: dict[bytes, np.ndarray] = {}
+def common_shingles(docs: DataFrame, opened: DataFrame, n: int) -> np.ndarray:
+    """Shingles that bring together many unlinked nodes, and all others as frequent in the texts that hold one of these."""
 
-        def shingles(node: bytes, text: str) -> np.ndarray:
-            if node not in last:
-                if len(last) > 8:
-                    last.clear()
-                last[node] = np.unique(shingle_hashes(text, n)[1])
-            return last[node]
+    def most(counts: DataFrame) -> np.ndarray:
+        top = counts.filter(F.col("m") > OUTSIDE).orderBy(F.desc("m"), "key").limit(COMMON).select("key").toArrow()
+        return np.sort(top.column(0).to_numpy().astype(np.uint64))
 
-        for a, b, ta, tb in slices(batches):
-            kept = []
-            for k, (x, y, s, t) in enumerate(zip(a, b, ta, tb)):
-                u, v = shingles(x, s), shingles(y, t)
-                common = len(np.intersect1d(u, v, assume_unique=True))
-                if common >= similarity * (len(u) + len(v) - common):
-                    kept.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in kept], pa.binary()) for x in (a, b)], ["a", "b"])
+    first = most(opened.filter(F.col("outside") > OUTSIDE).groupBy("key").agg(F.max("outside").alias("m")))
+    sent = docs.sparkSession.sparkContext.broadcast(first)
+    held = whole_sets(pick(docs, "text"), n, sent)
+    return np.union1d(first, most(held.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m"))))
 
-    return map_arrow(both, run, "a binary, b binary")
+
+def similar(docs: DataFrame, nodes: DataFrame, n: int = WORDS, similarity: float = SIMILAR) -> DataFrame:
+    """node, root: classes of the nodes that links of that similarity connect, without those that have none; nodes (node, fp, n, keys, hash).
+
+    An exact join by prefixes: similar sets share a shingle among their first ones in a fixed order.
+    What the grid links is verified first. Then, while the nodes that share a key are many and of
+    several classes, one of each key that is not in the key's largest class is compared with all of
+    other classes; and in the end, all that are not in the largest class with all of other classes.
+    So no link between classes is lost, and a family of copies gives stars, not all pairs. Where a
+    key brings together many that are not similar, as words of a template do, it is common: the
+    order puts common shingles last and the join starts anew.
+    """
+    member = components(verified(gridded(nodes), docs, nodes, similarity, n))
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        """Classes after the links among these pairs."""
+        return components(member.toDF("a", "b").union(verified(pairs, docs, nodes, similarity, n)))
+
+    cells, draw, anew = postings(nodes), 0, False
+    while True:
+        cells = open_postings(cells, member)
+        of = cells.agg(F.count("*").alias("n"), F.sum(F.when(F.col("out"), F.col("m"))).alias("pairs"), F.count_if(F.col("out") & (F.col("outside") > OUTSIDE)).alias("wide")).first()
+        if (of["pairs"] or 0) <= CHEAP * of["n"] or draw == STARS:
+            return joined(paired(cells.filter("out"), cells, similarity))
+        if draw and of["wide"] and not anew:
+            common, anew = common_shingles(docs, cells, n), True
+            sent = docs.sparkSession.sparkContext.broadcast(common)
+            release(docs.sparkSession, cells)
+            cells = postings(distinct_nodes(sketches(pick(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text")), n, similarity, sent)))
+            continue
+        centre = cells.filter("out").groupBy("key").agg(F.min_by(F.struct("node", "n", "pos", "class"), F.xxhash64("node", F.lit(draw))).alias("c")).select("key", "c.*")
+        member, draw = joined(paired(centre, cells, similarity)), draw + 1
 
 
 MOST_SENT = 500_000  # ids that may be broadcast (about 16 MB); more are joined by shuffle
@@ -401,12 +514,8 @@ def first_of_each(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR)
     empty table gives an empty result.
     """
     key, body = f"_c{docs.columns.index('doc_id')}", f"_c{docs.columns.index('text')}"  # by place: names of other columns may clash
-    marks = materialize(sketches(pick(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text")), n), "marks")
-    nodes = materialize(marks.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "keys")), F.min("hash").alias("hash")), "nodes")
-    pairs = materialize(candidates(nodes.select("node", "fp", "n", "keys"), similarity), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "hash"), "node")
-    texts = pick(docs, "text").withColumn("hash", F.xxhash64("text")).join(needed, "hash").dropDuplicates(["node"]).select("node", "text")
-    member = components(materialize(verified(pairs, materialize(texts, "texts"), similarity, n), "near"))
+    marks = materialize(sketches(pick(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text")), n, similarity), "marks")
+    member = similar(docs, distinct_nodes(marks), n, similarity)
     found = marks.select("doc_id", "hash", "node").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
     first = found.groupBy("root").agg(least.alias("least"), F.count("*").alias("n")).filter("n > 1").select("root", F.col("least.doc_id").alias("id"), F.col("least.hash").alias("own"))

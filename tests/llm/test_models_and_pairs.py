@@ -403,6 +403,73 @@ def test_near_copies_equal_brute_force(spark):
     assert {r.doc_id for r in simhash.first_of_each(docs).collect()} == want and len(want) < 150
 
 
+def templated(seed: int, share: float, texts: int = 220, copies: int = 120, length: int = 400) -> list[str]:
+    """Texts that share a template, the rest their own, and copies of some with a few words changed."""
+    import random
+
+    draw = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    shared = draw.choices(vocabulary, k=int(share * length))
+    out = [" ".join(shared[: len(shared) // 2] + draw.choices(vocabulary, k=length - len(shared)) + shared[len(shared) // 2 :]) for _ in range(texts)]
+    for k in range(copies):
+        w = out[k % texts].split()
+        for _ in range(draw.randint(3, 7)):
+            w[draw.randrange(len(w))] = draw.choice(vocabulary)
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("share", [0.75, 0.85])
+def test_near_copies_that_share_a_template_equal_brute_force(spark, monkeypatch, share):
+    """The template's shingles are hot keys of texts that are not linked: the order is made anew, and no link is lost."""
+    demoted = []
+    before = simhash.common_shingles
+    monkeypatch.setattr(simhash, "common_shingles", lambda *a: demoted.append(before(*a)) or demoted[-1])
+    texts = dict(enumerate(templated(int(100 * share), share)))
+    want = {d for d, c in similar_classes(texts).items() if c == d}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in simhash.first_of_each(docs).collect()} == want and 200 < len(want) < 300
+    assert len(demoted) == 1 and len(demoted[0]) > 50
+
+
+def test_families_of_copies_equal_brute_force(spark):
+    """Families in which each text is like some others only, chains and crowds, beside texts that hold a passage of theirs."""
+    import random
+
+    draw = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    texts = []
+    for size in (150, 40, 12):
+        words_now = draw.choices(vocabulary, k=120)
+        for _ in range(size):
+            words_now = list(words_now)
+            words_now[draw.randrange(120)] = draw.choice(vocabulary)
+            if draw.random() < 0.3:
+                words_now[draw.randrange(100) :][:3] = draw.choices(vocabulary, k=2)
+            texts.append(" ".join(words_now))
+        texts += [" ".join(words_now[:60] + draw.choices(vocabulary, k=100)) for _ in range(30)]
+    named = dict(enumerate(texts))
+    want = {d for d, c in similar_classes(named).items() if c == d}
+    docs = spark.createDataFrame(list(named.items()), "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in simhash.first_of_each(docs).collect()} == want
+
+
+def test_prefixes_of_similar_sets_meet():
+    """Any two sets of similarity 0.8 share a prefix shingle, and their first shared one passes the position bound, common shingles or not."""
+    draw = np.random.default_rng(6)
+    for _ in range(400):
+        n = int(draw.integers(1, 60))
+        a = np.unique(draw.integers(0, 1 << 60, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[draw.random(len(a)) > 0.12], draw.integers(0, 1 << 60, int(draw.integers(0, 8))).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if not both or both < 0.8 * (len(a) + len(b) - both):
+            continue
+        common = np.sort(draw.choice(np.union1d(a, b), int(draw.integers(0, len(a))), replace=False))
+        x, y = simhash.prefix(a, 0.8, common).tolist(), simhash.prefix(b, 0.8, common).tolist()
+        first = [(i, y.index(v)) for i, v in enumerate(x) if v in y][0]
+        assert min(len(a) - first[0], len(b) - first[1]) >= 0.8 / 1.8 * (len(a) + len(b)) - 1e-9
+
+
 def test_first_of_each_loses_no_class_where_ids_repeat(spark, clashing):
     draw = np.random.default_rng(4)
     a, b, d = (" ".join(f"v{i}" for i in draw.integers(0, 500, 90)) for _ in range(3))
