@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as t
+from groundwork.operators import chunking
 from groundwork.plans import activity
 from groundwork.plans.common import quote_hash, table
+from groundwork.session import shared_dir
+from groundwork.sources import catalog
 from groundwork.streaming import streams
 
 
@@ -93,6 +98,26 @@ STREAM_ATTEMPTS = f"""WITH x AS (SELECT conv_id AS doc, turn AS attempt, array_t
 SELECT doc, attempt, tripped_set, coalesce(lag(tripped_set) OVER (PARTITION BY doc ORDER BY attempt) = tripped_set AND attempt > 0, false) AS no_progress FROM x"""
 
 
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' chunks, dealt over four files so that a document's come in several micro-batches, streamed into a store."""
+    where = f"{shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
+    cut = chunking.windows(F.col("text"), 800)
+    docs = table(spark, sf_dir, "documents").select("doc_id", cut.alias("cut")).select("doc_id", F.size("cut").alias("n_chunks"), F.posexplode("cut").alias("seq", "text"))
+    chunks = docs.select(
+        F.concat(F.lit("00"), (F.col("doc_id") % 3).cast("string")).alias("table_name"), F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("source_file"), "seq", "n_chunks", "text",
+        F.lit("docs").alias("source_type"), F.lit("").alias("language"), F.col("seq").alias("line_start"),
+    )
+    chunks.repartition(4, F.col("seq") % 4).write.parquet(f"{where}/in")
+    store = catalog.Store(spark, f"{where}/store")
+    streams.ingest(spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in"), store).awaitTermination()
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_start", "text"))), lambda x: x["text"]), "|")
+    return store.read().groupBy("table_name", "source_file").agg(F.count("*").alias("n"), F.md5(texts.cast("binary")).alias("digest"))
+
+
+STREAM_INGEST = """WITH w AS (SELECT doc_id, unnest(range(1 + greatest(0, ceil((length(text) - 800) / 640.0))::BIGINT)) AS pos, text FROM documents WHERE length(text) > 0)
+SELECT concat('00', doc_id % 3) AS table_name, concat('d/', doc_id) AS source_file, count(*) AS n, md5(string_agg(substr(text, pos * 640 + 1, 800), '|' ORDER BY pos)) AS digest FROM w GROUP BY doc_id"""
+
+
 def revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension over the star schema: revenue of each nation's customers by order year."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
@@ -105,5 +130,5 @@ def revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REVENUE_BY_NATION = "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
 
-QUERIES = {f.__name__: f for f in (tumbling_events, locf_events, stream_tumbling, stream_sliding, session_windows, stream_first_seen, stream_consensus, stream_attempts, revenue_by_nation)}
+QUERIES = {f.__name__: f for f in (tumbling_events, locf_events, stream_tumbling, stream_sliding, session_windows, stream_first_seen, stream_consensus, stream_attempts, stream_ingest, revenue_by_nation)}
 ORACLES = {k: globals()[k.upper()] for k in QUERIES if k.upper() in globals()}

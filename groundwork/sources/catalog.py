@@ -6,6 +6,8 @@ touched tables anew and replace those partitions alone; nothing else is read or
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType, StructField, StructType
@@ -35,20 +37,31 @@ class Store:
         return fs.exists(where) and any(s.isDirectory() for s in fs.listStatus(where))
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path) if self.exists() else self.spark.createDataFrame([], SCHEMA)
+        return self._rows(self.path) if self.exists() else self.spark.createDataFrame([], SCHEMA)
+
+    def _rows(self, path: str) -> DataFrame:
+        """Rows under path. Table names are strings, whatever they look like: Spark would read 007 as a number."""
+        found = self.spark.read.parquet(path).schema
+        names = StructType([StructField(f.name, StringType()) if f.name == "table_name" else f for f in found])
+        return self.spark.read.schema(names).parquet(path)
 
     def guard(self, rows: DataFrame, width: int | None = None) -> None:
-        """Refuse rows without the metadata columns, or a store written without them, or vectors of another width."""
+        """Refuse rows without the metadata columns or a table name, or a store written without them, or vectors that are null or of another width than the store's and each other's."""
         for where, names in (("rows", rows.columns), *((("store", self.read().columns),) if self.exists() else ())):
             missing = [c for c in REQUIRED if c not in names]
             if missing:
                 raise ValueError(f"{where} lack {', '.join(missing)}")
+        if rows.filter(F.coalesce(F.col("table_name"), F.lit("")) == "").limit(1).count():
+            raise ValueError("rows without a table name")
         if "vector" in rows.columns:
-            own = self.read().select(F.size("vector").alias("w")).limit(1).collect() if self.exists() else []
-            want = width or (own[0]["w"] if own else None)
-            bad = rows.filter(F.size("vector") != want).limit(1).count() if want else 0
-            if bad:
-                raise ValueError(f"vectors are not {want} wide")
+            own = self.read().filter("vector is not null").select(F.size("vector").alias("w")).limit(1).collect() if self.exists() else []
+            size = F.when(F.col("vector").isNotNull(), F.size("vector"))
+            r = rows.agg(F.min(size).alias("a"), F.max(size).alias("b"), F.count_if(F.col("vector").isNull()).alias("none")).first()
+            want = width or (own[0]["w"] if own else r["a"])
+            if r["none"]:
+                raise ValueError(f"{r['none']} rows have no vector")
+            if r["a"] is not None and (r["a"], r["b"]) != (want, want):
+                raise ValueError(f"vectors of width {r['a']} to {r['b']}, not {want}")
 
     def append(self, rows: DataFrame, width: int | None = None, files_per_table: int = 0) -> None:
         """Add rows of source files that a table does not hold yet."""
@@ -67,20 +80,23 @@ class Store:
         out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("table_name").parquet(self.path)
 
     def tables(self) -> list[str]:
+        return sorted(self._folders())
+
+    def _folders(self) -> dict:
+        """Table name -> its folder, in whose name some signs are written as %XX."""
         if not self.exists():
-            return []
+            return {}
         _, where, fs = self._fs()
-        return sorted(s.getPath().getName().partition("=")[2] for s in fs.listStatus(where) if s.isDirectory() and s.getPath().getName().startswith("table_name="))
+        found = [s.getPath() for s in fs.listStatus(where) if s.isDirectory() and s.getPath().getName().startswith("table_name=")]
+        return {unquote(p.getName().partition("=")[2]): p for p in found}
 
     def files(self) -> DataFrame:
         """table_name, chunks, n_files, files: what each table holds."""
         return list_files(self.read())
 
     def drop(self, table: str) -> None:
-        if table not in self.tables():
-            raise KeyError(table)
-        jvm, _, fs = self._fs()
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/table_name={table}"), True)
+        folder = self._folders()[table]
+        self._fs()[2].delete(folder, True)
 
     def remove_file(self, name: str, prefix: str = "") -> int:
         """Delete a file's chunks from the tables of a collection (by prefix); tables left empty are dropped. Returns the chunks deleted."""
@@ -91,8 +107,8 @@ class Store:
         touched = [r["table_name"] for r in counts if r["gone"] < r["n"]]
         if touched:
             staged = f"{self.path}.staged"
-            self.spark.read.parquet(self.path).filter(F.col("table_name").isin(touched)).filter(~gone).write.mode("overwrite").partitionBy("table_name").parquet(staged)
-            self._write(self.spark.read.parquet(staged), "overwrite", 1)
+            self.read().filter(F.col("table_name").isin(touched)).filter(~gone).write.mode("overwrite").partitionBy("table_name").parquet(staged)
+            self._write(self._rows(staged), "overwrite", 1)
             jvm, _, fs = self._fs()
             fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
         for t in empty:
@@ -102,7 +118,7 @@ class Store:
     def compact(self, files_per_table: int = 1) -> None:
         staged = f"{self.path}.staged"
         self.read().write.mode("overwrite").partitionBy("table_name").parquet(staged)
-        self._write(self.spark.read.parquet(staged), "overwrite", files_per_table)
+        self._write(self._rows(staged), "overwrite", files_per_table)
         jvm, _, fs = self._fs()
         fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
 

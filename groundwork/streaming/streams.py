@@ -8,13 +8,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import StructType
 
 from groundwork.functions import text as t
 from groundwork.operators import referee
 from groundwork.session import shared_dir, ship
 
+STATE_STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of its files; the schema is that of the files now there."""
@@ -33,7 +37,7 @@ def run_to_end(stream: DataFrame, mode: str = "append", key: list[str] | None =
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/state").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
-    from pyspark.sql.types import LongType, StructType
+    from pyspark.sql.types import LongType
 
     out = spark.read.schema(StructType([*stream.schema.fields]).add("_epoch", LongType())).option("recursiveFileLookup", True).parquet(rows)
     if key:
@@ -42,10 +46,69 @@ def run_to_end(stream: DataFrame, mode: str = "append", key: list[str] | None =
     return out.select(*stream.columns)
 
 
-def ingest(stream: DataFrame, store, width: int | None = None):
-    """Chunk rows to the store: each micro-batch adds the files that its tables lack."""
-    where = f"{shared_dir(stream.sparkSession)}/ingest-{uuid.uuid4().hex}"
-    return stream.writeStream.option("checkpointLocation", where).foreachBatch(lambda batch, _: store.append(batch, width)).trigger(availableNow=True).start()
+class WholeFiles(StatefulProcessor):
+    """Holds a file's chunks until all of them have come, then gives them in order and forgets the file."""
+
+    def __init__(self, held: StructType):
+        self.held = held
+
+    def init(self, handle) -> None:
+        self.chunks = handle.getListState("chunks", self.held)
+        self.count = handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key, rows, timers) -> Iterator[Row]:
+        names = self.held.names
+        new = [tuple(r[c] for c in names) for r in rows]
+        if any(r[0] is None or r[1] is None for r in new):
+            raise ValueError(f"a chunk of {key} has no seq or n_chunks")
+        before = self.count.get()[0] if self.count.exists() else 0
+        need = max(r[1] for r in new)
+        if before + len(new) >= need:
+            by_seq = {r[0]: r for r in [*new[::-1], *(tuple(r) for r in (list(self.chunks.get())[::-1] if before else ()))]}  # of chunks that come twice the first
+            if len(by_seq) >= need:
+                if before:
+                    self.chunks.clear()
+                    self.count.clear()
+                yield from (Row(table_name=key[0], source_file=key[1], **dict(zip(names, by_seq[k]))) for k in sorted(by_seq))
+                return
+        self.chunks.appendList(new)
+        self.count.update((before + len(new),))
+
+    def close(self) -> None:
+        pass
+
+
+def whole_files(stream: DataFrame) -> DataFrame:
+    """Chunks (table_name, source_file, seq from 0, n_chunks, ...) of a stream, a file's all at once, when the last of its n_chunks has come.
+
+    The state holds unfinished files only; a chunk that comes twice counts once.
+    """
+    ship(stream.sparkSession)
+    held = StructType([stream.schema[c] for c in ("seq", "n_chunks")] + [f for f in stream.schema if f.name not in ("table_name", "source_file", "seq", "n_chunks")])
+    out = StructType([stream.schema["table_name"], stream.schema["source_file"], *held])
+    found = stream.groupBy("table_name", "source_file").transformWithState(WholeFiles(held), out, "Append", "None")
+    return found.select(*stream.columns)
+
+
+def ingest(stream: DataFrame, store, checkpoint: str | None = None, width: int | None = None):
+    """Chunk rows to the store, file by file: each micro-batch adds the files that are complete and that their tables lack.
+
+    A query that is started again with the same checkpoint goes on where it stopped, unfinished
+    files included; without one it has a new folder in the shared one. Numbers (seq, n_chunks) tell
+    where a file ends, so rows without them are refused.
+    """
+    if missing := {"table_name", "source_file", "seq", "n_chunks"} - {*stream.columns}:
+        raise ValueError(f"chunks lack {', '.join(sorted(missing))}")
+    spark = stream.sparkSession
+    where = checkpoint or f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    files = whole_files(stream)
+    kept = [c for c in files.columns if c not in ("seq", "n_chunks")]
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKS)  # taken up as the query starts; lists grow there without being rewritten
+    try:
+        return files.writeStream.option("checkpointLocation", where).foreachBatch(lambda batch, _: store.append(batch.select(*kept), width)).trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
 
 
 def tumbling(events: DataFrame, length: str = "1 hour", late: str = "1 day") -> DataFrame:

@@ -243,12 +243,71 @@ def test_store(spark, tmp_path):
     assert s.tables() == []
 
 
+@pytest.mark.parametrize("names", [["007", "12", "1e3"], ["a b", "x=y", "50%", "é/ü:z"], ["True", "2024-01-01", "null", "-1"]])
+def test_table_names_stay_as_they_are(spark, tmp_path, names):
+    s = catalog.Store(spark, f"file://{tmp_path}/store")
+    for name in names:
+        s.append(rows(spark, ["r/a.md", "r/b.md"], name))
+        s.append(rows(spark, ["r/b.md", "r/c.md"], name))  # b is there already
+    assert s.tables() == sorted(names) and sorted(r.table_name for r in s.files().collect()) == sorted(names)
+    assert s.remove_file("a.md") == len(names) and s.read().count() == 2 * len(names)
+    s.compact()
+    assert s.remove_file("b.md", names[0]) == 1 and s.tables() == sorted(names)
+    s.overwrite(rows(spark, ["only.md"], names[1]))
+    assert {(r.table_name, r.chunks) for r in s.files().collect()} == {(n, 1 if k < 2 else 2) for k, n in enumerate(names)}
+    s.drop(names[1])
+    assert s.remove_file("c.md", names[0]) == 1 and s.tables() == sorted(names[2:])
+
+
+def test_a_store_refuses_vectors_that_do_not_fit(spark, tmp_path):
+    s = catalog.Store(spark, f"file://{tmp_path}/store")
+    good = rows(spark, ["a.md"])
+    for bad in (good.union(rows(spark, ["b.md"], width=4)), good.withColumn("vector", F.lit(None).cast("array<float>")), good.withColumn("table_name", F.lit(None).cast("string")), good.withColumn("table_name", F.lit(""))):
+        with pytest.raises(ValueError):
+            s.append(bad)
+    assert not s.exists()
+    s.append(good)
+    with pytest.raises(ValueError):
+        s.append(rows(spark, ["c.md"]), width=9)
+
+
+def chunked(spark, files: int, chunks: int):
+    """Chunks of some files, numbered."""
+    one = rows(spark, [f"f{i}.md" for i in range(files)]).withColumn("n_chunks", F.lit(chunks))
+    return one.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("line_start", F.col("seq"))
+
+
+def test_files_over_several_batches_arrive_whole(spark, tmp_path):
+    """Ten chunks a file over three micro-batches and two runs of one query; the second run goes on from the checkpoint."""
+    store = catalog.Store(spark, f"file://{tmp_path}/out")
+    all_chunks = chunked(spark, 6, 10).persist()
+
+    def run():
+        stream = spark.readStream.schema(all_chunks.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        streams.ingest(stream, store, f"file://{tmp_path}/checkpoint").awaitTermination()
+        return {r.source_file: r.n for r in store.read().groupBy("source_file").agg(F.count("*").alias("n")).collect()}
+
+    for part in (F.col("seq") < 4, (F.col("seq") >= 3) & (F.col("seq") < 7)):  # chunk 3 comes twice
+        all_chunks.filter(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    assert run() == {}
+    all_chunks.filter("seq >= 7 and source_file <> 'f5.md' or source_file = 'f0.md'").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    assert run() == {f"f{i}.md": 10 for i in range(5)}
+    assert run() == {f"f{i}.md": 10 for i in range(5)}
+    all_chunks.filter("seq >= 7").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    assert run() == {f"f{i}.md": 10 for i in range(6)}
+    held = store.read().filter("source_file = 'f0.md'")
+    assert [r.line_start for r in held.orderBy("line_start").collect()] == list(range(10)) and not {"seq", "n_chunks"} & {*held.columns}
+
+
 def test_streamed_ingest_equals_batch(spark, tmp_path):
-    rows(spark, [f"f{i}.md" for i in range(6)]).write.parquet(f"{tmp_path}/in")
+    chunked(spark, 6, 1).repartition(3).write.parquet(f"{tmp_path}/in")
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
     store = catalog.Store(spark, f"file://{tmp_path}/out")
     for _ in range(2):
-        streams.ingest(spark.readStream.schema(catalog.SCHEMA).parquet(f"{tmp_path}/in"), store).awaitTermination()
+        streams.ingest(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), store).awaitTermination()
     assert sorted(r.source_file for r in store.read().collect()) == [f"f{i}.md" for i in range(6)]
+    with pytest.raises(ValueError):
+        streams.ingest(spark.readStream.schema(catalog.SCHEMA).parquet(f"{tmp_path}/in"), store)
 
 
 def test_sources_from_files(spark, tmp_path):
