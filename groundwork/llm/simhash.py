@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import map_arrow, materialize, numbered, per_text, pick, release, splitmix
+from groundwork.llm.common import map_arrow, materialize, numbered, per_text, pick, release, slices, splitmix
 from groundwork.llm.pieces import forget
 
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -301,8 +301,9 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, bits: int = BITS) -> Data
 # ---- Near copies by similarity: at 0.8 two texts lie some ten bits apart, beyond the grid's reach.
 
 WORDS, SIMILAR = 5, 0.8  # words a shingle; Jaccard similarity
-OUTSIDE, STARS, CHEAP = 64, 6, 8  # unlinked nodes of a key beyond which it is common; most rounds of stars; pairs a posting up to which all are verified at once
-COMMON = 1 << 20  # common shingles that are sent to tasks, the most frequent first: they only put the order right
+STARS, CHEAP = 6, 8  # most rounds of stars; pairs a posting up to which all are verified at once
+WINDOW, OFTEN, COMMON = 1 << 20, 64, 1 << 20  # shingles that a task looks through at once; how often common ones are met again there; the most that are sent, the most frequent first
+KEYS_SENT = 1 << 22  # shared keys that are sent to tasks (32 MB); more are joined by shuffle
 SKETCH = "doc_id long, hash long, fp long, node binary, n long, keys array<long>"
 
 
@@ -335,36 +336,100 @@ def sketches(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR, commo
     return per_text(docs, run, SKETCH)
 
 
-def whole_sets(docs: DataFrame, n: int, among=None) -> DataFrame:
-    """docs (text) -> node, keys: all distinct shingles of each sequence of words, where `among` is given only of those that hold one of these shingles."""
+def common_shingles(docs: DataFrame, n: int = WORDS) -> np.ndarray:
+    """Shingles that many texts share, sorted: they only put the order right, so those that are missed cost time, not links.
 
-    def run(parts):
+    Each task goes through all its texts window by window, and counts the shingles that different texts of a window share.
+    """
+
+    def run(batches):
+        import pyarrow as pa
         import xxhash
 
+        def shared():
+            some = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.append(True, some[1:] != some[:-1]))
+            count = np.diff(np.append(first, len(some)))
+            often = count > 1
+            return pa.RecordBatch.from_arrays([pa.array(some[first[often]].astype(np.int64)), pa.array(count[often])], ["key", "m"])
+
         forget()
-        for (text,) in parts:
-            out = {"node": [], "keys": []}
+        held, size, seen = [], 0, set()
+        for (text,) in slices(batches):
             for t in text:
                 joined, hashes = shingle_hashes(t, n)
-                distinct = np.unique(hashes)
-                if among is None or np.isin(among.value, distinct, assume_unique=True).any():
-                    out["node"].append(xxhash.xxh128_digest(joined))
-                    out["keys"].append(distinct.astype(np.int64))
-            yield out
+                node = xxhash.xxh128_digest(joined)
+                if node in seen or not len(hashes):
+                    continue
+                seen.add(node)
+                held.append(np.unique(hashes))
+                size += len(held[-1])
+                if size >= WINDOW:
+                    yield shared()
+                    held, size, seen = [], 0, set()
+        if held:
+            yield shared()
+
+    counts = map_arrow(pick(docs, "text"), run, "key long, m long").groupBy("key").agg(F.sum("m").alias("m"))
+    return longs(counts.filter(F.col("m") > OFTEN).orderBy(F.desc("m"), "key").limit(COMMON).select("key"))
+
+
+def longs(keys: DataFrame) -> np.ndarray:
+    """One column of longs, which are few, as sorted unsigned numbers."""
+    return np.sort(keys.toArrow().column(0).to_numpy().astype(np.uint64))
+
+
+def whole_sets(docs: DataFrame, n: int) -> DataFrame:
+    """docs (text) -> node, keys: all distinct shingles of each sequence of words."""
+
+    def run(parts):
+        import xxhash
+
+        forget()
+        for (text,) in parts:
+            both = [shingle_hashes(t, n) for t in text]
+            yield {"node": [xxhash.xxh128_digest(joined) for joined, _ in both], "keys": [np.unique(hashes).astype(np.int64) for _, hashes in both]}
 
     return per_text(docs, run, "node binary, keys array<long>").groupBy("node").agg(F.first("keys").alias("keys"))
 
 
 def postings(nodes: DataFrame) -> DataFrame:
     """nodes (node, n, keys) -> key, pos, n, node of the prefix shingles that several nodes have."""
+    spark = nodes.sparkSession
     flat = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
-    shared = flat.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    keys = materialize(shared, "shared-keys")
-    found = materialize(flat.join(keys, "key"), "postings")
-    release(nodes.sparkSession, keys)
+    keys = materialize(flat.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "shared-keys")
+    if keys.count() <= KEYS_SENT:
+        found = materialize(of_keys(nodes, spark.sparkContext.broadcast(longs(keys))), "postings")
+    else:
+        found = materialize(flat.join(keys, "key").select("key", "pos", "n", "node"), "postings")
+    release(spark, keys)
     return found
 
 
+def of_keys(nodes: DataFrame, sent) -> DataFrame:
+    """The postings of these keys alone."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        wanted = sent.value
+        for batch in batches:
+            lists = batch.column(2)
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            flat = flat[offsets[0] : offsets[-1]]
+            size = np.diff(offsets)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            place = np.searchsorted(wanted, flat.view(np.uint64))
+            kept = np.flatnonzero(wanted[np.minimum(place, len(wanted) - 1)] == flat.view(np.uint64)) if len(wanted) else np.empty(0, np.int64)
+            pos = kept - np.repeat(np.cumsum(size) - size, size)[kept]
+            for at in range(0, len(kept), 1 << 16):
+                k, p = kept[at : at + (1 << 16)], pos[at : at + (1 << 16)]
+                rows = pa.array(row[k])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[k]), pa.array(p.astype(np.int32)), batch.column(1).take(rows), batch.column(0).take(rows)], ["key", "pos", "n", "node"])
+
+    return map_arrow(nodes.select("node", "n", "keys"), run, "key long, pos int, n long, node binary")
+
+
 def open_postings(cells: DataFrame, member: DataFrame) -> DataFrame:
     """Postings of the keys whose nodes are not all of one class yet: with each node's class, m nodes of the key, and whether it is outside the key's largest class."""
     mine = materialize(cells.join(member, "node", "left").select("key", "pos", "n", "node", F.coalesce("root", "node").alias("class")), "classed")
@@ -450,54 +515,28 @@ def gridded(nodes: DataFrame) -> DataFrame:
     return same.union(linked).filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def distinct_nodes(marks: DataFrame) -> DataFrame:
-    return materialize(marks.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "keys")), F.min("hash").alias("hash")), "nodes")
-
-
-def common_shingles(docs: DataFrame, opened: DataFrame, n: int) -> np.ndarray:
-    """Shingles that bring together many unlinked nodes, and all others as frequent in the texts that hold one of these."""
-
-    def most(counts: DataFrame) -> np.ndarray:
-        top = counts.filter(F.col("m") > OUTSIDE).orderBy(F.desc("m"), "key").limit(COMMON).select("key").toArrow()
-        return np.sort(top.column(0).to_numpy().astype(np.uint64))
-
-    first = most(opened.filter(F.col("outside") > OUTSIDE).groupBy("key").agg(F.max("outside").alias("m")))
-    sent = docs.sparkSession.sparkContext.broadcast(first)
-    held = whole_sets(pick(docs, "text"), n, sent)
-    return np.union1d(first, most(held.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m"))))
-
-
 def similar(docs: DataFrame, nodes: DataFrame, n: int = WORDS, similarity: float = SIMILAR) -> DataFrame:
     """node, root: classes of the nodes that links of that similarity connect, without those that have none; nodes (node, fp, n, keys, hash).
 
-    An exact join by prefixes: similar sets share a shingle among their first ones in a fixed order.
-    What the grid links is verified first. Then, while the nodes that share a key are many and of
-    several classes, one of each key that is not in the key's largest class is compared with all of
-    other classes; and in the end, all that are not in the largest class with all of other classes.
-    So no link between classes is lost, and a family of copies gives stars, not all pairs. Where a
-    key brings together many that are not similar, as words of a template do, it is common: the
-    order puts common shingles last and the join starts anew.
+    An exact join by prefixes: similar sets share a shingle among their first ones in a fixed order,
+    which puts common shingles last, as words of a template, so that keys bring few together. What
+    the grid links is verified first. Then, while the nodes that share a key are many and of several
+    classes, one of each key that is not in the key's largest class is compared with all of other
+    classes; and in the end, all that are not in the largest class with all of other classes. So no
+    link between classes is lost, and a family of copies gives stars, not all pairs.
     """
     member = components(verified(gridded(nodes), docs, nodes, similarity, n))
-
-    def joined(pairs: DataFrame) -> DataFrame:
-        """Classes after the links among these pairs."""
-        return components(member.toDF("a", "b").union(verified(pairs, docs, nodes, similarity, n)))
-
-    cells, draw, anew = postings(nodes), 0, False
-    while True:
+    cells = postings(nodes)
+    for draw in range(STARS + 1):
         cells = open_postings(cells, member)
-        of = cells.agg(F.count("*").alias("n"), F.sum(F.when(F.col("out"), F.col("m"))).alias("pairs"), F.count_if(F.col("out") & (F.col("outside") > OUTSIDE)).alias("wide")).first()
-        if (of["pairs"] or 0) <= CHEAP * of["n"] or draw == STARS:
-            return joined(paired(cells.filter("out"), cells, similarity))
-        if draw and of["wide"] and not anew:
-            common, anew = common_shingles(docs, cells, n), True
-            sent = docs.sparkSession.sparkContext.broadcast(common)
-            release(docs.sparkSession, cells)
-            cells = postings(distinct_nodes(sketches(pick(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text")), n, similarity, sent)))
-            continue
+        of = cells.agg(F.count("*").alias("n"), F.sum(F.when(F.col("out"), F.col("m"))).alias("pairs")).first()
+        last = (of["pairs"] or 0) <= CHEAP * of["n"] or draw == STARS
         centre = cells.filter("out").groupBy("key").agg(F.min_by(F.struct("node", "n", "pos", "class"), F.xxhash64("node", F.lit(draw))).alias("c")).select("key", "c.*")
-        member, draw = joined(paired(centre, cells, similarity)), draw + 1
+        found = verified(paired(cells.filter("out") if last else centre, cells, similarity), docs, nodes, similarity, n)
+        member = components(member.toDF("a", "b").union(found))
+        if last:
+            release(docs.sparkSession, cells)
+            return member
 
 
 MOST_SENT = 500_000  # ids that may be broadcast (about 16 MB); more are joined by shuffle
@@ -514,8 +553,10 @@ def first_of_each(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR)
     empty table gives an empty result.
     """
     key, body = f"_c{docs.columns.index('doc_id')}", f"_c{docs.columns.index('text')}"  # by place: names of other columns may clash
-    marks = materialize(sketches(pick(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text")), n, similarity), "marks")
-    member = similar(docs, distinct_nodes(marks), n, similarity)
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, n))
+    marks = materialize(sketches(pick(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text")), n, similarity, sent), "marks")
+    nodes = materialize(marks.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "keys")), F.min("hash").alias("hash")), "nodes")
+    member = similar(docs, nodes, n, similarity)
     found = marks.select("doc_id", "hash", "node").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
     first = found.groupBy("root").agg(least.alias("least"), F.count("*").alias("n")).filter("n > 1").select("root", F.col("least.doc_id").alias("id"), F.col("least.hash").alias("own"))

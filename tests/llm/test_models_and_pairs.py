@@ -419,17 +419,16 @@ def templated(seed: int, share: float, texts: int = 220, copies: int = 120, leng
     return out
 
 
-@pytest.mark.parametrize("share", [0.75, 0.85])
-def test_near_copies_that_share_a_template_equal_brute_force(spark, monkeypatch, share):
-    """The template's shingles are hot keys of texts that are not linked: the order is made anew, and no link is lost."""
-    demoted = []
-    before = simhash.common_shingles
-    monkeypatch.setattr(simhash, "common_shingles", lambda *a: demoted.append(before(*a)) or demoted[-1])
+@pytest.mark.parametrize("share, often, sent", [(0.75, simhash.OFTEN, simhash.KEYS_SENT), (0.85, simhash.OFTEN, 0), (0.75, 1 << 30, simhash.KEYS_SENT)])
+def test_near_copies_that_share_a_template_equal_brute_force(spark, monkeypatch, share, often, sent):
+    """The template's shingles are hot keys of texts that are not linked; no link is lost, whether they are known to be common or not, keys are sent or joined."""
+    monkeypatch.setattr(simhash, "OFTEN", often)
+    monkeypatch.setattr(simhash, "KEYS_SENT", sent)
     texts = dict(enumerate(templated(int(100 * share), share)))
     want = {d for d, c in similar_classes(texts).items() if c == d}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert (len(simhash.common_shingles(docs)) > 50) == (often == 64)
     assert {r.doc_id for r in simhash.first_of_each(docs).collect()} == want and 200 < len(want) < 300
-    assert len(demoted) == 1 and len(demoted[0]) > 50
 
 
 def test_families_of_copies_equal_brute_force(spark):
