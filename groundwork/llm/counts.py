@@ -9,8 +9,12 @@ Two deterministic machines are compiled from the tokenizer file:
 * the counter reads a piece's bytes. Its state knows, for each suffix that a token may still
   extend, which token ends just before it and how many tokens lie behind; each transition is
   annotated with the tokens it emits, which may be none or less than none where a longer token
-  swallows others. States are compiled when first met and kept within a bound, like those of a
-  lazy automaton; forgetting them changes no count.
+  swallows others. Pieces are read side by side, a byte of each at a step. A long piece is cut into
+  chunks; each chunk's map from the states that it may begin in to (state, tokens) is made side by
+  side with the others', and the maps are composed by a parallel prefix scan. A chunk's first states
+  are a guess, from the bytes before it, and whatever the maps of the chunk before it lead to, so
+  the maps are closed and the count is exact. States are compiled when first met and kept within a
+  bound, like those of a lazy automaton; forgetting them changes no count.
 
 Strings of added special tokens inside a text count as one token, the library's default.
 
@@ -36,6 +40,8 @@ START, IN_L, IN_N, IN_O, BLANK, WHITE, QUOTE, QUOTE_R, QUOTE_V, QUOTE_L, DONE =
 C_L, C_STMD, C_R, C_V, C_E, C_LL, C_N, C_QUOTE, C_O, C_BLANK, C_WHITE, C_END = READS = range(12)
 HERE, BEFORE = 1, 2  # marks: a piece begins at this place, at the one before
 CHUNK = 64
+SPAN, WARM = 256, 32  # bytes of a chunk of a long piece, and bytes before it that its first state is guessed from
+BATCH, ARCS_HELD = 1 << 16, 300_000  # bytes counted at a time, which may compile a transition each; transitions kept from one batch to the next
 
 
 @functools.lru_cache(1)
@@ -83,13 +89,16 @@ def cutter() -> tuple[np.ndarray, np.ndarray]:
     return np.array([x[0] for x in made], np.uint8), np.array([x[1] for x in made], np.uint8)
 
 
-def scan(maps: np.ndarray) -> np.ndarray:
-    """Prefix compositions of chunk maps (chunk, state): out[i] is maps[i] after ... after maps[0]."""
+def scan(maps: np.ndarray, counts: np.ndarray | None = None):
+    """Prefix compositions of chunk maps (chunk, state): out[i] is maps[i] after ... after maps[0]; counts are added along the way."""
     maps, gap = maps.copy(), 1
     while gap < len(maps):
-        maps[gap:] = np.take_along_axis(maps[gap:], maps[:-gap].astype(np.intp), axis=1)
+        way = maps[:-gap].astype(np.intp)
+        if counts is not None:
+            counts = np.concatenate([counts[:gap], counts[:-gap] + np.take_along_axis(counts[gap:], way, axis=1)])
+        maps[gap:] = np.take_along_axis(maps[gap:], way, axis=1)
         gap *= 2
-    return maps
+    return maps if counts is None else (maps, counts)
 
 
 def cuts(cp: np.ndarray) -> np.ndarray:
@@ -120,10 +129,13 @@ def cuts(cp: np.ndarray) -> np.ndarray:
 PLAIN = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
 class Counter:
     """The counting transducer of a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 300_000, held: int = ARCS_HELD):
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         if told["pre_tokenizer"]["type"] != "ByteLevel" or told["pre_tokenizer"]["add_prefix_space"] or told["normalizer"] or told["model"]["type"] != "BPE":
@@ -141,7 +153,7 @@ class Counter:
         self.prefixes = {t[:i] for t in self.made for i in range(1, len(t))}
         special = sorted((x["content"] for x in told["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.most = most
+        self.most, self.held = most, held
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.reset()
         self.store = Store(self.count_pieces, cut=lambda cp: np.flatnonzero(cuts(cp)), dtype=np.int64)
@@ -150,7 +162,23 @@ class Counter:
         #: A state: for each suffix that may grow into a token, (suffix, the token before it, tokens up to there less all so far).
         self.states: list[tuple] = [((b"", b"", 0),)]
         self.number = {self.states[0]: 0}
-        self.arcs: dict[int, tuple[int, int]] = {}
+        self.room(1 << 12)
+
+    def room(self, size: int) -> None:
+        """An empty table of transitions, found by a hash of state << 8 | byte: that key or -1, the next state, tokens emitted."""
+        self.keys, self.after, self.emits = np.full(size, -1, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int16)
+        self.arcs, self.shift = 0, 64 - size.bit_length() + 1
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where these transitions are in the table, or the free place where they would go."""
+        at = ((keys.astype(np.uint64) * MIX) >> np.uint64(self.shift)).astype(np.int64)
+        found = self.keys[at]
+        far = np.flatnonzero((found != keys) & (found >= 0))
+        while far.size:
+            at[far] = (at[far] + 1) & (len(self.keys) - 1)
+            found = self.keys[at[far]]
+            far = far[(found != keys[far]) & (found >= 0)]
+        return at
 
     def adjacent(self, a: bytes, b: bytes) -> bool:
         """Whether tokens a and b stay apart when their bytes are encoded: no pair across the border merges in time.
@@ -190,20 +218,102 @@ class Counter:
             self.states.append(after)
         return to, emitted
 
-    def count_piece(self, piece: bytes) -> int:
-        if len(self.arcs) > self.most:
-            self.reset()
-        state, total, arcs = 0, 0, self.arcs
-        for byte in piece:
-            found = arcs.get(state << 8 | byte)
-            if found is None:
-                found = arcs[state << 8 | byte] = self.arc(state, byte)
-            state, n = found
+    def compile(self, keys: np.ndarray) -> None:
+        """Add these transitions to the table."""
+        made = [self.arc(key >> 8, key & 255) for key in keys.tolist()]
+        if 2 * (self.arcs + len(made)) > len(self.keys):
+            old = self.keys >= 0
+            kept = self.keys[old], self.after[old], self.emits[old]
+            self.room(1 << (4 * (len(kept[0]) + len(made))).bit_length())
+            self.put(*kept)
+        self.put(keys, *(np.array(x) for x in zip(*made)))
+
+    def put(self, keys: np.ndarray, after: np.ndarray, emits: np.ndarray) -> None:
+        self.arcs += len(keys)
+        while len(keys):
+            at = self.places(keys)
+            _, first = np.unique(at, return_index=True)  # of those that want one place the first has it now
+            self.keys[at[first]], self.after[at[first]], self.emits[at[first]] = keys[first], after[first], emits[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, after, emits = keys[rest], after[rest], emits[rest]
+
+    def lanes(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs over data[begin : begin + size] from these states, side by side: last states, tokens emitted."""
+        order = np.argsort(-size, kind="stable")
+        begin, falling, now = begin[order], -size[order], state[order].astype(np.int64)
+        total = np.zeros(len(order), np.int64)
+        for i in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(falling, -i))  # lanes longer than i
+            key = now[:n] << 8 | data[begin[:n] + i]
+            at = self.places(key)
+            if (new := np.flatnonzero(self.keys[at] < 0)).size:
+                self.compile(np.unique(key[new]))
+                at = self.places(key)
+            total[:n] += self.emits[at]
+            now[:n] = self.after[at]
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return now[back], total[back]
+
+    def forget_states(self, kept: int = 0) -> int:
+        """Forget the states where their transitions are too many, but for one, and give its new number."""
+        if self.arcs <= self.held:
+            return kept
+        live = self.states[kept]
+        self.reset()
+        if live not in self.number:
+            self.number[live] = len(self.states)
+            self.states.append(live)
+        return self.number[live]
+
+    def chunked(self, data: np.ndarray, state: int) -> tuple[int, int]:
+        """The state after data, begun in this one, and the tokens emitted: by chunk maps and their prefix scan."""
+        n = len(data)
+        k = -(-n // SPAN)
+        begins = np.arange(k) * SPAN
+        warm = np.minimum(begins, WARM)
+        guess, _ = self.lanes(data, begins - warm, warm, np.zeros(k, np.int64))
+        guess[0] = state
+        known, ends, counts = (np.empty(0, np.int64) for _ in range(3))  # by chunk << 32 | first state
+        new = np.unique(np.arange(k) << 32 | guess)
+        while len(new):
+            chunk = new >> 32
+            end, count = self.lanes(data, begins[chunk], np.minimum(n - begins[chunk], SPAN), new & 0xFFFFFFFF)
+            known, ends, counts = np.concatenate([known, new]), np.concatenate([ends, end]), np.concatenate([counts, count])
+            inner = chunk < k - 1
+            new = np.setdiff1d((chunk[inner] + 1) << 32 | end[inner], known)
+        order = np.argsort(known)
+        known, ends, counts = known[order], ends[order], counts[order]
+        chunk = known >> 32
+        first = np.searchsorted(chunk, np.arange(k))
+        place = np.arange(len(known)) - first[chunk]
+        maps, sums = np.zeros((k, int(place.max()) + 1), np.int64), np.zeros((k, int(place.max()) + 1), np.int64)
+        inner = chunk < k - 1
+        maps[chunk[inner], place[inner]] = np.searchsorted(known, (chunk[inner] + 1) << 32 | ends[inner]) - first[chunk[inner] + 1]
+        sums[chunk, place] = counts
+        maps, sums = scan(maps, sums)  # chunk 0 begins in one state alone, so its column tells all
+        return int(ends[first[-1] + (maps[-2, 0] if k > 1 else 0)]), int(sums[-1, 0])
+
+    def count_long(self, data: np.ndarray) -> int:
+        state, total = 0, 0
+        for at in range(0, len(data), BATCH):
+            state, n = self.chunked(data[at : at + BATCH], self.forget_states(state))
             total += n
         return total
 
     def count_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([self.count_piece(p.encode()) for p in pieces], np.int64), np.ones(len(pieces), np.int64)
+        raw = [p.encode() for p in pieces]
+        data, size = np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
+        begin, out = np.cumsum(size) - size, np.zeros(len(pieces), np.int64)
+        short = np.flatnonzero(size <= 2 * SPAN)
+        batch = (np.cumsum(size[short]) - size[short]) // BATCH
+        for some in np.split(short, np.flatnonzero(np.diff(batch)) + 1):
+            self.forget_states()
+            out[some] = self.lanes(data, begin[some], size[some], np.zeros(len(some), np.int64))[1]
+        for i in np.flatnonzero(size > 2 * SPAN).tolist():
+            out[i] = self.count_long(data[begin[i] : begin[i] + size[i]])
+        return out, np.ones(len(pieces), np.int64)
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text; its special strings count one each."""

@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -124,11 +125,39 @@ def test_chunk_maps_compose_like_a_plain_run():
 
 
 def test_counter_forgets_without_changing_counts():
-    c = counts.Counter(JSON, most=50)
+    c = counts.Counter(JSON, most=50, held=50)
     texts = [f"unusual{i} wording{i * 7}" for i in range(60)]
     assert c.count(texts) == [len(library(JSON).encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def long_pieces():
+    """One piece each, of up to a megabyte: runs, periods that no chunk divides, and what never repeats."""
+    draw = random.Random(9)
+    return {
+        "run": "a" * 1_000_000, "period": "abcabdabe" * 20_000, "signs": "=-" * 30_000, "random": "".join(draw.choices("etaoinshrdlu", k=60_000)), "syllables": "".join(draw.choices(["the", "ing", "tion", "x"], k=80_000)),
+        "wide": "".join(chr(draw.randrange(0x4E00, 0x9FFF)) for _ in range(20_000)), "edge": "b" * (2 * counts.SPAN + 1), "two": "c" * 512 + "'" + "d" * 700,
+    }
+
+
+@pytest.mark.parametrize("held", [counts.ARCS_HELD, 30])
+def test_long_pieces_are_counted_by_chunk_maps(held):
+    c = counts.Counter(JSON, held=held)
+    for name, text in long_pieces().items():
+        assert c.count([text]) == [len(library(JSON).encode(text, add_special_tokens=False).ids)], name
+        assert c.arcs <= held + 4 * counts.BATCH and len(c.keys) < 16 * (held + 4 * counts.BATCH)
+
+
+def test_chunk_maps_give_what_a_run_from_the_first_byte_gives():
+    c = counts.Counter(JSON)
+    draw = random.Random(4)
+    data = np.frombuffer("".join(draw.choices(["ab", "abc", "a", "the", "q"], k=4000)).encode(), np.uint8)
+    for begin in range(0, 5 * counts.SPAN, 177):
+        state = int(c.lanes(data, np.array([0]), np.array([begin]), np.array([0]))[0][0])
+        for n in (1, counts.SPAN - 1, counts.SPAN, 5 * counts.SPAN + 3):
+            run = c.lanes(data, np.array([begin]), np.array([n]), np.array([state]))
+            assert c.chunked(data[begin : begin + n], state) == (run[0][0], run[1][0])
+
+
 def test_digests_and_counts_of_edges(edges, clashing, empty):
     r, lib = reference(), library(JSON)
     for docs in (edges, pick(clashing, "doc_id", "text")):
