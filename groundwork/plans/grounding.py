@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as t
-from groundwork.operators import audit
+from groundwork.operators import audit, containment
 from groundwork.plans.common import normalize, quote_hash, table
 
 #: One expression for both engines: the line of each item by k, and the item's review.
@@ -38,8 +38,7 @@ SOURCES = f"sources AS MATERIALIZED (SELECT doc_id AS source_id, {normalize('tex
 def ground_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
     sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
-    sized = quotes.count() * sources.count()  # both from file footers
-    found = audit.grounded_pairs(quotes, sources, sized).groupBy("quote_id").agg(F.count("*").alias("n_sources"), F.min("source_id").alias("first_source"))
+    found = containment.grounded_pairs(quotes, sources).groupBy("quote_id").agg(F.count("*").alias("n_sources"), F.min("source_id").alias("first_source"))
     n = F.coalesce("n_sources", F.lit(0))
     return quotes.join(found, "quote_id", "left").select(
         F.col("quote_id").alias("item_id"), F.when(n > 0, "validated").otherwise("evidence").alias("tag"), n.alias("n_sources"), "first_source", t.quote_hash(F.col("quote")).alias("quote_hash")
@@ -53,10 +52,10 @@ FROM quotes LEFT JOIN hits USING (item_id)"""
 
 
 def shingle_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The strategy for large products, run at any size."""
+    """The strategy for large quote sets, run at any size."""
     quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
     sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
-    return audit.grounded_pairs(quotes, sources, audit.NESTED_LIMIT + 1)
+    return containment.by_shingles(quotes, sources)
 
 
 SHINGLE_GROUNDING = f"""WITH {SOURCES} SELECT item_id AS quote_id, source_id FROM benchmark JOIN sources ON contains(s, {normalize("text")})"""
@@ -75,7 +74,7 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = audit.anchors(review(spark, sf_dir)).withColumn("h", t.quote_hash(F.col("quote")))
     sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
     quotes = a.select(F.col("h").alias("quote_id"), "quote").dropDuplicates(["quote_id"])
-    hit = audit.grounded_pairs(quotes, sources, quotes.count() * sources.count()).select(F.col("quote_id").alias("h")).distinct().withColumn("hit", F.lit(True))
+    hit = containment.grounded_pairs(quotes, sources).select(F.col("quote_id").alias("h")).distinct().withColumn("hit", F.lit(True))
     base = table(spark, sf_dir, "benchmark").filter("item_id % 2 = 0").select((F.col("item_id") % 4).alias("doc"), t.quote_hash(F.col("text")).alias("h")).distinct().withColumn("base", F.lit(True))
     flags = a.join(hit, "h", "left").join(base, ["doc", "h"], "left")
     return flags.select(
