@@ -38,13 +38,6 @@ def recall_depth(k: Column, tables: Column, least: int = 30) -> Column:
     return F.when(tables > 1, F.least(F.greatest(one, 4 * tables), F.lit(100))).otherwise(one)
 
 
-def check_width(rows: DataFrame, vector: str = "vector") -> None:
-    """Refuse vectors of different widths."""
-    r = rows.agg(F.min(F.size(vector)).alias("a"), F.max(F.size(vector)).alias("b")).first()
-    if r["a"] != r["b"]:
-        raise ValueError(f"vectors of width {r['a']} to {r['b']}")
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -62,6 +55,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, within: str | None = No
     to the smaller id, distances being rounded to 9 places. Queries of more than QUERY_BYTES are
     dealt by their id to blocks of about half of that, which are searched one after another and
     written to the shared folder, so that the driver and the tasks hold one block at a time.
+    Null vectors have no neighbours and are none, and rows without a group are left out; vectors of another width than the queries' are
+    refused, as are queries of several widths.
     """
     spark, size = queries.sparkSession, _bytes(queries)
     if size <= QUERY_BYTES:
@@ -76,10 +71,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, within: str | None = No
 def _nearest(queries: DataFrame, base: DataFrame, k: int, within: str | None, metric: str) -> DataFrame:
     """nearest() of one block of queries."""
     ship(queries.sparkSession)
-    some = queries.select("query_id", F.col("vector").cast("array<double>")).collect()
-    ids = np.array([r["query_id"] for r in some], np.int64)
-    matrix = np.array([r["vector"] for r in some], np.float64).reshape(len(some), -1)
-    norms = np.linalg.norm(matrix, axis=1)
+    ids, asked = gathered(queries)
+    norms, width = np.linalg.norm(asked, axis=1), asked.shape[1]
     columns = ["id", *([within] if within else []), "vector"]
     form = "query_id long, id long, " + (f"{within} long, " if within else "") + "distance double"
 
@@ -93,16 +86,17 @@ def _nearest(queries: DataFrame, base: DataFrame, k: int, within: str | None, me
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            n = batch.num_rows
-            if not n or not len(ids):
+            if not len(ids):
                 continue
-            flat = batch.column(len(columns) - 1)
-            rows = np.asarray(flat.values.to_numpy(zero_copy_only=False), np.float64).reshape(n, -1)
-            key = batch.column(0).to_numpy()
-            groups = batch.column(1).to_numpy() if within else np.zeros(n, np.int64)
+            rows, there = matrix(batch.column(len(columns) - 1), width)
+            n = len(rows)
+            if not n:
+                continue
+            key = batch.column(0).to_numpy()[there]
+            groups = batch.column(1).to_numpy(zero_copy_only=False)[there] if within else np.zeros(n, np.int64)
             norm = np.linalg.norm(rows, axis=1)
             for at in range(0, len(ids), 256):
-                block = matrix[at : at + 256]
+                block = asked[at : at + 256]
                 if metric == "cosine":
                     d = 1 - (block @ rows.T) / (norms[at : at + 256, None] * norm[None, :])
                 else:
@@ -110,10 +104,9 @@ def _nearest(queries: DataFrame, base: DataFrame, k: int, within: str | None, me
                 d = np.abs(np.round(d, 9))  # no negative zeros
                 for g in np.unique(groups):
                     own = np.flatnonzero(groups == g)
-                    order = np.lexsort((np.broadcast_to(key[own], (len(block), len(own))), d[:, own]), axis=1)[:, :k]
-                    found = own[order].ravel()
-                    held.append((np.repeat(np.arange(at, at + len(block)), order.shape[1]), key[found], groups[found], np.take_along_axis(d, own[order], axis=1).ravel()))
-                    size += len(found)
+                    i, j = smallest(d[:, own], k)
+                    held.append((at + i, key[own[j]], groups[own[j]], d[i, own[j]]))
+                    size += len(i)
                     if size > HELD:
                         held = [best_of(held, k)]
                         size = len(held[0][0])
@@ -123,11 +116,37 @@ def _nearest(queries: DataFrame, base: DataFrame, k: int, within: str | None, me
         if held:
             yield sent(best_of(held, k))
 
-    best = base.select(F.col("id").cast("long"), *([F.col(within).cast("long").alias(within)] if within else []), "vector").mapInArrow(run, form)
+    best = (base.filter(F.col(within).isNotNull()) if within else base).select(F.col("id").cast("long"), *([F.col(within).cast("long").alias(within)] if within else []), "vector").mapInArrow(run, form)
     rank = F.row_number().over(Window.partitionBy("query_id", *([within] if within else [])).orderBy("distance", "id")) - 1
     return best.withColumn("rank", rank.cast("long")).filter(F.col("rank") < k)
 
 
+def matrix(column, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """An Arrow column of lists as a matrix of the vectors that are there, and where they are; another width is refused."""
+    lengths = np.diff(column.offsets.to_numpy())
+    there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    if len(there) and (lengths[there] != width).any():
+        raise ValueError(f"vectors of width {lengths[there].min()} to {lengths[there].max()}, not {width}")
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(there), width), there
+
+
+def gathered(queries: DataFrame, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and the matrix of queries (query_id, vector) that have a vector; several widths, or another than `width`, are refused."""
+    some = queries.filter("vector is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>")).collect()
+    widths = {len(r["vector"]) for r in some} | ({width} if width is not None and some else set())
+    if len(widths) > 1:
+        raise ValueError(f"vectors of width {min(widths)} to {max(widths)}")
+    return np.array([r["query_id"] for r in some], np.int64), np.array([r["vector"] for r in some], np.float64).reshape(len(some), max(widths, default=width or 0))
+
+
+def smallest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the k smallest of each row are, with all that tie with the last of them."""
+    if d.shape[1] <= k:
+        return np.nonzero(np.ones(d.shape, bool))
+    last = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    return np.nonzero((d <= last) | np.isnan(last))
+
+
 def best_of(parts: list[tuple], k: int) -> tuple:
     """The k hits of least distance, then id, of each query and group; parts hold arrays of query, id, group, distance."""
     q, found, group, d = (np.concatenate(x) for x in zip(*parts))
@@ -141,9 +160,7 @@ def best_of(parts: list[tuple], k: int) -> tuple:
 
 
 def _bytes(queries: DataFrame) -> int:
-    n = queries.count()
-    width = (queries.select(F.size("vector")).first() or [0])[0] if n else 0
-    return n * width * 8
+    return (queries.agg(F.sum(F.greatest(F.size("vector"), F.lit(0))).alias("n")).first()["n"] or 0) * 8
 
 
 def fuse(hits: DataFrame, k: int | None = None, c: int = RRF, by: tuple[str, ...] = ("query_id",), payload: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -179,6 +196,40 @@ def lexical_relevance(query: Column, text: Column) -> Column:
     return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, word_set(text))) / F.size(q))
 
 
+def top_by_words(queries: DataFrame, docs: DataFrame, k: int, rarest: int = 3) -> DataFrame:
+    """queries (query_id, text) x docs (doc_id, text) -> query_id, doc_id, relevance (share of the query's distinct words), place: the k best that share a word.
+
+    The maximum-score rule, in two rounds. A query's rarest words bring in documents whose scores
+    give a floor: the k-th best so far shares m words. A document that reaches it has one of all but
+    the query's m - 1 most common words, so only those bring in the candidates of the second round;
+    the common ones merely raise scores. Ties go to the smaller doc_id; null texts have no words.
+    """
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/words-{uuid.uuid4().hex}"
+    docs.select("doc_id", word_set(F.coalesce("text", F.lit(""))).alias("words")).filter(F.size("words") > 0).write.parquet(path)
+    held = spark.read.schema(f"doc_id {dict(docs.dtypes)['doc_id']}, words array<string>").parquet(path)
+    q = queries.select("query_id", word_set(F.coalesce("text", F.lit(""))).alias("w")).filter(F.size("w") > 0).withColumn("n", F.size("w"))
+    each = q.select("query_id", "n", F.explode("w").alias("word"))
+    frequent = held.select(F.explode("words").alias("word")).join(each.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "word"))
+    ranked = each.join(frequent, "word").withColumn("nth", nth)  # words that no document has can bring none in
+    ranked.write.parquet(f"{path}-ranked")
+    ranked = spark.read.schema(ranked.schema).parquet(f"{path}-ranked")
+
+    def scored(words: DataFrame) -> DataFrame:
+        postings = held.select("doc_id", F.explode("words").alias("word"))
+        pairs = postings.join(words.select("query_id", "word"), "word").select("query_id", "doc_id").distinct()
+        return pairs.join(held, "doc_id").join(q, "query_id").select("query_id", "doc_id", "n", F.size(F.array_intersect("w", "words")).alias("m"))
+
+    best = Window.partitionBy("query_id").orderBy(F.desc("m"), "doc_id")
+    first = scored(ranked.filter(F.col("nth") <= rarest)).withColumn("place", F.row_number().over(best)).filter(F.col("place") == k)
+    floor = first.select("query_id", F.col("m").alias("floor"))
+    known = Window.partitionBy("query_id")
+    needed = ranked.withColumn("known", F.count("*").over(known)).join(floor, "query_id", "left").filter(F.col("nth") <= F.col("known") - F.coalesce("floor", F.lit(1)) + 1)
+    place = (F.row_number().over(best) - 1).cast("long")
+    return scored(needed).withColumn("place", place).filter(F.col("place") < k).select("query_id", "doc_id", F.round(F.col("m") / F.col("n"), 9).alias("relevance"), "place")
+
+
 def relevance(response: Column) -> Column:
     """index -> score of a rerank response: {"results": [...]} or a bare list, relevance_score or score; NULL if unreadable."""
     item = "array<struct<index:int, relevance_score:double, score:double>>"
@@ -200,72 +251,6 @@ def context(rows: DataFrame, by: tuple[str, ...] = ("query_id",), order: str = "
     return rows.groupBy(*by).agg(F.array_join(ordered, "\n\n---\n\n").alias("context"), shown.alias("sources"))
 
 
-def train_cells(base: DataFrame, cells: int, sample: int = 20_000, seed: int = 3):
-    """Centres of an inverted-file index, by k-means over a bounded random sample of vectors."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    n = base.count()
-    some = base.sample(fraction=min(1.0, sample / max(1, n)), seed=seed).select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    return np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(some).clusterCenters())
-
-
-def with_cells(base: DataFrame, centres, probes: int = 1) -> DataFrame:
-    """base with the nearest `probes` cells of each row, as array column `cells`."""
-    ship(base.sparkSession)
-    wide = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", cells array<int>"
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            if batch.num_rows:
-                rows = np.asarray(batch.column(batch.schema.get_field_index("vector")).values.to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
-                d = (rows**2).sum(1)[:, None] - 2 * rows @ centres.T + (centres**2).sum(1)[None, :]
-                near = np.argsort(d, axis=1)[:, :probes].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near))], names=[*batch.schema.names, "cells"])
-
-    return base.mapInArrow(run, wide)
-
-
-def nearest_approximate(queries: DataFrame, base: DataFrame, k: int, cells: int = 16, probes: int = 6, centres=None) -> DataFrame:
-    """k nearest by an inverted-file index: every row is indexed, the nearest cells probed, distances exact."""
-    centres = train_cells(base, cells) if centres is None else centres
-    b = with_cells(base.select(F.col("id").cast("long").alias("id"), "vector"), centres).select("id", F.col("vector").alias("v"), F.explode("cells").alias("cell"))
-    q = with_cells(queries.select(F.col("query_id").cast("long").alias("query_id"), "vector"), centres, probes).select("query_id", F.col("vector").alias("w"), F.explode("cells").alias("cell"))
-    pairs = q.join(b, "cell").select("query_id", "id", F.round(cosine_distance(F.col("w"), F.col("v")), 9).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")) - 1
-    return pairs.withColumn("rank", rank.cast("long")).filter(F.col("rank") < k)
-
-
-def index_cells(rows: int) -> int:
-    """Cells of an index over so many rows: about the root of the rows, so that no cell is hot."""
-    return min(4096, max(16, round(rows**0.5)))
-
-
-def probes_needed(queries: DataFrame, base: DataFrame, k: int, centres, recall: float = 0.95, sample: int = 64) -> int:
-    """How many cells a query must probe for this recall, measured against exact search for `sample` queries drawn by hash.
-
-    Each true neighbour lies in one cell, at some place in the order of the query's cells; the
-    wanted share of these places tells the probes.
-    """
-    some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(sample).select(F.col("query_id").cast("long").alias("query_id"), "vector")
-    near = nearest(some, base, k).select("query_id", "id")
-    own = with_cells(base.select(F.col("id").cast("long").alias("id"), "vector"), centres).select("id", F.col("cells")[0].alias("cell"))
-    order = with_cells(some, centres, len(centres)).select("query_id", "cells")
-    at = near.join(own, "id").join(order, "query_id").select((F.array_position("cells", F.col("cell"))).alias("at")).collect()  # sample * k rows
-    return int(np.quantile([r["at"] for r in at], recall, method="higher")) if at else 1
-
-
-def search(queries: DataFrame, base: DataFrame, k: int, rows: int = INDEX_ROWS) -> DataFrame:
-    """k nearest by cosine: exact up to `rows` vectors, beyond by an index whose probes are measured to recall 0.95."""
-    n = base.count()
-    if n <= rows:
-        return nearest(queries, base, k)
-    centres = train_cells(base, index_cells(n))
-    return nearest_approximate(queries, base, k, probes=probes_needed(queries, base, k, centres), centres=centres)
-
-
 def embed(rows: DataFrame, text: str = "text", width: int = 64) -> DataFrame:
     """The offline embedder: hashed letter 3-grams, unit length, order kept. An interface; models may stand in its place."""
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.lower(F.substring(F.col(text), i, 3))), F.lit(width)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.operators import retrieval as r
+from groundwork.operators import vector_index
 from groundwork.plans.common import table
 
 #: For both engines: the file and text that a vector's chunk has; files and text starts repeat within and across lists.
@@ -34,8 +35,8 @@ KNN_TOPK = f"WITH {PAIRS} SELECT query_id, id, round(distance, 6) AS distance, r
 
 
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest five, exact or by the index as the number of rows tells."""
-    return r.search(asked(spark, sf_dir), base(spark, sf_dir), 5).select("query_id", "id", "rank")
+    """The nearest five, exact at any size."""
+    return r.nearest(asked(spark, sf_dir), base(spark, sf_dir), 5).select("query_id", "id", "rank")
 
 
 VECTOR_SEARCH = f"WITH {PAIRS} SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) - 1 AS rank FROM pairs) WHERE rank < 5"
@@ -100,13 +101,10 @@ o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance IS N
 
 
 def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five documents that share most of each passage's words: an equi-join on words, counted; no pair without a common word is made."""
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), r.word_set(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(r.word_set(F.col("text"))).alias("word"))
-    shared = d.join(q.select("query_id", "n", F.explode("w").alias("word")), "word").groupBy("query_id", "doc_id", "n").count()
-    scored = shared.select("query_id", "doc_id", F.round(F.col("count") / F.col("n"), 9).alias("relevance"))
-    place = F.expr("row_number() over (partition by query_id order by relevance desc, doc_id) - 1").cast("long")
-    return scored.withColumn("place", place).filter("place < 5").select("query_id", "place", "doc_id", F.round("relevance", 6).alias("relevance"))
+    """The five documents that share most of each passage's words; common words bring no document in."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = r.top_by_words(q, table(spark, sf_dir, "documents").select("doc_id", "text"), 5)
+    return found.select("query_id", "place", "doc_id", F.round("relevance", 6).alias("relevance"))
 
 
 WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> ''))"
@@ -166,8 +164,22 @@ QUERY_TRUNCATION = "SELECT doc_id, length('query: ' || substr(text, 1, 6000)) AS
 
 
 def knn_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same search by an inverted-file index (rows only; recall is tested)."""
-    return r.nearest_approximate(asked(spark, sf_dir), base(spark, sf_dir), 10)
+    """The same search by an index of cells and product codes, its probes measured (rows only; index_recall tells its recall)."""
+    index = vector_index.opened(base(spark, sf_dir))
+    return index.search(asked(spark, sf_dir), 10, index.probes_needed(asked(spark, sf_dir), 10))
+
+
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that the index holds, queries, true neighbours, and whether the index finds nine in ten of them."""
+    rows, queries = base(spark, sf_dir), asked(spark, sf_dir)
+    index = vector_index.opened(rows)
+    true = r.nearest(queries, rows, 10).select("query_id", "id")
+    found = index.search(queries, 10, index.probes_needed(queries, 10)).select("query_id", "id", F.lit(1).alias("hit"))
+    hits = true.join(found, ["query_id", "id"], "left").agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_true"), (F.count("hit") >= 0.9 * F.count("*")).alias("recalled"))
+    return index.rows().agg(F.count("*").alias("n_indexed")).crossJoin(hits)  # a row each
+
+
+INDEX_RECALL = "SELECT count(*) AS n_indexed, count(*) FILTER (vec_id % 20 = 0) AS n_queries, 10 * count(*) FILTER (vec_id % 20 = 0) AS n_true, true AS recalled FROM embeddings"
 
 
 def vector_width(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,5 +210,5 @@ MODEL_SCORES = rf"""WITH x AS (SELECT item_id, lower(trim({REPLY})) AS l FROM be
 SELECT item_id, CASE WHEN l = '' THEN NULL WHEN regexp_matches(l, 'unsupported|not support|contradict') OR starts_with(l, 'no') THEN 0.0::DOUBLE WHEN regexp_matches(l, 'supported|entail') OR starts_with(l, 'yes') THEN 1.0::DOUBLE WHEN v BETWEEN 0 AND 1 THEN v END AS entailed,
  CASE WHEN item_id % 5 <> 0 THEN round((item_id % 9) / 9.0::DOUBLE, 6) END AS last_logit FROM y"""
 
-QUERIES = {f.__name__: f for f in (knn_topk, vector_search, knn_l2, knn_by_label_rrf, single_list_bypass, region_score, rerank_scores, lexical_rerank, cite_concat, recall_depths, table_selection, query_truncation, knn_approximate, vector_width, embed_passages, model_scores)}
+QUERIES = {f.__name__: f for f in (knn_topk, vector_search, knn_l2, knn_by_label_rrf, single_list_bypass, region_score, rerank_scores, lexical_rerank, cite_concat, recall_depths, table_selection, query_truncation, knn_approximate, index_recall, vector_width, embed_passages, model_scores)}
 ORACLES = {k: globals()[k.upper()] for k in QUERIES if k.upper() in globals()}
