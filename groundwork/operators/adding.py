@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as t
-from groundwork.operators import chunking, retrieval, web
+from groundwork.operators import chunking, content, retrieval, web
 from groundwork.sources.catalog import Store
 
 LEAST = 50  # characters of a page's main text below which it counts as not fetched
@@ -20,8 +20,10 @@ def add_files(store: Store, files: DataFrame, collection: str, embedder=retrieva
 
 
 def add_pages(store: Store, pages: DataFrame, collection: str, embedder=retrieval.embed) -> int:
-    """pages (url, html) as documents under their addresses; the number of pages that have a main text, of which there must be one."""
-    named = pages.select(F.concat(t.url_stem(F.col("url")), F.lit(".md")).alias("source_file"), "url", web.main_text(F.col("html")).alias("main"))
+    """The main content of pages (url, html) as documents under their addresses; the number of pages that have a main text, of which there must be one."""
+    marked = content.with_markdown(pages.select("url", "html"))
+    main = F.when(F.length("markdown") > LEAST, F.col("markdown")).otherwise(web.main_text(F.col("html")))  # a page whose blocks are all short is taken whole
+    named = marked.select(F.concat(t.url_stem(F.col("url")), F.lit(".md")).alias("source_file"), "url", main.alias("main"))
     fetched = named.filter(F.length("main") > LEAST)
     n = fetched.count()
     if not n:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as t
-from groundwork.operators import web
+from groundwork.operators import content, web
 from groundwork.plans.common import collapse, table
 from groundwork.session import shared_dir
 from groundwork.sources import catalog
@@ -65,6 +65,50 @@ SELECT page_id, length(text) AS n_chars, md5(concat('# Source: ', url, chr(10),
  CASE WHEN page_id % 6 = 0 OR page_id % 7 = 4 THEN 'pdf' WHEN page_id % 6 = 1 OR page_id % 7 = 3 THEN 'direct' WHEN CASE WHEN page_id % 5 = 0 THEN 10 ELSE length(text) END >= 100 THEN 'html' WHEN page_id % 100 > 50 THEN 'browser' ELSE 'failed' END AS route FROM x"""
 
 
+def content_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of each page, their scores, and which are content."""
+    x = content.with_blocks(table(spark, sf_dir, "pages")).select("page_id", F.posexplode("blocks").alias("pos", "b"))
+    longs = [F.col(c).cast("long").alias(c.rsplit(".", 1)[-1]) for c in ("pos", "b.n_chars", "b.link_chars", "b.score")]
+    return x.select("page_id", *longs, "b.tag", "b.kept", F.md5(F.col("b.text").cast("binary")).alias("digest"))
+
+
+def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main content of each page as Markdown."""
+    x = content.with_markdown(table(spark, sf_dir, "pages"))
+    return x.select("page_id", F.length("markdown").cast("long").alias("n_chars"), F.md5(F.col("markdown").cast("binary")).alias("digest"))
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _untagged(x: str) -> str:
+    x = f"regexp_replace({x}, '{content.TAG}', ' ', 'g')"
+    for entity, sign in content.ENTITIES:
+        x = f"replace({x}, '{entity}', '{_quoted(sign)}')"
+    return x
+
+
+_CLEAN = f"regexp_replace(translate(coalesce(html, ''), chr(1) || chr(2), '  '), '{content.COMMENT}', ' ', 'g')"
+for _pattern in (*map(content.dropped, content.DROPPED), *map(content.box, content.BOXES)):
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_quoted(_pattern)}', ' ', 'g')"
+BLOCKS = rf"""marked AS (SELECT page_id, regexp_replace(regexp_replace({_CLEAN}, '{content.CELL}', ' | ', 'g'), '{content.BOUND}', chr(1) || '\1\2' || chr(2), 'g') AS m FROM pages),
+piece AS (SELECT page_id, unnest(string_split(m, chr(1))) AS piece, unnest(range(len(string_split(m, chr(1))))) AS seat FROM marked),
+cut AS (SELECT page_id, seat, CASE WHEN contains(piece, chr(2)) THEN lower(split_part(piece, chr(2), 1)) ELSE '' END AS tag, CASE WHEN contains(piece, chr(2)) THEN split_part(piece, chr(2), 2) ELSE piece END AS inside FROM piece),
+own AS (SELECT page_id, seat, tag, CASE WHEN tag = 'pre' THEN rtrim({_untagged("inside")}, ' ') ELSE {collapse(_untagged("inside"))} END AS text,
+ coalesce(list_sum([length({collapse(_untagged("x"))}) FOR x IN regexp_extract_all(inside, '{content.LINK}', 1)]), 0) AS links FROM cut),
+w AS (SELECT *, length(text) - 3 * links AS own, row_number() OVER (PARTITION BY page_id ORDER BY seat) - 1 AS pos FROM own WHERE text <> ''),
+sc AS (SELECT *, 4 * own + coalesce(lag(own) OVER o, 0) + coalesce(lead(own) OVER o, 0) AS score FROM w WINDOW o AS (PARTITION BY page_id ORDER BY pos)),
+gd AS (SELECT *, 2 * links <= length(text) AND (score >= {content.LEAST} OR tag = 'pre') AS good FROM sc),
+blocks AS (SELECT *, good OR (regexp_matches(tag, '^h[1-6]$') AND coalesce(lead(good) OVER (PARTITION BY page_id ORDER BY pos), false)) AS kept FROM gd)"""
+CONTENT_BLOCKS = f"WITH {BLOCKS} SELECT page_id, pos, length(text) AS n_chars, links::BIGINT AS link_chars, score::BIGINT AS score, tag, kept, md5(text) AS digest FROM blocks"
+PAGE_MARKDOWN = rf"""WITH {BLOCKS}, k AS (SELECT *, row_number() OVER o AS nth, coalesce(lag(tag) OVER o = tag, false) AS same FROM blocks WHERE kept WINDOW o AS (PARTITION BY page_id ORDER BY pos)),
+r AS (SELECT page_id, string_agg(concat(CASE WHEN nth = 1 THEN '' WHEN tag IN ('li', 'tr') AND same THEN chr(10) ELSE chr(10) || chr(10) END,
+ CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN concat(repeat('#', substr(tag, 2, 1)::INT), ' ', text) WHEN tag = 'li' THEN concat('- ', text) WHEN tag = 'tr' THEN concat(text, ' |') WHEN tag = 'blockquote' THEN concat('> ', text)
+  WHEN tag = 'pre' THEN concat('```', chr(10), text, chr(10), '```') ELSE text END), '' ORDER BY pos) AS m FROM k GROUP BY page_id)
+SELECT page_id, length(coalesce(m, '')) AS n_chars, md5(coalesce(m, '')) AS digest FROM pages LEFT JOIN r USING (page_id)"""
+
+
 def fetch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = main_texts(spark, sf_dir)
     return x.agg(F.count("*").alias("pages"), F.count_if(F.col("route") != "failed").alias("fetched"), F.count_if(F.col("route") == "failed").alias("failed"))
@@ -292,5 +336,5 @@ def fresh_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FRESH_CACHE = "SELECT event_id, epoch((SELECT max(ts) FROM events))::BIGINT - floor(epoch(ts))::BIGINT < 86400 AS fresh FROM events"
 
-QUERIES = {f.__name__: f for f in (page_links, ordered_links, url_stems, main_texts, fetch_counts, manifest_links, sitemap_pages, instance_ranking, metasearch, research_reports, url_lists, robots, list_files, full_document, delete_by_file, store_append, store_remove_file, store_maintenance, chunk_rollup, projects, cleared_sessions, endpoints, fresh_cache)}
+QUERIES = {f.__name__: f for f in (page_links, ordered_links, url_stems, main_texts, content_blocks, page_markdown, fetch_counts, manifest_links, sitemap_pages, instance_ranking, metasearch, research_reports, url_lists, robots, list_files, full_document, delete_by_file, store_append, store_remove_file, store_maintenance, chunk_rollup, projects, cleared_sessions, endpoints, fresh_cache)}
 ORACLES = {k: globals()[k.upper()] for k in QUERIES if k.upper() in globals()}
