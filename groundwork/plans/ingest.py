@@ -234,6 +234,25 @@ m AS (SELECT *, regexp_extract(head, '(?:(?:function|func|fn|class|def|struct|in
 SELECT doc_id, first_line, last_line, CASE WHEN n.a <> '' THEN n.a WHEN n.b <> '' THEN n.b ELSE coalesce(n.c, '') END AS symbol, n_chars::BIGINT AS n_chars FROM m"""
 
 
+#: A class of a field and two methods, the second with a document's words as its lines.
+CLASS = """concat('class C', doc_id, ' {', chr(10), '  field = [1, {a: 2}]', chr(10), chr(10), '  // of note', chr(10), '  first(a) {', chr(10), '    return a', chr(10), '  }', chr(10),
+ '  second(b,', chr(10), '    c) {', chr(10), '    if (b) {', chr(10), '      ', replace(regexp_replace(text, '[^A-Za-z \n]', '', 'g'), chr(10), concat(chr(10), '      ')), chr(10), '    }', chr(10), '  }', chr(10), '}', chr(10))"""
+
+
+def nested_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a class around each document's words holds."""
+    made = F.expr(CLASS.replace("chr(", "char(").replace(", '', 'g')", ", '')"))
+    return chunking.nested_blocks(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", made.alias("text")), "javascript")
+
+
+NESTED_BLOCKS = rf"""WITH x AS (SELECT doc_id, string_split_regex({CLASS}, '\r\n|\n|\r') AS ls FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(ls[:-2]) AS line, unnest(range(1, len(ls))) AS i FROM x),
+top AS (SELECT *, sum((regexp_matches(line, '^[^\s}})\]]'))::INT) OVER (PARTITION BY doc_id ORDER BY i) AS top FROM l),
+d AS (SELECT *, coalesce(sum(length(regexp_replace(line, '[^(\[{{]', '', 'g')) - length(regexp_replace(line, '[^)\]}}]', '', 'g'))) OVER (PARTITION BY doc_id, top ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS level FROM top),
+b AS (SELECT *, level = 1 AND trim(line) <> '' AND left(trim(line), 1) NOT IN (')', ']', '}}') AND NOT starts_with(lag(line) OVER (PARTITION BY doc_id, top ORDER BY i), '  //') AS begins FROM d WHERE top = 1),
+g AS (SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM b)
+SELECT doc_id, min(i) AS first_line, max(i) AS last_line, CASE g WHEN 0 THEN concat('C', doc_id) WHEN 1 THEN '' WHEN 2 THEN 'first' ELSE 'second' END AS symbol FROM g GROUP BY doc_id, g"""
+
+
 ENV = """CASE doc_id % 7 WHEN 0 THEN concat('export K', doc_id % 40, '="v ', doc_id, ' # kept"') WHEN 1 THEN concat('K', doc_id % 40, '=plain', doc_id, ' # note') WHEN 2 THEN '# comment' WHEN 3 THEN ''
  WHEN 4 THEN concat(' K', doc_id % 40, ' = ''single ', doc_id, '''') WHEN 5 THEN 'no assignment' ELSE concat('K', doc_id % 40, '=a=b#c') END"""
 
@@ -258,5 +277,5 @@ def metadata_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 METADATA_HEADERS = """WITH b AS (SELECT doc_id, concat_ws(chr(10), CASE WHEN doc_id % 2 = 0 THEN concat('- **Title**: T', doc_id) END, CASE WHEN doc_id % 3 = 0 THEN '- **Author(s)**: A, B' END, CASE WHEN doc_id % 7 = 0 AND coalesce(lang, '') <> '' THEN concat('- **Subject**: ', lang) END) AS b FROM documents)
 SELECT doc_id, CASE WHEN b = '' THEN '' ELSE concat('# Document Metadata', chr(10), chr(10), b, chr(10), chr(10), '---', chr(10), chr(10)) END AS header FROM b"""
 
-QUERIES = {f.__name__: f for f in (classify_paths, test_paths, walk_repos, top_level, incremental_files, repo_listing, ignore_rules, split_rules, glob_expansion, extractor_routing, cer_pairs, best_pages, joined_pages, chunk_windows, chunk_pack_lines, chunk_documents, code_blocks, env_entries, metadata_headers)}
+QUERIES = {f.__name__: f for f in (classify_paths, test_paths, walk_repos, top_level, incremental_files, repo_listing, ignore_rules, split_rules, glob_expansion, extractor_routing, cer_pairs, best_pages, joined_pages, chunk_windows, chunk_pack_lines, chunk_documents, code_blocks, nested_blocks, env_entries, metadata_headers)}
 ORACLES = {k: globals()[k.upper()] for k in QUERIES if k.upper() in globals()}

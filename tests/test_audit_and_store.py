@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as t
-from groundwork.operators import adding, audit, chunking, logs, retrieval, web
+from groundwork.operators import adding, audit, chunking, containment, content, logs, retrieval, vector_index, web
 from groundwork.plans import dag
 from groundwork.plans.events import tumble
 from groundwork.sources import catalog, paths, sinks
@@ -58,12 +59,45 @@ def test_relabel_takes_the_right_anchor(spark):
     assert df.select(audit.relabelled(F.col("line"), F.col("c"))).first()[0] == 'a [validated] "one" b [fixed] "two"'
 
 
-def test_grounding_strategies_agree(spark):
+def test_grounding_strategies_agree(spark, monkeypatch):
     s = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, "xalpha beta gamma delta epsilonx"), (3, None)], "source_id long, text string")
     q = spark.createDataFrame([(1, "lpha beta gamma  delta epsilon"), (2, "beta"), (3, ""), (4, "gamma beta"), (5, None)], "quote_id long, quote string")
     want = {(1, 1), (1, 2), (2, 1), (2, 2)}
-    for sized in (0, None, audit.NESTED_LIMIT + 1):
-        assert {tuple(r) for r in audit.grounded_pairs(q, s, sized).collect()} == want
+    assert {tuple(r) for r in containment.grounded_pairs(q, s).collect()} == want == {tuple(r) for r in containment.by_shingles(q, s).collect()}
+    monkeypatch.setattr(containment, "BLOCK_QUOTES", 1)
+    assert sorted(map(tuple, containment.grounded_pairs(q, s).collect())) == sorted(want)  # three blocks
+    monkeypatch.setattr(containment, "MOST_PASSES", 2)
+    assert {tuple(r) for r in containment.grounded_pairs(q, s).collect()} == want
+    assert containment.grounded_pairs(q.limit(0), s).count() == containment.grounded_pairs(q, s.limit(0)).count() == 0
+
+
+def test_contained_quotes_equal_a_plain_loop(spark):
+    """Quotes that begin, end and hold others, longer than their heads, of few letters, outside the basic plane, under names of any type."""
+    draw = np.random.default_rng(5)
+    texts = ["".join(draw.choice(list("ab é😀"), int(n))) for n in draw.integers(0, 300, 60)] + ["a" * 500]
+    quotes = ["".join(draw.choice(list("ab é😀"), int(n))) for n in draw.integers(1, 9, 80)] + [x[i : i + 60] for x in texts for i in (0, 7)] + [x[3:70] + "b" for x in texts] + ["a" * n for n in (31, 32, 33, 34, 499, 501)]
+    q = spark.createDataFrame([(f"q{k}", x) for k, x in enumerate(quotes)], "quote_id string, quote string")
+    s = spark.createDataFrame(list(enumerate(texts)), "source_id int, text string").repartition(3)
+    plain = lambda x: " ".join(x.split())
+    want = sorted((f"q{k}", i) for k, x in enumerate(quotes) for i, y in enumerate(texts) if plain(x) and plain(x) in plain(y))
+    assert sorted(map(tuple, containment.grounded_pairs(q, s).collect())) == want and len(want) > 1000
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_the_best_by_words_equal_a_plain_loop(spark, k):
+    """Queries whose words are all common, all unknown, none, or of one document; ties, nulls."""
+    draw = np.random.default_rng(k)
+    vocabulary, weight = np.array([f"w{i}" for i in range(60)]), 1 / np.arange(1, 61)
+    say = lambda n: " ".join(draw.choice(vocabulary, n, p=weight / weight.sum()))
+    docs = [(i, say(int(draw.integers(1, 30)))) for i in range(150)] + [(150, None), (151, ""), (152, "w0 W0 only")]
+    queries = [(i, say(int(draw.integers(1, 20)))) for i in range(40)] + [(40, "none of these"), (41, None), (42, docs[7][1]), (43, "w0"), (44, "only w0 unknown")]
+    want = []
+    for i, x in queries:
+        w = {*(x or "").lower().split()}
+        shared = sorted((-len(w & {*(y or "").lower().split()}), d) for d, y in docs)
+        want += [(i, d, round(-m / len(w), 9), p) for p, (m, d) in enumerate(shared[:k]) if m]
+    found = retrieval.top_by_words(spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string").repartition(3), k)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
 
 
 def test_fusion_ignores_the_order_of_rows(spark):
@@ -102,16 +136,78 @@ def test_a_task_keeps_its_own_best(spark, monkeypatch, held):
     assert got == want
 
 
-def test_search_takes_the_index_by_the_number_of_rows(spark):
+def test_search_takes_the_index_by_the_number_of_rows(spark, tmp_path):
     from tests.conftest import SF
 
     from groundwork.plans.retrieval import asked, base
 
-    exact = {(r.query_id, r.id) for r in retrieval.search(asked(spark, SF), base(spark, SF), 5).collect()}
-    assert exact == {(r.query_id, r.id) for r in retrieval.nearest(asked(spark, SF), base(spark, SF), 5).collect()}
-    near = {(r.query_id, r.id) for r in retrieval.search(asked(spark, SF), base(spark, SF), 5, rows=100).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
-    assert [retrieval.index_cells(n) for n in (0, 2_000, 50_001, 10**10)] == [16, 45, 224, 4096]
+    where = f"file://{tmp_path}/index"
+    exact = {(r.query_id, r.id) for r in vector_index.search(asked(spark, SF), base(spark, SF), 5, path=where).collect()}
+    assert exact == {(r.query_id, r.id) for r in retrieval.nearest(asked(spark, SF), base(spark, SF), 5).collect()} and not (tmp_path / "index").exists()
+    written = []
+    for _ in range(2):  # built, then found there
+        near = {(r.query_id, r.id) for r in vector_index.search(asked(spark, SF), base(spark, SF), 5, rows=100, path=where).collect()}
+        assert len(exact & near) >= 0.9 * len(exact)
+        written.append({p.name for p in (tmp_path / "index").rglob("*.parquet")})
+    assert written[0] == written[1]
+    assert [vector_index.cells_for(n) for n in (0, 2_000, 50_001, 10**10)] == [4, 45, 224, 4096]
+
+
+def vectors(spark, rows, name="id"):
+    return spark.createDataFrame(rows, f"{name} long, vector array<float>")
+
+
+def test_vectors_that_are_null_have_no_neighbours(spark):
+    q = vectors(spark, [(1, [1.0, 0.0]), (2, None)], "query_id")
+    b = vectors(spark, [(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, [2.0, 0.0]), (5, None)]).repartition(3)
+    for metric, want in (("cosine", [(1, 1, 0.0), (1, 4, 0.0), (1, 3, 1.0)]), ("l2", [(1, 1, 0.0), (1, 4, 1.0), (1, 3, 2.0)])):
+        assert [tuple(r)[:3] for r in retrieval.nearest(q, b, 9, metric=metric).orderBy("rank").collect()] == want
+    assert retrieval.nearest(q.filter("query_id = 2"), b, 3).count() == 0 and retrieval.nearest(q, b.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("odd", [[1.0], [0.0, 1.0, 5.0], []])
+def test_vectors_of_mixed_width_are_refused(spark, odd):
+    even = [(1, [1.0, 0.0]), (3, [0.0, 1.0])]
+    with pytest.raises(ValueError, match="width"):
+        retrieval.nearest(vectors(spark, even + [(4, odd)], "query_id"), vectors(spark, even), 2)
+    with pytest.raises(Exception, match="vectors of width"):
+        retrieval.nearest(vectors(spark, even, "query_id"), vectors(spark, even + [(4, odd)]).coalesce(1), 2).collect()
+
+
+def test_the_k_smallest_keep_their_ties():
+    draw = np.random.default_rng(0)
+    d = draw.integers(0, 6, (50, 40)).astype(float)
+    for k in (1, 5, 39, 60):
+        i, j = retrieval.smallest(d, k)
+        for q in range(50):
+            own = set(j[i == q].tolist())
+            assert set(np.argsort(d[q], kind="stable")[:k].tolist()) <= own and (k >= 40 or d[q][list(own)].max() == np.sort(d[q])[k - 1])
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_the_registered_index_recalls(spark, sf):
+    from groundwork.plans.retrieval import asked, base, knn_approximate
+
+    where = f"/root/testdata/{sf}"
+    exact = {(r.query_id, r.id, r.distance) for r in retrieval.nearest(asked(spark, where), base(spark, where), 10).collect()}
+    near = [(r.query_id, r.id, r.distance) for r in knn_approximate(spark, where).collect()]
+    assert len(exact & {*near}) >= 0.9 * len(exact) and len(near) == len({*near}) == len(exact)
+
+
+def test_an_index_holds_every_row_and_searches_in_blocks(spark, tmp_path, monkeypatch):
+    from tests.conftest import SF
+
+    from groundwork.plans.retrieval import asked, base
+
+    rows = base(spark, SF).select("id", "vector").union(vectors(spark, [(9001, None)]))
+    index = vector_index.Index.build(rows, f"file://{tmp_path}/index", cells=9)
+    assert index.rows().count() == rows.count() - 1 and index.rows().select("cell").distinct().count() == 9
+    whole = sorted(map(tuple, index.search(asked(spark, SF), 4, 9).collect()))
+    assert whole == sorted(map(tuple, retrieval.nearest(asked(spark, SF), rows, 4).select("query_id", "id", "distance", "rank").collect()))  # all cells, a long short list
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 5 * 64 * 8)
+    assert sorted(map(tuple, index.search(asked(spark, SF), 4, 9).collect())) == whole
+    with pytest.raises(Exception, match="width"):
+        vector_index.Index.build(rows.union(vectors(spark, [(9002, [1.0])])), f"file://{tmp_path}/other")
 
 
 def test_files_and_pages_are_added_once(spark, tmp_path):
@@ -144,16 +240,6 @@ def test_lists_have_an_item_a_line(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "urls")).collect()) == ["", "b c", "https://a"]
 
 
-def test_approximate_search_recalls(spark):
-    from tests.conftest import SF
-
-    from groundwork.plans.retrieval import asked, base
-
-    exact = {(r.query_id, r.id) for r in retrieval.nearest(asked(spark, SF), base(spark, SF), 5).collect()}
-    near = {(r.query_id, r.id) for r in retrieval.nearest_approximate(asked(spark, SF), base(spark, SF), 5, 8, 5).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
-
-
 def test_line_packing_equals_plain_python(spark):
     texts = ["".join(f"line {i}\n" for i in range(100)), "x" * 5000, "", "a\n" + "y" * 1200 + "\nb\nc", "one\rtwo\r\nthree", "z" * 500 + "\n" + "q" * 20]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
@@ -200,6 +286,95 @@ def test_code_chunks_lose_no_line(lines, language, mark, most):
         assert a >= b or most < 2000
 
 
+JS = """import x from 'y'
+
+class Big extends Base {
+  field = [1, {a: "}"}]
+
+  // what one does
+  // and why
+  one(a) {
+    return `}
+  ${a}` + /[{]/.test(a)
+  }
+
+  async two(b,
+    c) {
+    if (b) {
+      x()
+    } else {
+      y('it is')
+    }
+  }
+}
+"""
+RUBY = "class A\n  # one\n  def one(x)\n    if x\n      y\n    else\n      z\n    end\n  end\n\n  def self.two\n    1\n  end\nend\n"
+SHELL = "main() {\n  local a=1\n  for x in 1 2; do\n    echo $x\n  done\n  run \"$a\"\n}\n"
+R = "f <- function(x) {\n  # add\n  g <- function(y) {\n    y + 1 # }\n  }\n  g(x)\n}\n"
+GO = "type T struct {\n\ta int\n\tb []string\n}\n"
+RUST = "impl<'a> T<'a> {\n    fn one(&'a self, c: char) -> u8 {\n        if c == '}' { 1 } else { 2 }\n    }\n    pub fn two() {}\n}\n"
+
+
+@pytest.mark.parametrize(
+    "language, source, want",
+    [
+        ("javascript", JS, [(3, 3, "Big"), (4, 5, ""), (6, 12, "one"), (13, 21, "two")]), ("ruby", RUBY, [(1, 1, "A"), (2, 10, "one"), (11, 13, "two")]),
+        ("bash", SHELL, [(1, 1, "main"), (2, 2, ""), (3, 5, ""), (6, 7, "")]), ("r", R, [(1, 1, "f"), (2, 5, "g"), (6, 7, "g")]), ("go", GO, [(1, 1, ""), (2, 2, ""), (3, 4, "")]),
+        ("rust", RUST, [(1, 1, ""), (2, 4, "one"), (5, 6, "two")]),
+    ],
+)
+def test_blocks_hold_members(language, source, want):
+    lines = chunking.code_lines(source)
+    top = max(chunking.block_units(lines), key=lambda u: u[1] - u[0])
+    found = [u[:3] for u in chunking.inner_units(lines, top, language)]
+    assert [(a, b) for a, b, _ in found] == [(a, b) for a, b, _ in want] and [n for *_, n in found if n] == [n for *_, n in want if n]
+
+
+def test_long_classes_open_to_their_methods():
+    body = "".join(f"    call{i}(`{'x' * 40}`);\n" for i in range(12))
+    source = "class Big {\n" + "".join(f"  method{k}(a) {{\n{body}  }}\n\n" for k in range(12)) + "}\n"
+    chunks = chunking.code(source, "javascript", 600)
+    assert list(dict.fromkeys(c[3] for c in chunks if c[3].startswith("method"))) == [f"method{k}" for k in range(12)]
+    covered = {k for _, a, b, _ in chunks for k in range(a, b + 1)}
+    assert {k for k, x in enumerate(source.split("\n"), 1) if x.strip()} <= covered and all(len(t) <= 1200 and b - a < 20 for t, a, b, _ in chunks)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["class A {", "  m(a) {", "    x(", "  }", "}", ")", "'", '"', "`", "/*", "*/", "// {", "# [", "    end", "  def b", "", "\t{[(", "if x then", "  fi"]), max_size=60), st.sampled_from(sorted(chunking.CODE_LANGUAGES)), st.integers(5, 120))
+def test_broken_code_loses_no_line(lines, language, most):
+    source = "\n".join(lines)
+    chunks = chunking.code(source, language, most)
+    kept = chunking.code_lines(source)
+    covered = {k for _, a, b, _ in chunks for k in range(a, b + 1)}
+    assert {k for k, x in enumerate(kept, 1) if x.strip()} <= covered
+    for unit in chunking.block_units(kept):
+        inner = chunking.inner_units(kept, unit, language)
+        assert not inner or [k for a, b, *_ in inner for k in range(a, b + 1)] == list(range(unit[0], unit[1] + 1))
+
+
+def test_braces_a_thousand_deep_are_chunked():
+    source = "f() {\n" + "".join("  " * k + "{\n" for k in range(1000)) + "}\n" * 1001
+    assert "".join(t for t, *_ in chunking.code(source, "c", 500)).count("{") >= 1001
+
+
+PAGE = """<html><head><title>T</title></head><body><nav><a href="/a">All</a></nav><div class="promo box"><p>Buy now, it is a long advertising text that says much of nothing.</p></div>
+<h1>Title &amp; more</h1><p>A first paragraph that is long enough to be what the page is about, with <b>bold</b> words.</p><p>Short one.</p>
+<ul><li>An item that says something of its own, at length and in words</li><li>Another item that does the same thing in other words</li></ul>
+<table><tr><th>Name of the thing</th><td>its value, which is told here in full</td></tr><tr><td>second name</td><td>and a second value</td></tr></table>
+<pre>if a:
+    b()</pre><blockquote>Someone said this, and it is quoted here at some length.</blockquote>
+<ul><li><a href="/1">A link to some other page of this site</a></li><li><a href="/2">A link to yet another page of this site</a></li></ul><!-- <p>no</p> --><footer>Foot</footer></body></html>"""
+
+
+def test_main_content_as_markdown(spark):
+    found = content.with_markdown(spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, "<p>" + "word " * 50), (5, "no tags, but enough text to be the content of a page")], "page_id long, html string")).orderBy("page_id").collect()
+    said = found[0].markdown
+    assert said.startswith("# Title & more\n\nA first paragraph") and "\n\nShort one.\n\n- An item" in said and "words\n- Another item" in said
+    assert "| Name of the thing | its value, which is told here in full |\n| second name | and a second value |" in said and "```\nif a:\n    b()\n```" in said and "> Someone said" in said
+    assert not any(x in said for x in ("All", "Buy", "link", "no</p>", "Foot"))
+    assert [r.markdown for r in found[1:]] == ["", "", ("word " * 50).strip(), "no tags, but enough text to be the content of a page"]
+
+
 def test_code_of_deep_syntax_is_still_chunked():
     for source in ("(" * 5000 + ")" * 5000, "x = " + "-" * 100_000 + "1", "def f():\n  a\n\n  b\n# end"):
         found = chunking.code(source, "python")
