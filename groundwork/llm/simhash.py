@@ -380,17 +380,26 @@ def longs(keys: DataFrame) -> np.ndarray:
 
 
 def whole_sets(docs: DataFrame, n: int) -> DataFrame:
-    """docs (text) -> node, keys: all distinct shingles of each sequence of words."""
+    """docs (text) -> node, n, keys: all distinct shingles of each sequence of words, once."""
 
     def run(parts):
         import xxhash
 
         forget()
+        seen = set()  # of this task, whose rows are a file's part
         for (text,) in parts:
-            both = [shingle_hashes(t, n) for t in text]
-            yield {"node": [xxhash.xxh128_digest(joined) for joined, _ in both], "keys": [np.unique(hashes).astype(np.int64) for _, hashes in both]}
+            out = {"node": [], "n": [], "keys": []}
+            for t in text:
+                joined, hashes = shingle_hashes(t, n)
+                node = xxhash.xxh128_digest(joined)
+                if node not in seen:
+                    seen.add(node)
+                    keys = np.unique(hashes).astype(np.int64)
+                    for name, x in (("node", node), ("n", len(keys)), ("keys", keys)):
+                        out[name].append(x)
+            yield out
 
-    return per_text(docs, run, "node binary, keys array<long>").groupBy("node").agg(F.first("keys").alias("keys"))
+    return per_text(docs, run, "node binary, n long, keys array<long>").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
 
 
 def postings(nodes: DataFrame) -> DataFrame:
@@ -456,40 +465,66 @@ def paired(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float = SIMILAR, n: int = WORDS) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose distinct shingles have that Jaccard similarity.
+def compared(pairs: DataFrame, sets: DataFrame, fits) -> DataFrame:
+    """Of pairs (a, b) of nodes those that fit; sets (node, n, keys), fits(n, keys, n, keys).
 
-    A node's shingles are read once a task of GROUP partners, not once a pair, and then stay while the partners' come in.
+    A node's keys are read once a task of GROUP partners, not once a pair, and then stay while the partners' come in.
     """
-    pairs = materialize(pairs, "pairs")
-    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "hash"), "node"), "needed")
-    sent = F.broadcast(needed.select("hash")) if needed.count() <= MOST_SENT else needed.select("hash")
-    texts = pick(docs, "text").withColumn("hash", F.xxhash64("text")).join(sent, "hash", "left_semi").select("text")
-    sets = materialize(whole_sets(texts, n), "sets")
     often = pairs.groupBy("b").agg(F.count("*").alias("partners"))
     dealt = pairs.join(often, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("partners") / GROUP)).alias("part"))
-    partners = dealt.join(sets, dealt.a == sets.node).select("b", "part", F.lit(1).alias("kind"), "a", "keys")
-    centres = dealt.select("b", "part").distinct().join(sets, F.col("b") == sets.node).select("b", "part", F.lit(0).alias("kind"), F.col("b").alias("a"), "keys")
+    partners = dealt.join(sets, dealt.a == sets.node).select("b", "part", F.lit(1).alias("kind"), "a", "n", "keys")
+    centres = dealt.select("b", "part").distinct().join(sets, F.col("b") == sets.node).select("b", "part", F.lit(0).alias("kind"), F.col("b").alias("a"), "n", "keys")
 
     def run(batches):
         import pyarrow as pa
 
         centre = None
-        for b, _, kind, a, keys in sets_of(batches):
+        for b, _, kind, a, n, keys in sets_of(batches):
             kept = []
-            for k, (is_partner, own) in enumerate(zip(kind, keys)):
+            for k, (is_partner, size, own) in enumerate(zip(kind, n, keys)):
                 if not is_partner:
-                    centre = own
-                    continue
-                common = len(np.intersect1d(centre, own, assume_unique=True))
-                if common >= similarity * (len(centre) + len(own) - common) - 1e-9:
+                    centre = size, own.view(np.uint64)
+                elif fits(*centre, size, own.view(np.uint64)):
                     kept.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in kept], pa.binary()) for x in (a, b)], ["a", "b"])
 
     together = centres.union(partners).repartition("b", "part").sortWithinPartitions("b", "part", "kind")
-    near = materialize(map_arrow(together, run, "a binary, b binary"), "near")
-    for done in (pairs, needed, sets):
-        release(docs.sparkSession, done)
+    return map_arrow(together, run, "a binary, b binary")
+
+
+def bounded(similarity: float, common):
+    """Whether two sets may be similar, told from their prefixes: what lies before the nearer end of the two is known, the rest may all be shared."""
+
+    def fits(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
+        late = [np.isin(k, common.value, assume_unique=True) for k in (x, y)]
+        last = min((bool(f[-1]), int(k[-1])) for k, f in zip((x, y), late))
+        before = [int((~f | last[0]).sum() - ((f == last[0]) & (k > np.uint64(last[1]))).sum()) for k, f in zip((x, y), late)]
+        most = len(np.intersect1d(x, y, assume_unique=True)) + min(n - before[0], m - before[1])
+        return most >= similarity / (1 + similarity) * (n + m) - 1e-9
+
+    return fits
+
+
+def jaccard(similarity: float):
+    def fits(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= similarity * (n + m - both) - 1e-9
+
+    return fits
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, common, similarity: float = SIMILAR, n: int = WORDS) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose distinct shingles have that Jaccard similarity: first those that their prefixes leave possible, then by whole sets."""
+    spark = docs.sparkSession
+    pairs = materialize(pairs, "pairs")
+    likely = materialize(compared(pairs, nodes.filter("n > 0").select("node", "n", "keys"), bounded(similarity, common)), "likely")
+    needed = materialize(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "hash"), "node"), "needed")
+    sent = F.broadcast(needed.select("hash")) if needed.count() <= MOST_SENT else needed.select("hash")
+    texts = pick(docs, "text").withColumn("hash", F.xxhash64("text")).join(sent, "hash", "left_semi").select("text")
+    sets = materialize(whole_sets(texts, n), "sets")
+    near = materialize(compared(likely, sets, jaccard(similarity)), "near")
+    for done in (pairs, likely, needed, sets):
+        release(spark, done)
     return near
 
 
@@ -515,7 +550,7 @@ def gridded(nodes: DataFrame) -> DataFrame:
     return same.union(linked).filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def similar(docs: DataFrame, nodes: DataFrame, n: int = WORDS, similarity: float = SIMILAR) -> DataFrame:
+def similar(docs: DataFrame, nodes: DataFrame, common, n: int = WORDS, similarity: float = SIMILAR) -> DataFrame:
     """node, root: classes of the nodes that links of that similarity connect, without those that have none; nodes (node, fp, n, keys, hash).
 
     An exact join by prefixes: similar sets share a shingle among their first ones in a fixed order,
@@ -525,14 +560,14 @@ def similar(docs: DataFrame, nodes: DataFrame, n: int = WORDS, similarity: float
     classes; and in the end, all that are not in the largest class with all of other classes. So no
     link between classes is lost, and a family of copies gives stars, not all pairs.
     """
-    member = components(verified(gridded(nodes), docs, nodes, similarity, n))
+    member = components(verified(gridded(nodes), docs, nodes, common, similarity, n))
     cells = postings(nodes)
     for draw in range(STARS + 1):
         cells = open_postings(cells, member)
         of = cells.agg(F.count("*").alias("n"), F.sum(F.when(F.col("out"), F.col("m"))).alias("pairs")).first()
         last = (of["pairs"] or 0) <= CHEAP * of["n"] or draw == STARS
         centre = cells.filter("out").groupBy("key").agg(F.min_by(F.struct("node", "n", "pos", "class"), F.xxhash64("node", F.lit(draw))).alias("c")).select("key", "c.*")
-        found = verified(paired(cells.filter("out") if last else centre, cells, similarity), docs, nodes, similarity, n)
+        found = verified(paired(cells.filter("out") if last else centre, cells, similarity), docs, nodes, common, similarity, n)
         member = components(member.toDF("a", "b").union(found))
         if last:
             release(docs.sparkSession, cells)
@@ -556,7 +591,7 @@ def first_of_each(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR)
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, n))
     marks = materialize(sketches(pick(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text")), n, similarity, sent), "marks")
     nodes = materialize(marks.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "keys")), F.min("hash").alias("hash")), "nodes")
-    member = similar(docs, nodes, n, similarity)
+    member = similar(docs, nodes, sent, n, similarity)
     found = marks.select("doc_id", "hash", "node").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
     first = found.groupBy("root").agg(least.alias("least"), F.count("*").alias("n")).filter("n > 1").select("root", F.col("least.doc_id").alias("id"), F.col("least.hash").alias("own"))

@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -466,9 +467,25 @@ def test_prefixes_of_similar_sets_meet():
         common = np.sort(draw.choice(np.union1d(a, b), int(draw.integers(0, len(a))), replace=False))
         x, y = simhash.prefix(a, 0.8, common).tolist(), simhash.prefix(b, 0.8, common).tolist()
         first = [(i, y.index(v)) for i, v in enumerate(x) if v in y][0]
+        assert simhash.bounded(0.8, SimpleNamespace(value=common))(len(a), np.array(x, np.uint64), len(b), np.array(y, np.uint64))
         assert min(len(a) - first[0], len(b) - first[1]) >= 0.8 / 1.8 * (len(a) + len(b)) - 1e-9
 
 
+def test_the_bound_of_two_prefixes_is_never_below_what_they_share():
+    draw = np.random.default_rng(7)
+    dropped = 0
+    for _ in range(500):
+        pool = np.unique(draw.integers(0, 1 << 40, 60).astype(np.uint64) << np.uint64(20))
+        a, b = (np.sort(draw.choice(pool, int(draw.integers(1, len(pool))), replace=False)) for _ in range(2))
+        common = np.sort(draw.choice(pool, int(draw.integers(0, 40)), replace=False))
+        both = len(np.intersect1d(a, b))
+        for limit in (0.5, 0.8, both / (len(a) + len(b) - both) or 0.1):
+            fits = simhash.bounded(limit, SimpleNamespace(value=common))(len(a), simhash.prefix(a, limit, common), len(b), simhash.prefix(b, limit, common))
+            assert fits or both < limit * (len(a) + len(b) - both)
+            dropped += not fits
+    assert dropped > 100
+
+
 def test_first_of_each_loses_no_class_where_ids_repeat(spark, clashing):
     draw = np.random.default_rng(4)
     a, b, d = (" ".join(f"v{i}" for i in draw.integers(0, 500, 90)) for _ in range(3))
