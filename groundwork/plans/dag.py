@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -146,14 +148,39 @@ def ready(nodes: DataFrame, status: DataFrame) -> DataFrame:
 
 
 def execution_order(nodes: list[tuple[str, list[str]]]) -> list[str]:
-    """The order in which tasks run: again and again the first inserted one that is ready; those never ready stay out."""
-    left, ended, out = [*nodes], set(), []
-    while True:
-        at = next((i for i, (_, deps) in enumerate(left) if ended.issuperset(deps)), None)
-        if at is None:
-            return out
-        ended.add(left[at][0])
-        out.append(left.pop(at)[0])
+    """The order in which tasks run: again and again the first inserted one that is ready; those never ready stay out.
+
+    A task that failed has ended like one that succeeded. A heap holds the ready ones by their place.
+    """
+    known = {name: k for k, (name, _) in enumerate(nodes)}
+    waits = [{d for d in deps} for _, deps in nodes]
+    after: dict[str, list[int]] = {}
+    for k, deps in enumerate(waits):
+        for d in deps:
+            after.setdefault(d, []).append(k)
+    heap, out = [k for k, deps in enumerate(waits) if not deps], []
+    while heap:
+        name = nodes[heapq.heappop(heap)][0]
+        out.append(name)
+        if known[name] >= 0:
+            known[name] = -1  # of tasks of one name the first to end counts
+            for k in after.get(name, ()):
+                waits[k].discard(name)
+                if not waits[k]:
+                    heapq.heappush(heap, k)
+    return out
+
+
+def execution(nodes: DataFrame) -> DataFrame:
+    """nodes (id, inserted, depends_on) -> id, place from 0 in the order of execution; NULL for those that are never ready.
+
+    A plan is made from settings, so its order is worked out on the driver; more than PLAN_ROWS are refused.
+    """
+    rows = nodes.select("id", "depends_on").orderBy("inserted").limit(PLAN_ROWS + 1).collect()
+    if len(rows) > PLAN_ROWS:
+        raise ValueError(f"a plan of more than {PLAN_ROWS} tasks")
+    order = {name: k for k, name in enumerate(execution_order([(r["id"], list(r["depends_on"] or [])) for r in rows]))}
+    return nodes.sparkSession.createDataFrame([(r["id"], order.get(r["id"])) for r in rows], "id string, place long")
 
 
 def outcome(gated: Column, actionable: Column, success: Column, soft_fail: Column, final_ok: Column) -> Column:
@@ -231,6 +258,18 @@ def ready_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 READY_TASKS = f"WITH {_TASKS} SELECT id, seq FROM tasks WHERE seq >= 500 AND (depends_on = '' OR depends_on IN (SELECT id FROM tasks WHERE seq < 500))"
 
 
+def execution_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which the plan's tasks run when they were inserted by kind, and some wait for a task that is not there."""
+    nodes = tasks(phase_rows(spark, sf_dir)).withColumn("inserted", F.struct("kind", "id"))
+    lost = F.array(F.lit("gone"))
+    return execution(nodes.select("id", "inserted", F.when(F.col("seq") % 300 == 4, lost).otherwise(F.col("depends_on")).alias("depends_on")))
+
+
+EXECUTION_PLAN = f"""WITH RECURSIVE {_TASKS}, n AS (SELECT id, CASE WHEN seq % 300 = 4 THEN 'gone' ELSE depends_on END AS dep, row_number() OVER (ORDER BY kind, id) AS ins FROM tasks),
+r(step, done) AS (SELECT 0, []::VARCHAR[] UNION ALL SELECT step + 1, list_append(done, arg_min(id, ins)) FROM r JOIN n ON NOT list_contains(done, id) AND (dep = '' OR list_contains(done, dep)) GROUP BY step, done),
+o AS (SELECT done FROM r ORDER BY step DESC LIMIT 1) SELECT id, list_position(done, id)::BIGINT - 1 AS place FROM n, o"""
+
+
 def config_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings of each market segment over global ones; template and collection picks; colours."""
     c = table(spark, sf_dir, "customer")
@@ -292,5 +331,5 @@ TEMPLATE_PATHS = """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 6 THEN con
  WHEN s_suppkey % 5 = 2 THEN concat('project:.groundwork/t', s_suppkey, '.md') WHEN s_suppkey % 5 < 4 THEN concat('package:x/t', s_suppkey, '.md')
  WHEN s_suppkey % 2 = 0 THEN concat('project:.groundwork/x/t', s_suppkey, '.md') ELSE concat('project:x/t', s_suppkey, '.md') END AS found FROM supplier"""
 
-QUERIES = {f.__name__: f for f in (target_test_align, phase_modes, task_rows, dag_levels, ready_tasks, config_values, picks, template_sections, template_paths)}
+QUERIES = {f.__name__: f for f in (target_test_align, phase_modes, task_rows, dag_levels, ready_tasks, execution_plan, config_values, picks, template_sections, template_paths)}
 ORACLES = {k: globals()[k.upper()] for k in QUERIES if k.upper() in globals()}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.operators import retrieval as r
-from groundwork.operators import vector_index
+from groundwork.operators import models, vector_index
 from groundwork.plans.common import table
 
 #: For both engines: the file and text that a vector's chunk has; files and text starts repeat within and across lists.
@@ -196,6 +196,18 @@ def embed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.embed(table(spark, sf_dir, "benchmark")).select("item_id", "vector")
 
 
+def entailed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each document entails the passage of its remainder, by the offline backend of the entailment interface."""
+    claims = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("claim"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), F.col("text").alias("passage"))
+    return models.entail(docs.join(F.broadcast(claims.filter("item_id < 40")), "item_id")).select("doc_id", "item_id", F.round("entailed", 6).alias("entailed"))
+
+
+ENTAILED_PASSAGES = f"""WITH b AS (SELECT item_id, text AS claim, {WORDS.format("text")} AS w FROM benchmark WHERE item_id < 40)
+SELECT doc_id, item_id, CASE WHEN text IS NOT NULL AND claim IS NOT NULL THEN CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(w, {WORDS.format("text")})) / len(w)::DOUBLE, 6) END END AS entailed
+FROM documents JOIN b ON item_id = doc_id % 40"""
+
+
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verifier replies and reranker logits as scores."""
     from groundwork.functions.text import entailment
@@ -210,5 +222,5 @@ MODEL_SCORES = rf"""WITH x AS (SELECT item_id, lower(trim({REPLY})) AS l FROM be
 SELECT item_id, CASE WHEN l = '' THEN NULL WHEN regexp_matches(l, 'unsupported|not support|contradict') OR starts_with(l, 'no') THEN 0.0::DOUBLE WHEN regexp_matches(l, 'supported|entail') OR starts_with(l, 'yes') THEN 1.0::DOUBLE WHEN v BETWEEN 0 AND 1 THEN v END AS entailed,
  CASE WHEN item_id % 5 <> 0 THEN round((item_id % 9) / 9.0::DOUBLE, 6) END AS last_logit FROM y"""
 
-QUERIES = {f.__name__: f for f in (knn_topk, vector_search, knn_l2, knn_by_label_rrf, single_list_bypass, region_score, rerank_scores, lexical_rerank, cite_concat, recall_depths, table_selection, query_truncation, knn_approximate, index_recall, vector_width, embed_passages, model_scores)}
+QUERIES = {f.__name__: f for f in (knn_topk, vector_search, knn_l2, knn_by_label_rrf, single_list_bypass, region_score, rerank_scores, lexical_rerank, cite_concat, recall_depths, table_selection, query_truncation, knn_approximate, index_recall, vector_width, embed_passages, entailed_passages, model_scores)}
 ORACLES = {k: globals()[k.upper()] for k in QUERIES if k.upper() in globals()}

@@ -131,26 +131,30 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "1 day") -> DataF
 
 
 def _turns(key, frames: Iterator, state) -> Iterator:
-    """A debate's state after each batch: turns are put in order and the whole ledger judged."""
+    """A debate's state after each batch. Held: the last two proposals and the last verdict by turn, and the number of turns, however many there were."""
     import pandas as pd
 
-    known = dict(zip(*state.get)) if state.exists else {}
+    second, two, first, one, last, said, n = state.get if state.exists else (-1, None, -1, None, -1, None, 0)
     for f in frames:
+        n += len(f)
         for turn, role, h, v in zip(f["turn"], f["role"], f["proposal_hash"], f["verdict"]):
-            known[int(turn)] = f"{role}|{h or ''}|{v or ''}"
-    state.update((list(known), list(known.values())))
-    turns = [known[k].split("|") for k in sorted(known)]
-    architect, oracle = [h for r, h, _ in turns if r == "architect"], [v for r, _, v in turns if r == "oracle"]
-    last = oracle[-1] if oracle else ""
-    stable = len(architect) > 1 and architect[-1] == architect[-2]
-    yield pd.DataFrame({"issue": [key[0]], "state": ["agreed" if last == "agree" else "deadlock" if last == "object" and stable else "continue"], "n": [len(turns)]})
+            if role == "architect" and turn > first:
+                second, two, first, one = first, one, int(turn), h
+            elif role == "architect" and turn > second:
+                second, two = int(turn), h
+            elif role == "oracle" and turn > last:
+                last, said = int(turn), v
+    state.update((second, two, first, one, last, said, n))
+    stable = second >= 0 and one == two
+    yield pd.DataFrame({"issue": [key[0]], "state": ["agreed" if said == "agree" else "deadlock" if said == "object" and stable else "continue"], "n": [n]})
 
 
 def consensus(turns: DataFrame) -> DataFrame:
-    """The referee as a keyed stream over turns (issue, turn, role, text); update mode, the last row of an issue is its state."""
+    """The referee as a keyed stream over turns (issue, turn from 0, role, text); update mode, the last row of an issue is its state. Turns may come in any order."""
     ship(turns.sparkSession)
     facts = referee.turn_facts(turns).select("issue", "turn", "role", "proposal_hash", "verdict")
-    return facts.groupBy("issue").applyInPandasWithState(_turns, "issue long, state string, n long", "turn array<long>, fact array<string>", "update", "NoTimeout")
+    held = "second long, two string, first long, one string, last long, said string, n long"
+    return facts.groupBy("issue").applyInPandasWithState(_turns, "issue long, state string, n long", held, "update", "NoTimeout")
 
 
 def _attempts(key, frames: Iterator, state) -> Iterator:

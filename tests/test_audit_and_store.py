@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from groundwork.functions import text as t
-from groundwork.operators import adding, audit, chunking, containment, content, logs, retrieval, vector_index, web
+from groundwork.operators import adding, audit, chunking, containment, content, logs, models, retrieval, vector_index, web
 from groundwork.plans import dag
 from groundwork.plans.events import tumble
 from groundwork.sources import catalog, paths, sinks
@@ -508,6 +508,71 @@ def test_costs_of_a_log(spark):
     assert (r.entries, r.sent, r.received, r.cost) == (2, 38000, 150, 0.06)
 
 
+def test_models_get_batches_in_order_and_failures_are_null(spark):
+    def factory():
+        calls = []
+
+        def model(texts):
+            calls.append(len(texts))
+            if "bad" in texts:
+                raise RuntimeError("no answer")
+            return [[float(len(t)), float(len(texts)), float(len(calls))] for t in texts]
+
+        return model
+
+    models.register("embed", "test", factory)
+    rows = [(i, "x" * i) for i in range(20)] + [(20, None), (21, "bad"), (22, "y")]
+    found = models.embed(spark.createDataFrame(rows, "id long, text string").coalesce(1), "test").orderBy("id").collect()
+    assert [r.vector and r.vector[:2] for r in found[:16]] == [[i, 8.0] for i in range(16)]  # eight at a time
+    assert all(r.vector is None for r in found[16:]) and [r.id for r in found] == list(range(23))  # the last call holds the bad one
+    for wrong in (lambda: models.embed(spark.createDataFrame(rows, "id long, text string"), "none"), lambda: models.backend("rerank", "none")):
+        with pytest.raises(ValueError, match="unknown"):
+            wrong()
+    assert models.in_batches(lambda xs: xs[:1], [1, 2, 3], 2) == [None, None, 3] and models.in_batches(len, [], 2) == []
+
+
+def test_the_offline_models_equal_their_expressions(spark):
+    texts = ["a", "", "Some words here, and ÄÖ some more", "x" * 300, "日本語 text"]
+    rows = spark.createDataFrame([(i, t, texts[-1 - i]) for i, t in enumerate(texts)], "id long, text string, other string")
+    both = models.embed(retrieval.embed(rows).withColumnRenamed("vector", "want")).collect()
+    assert all(np.allclose(r.vector, r.want, atol=1e-6) for r in both)
+    pairs = models.entail(models.rerank(rows, "other", "text"), "other", "text").withColumn("want", retrieval.lexical_relevance(F.col("other"), F.col("text"))).collect()
+    assert all(r.relevance == r.entailed == r.want for r in pairs)
+
+
+def test_a_debate_of_any_length_and_order_holds_two_proposals(spark):
+    import itertools
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    draw = np.random.default_rng(1)
+    for _ in range(60):
+        n = int(draw.integers(1, 9))
+        turns = [(k, str(draw.choice(["architect", "oracle"])), str(draw.choice(["h1", "h2"])), draw.choice(["agree", "object", None])) for k in range(n)]
+        want_hashes, verdicts = [h for _, r, h, _ in turns if r == "architect"], [v for _, r, _, v in turns if r == "oracle"]
+        said = verdicts[-1] if verdicts else None
+        want = "agreed" if said == "agree" else "deadlock" if said == "object" and len(want_hashes) > 1 and want_hashes[-1] == want_hashes[-2] else "continue"
+        state = SimpleNamespace(exists=False, get=None)
+        state.update = lambda x, state=state: state.__dict__.update(exists=True, get=x)
+        mixed = [turns[i] for i in draw.permutation(n)]
+        for part in itertools.batched(mixed, 2):
+            (out,) = streams._turns((1,), iter([pd.DataFrame(part, columns=["turn", "role", "proposal_hash", "verdict"])]), state)
+        assert (out.state[0], out.n[0], len(state.get)) == (want, n, 7)
+
+
+def test_execution_order_equals_a_plain_rescan():
+    draw = np.random.default_rng(3)
+    for _ in range(80):
+        n = int(draw.integers(1, 14))
+        nodes = [(f"t{k}", [f"t{int(d)}" for d in draw.integers(0, n + 1, int(draw.integers(0, 3)))]) for k in draw.permutation(n)]
+        left, ended, out = [*nodes], set(), []
+        while (at := next((i for i, (_, deps) in enumerate(left) if ended.issuperset(deps)), None)) is not None:
+            ended.add(left[at][0])
+            out.append(left.pop(at)[0])
+        assert dag.execution_order(nodes) == out
+
+
 def test_execution_order_and_levels(spark, monkeypatch):
     nodes = [("c", ["a", "b"]), ("a", []), ("b", ["a"]), ("x", ["gone"]), ("d", ["c"])]
     assert dag.execution_order(nodes) == ["a", "b", "c", "d"]
