@@ -66,6 +66,60 @@ def robots_sitemaps(lines: DataFrame) -> DataFrame:
     return lines.filter(F.lower("line").startswith("sitemap:")).select("pos", F.trim(F.expr("substr(line, instr(line, ':') + 1)")).alias("url"))
 
 
+MOST_MAPS = 50  # fixed value: sitemaps that are read for one target
+LOC = r"(?is)<(?:[A-Za-z0-9_]+:)?loc\s*>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</"
+
+
+def harvest(targets: DataFrame, fetched: DataFrame, depth: int = 1, include: str | None = None, exclude: str | None = None, most: int = MOST_MAPS) -> DataFrame:
+    """targets (target) and fetched (url, body) -> target, url: the pages that each site names, each once.
+
+    All sites go together, a level of sitemaps a round. A site whose sitemap is not there is asked
+    by the Sitemap lines of its robots.txt, and without any by the links of its manifest, llms.txt;
+    a target that is a manifest is read as one. Locations that end with .xml or hold `sitemap` are
+    nested sitemaps, read down to `depth` levels, each once a site and at most `most` of them.
+    """
+    body = fetched.select(F.col("url").alias("at"), "body").filter("body is not null")
+    full = F.when(F.col("target").rlike("^https?://"), F.col("target")).otherwise(F.concat(F.lit("https://"), F.regexp_replace("target", "^/+", "")))
+    site = targets.select("target").distinct().withColumn("full", full).withColumn("root", F.regexp_extract("full", "^(https?://[^/?#]+)", 1))
+    manifest = F.lower("full").contains("llms.txt")
+    is_map = F.lower("full").endswith(".xml") | F.lower("full").contains("sitemap")
+    start = site.filter(~manifest).select("target", "root", F.when(is_map, F.col("full")).otherwise(F.concat("root", F.lit("/sitemap.xml"))).alias("url"))
+    there = start.join(body.select("at"), start.url == F.col("at"), "left_semi").select("target", "url")
+    lost = start.join(body.select("at"), start.url == F.col("at"), "left_anti").select("target", "root")
+    lines = lost.join(body, F.concat("root", F.lit("/robots.txt")) == F.col("at")).select("target", F.explode(t.lines(F.col("body"))).alias("line"))
+    named = robots_sitemaps(lines.select(F.col("target").alias("pos"), "line")).select(F.col("pos").alias("target"), "url")
+    told = lost.join(named.select("target").distinct(), "target", "left_anti").select("target", F.concat("root", F.lit("/llms.txt")).alias("at"))
+    manifests = told.union(site.filter(manifest).select("target", F.col("full").alias("at"))).join(body, "at")
+    links = manifest_links(manifests.select(F.col("at").alias("base"), F.col("body").alias("text")).distinct())
+    found = manifests.select("target", F.col("at").alias("base")).join(links, "base").select("target", F.col("link").alias("url"))
+    level = there.union(named).distinct()
+    visited = level
+    for _ in range(depth):
+        maps = level.join(body, level.url == F.col("at"))
+        loc = maps.select("target", F.explode(F.regexp_extract_all("body", F.lit(LOC), 1)).alias("loc"))
+        loc = loc.select("target", F.trim(F.replace("loc", F.lit("&amp;"), F.lit("&"))).alias("url")).filter("url <> ''").distinct()
+        nested = F.lower("url").endswith(".xml") | F.lower("url").contains("sitemap")
+        found = found.union(loc.filter(~nested))
+        new = loc.filter(nested).join(visited, ["target", "url"], "left_anti")
+        before = visited.groupBy("target").agg(F.count("*").alias("read"))
+        nth = F.row_number().over(Window.partitionBy("target").orderBy("url"))
+        level = new.withColumn("nth", nth).join(before, "target").filter(F.col("nth") + F.col("read") <= most).select("target", "url")
+        visited = visited.union(level)
+    return grep(found.distinct(), include, exclude)
+
+
+# What the academic preset asks for.
+ACADEMIC = (("categories", "science"), ("engines", "arxiv,google_scholar,crossref,core"))
+
+
+def search_requests(queries: DataFrame, bases: DataFrame, academic: bool = False, engines: str | None = None, time_range: str | None = None) -> DataFrame:
+    """queries (query) x bases (source, base) -> query, source, url: what to ask each server; the academic preset takes the place of engines."""
+    told = ACADEMIC if academic else (("engines", engines),) if engines else ()
+    more = [F.concat(F.lit(f"&{k}="), F.url_encode(F.lit(v))) for k, v in (("format", "json"), *told, *((("time_range", time_range),) if time_range else ()))]
+    url = F.concat(F.regexp_replace("base", "/+$", ""), F.lit("/search?q="), F.url_encode("query"), *more)
+    return queries.select("query").distinct().join(F.broadcast(bases), F.lit(True)).select("query", "source", url.alias("url"))  # bases are a handful of servers
+
+
 def grep(urls: DataFrame, include: str | None = None, exclude: str | None = None, column: str = "url") -> DataFrame:
     """Addresses that match include and not exclude, anywhere and in any case."""
     out = urls

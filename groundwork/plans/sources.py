@@ -142,6 +142,41 @@ def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SITEMAP_PAGES = "SELECT DISTINCT trim(url) AS url FROM pages"
 
+#: Sites of fifty pages: a nested sitemap, a robots.txt that names one, a manifest alone, or nothing.
+SITE, KIND = "concat('https://h', page_id // 50, '.org')", "(page_id // 50) % 4"
+
+
+def harvested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sites of all pages name, kept by a pattern and not by another."""
+    x = table(spark, sf_dir, "pages").select("page_id", F.expr(SITE.replace("//", "div").replace("https:div", "https://")).alias("site"), F.expr(KIND.replace("//", "div")).alias("kind"))
+    page = F.concat("site", F.lit("/p/"), F.col("page_id").cast("string"))
+    names = F.when(F.col("kind") == 2, F.concat(F.lit("- [P]("), page, F.lit(")\n"))).otherwise(F.concat(F.lit("<url><sm:loc> "), page, F.lit("?a=1&amp;b=2 </sm:loc></url>")))
+    files = x.filter("kind < 3").groupBy("site", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", names.alias("n")))), lambda s: s["n"]), "").alias("body"))
+    where = F.when(F.col("kind") == 2, "/llms.txt").otherwise("/maps/deep.xml")
+    deep = files.select(F.concat("site", where).alias("url"), F.when(F.col("kind") == 2, F.col("body")).otherwise(F.concat(F.lit("<urlset>"), "body", F.lit("</urlset>"))).alias("body"))
+    index = F.concat(F.lit("<sitemapindex><sitemap><loc>"), "site", F.lit("/maps/deep.xml</loc></sitemap><sitemap><loc>"), "site", F.lit("/sitemap.xml</loc></sitemap></sitemapindex>"))
+    top = files.filter("kind = 0").select(F.concat("site", F.lit("/sitemap.xml")).alias("url"), index.alias("body"))
+    asked = files.filter("kind = 1").select(F.concat("site", F.lit("/robots.txt")).alias("url"), F.concat(F.lit("User-agent: *\nSITEMAP: "), "site", F.lit("/maps/deep.xml\n")).alias("body"))
+    targets = x.select(F.when(F.col("kind") == 1, F.regexp_replace("site", "^https://", "")).otherwise(F.concat("site", F.lit("/docs"))).alias("target"))
+    return web.harvest(targets, deep.union(top).union(asked), 2, r"/P/\d*[02468]", r"7\d*\?|00$")
+
+
+HARVESTED = f"""WITH x AS (SELECT page_id, {SITE} AS site, {KIND} AS kind FROM pages), u AS (SELECT kind, site, concat(site, '/p/', page_id, CASE WHEN kind < 2 THEN '?a=1&b=2' ELSE '' END) AS url FROM x WHERE kind < 3)
+SELECT DISTINCT CASE WHEN kind = 1 THEN replace(site, 'https://', '') ELSE concat(site, '/docs') END AS target, url FROM u WHERE regexp_matches(url, '(?i)/P/\\d*[02468]') AND NOT regexp_matches(url, '(?i)7\\d*\\?|00$')"""
+
+
+def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three servers are asked for each page's name, plainly, with engines, and by the academic preset."""
+    queries = table(spark, sf_dir, "pages").select(F.concat(F.lit("page no. "), F.col("page_id").cast("string"), F.lit(" & more")).alias("query"))
+    bases = spark.range(3).select(F.col("id").alias("source"), F.concat(F.lit("https://s"), F.col("id").cast("string"), F.lit(".org/")).alias("base"))
+    plain, some, academic = web.search_requests(queries, bases), web.search_requests(queries, bases, engines="bing,ddg", time_range="year"), web.search_requests(queries, bases, academic=True, engines="bing")
+    return plain.withColumn("preset", F.lit("plain")).union(some.withColumn("preset", F.lit("engines"))).union(academic.withColumn("preset", F.lit("academic")))
+
+
+SEARCH_REQUESTS = """SELECT DISTINCT concat('page no. ', page_id, ' & more') AS query, source, concat('https://s', source, '.org/search?q=page+no.+', page_id, '+%26+more&format=json', more) AS url, preset
+FROM pages, range(3) r(source), (VALUES ('plain', ''), ('engines', '&engines=bing%2Cddg&time_range=year'), ('academic', '&categories=science&engines=arxiv%2Cgoogle_scholar%2Ccrossref%2Ccore')) v(preset, more)"""
+
+
 INSTANCE = """concat('"https://i', page_id, '.org": {"network_type": "', CASE page_id % 5 WHEN 4 THEN 'tor' ELSE 'normal' END, '", "uptime": ', CASE page_id % 7 WHEN 6 THEN 'null' ELSE concat('{"uptimeMonth": ', 90 + page_id % 11, '}') END,
  ', "timing": {"search": {"all": ', CASE page_id % 6 WHEN 5 THEN 'null' ELSE concat('{"median": ', page_id % 13, '.5}') END, '}}, "html": {"grade": "', CASE page_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'A+' WHEN 2 THEN 'V' ELSE 'C' END, '"}, "engines": {"google cse": {"error_rate": ', page_id % 90, '}}}')"""
 
@@ -336,5 +371,5 @@ def fresh_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FRESH_CACHE = "SELECT event_id, epoch((SELECT max(ts) FROM events))::BIGINT - floor(epoch(ts))::BIGINT < 86400 AS fresh FROM events"
 
-QUERIES = {f.__name__: f for f in (page_links, ordered_links, url_stems, main_texts, content_blocks, page_markdown, fetch_counts, manifest_links, sitemap_pages, instance_ranking, metasearch, research_reports, url_lists, robots, list_files, full_document, delete_by_file, store_append, store_remove_file, store_maintenance, chunk_rollup, projects, cleared_sessions, endpoints, fresh_cache)}
+QUERIES = {f.__name__: f for f in (page_links, ordered_links, url_stems, main_texts, content_blocks, page_markdown, fetch_counts, manifest_links, sitemap_pages, harvested, search_requests, instance_ranking, metasearch, research_reports, url_lists, robots, list_files, full_document, delete_by_file, store_append, store_remove_file, store_maintenance, chunk_rollup, projects, cleared_sessions, endpoints, fresh_cache)}
 ORACLES = {k: globals()[k.upper()] for k in QUERIES if k.upper() in globals()}
