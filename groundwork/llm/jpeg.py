@@ -6,7 +6,8 @@ coefficient takes one code bit and eight value bits. A restart marker follows ea
 resets the DC prediction and lets all blocks decode side by side. The decoder parses the markers,
 builds Huffman tables from DHT, decodes the scan with look-up tables over 16 bits, one coefficient
 of every restart interval at a time, and makes the DC-only luminance thumbnail, one pixel a block.
-It reads any grey baseline file; files without restart markers are one interval.
+It reads any grey baseline file; files without restart markers are one interval. A thumbnail, and so
+the feature, sees the DC coefficient of each block alone: one byte in 64.
 
 Defined results: null and empty texts are 64 zero bytes, of n_bytes 0; equal texts have equal
 values; repeated rows repeat their results; extra columns are ignored; an empty table gives an

@@ -17,7 +17,8 @@ the model is a distribution over all words.
 Scoring reads each text once. Words among the SENT most frequent (a bounded table) are looked up in
 place; the others go, counted by text, to a join with the full counts.
 
-Words of equal count are ranked by their bytes.
+Words of equal count are ranked by their bytes. Noise and first steps are seeded by the task, so
+scores depend a little on how the files are split into tasks; counts and base scores do not.
 
 Defined results: a null or empty text is the end token alone; with no training text every base
 probability is 1 / (0 + 1 * (0 + 1)) = 1 and so is the model's; a null doc_id counts as the empty
