@@ -408,7 +408,9 @@ def postings(nodes: DataFrame) -> DataFrame:
     flat = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
     keys = materialize(flat.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "shared-keys")
     if keys.count() <= KEYS_SENT:
-        found = materialize(of_keys(nodes, spark.sparkContext.broadcast(longs(keys))), "postings")
+        sent = spark.sparkContext.broadcast(longs(keys))
+        found = materialize(of_keys(nodes, sent), "postings")
+        sent.destroy()
     else:
         found = materialize(flat.join(keys, "key").select("key", "pos", "n", "node"), "postings")
     release(spark, keys)
@@ -469,6 +471,7 @@ def compared(pairs: DataFrame, sets: DataFrame, fits) -> DataFrame:
     """Of pairs (a, b) of nodes those that fit; sets (node, n, keys), fits(n, keys, n, keys).
 
     A node's keys are read once a task of GROUP partners, not once a pair, and then stay while the partners' come in.
+    They come in pieces, so that a batch of rows is small however long texts are.
     """
     often = pairs.groupBy("b").agg(F.count("*").alias("partners"))
     dealt = pairs.join(often, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("partners") / GROUP)).alias("part"))
@@ -478,18 +481,35 @@ def compared(pairs: DataFrame, sets: DataFrame, fits) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        centre = None
-        for b, _, kind, a, n, keys in sets_of(batches):
-            kept = []
-            for k, (is_partner, size, own) in enumerate(zip(kind, n, keys)):
-                if not is_partner:
-                    centre = size, own.view(np.uint64)
-                elif fits(*centre, size, own.view(np.uint64)):
-                    kept.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in kept], pa.binary()) for x in (a, b)], ["a", "b"])
-
-    together = centres.union(partners).repartition("b", "part").sortWithinPartitions("b", "part", "kind")
-    return map_arrow(together, run, "a binary, b binary")
+        centre, at, held = None, None, []
+
+        def told() -> list:
+            """The pair that is complete, if it fits; a complete centre is kept."""
+            nonlocal centre
+            if at is None:
+                return []
+            own = at[3], np.concatenate(held).view(np.uint64)
+            if not at[1]:
+                centre = own
+                return []
+            return [(at[2], at[0])] if fits(*centre, *own) else []
+
+        def sent(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+        for b, _, kind, a, n, _, keys in sets_of(batches):
+            found = []
+            for row, own in zip(zip(b, kind, a, n), keys):
+                if row != at:
+                    found += told()
+                    at, held = row, []
+                held.append(own)
+            yield sent(found)
+        yield sent(told())
+
+    cut = F.transform(F.sequence(F.lit(0), F.size("keys") - 1, F.lit(PIECE)), lambda i: F.slice("keys", i + 1, F.lit(PIECE)))
+    together = centres.union(partners).select("b", "part", "kind", "a", "n", F.posexplode(cut).alias("piece", "keys"))
+    return map_arrow(together.repartition("b", "part").sortWithinPartitions("b", "part", "kind", "a", "piece"), run, "a binary, b binary")
 
 
 def bounded(similarity: float, common):
@@ -531,14 +551,14 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, common, simila
 def sets_of(batches):
     """Arrow batches whose last column holds lists of longs -> the other columns as lists, that one as arrays."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            some = batch.slice(at, 256)
+        for at in range(0, batch.num_rows, 1024):
+            some = batch.slice(at, 1024)
             lists = some.column(some.num_columns - 1)
             offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            yield [*(c.to_pylist() for c in some.columns[:-1]), [flat[i:j] for i, j in zip(offsets, offsets[1:])]]
+            yield [*(c.to_pylist() for c in some.columns[:-1]), [flat[i:j].copy() for i, j in zip(offsets, offsets[1:])]]  # copies: a batch is not held by what is kept of it
 
 
-GROUP = 1024  # partners of a node that one task verifies
+GROUP, PIECE = 1024, 128  # partners of a node that one task verifies; keys of a set in one row
 
 
 def gridded(nodes: DataFrame) -> DataFrame:
@@ -592,6 +612,7 @@ def first_of_each(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR)
     marks = materialize(sketches(pick(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text")), n, similarity, sent), "marks")
     nodes = materialize(marks.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "keys")), F.min("hash").alias("hash")), "nodes")
     member = similar(docs, nodes, sent, n, similarity)
+    sent.destroy()  # all that needed it is written
     found = marks.select("doc_id", "hash", "node").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
     first = found.groupBy("root").agg(least.alias("least"), F.count("*").alias("n")).filter("n > 1").select("root", F.col("least.doc_id").alias("id"), F.col("least.hash").alias("own"))
