@@ -39,6 +39,11 @@ def untagged(c: Column) -> Column:
     return c
 
 
+def held(value: Column, then) -> Column:
+    """then(value), the value computed once: a column named inside a lambda is put there whole by the optimizer's filters, and computed again for every element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def with_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with `blocks`, an array of (tag, text, n_chars, link_chars, score, kept); blocks without text are left out. Null pages have none."""
     c = F.regexp_replace(F.translate(F.coalesce(html, F.lit("")), "\x01\x02", "  "), COMMENT, " ")
@@ -58,25 +63,26 @@ def with_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
     def weighed(b: Column) -> Column:
         return F.struct(b["tag"].alias("tag"), b["text"].alias("text"), F.length(b["text"]).alias("n"), b["links"].alias("links"), (F.length(b["text"]) - 3 * b["links"]).alias("own"))
 
-    def beside(place: Column) -> Column:
-        return F.coalesce(F.when(place >= 0, F.get("_own", place)["own"]), F.lit(0))
+    def beside(all_: Column, place: Column) -> Column:
+        return F.coalesce(F.when(place >= 0, F.get(all_, place)["own"]), F.lit(0))
 
-    def scored(b: Column, i: Column) -> Column:
-        score = 4 * b["own"] + beside(i - 1) + beside(i + 1)
+    def scored(all_: Column, b: Column, i: Column) -> Column:
+        score = 4 * b["own"] + beside(all_, i - 1) + beside(all_, i + 1)
         return F.struct(b["tag"].alias("tag"), b["text"].alias("text"), b["n"].alias("n_chars"), b["links"].alias("link_chars"), score.alias("score"), ((2 * b["links"] <= b["n"]) & ((score >= LEAST) | (b["tag"] == "pre"))).alias("good"))
 
-    def kept(b: Column, i: Column) -> Column:
-        under = F.coalesce(F.get("_scored", i + 1)["good"], F.lit(False))
+    def kept(all_: Column, b: Column, i: Column) -> Column:
+        under = F.coalesce(F.get(all_, i + 1)["good"], F.lit(False))
         return F.struct(*(b[c].alias(c) for c in ("tag", "text", "n_chars", "link_chars", "score")), (b["good"] | (b["tag"].rlike("^h[1-6]$") & under)).alias("kept"))
 
-    x = pages.withColumn("_own", F.filter(F.transform(F.transform(F.split(marked, "\x01"), block), weighed), lambda b: b["text"] != ""))
-    return x.withColumn("_scored", F.transform("_own", scored)).withColumn("blocks", F.transform("_scored", kept)).drop("_own", "_scored")
+    own = F.filter(F.transform(F.transform(F.split(marked, "\x01"), block), weighed), lambda b: b["text"] != "")
+    scores = held(own, lambda x: F.transform(x, lambda b, i: scored(x, b, i)))
+    return pages.withColumn("blocks", held(scores, lambda x: F.transform(x, lambda b, i: kept(x, b, i))))
 
 
 def with_markdown(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with `markdown`: the kept blocks, with headings, lists, tables, quotes and code."""
 
-    def rendered(b: Column, i: Column) -> Column:
+    def rendered(all_: Column, b: Column, i: Column) -> Column:
         tag, said = b["tag"], b["text"]
         form = (
             F.when(tag.rlike("^h[1-6]$"), F.concat(F.repeat(F.lit("#"), F.substring(tag, 2, 1).cast("int")), F.lit(" "), said))
@@ -86,8 +92,8 @@ def with_markdown(pages: DataFrame, html: str = "html") -> DataFrame:
             .when(tag == "pre", F.concat(F.lit("```\n"), said, F.lit("\n```")))
             .otherwise(said)
         )
-        close = tag.isin("li", "tr") & F.coalesce(F.get("_kept", i - 1)["tag"] == tag, F.lit(False))
+        close = tag.isin("li", "tr") & F.coalesce(F.get(all_, i - 1)["tag"] == tag, F.lit(False))
         return F.concat(F.when(i == 0, "").when(close, "\n").otherwise("\n\n"), form)
 
-    x = with_blocks(pages, html).withColumn("_kept", F.filter("blocks", lambda b: b["kept"]))
-    return x.withColumn("markdown", F.array_join(F.transform("_kept", rendered), "")).drop("_kept")
+    kept = F.filter("blocks", lambda b: b["kept"])
+    return with_blocks(pages, html).withColumn("markdown", F.array_join(held(kept, lambda x: F.transform(x, lambda b, i: rendered(x, b, i))), ""))

@@ -375,6 +375,14 @@ def test_main_content_as_markdown(spark):
     assert [r.markdown for r in found[1:]] == ["", "", ("word " * 50).strip(), "no tags, but enough text to be the content of a page"]
 
 
+def test_a_page_is_cut_once_whatever_is_asked_of_its_blocks(spark):
+    """A filter on the blocks takes in their whole expression; it must not be computed for each block again."""
+    x = content.with_blocks(spark.createDataFrame([(1, PAGE)], "page_id long, html string"))
+    plans = [x.select("page_id", F.posexplode_outer("blocks")), x.filter(F.size("blocks") > 0)]
+    once = x._jdf.queryExecution().optimizedPlan().toString().count("split(")
+    assert [p._jdf.queryExecution().optimizedPlan().toString().count("split(") for p in plans] == [once, 2 * once]  # in the filter and in the result
+
+
 def test_code_of_deep_syntax_is_still_chunked():
     for source in ("(" * 5000 + ")" * 5000, "x = " + "-" * 100_000 + "1", "def f():\n  a\n\n  b\n# end"):
         found = chunking.code(source, "python")
