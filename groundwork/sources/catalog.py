@@ -6,6 +6,7 @@ touched tables anew and replace those partitions alone; nothing else is read or
 
 from __future__ import annotations
 
+from itertools import accumulate
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ SCHEMA = StructType([
     StructField("language", StringType()), StructField("symbol", StringType()), StructField("line_start", IntegerType()), StructField("line_end", IntegerType()), StructField("table_name", StringType()),
 ])
 REQUIRED = ("source_type", "language")
+FILE_BYTES = 64 << 20  # of a file that a deletion writes
 
 
 def names_file(column: Column, name: str) -> Column:
@@ -68,17 +70,31 @@ class Store:
         self.guard(rows, width)
         if self.exists():
             rows = rows.join(self.read().select("table_name", "source_file").distinct(), ["table_name", "source_file"], "left_anti")
-        self._write(rows.select([c for c in rows.columns if c != "table_name"] + ["table_name"]), "append", files_per_table)
+        rows = rows.select([c for c in rows.columns if c != "table_name"] + ["table_name"])
+        names = [r["table_name"] for r in rows.select("table_name").distinct().collect()] if files_per_table else []  # a row a table
+        self._write(rows, "append", dict.fromkeys(names, files_per_table))
 
     def overwrite(self, rows: DataFrame) -> None:
         """Replace the tables that rows belong to; rows are refused as in append()."""
         self.guard(rows)
         self._write(rows.select([c for c in rows.columns if c != "table_name"] + ["table_name"]), "overwrite")
 
-    def _write(self, rows: DataFrame, mode: str, files_per_table: int = 0) -> None:
-        out = rows.repartition(files_per_table, "table_name") if files_per_table else rows
+    def _write(self, rows: DataFrame, mode: str, files: dict[str, int] | None = None) -> None:
+        """files: how many files each table gets; each is a task of its own, so that none holds more than one table."""
+        out = self._dealt(rows, files) if files else rows
         out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("table_name").parquet(self.path)
 
+    def _dealt(self, rows: DataFrame, files: dict[str, int]) -> DataFrame:
+        firsts = [0, *accumulate(files.values())]
+        places = self.spark.createDataFrame([(t, at, n) for (t, n), at in zip(files.items(), firsts)], "table_name string, _first long, _files long")
+        at = F.col("_first") + F.pmod(F.xxhash64(*rows.columns), F.col("_files"))
+        return rows.join(F.broadcast(places), "table_name").repartitionById(firsts[-1], at.cast("int")).select(*rows.columns)
+
+    def _files_for(self, tables: list[str]) -> dict[str, int]:
+        """How many files of about FILE_BYTES each of these tables fills."""
+        fs, folders = self._fs()[2], self._folders()
+        return {t: max(1, -(-fs.getContentSummary(folders[t]).getLength() // FILE_BYTES)) for t in tables}
+
     def tables(self) -> list[str]:
         return sorted(self._folders())
 
@@ -108,7 +124,7 @@ class Store:
         if touched:
             staged = f"{self.path}.staged"
             self.read().filter(F.col("table_name").isin(touched)).filter(~gone).write.mode("overwrite").partitionBy("table_name").parquet(staged)
-            self._write(self._rows(staged), "overwrite", 1)
+            self._write(self._rows(staged), "overwrite", self._files_for(touched))
             jvm, _, fs = self._fs()
             fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
         for t in empty:
@@ -118,7 +134,7 @@ class Store:
     def compact(self, files_per_table: int = 1) -> None:
         staged = f"{self.path}.staged"
         self.read().write.mode("overwrite").partitionBy("table_name").parquet(staged)
-        self._write(self._rows(staged), "overwrite", files_per_table)
+        self._write(self._rows(staged), "overwrite", dict.fromkeys(self.tables(), files_per_table))
         jvm, _, fs = self._fs()
         fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
 

@@ -440,6 +440,27 @@ def test_store(spark, tmp_path):
     assert s.tables() == []
 
 
+def test_no_task_writes_two_tables_anew(spark, tmp_path, monkeypatch):
+    """Files are named by the task that wrote them: a task of compaction or deletion has one table, and a large table several tasks."""
+    s, names = catalog.Store(spark, f"file://{tmp_path}/store"), [f"t{i}" for i in range(9)]
+
+    def tasks() -> list:
+        found = s.read().select("table_name", F.regexp_extract(F.input_file_name(), r"/part-(\d+)", 1).alias("task")).distinct().collect()
+        return sorted((r.table_name, r.task) for r in found)
+
+    for n in names:
+        s.append(rows(spark, [f"{x}.md" for x in "abcdef"], n))
+    s.compact()
+    assert [t for t, _ in tasks()] == names and len({k for _, k in tasks()}) == 9
+    assert s.remove_file("a.md") == 9 and [t for t, _ in tasks()] == names and len({k for _, k in tasks()}) == 9
+    monkeypatch.setattr(catalog, "FILE_BYTES", 1000)
+    assert s.remove_file("b.md") == 9 and len({k for _, k in tasks()}) == len(tasks()) > 9
+    s.compact(3)
+    assert len({k for _, k in tasks()}) == len(tasks()) > 9 and s.read().count() == 36
+    s.append(rows(spark, ["x.md", "y.md"], "new"), files_per_table=1)
+    assert [t for t, _ in tasks()].count("new") == 1 and s.read().count() == 38
+
+
 @pytest.mark.parametrize("names", [["007", "12", "1e3"], ["a b", "x=y", "50%", "é/ü:z"], ["True", "2024-01-01", "null", "-1"]])
 def test_table_names_stay_as_they_are(spark, tmp_path, names):
     s = catalog.Store(spark, f"file://{tmp_path}/store")
