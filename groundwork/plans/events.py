@@ -99,7 +99,7 @@ SELECT doc, attempt, tripped_set, coalesce(lag(tripped_set) OVER (PARTITION BY d
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' chunks, dealt over four files so that a document's come in several micro-batches, streamed into a store."""
+    """All documents' chunks, dealt over the files of four parts so that a document's come in several micro-batches, streamed into a store."""
     where = f"{shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
     cut = chunking.windows(F.col("text"), 800)
     docs = table(spark, sf_dir, "documents").select("doc_id", cut.alias("cut")).select("doc_id", F.size("cut").alias("n_chunks"), F.posexplode("cut").alias("seq", "text"))
@@ -107,9 +107,12 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("00"), (F.col("doc_id") % 3).cast("string")).alias("table_name"), F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("source_file"), "seq", "n_chunks", "text",
         F.lit("docs").alias("source_type"), F.lit("").alias("language"), F.col("seq").alias("line_start"),
     )
-    chunks.repartition(4, F.col("seq") % 4).write.parquet(f"{where}/in")
+    parts = chunks.withColumn("part", F.col("seq") % 4)
+    parts.write.partitionBy("part").parquet(f"{where}/in")  # a task writes what it cut: no part goes through one
+    n_files = len(spark.read.schema(parts.schema).parquet(f"{where}/in").inputFiles())
     store = catalog.Store(spark, f"{where}/store")
-    streams.ingest(spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in"), store).awaitTermination()
+    dealt = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", max(1, -(-n_files // 4))).parquet(f"{where}/in")
+    streams.ingest(dealt.drop("part"), store).awaitTermination()
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_start", "text"))), lambda x: x["text"]), "|")
     return store.read().groupBy("table_name", "source_file").agg(F.count("*").alias("n"), F.md5(texts.cast("binary")).alias("digest"))
 

@@ -528,6 +528,22 @@ def test_streamed_ingest_equals_batch(spark, tmp_path):
         streams.ingest(spark.readStream.schema(catalog.SCHEMA).parquet(f"{tmp_path}/in"), store)
 
 
+def test_no_task_writes_a_part_of_a_stream_alone(spark, tmp_path):
+    import glob
+
+    from tests.conftest import SF
+
+    from groundwork.plans import events
+    from groundwork.session import shared_dir
+
+    spark.read.parquet(f"{SF}/documents.parquet").limit(90).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    shared = shared_dir(spark).removeprefix("file://")
+    old = {*glob.glob(f"{shared}/streamed-*")}
+    assert events.stream_ingest(spark, str(tmp_path)).count() == 90
+    (new,) = {*glob.glob(f"{shared}/streamed-*")} - old
+    assert len(glob.glob(f"{new}/in/part=0/*.parquet")) == 3 and len(glob.glob(f"{new}/in/part=*")) == 4
+
+
 def test_sources_from_files(spark, tmp_path):
     (tmp_path / "repo/src").mkdir(parents=True)
     (tmp_path / "repo/src/a.py").write_text("x = 1\n")
