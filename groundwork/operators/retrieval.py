@@ -13,8 +13,9 @@ from groundwork.session import shared_dir, ship
 
 RRF = 60
 INDEX_ROWS = 50_000  # rows above which an approximate index pays
-QUERY_BYTES = 64 << 20  # queries' vectors that may be sent to every task; more go in blocks
-HELD = 1 << 21  # hits that a task holds before it sends what it has
+QUERY_BYTES = 16 << 20  # queries' vectors that may be sent to every task; more go in blocks
+HELD = 1 << 19  # hits that a task holds before it sends what it has
+HITS = 1 << 18  # hits that a block's queries ask of a task; more go in blocks too, so that a task's best fit in what it holds
 COLLECTION = "knowledge"  # fixed value: the collection meant where none is named
 
 
@@ -52,16 +53,18 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, within: str | None = No
     Each task multiplies its rows with blocks of query vectors in numpy and keeps its own k best
     a query (and group), so what is shuffled is k rows a task, query and group, not pairs; a task
     whose best alone are more than HELD rows sends them as they come. Ties go
-    to the smaller id, distances being rounded to 9 places. Queries of more than QUERY_BYTES are
-    dealt by their id to blocks of about half of that, which are searched one after another and
+    to the smaller id, distances being rounded to 9 places. Queries of more than QUERY_BYTES, or
+    that ask more than HITS of a task, are dealt by their id to blocks of about half of that, which are searched one after another and
     written to the shared folder, so that the driver and the tasks hold one block at a time.
     Null vectors have no neighbours and are none, and rows without a group are left out; vectors of another width than the queries' are
     refused, as are queries of several widths.
     """
-    spark, size = queries.sparkSession, _bytes(queries)
-    if size <= QUERY_BYTES:
+    spark = queries.sparkSession
+    groups = base.agg(F.approx_count_distinct(within).alias("n")).first()["n"] if within else 1
+    blocks = blocks_for(queries, k * groups)
+    if blocks == 1:
         return _nearest(queries, base, k, within, metric)
-    path, blocks = f"{shared_dir(spark)}/nearest-{uuid.uuid4().hex}", -(-2 * size // QUERY_BYTES)
+    path = f"{shared_dir(spark)}/nearest-{uuid.uuid4().hex}"
     for at in range(blocks):
         found = _nearest(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at), base, k, within, metric)
         found.write.mode("append").parquet(path)
@@ -95,10 +98,10 @@ def _nearest(queries: DataFrame, base: DataFrame, k: int, within: str | None, me
             key = batch.column(0).to_numpy()[there]
             groups = batch.column(1).to_numpy(zero_copy_only=False)[there] if within else np.zeros(n, np.int64)
             norm = np.linalg.norm(rows, axis=1)
-            for at in range(0, len(ids), 256):
-                block = asked[at : at + 256]
+            for at in range(0, len(ids), 64):
+                block = asked[at : at + 64]
                 if metric == "cosine":
-                    d = 1 - (block @ rows.T) / (norms[at : at + 256, None] * norm[None, :])
+                    d = 1 - (block @ rows.T) / (norms[at : at + 64, None] * norm[None, :])
                 else:
                     d = ((block[:, None, :] - rows[None, :, :]) ** 2).sum(axis=2) if n * len(block) * rows.shape[1] < 1 << 24 else (block**2).sum(1)[:, None] + (rows**2).sum(1)[None, :] - 2 * block @ rows.T
                 d = np.abs(np.round(d, 9))  # no negative zeros
@@ -159,6 +162,12 @@ def best_of(parts: list[tuple], k: int) -> tuple:
     return q[kept], found[order][kept], group[kept], d[order][kept]
 
 
+def blocks_for(queries: DataFrame, hits: int) -> int:
+    """In how many blocks queries go that ask for so many hits of a task each."""
+    size, n = _bytes(queries), queries.count() * hits
+    return max(1 if size <= QUERY_BYTES else -(-2 * size // QUERY_BYTES), 1 if n <= HITS else -(-2 * n // HITS))
+
+
 def _bytes(queries: DataFrame) -> int:
     return (queries.agg(F.sum(F.greatest(F.size("vector"), F.lit(0))).alias("n")).first()["n"] or 0) * 8
 

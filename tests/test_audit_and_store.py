@@ -120,6 +120,17 @@ def test_blocks_of_queries_find_what_one_block_does(spark, monkeypatch, how):
     assert sorted(map(tuple, retrieval.nearest(asked(spark, SF), base(spark, SF), **how).collect())) == whole
 
 
+def test_queries_that_ask_for_many_hits_go_in_blocks(spark, monkeypatch):
+    from tests.conftest import SF
+
+    from groundwork.plans.retrieval import asked, base
+
+    want = sorted(map(tuple, retrieval.nearest(asked(spark, SF), base(spark, SF), 4, within="label").collect()))
+    monkeypatch.setattr(retrieval, "HITS", 700)  # 25 queries for 4 of each label
+    assert retrieval.blocks_for(asked(spark, SF), 4) == 1 and retrieval.blocks_for(asked(spark, SF), 40) == 3
+    assert sorted(map(tuple, retrieval.nearest(asked(spark, SF), base(spark, SF), 4, within="label").collect())) == want
+
+
 @pytest.mark.parametrize("held", [1, 40, 1 << 21])
 def test_a_task_keeps_its_own_best(spark, monkeypatch, held):
     from tests.conftest import SF
