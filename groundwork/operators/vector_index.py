@@ -21,6 +21,7 @@ from groundwork.session import shared_dir, ship
 
 PARTS, ENTRIES = 16, 256
 SAMPLE, SAMPLE_BYTES = 1 << 16, 64 << 20  # rows, and bytes of them, that centres and codebooks are trained on
+STEP = 1 << 20  # distances to centres that are held at a time
 SHORT = 20  # rows of the short list for one that is asked for
 RECALL, ASKED = 0.96, 64  # the probes are those that find this share of the neighbours of so many queries
 
@@ -36,7 +37,9 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def closest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((centres**2).sum(axis=1)[None, :] - 2 * rows @ centres.T).argmin(axis=1)
+    """The nearest centre of each row; STEP distances are held at a time."""
+    own, step = (centres**2).sum(axis=1)[None, :], max(1, STEP // len(centres))
+    return np.concatenate([(own - 2 * rows[at : at + step] @ centres.T).argmin(axis=1) for at in range(0, max(1, len(rows)), step)])
 
 
 def kmeans(rows: np.ndarray, k: int, rounds: int = 10, seed: int = 3) -> np.ndarray:
@@ -119,11 +122,11 @@ class Index:
         return np.argsort(d, axis=1, kind="stable")[:, :probes]
 
     def search(self, queries: DataFrame, k: int, probes: int, short: int = SHORT) -> DataFrame:
-        """queries (query_id, vector) -> query_id, id, distance, rank from 0. Queries beyond retrieval.QUERY_BYTES go in blocks."""
-        size = retrieval._bytes(queries)
-        if size <= retrieval.QUERY_BYTES:
+        """queries (query_id, vector) -> query_id, id, distance, rank from 0. Queries beyond retrieval.QUERY_BYTES or retrieval.HITS, counting their short lists or probes, go in blocks."""
+        blocks = retrieval.blocks_for(queries, max(short * k, probes))
+        if blocks == 1:
             return self._search(queries, k, probes, short)
-        path, blocks = f"{shared_dir(self.spark)}/indexed-{uuid.uuid4().hex}", -(-2 * size // retrieval.QUERY_BYTES)
+        path = f"{shared_dir(self.spark)}/indexed-{uuid.uuid4().hex}"
         for at in range(blocks):
             found = self._search(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at), k, probes, short)
             found.write.mode("append").parquet(path)
@@ -155,12 +158,12 @@ class Index:
                         i, j = retrieval.smallest(d, most)
                         held.append((q[i], found[own[j]], np.full(len(i), c), d[i, j]))
                         size += len(i)
-                    if size > retrieval.HELD:
-                        held = [best_by_query(held, most)]
-                        size = len(held[0][0])
-                        if size > retrieval.HELD // 2:
-                            yield sent(held[0])
-                            held, size = [], 0
+                        if size > retrieval.HELD:
+                            held = [best_by_query(held, most)]
+                            size = len(held[0][0])
+                            if size > retrieval.HELD // 2:
+                                yield sent(held[0])
+                                held, size = [], 0
             if held:
                 yield sent(best_by_query(held, most))
 

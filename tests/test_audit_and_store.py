@@ -131,6 +131,17 @@ def test_queries_that_ask_for_many_hits_go_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, retrieval.nearest(asked(spark, SF), base(spark, SF), 4, within="label").collect())) == want
 
 
+def test_the_closest_centres_need_bounded_memory():
+    import tracemalloc
+
+    rows, centres = np.random.default_rng(1).normal(size=(8000, 8)), np.random.default_rng(2).normal(size=(2000, 8))
+    tracemalloc.start()
+    got = vector_index.closest(rows, centres)
+    assert tracemalloc.get_traced_memory()[1] < 40e6  # all distances are 128 MB
+    tracemalloc.stop()
+    assert (got[:50] == ((rows[:50, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)).all() and len(vector_index.closest(rows[:0], centres)) == 0
+
+
 @pytest.mark.parametrize("held", [1, 40, 1 << 21])
 def test_a_task_keeps_its_own_best(spark, monkeypatch, held):
     from tests.conftest import SF
