@@ -24,7 +24,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from groundwork.llm.common import map_arrow, materialize, numbered, per_text, pick, release, slices, splitmix
@@ -260,21 +260,21 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> node, root: every node that has a link, with the smallest node of its class.
 
     Each round hangs larger neighbours under the smallest one (large star), then all smaller ones
-    too (small star), until nothing moves; rounds follow the logarithm of a class's width.
+    too (small star), until nothing moves; rounds follow the logarithm of a class's width. A star is
+    one exchange: a window, which Spark spills, finds the smallest neighbour.
     """
     spark = edges.sparkSession
+    least = F.min("b").over(Window.partitionBy("a"))
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
     while True:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("x")).select("x.a", F.col("x.m").alias("b"))
-        after = materialize(small.filter("a <> b").distinct(), "links")
-        found = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        large = both.withColumn("m", F.least(least, "a")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.withColumn("m", least).select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("x")).select("x.a", F.col("x.m").alias("b"))
+        seen = Observation()
+        after = materialize(small.filter("a <> b").distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "links")
         release(spark, now)
-        now = after
+        now, found = after, seen.get
         if found == state:
             break
         state = found
@@ -302,16 +302,42 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, bits: int = BITS) -> Data
 
 WORDS, SIMILAR = 5, 0.8  # words a shingle; Jaccard similarity
 STARS, CHEAP = 6, 8  # most rounds of stars; pairs a posting up to which all are verified at once
-WINDOW, OFTEN, COMMON = 1 << 20, 64, 1 << 20  # shingles that a task looks through at once; how often common ones are met again there; the most that are sent, the most frequent first
+WINDOW, OFTEN, COMMON = 1 << 20, 64, 1 << 20  # shingles that a task packs at once; a shingle is common in more than an eighth of OFTEN texts; the most that are sent, the most frequent first
+BUCKETS, DROPPED = 1 << 10, 22  # shingles are counted by their first 42 bits: ten name a bucket, 32 are sent
 KEYS_SENT = 1 << 22  # shared keys that are sent to tasks (32 MB); more are joined by shuffle
 SKETCH = "doc_id long, hash long, fp long, node binary, n long, keys array<long>"
 
 
-def prefix(distinct: np.ndarray, similarity: float, common: np.ndarray | None = None) -> np.ndarray:
-    """The first shingles of a set in the order (common or not, hash), of which similar sets must share one."""
-    if common is not None and len(common):
-        late = np.isin(distinct, common, assume_unique=True)
-        distinct = np.concatenate([distinct[~late], distinct[late]])
+class Counts:
+    """How many texts have each common shingle; others count as 0. Only the first 42 bits of a hash tell, so the order is one of hashes."""
+
+    def __init__(self, keys: np.ndarray, m: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.m = keys[order].astype(np.uint64), m[order]
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(hashes), np.int64)
+        own = hashes >> np.uint64(DROPPED)
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        return np.where(self.keys[at] == own, self.m[at], 0)
+
+
+def ranks(hashes: np.ndarray, common) -> np.ndarray:
+    """Shingles go by this, then by hash; common is Counts, or an array of hashes that all go last."""
+    if common is None:
+        return np.zeros(len(hashes), np.int64)
+    return common.of(hashes) if isinstance(common, Counts) else np.isin(hashes, common, assume_unique=True).astype(np.int64)
+
+
+def prefix(distinct: np.ndarray, similarity: float, common=None) -> np.ndarray:
+    """The first shingles of a set in the order (how common, hash), of which similar sets must share one."""
+    rank = ranks(distinct, common)
+    if rank.any():
+        distinct = distinct[np.argsort(rank, kind="stable")]
     return distinct[: len(distinct) - math.ceil(similarity * len(distinct) - 1e-9) + 1]
 
 
@@ -336,42 +362,88 @@ def sketches(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR, commo
     return per_text(docs, run, SKETCH)
 
 
-def common_shingles(docs: DataFrame, n: int = WORDS) -> np.ndarray:
-    """Shingles that many texts share, sorted: they only put the order right, so those that are missed cost time, not links.
+def packed(sets):
+    """Arrays of hashes -> (bucket, low): WINDOW hashes at a time, the 32 bits that follow a bucket's ten as one string a bucket."""
+    import pyarrow as pa
 
-    Each task goes through all its texts window by window, and counts the shingles that different texts of a window share.
-    """
+    def strings():
+        some = np.sort(np.concatenate(held) >> np.uint64(DROPPED))
+        edges = np.searchsorted(some, np.arange(BUCKETS + 1, dtype=np.uint64) << np.uint64(32))
+        full = np.flatnonzero(np.diff(edges))
+        low = some.astype("<u4")
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([low[edges[k] : edges[k + 1]].tobytes() for k in full.tolist()], pa.binary())], ["bucket", "low"])
+
+    held, size = [], 0
+    for hashes in sets:
+        for at in range(0, len(hashes), WINDOW):
+            held.append(hashes[at : at + WINDOW])
+            size += len(held[-1])
+            if size >= WINDOW:
+                yield strings()
+                held, size = [], 0
+    if size:
+        yield strings()
+
+
+def met(rows: DataFrame, more_than: int) -> DataFrame:
+    """Rows (bucket, low) of packed() -> key, m: the hashes, by their first 42 bits, that are met more often than that. A task holds one bucket."""
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
-        def shared():
+        def told():
             some = np.sort(np.concatenate(held))
             first = np.flatnonzero(np.append(True, some[1:] != some[:-1]))
-            count = np.diff(np.append(first, len(some)))
-            often = count > 1
-            return pa.RecordBatch.from_arrays([pa.array(some[first[often]].astype(np.int64)), pa.array(count[often])], ["key", "m"])
+            m = np.diff(np.append(first, len(some)))
+            often = m > more_than
+            key, m = some[first[often]].astype(np.int64) | at << 32, m[often]
+            for k in range(0, len(key), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(key[k : k + (1 << 16)]), pa.array(m[k : k + (1 << 16)])], ["key", "m"])
 
-        forget()
-        held, size, seen = [], 0, set()
-        for (text,) in slices(batches):
-            for t in text:
-                joined, hashes = shingle_hashes(t, n)
-                node = xxhash.xxh128_digest(joined)
-                if node in seen or not len(hashes):
-                    continue
-                seen.add(node)
-                held.append(np.unique(hashes))
-                size += len(held[-1])
-                if size >= WINDOW:
-                    yield shared()
-                    held, size, seen = [], 0, set()
+        at, held = None, []
+        for batch in batches:
+            for bucket, low in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if held and bucket != at:
+                    yield from told()
+                    held = []
+                at = bucket
+                held.append(np.frombuffer(low.as_py(), "<u4"))
         if held:
-            yield shared()
+            yield from told()
+
+    return map_arrow(rows.repartition("bucket").sortWithinPartitions("bucket"), run, "key long, m long")
+
+
+def common_shingles(docs: DataFrame, n: int = WORDS) -> Counts:
+    """Shingles that many texts share, counted over all texts: they only put the order right, so those beyond COMMON cost time, not links."""
+
+    def run(batches):
+        import xxhash
 
-    counts = map_arrow(pick(docs, "text"), run, "key long, m long").groupBy("key").agg(F.sum("m").alias("m"))
-    return longs(counts.filter(F.col("m") > OFTEN).orderBy(F.desc("m"), "key").limit(COMMON).select("key"))
+        def sets():
+            seen = set()  # of this task, whose rows are a file's part
+            for (text,) in slices(batches):
+                for t in text:
+                    joined, hashes = shingle_hashes(t, n)
+                    node = xxhash.xxh128_digest(joined)
+                    if node not in seen:
+                        seen.add(node)
+                        yield np.unique(hashes)
+
+        forget()
+        yield from packed(sets())
+
+    spark = docs.sparkSession
+    counts = materialize(met(map_arrow(pick(docs, "text"), run, "bucket int, low binary"), OFTEN // 8), "common")
+    least, total = 1 << 62, 0
+    for m, keys in sorted(map(tuple, counts.groupBy("m").agg(F.count("*")).collect()), reverse=True):
+        total += keys
+        if total > COMMON:
+            break
+        least = m
+    sent = counts.filter(F.col("m") >= least).toArrow()
+    release(spark, counts)
+    return Counts(*(sent.column(i).to_numpy() for i in (0, 1)))
 
 
 def longs(keys: DataFrame) -> np.ndarray:
@@ -403,22 +475,26 @@ def whole_sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """nodes (node, n, keys) -> key, pos, n, node of the prefix shingles that several nodes have."""
+    """nodes (node, n, keys) -> key, pos, n, node of the prefix shingles that several nodes have (and of few that only their first 42 bits share)."""
     spark = nodes.sparkSession
-    flat = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
-    keys = materialize(flat.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "shared-keys")
+
+    def run(batches):
+        yield from packed(k.view(np.uint64) for (keys,) in sets_of(batches) for k in keys)
+
+    keys = materialize(met(map_arrow(nodes.select("keys"), run, "bucket int, low binary"), 1).select("key"), "shared-keys")
     if keys.count() <= KEYS_SENT:
         sent = spark.sparkContext.broadcast(longs(keys))
         found = materialize(of_keys(nodes, sent), "postings")
         sent.destroy()
     else:
-        found = materialize(flat.join(keys, "key").select("key", "pos", "n", "node"), "postings")
+        flat = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key")).withColumn("first", F.shiftrightunsigned("key", DROPPED))
+        found = materialize(flat.join(keys.toDF("first"), "first").select("key", "pos", "n", "node"), "postings")
     release(spark, keys)
     return found
 
 
 def of_keys(nodes: DataFrame, sent) -> DataFrame:
-    """The postings of these keys alone."""
+    """The postings of the keys with these first bits alone."""
 
     def run(batches):
         import pyarrow as pa
@@ -430,8 +506,9 @@ def of_keys(nodes: DataFrame, sent) -> DataFrame:
             flat = flat[offsets[0] : offsets[-1]]
             size = np.diff(offsets)
             row = np.repeat(np.arange(batch.num_rows), size)
-            place = np.searchsorted(wanted, flat.view(np.uint64))
-            kept = np.flatnonzero(wanted[np.minimum(place, len(wanted) - 1)] == flat.view(np.uint64)) if len(wanted) else np.empty(0, np.int64)
+            first = flat.view(np.uint64) >> np.uint64(DROPPED)
+            place = np.searchsorted(wanted, first)
+            kept = np.flatnonzero(wanted[np.minimum(place, len(wanted) - 1)] == first) if len(wanted) else np.empty(0, np.int64)
             pos = kept - np.repeat(np.cumsum(size) - size, size)[kept]
             for at in range(0, len(kept), 1 << 16):
                 k, p = kept[at : at + (1 << 16)], pos[at : at + (1 << 16)]
@@ -443,13 +520,13 @@ def of_keys(nodes: DataFrame, sent) -> DataFrame:
 
 def open_postings(cells: DataFrame, member: DataFrame) -> DataFrame:
     """Postings of the keys whose nodes are not all of one class yet: with each node's class, m nodes of the key, and whether it is outside the key's largest class."""
-    mine = materialize(cells.join(member, "node", "left").select("key", "pos", "n", "node", F.coalesce("root", "node").alias("class")), "classed")
-    sizes = mine.groupBy("key", "class").agg(F.count("*").alias("c"))
-    keys = sizes.groupBy("key").agg(F.max(F.struct("c", "class")).alias("most"), F.sum("c").alias("m")).filter("most.c < m")
-    keys = keys.select("key", "m", (F.col("m") - F.col("most.c")).alias("outside"), F.col("most.class").alias("largest"))
-    opened = materialize(mine.join(keys, "key").withColumn("out", F.col("class") != F.col("largest")).drop("largest"), "open-postings")
-    for done in (mine, cells):
-        release(cells.sparkSession, done)
+    own = ["key", "pos", "n", "node"]
+    mine = cells.select(own).join(member, "node", "left").select(*own, F.coalesce("root", "node").alias("class")).repartition("key")
+    key = Window.partitionBy("key")
+    sized = mine.withColumn("c", F.count("*").over(Window.partitionBy("key", "class"))).withColumn("most", F.max(F.struct("c", "class")).over(key)).withColumn("m", F.count("*").over(key))
+    opened = sized.filter("most.c < m").select(*own, "class", "m", (F.col("m") - F.col("most.c")).alias("outside"), (F.col("class") != F.col("most.class")).alias("out"))
+    opened = materialize(opened, "open-postings")
+    release(cells.sparkSession, cells)
     return opened
 
 
@@ -473,8 +550,8 @@ def compared(pairs: DataFrame, sets: DataFrame, fits) -> DataFrame:
     A node's keys are read once a task of GROUP partners, not once a pair, and then stay while the partners' come in.
     They come in pieces, so that a batch of rows is small however long texts are.
     """
-    often = pairs.groupBy("b").agg(F.count("*").alias("partners"))
-    dealt = pairs.join(often, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("partners") / GROUP)).alias("part"))
+    partners = F.count("*").over(Window.partitionBy("b"))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(partners / GROUP)).alias("part"))
     partners = dealt.join(sets, dealt.a == sets.node).select("b", "part", F.lit(1).alias("kind"), "a", "n", "keys")
     centres = dealt.select("b", "part").distinct().join(sets, F.col("b") == sets.node).select("b", "part", F.lit(0).alias("kind"), F.col("b").alias("a"), "n", "keys")
 
@@ -516,9 +593,9 @@ def bounded(similarity: float, common):
     """Whether two sets may be similar, told from their prefixes: what lies before the nearer end of the two is known, the rest may all be shared."""
 
     def fits(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
-        late = [np.isin(k, common.value, assume_unique=True) for k in (x, y)]
-        last = min((bool(f[-1]), int(k[-1])) for k, f in zip((x, y), late))
-        before = [int((~f | last[0]).sum() - ((f == last[0]) & (k > np.uint64(last[1]))).sum()) for k, f in zip((x, y), late)]
+        order = [ranks(k, common.value) for k in (x, y)]
+        rank, last = min((int(r[-1]), int(k[-1])) for k, r in zip((x, y), order))
+        before = [int(((r < rank) | (r == rank) & (k <= np.uint64(last))).sum()) for k, r in zip((x, y), order)]
         most = len(np.intersect1d(x, y, assume_unique=True)) + min(n - before[0], m - before[1])
         return most >= similarity / (1 + similarity) * (n + m) - 1e-9
 
@@ -534,16 +611,18 @@ def jaccard(similarity: float):
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, common, similarity: float = SIMILAR, n: int = WORDS) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose distinct shingles have that Jaccard similarity: first those that their prefixes leave possible, then by whole sets."""
+    """Of pairs (a, b) of nodes those whose distinct shingles have that Jaccard similarity: where pairs are more than nodes, first those that their prefixes leave possible, then by whole sets."""
     spark = docs.sparkSession
-    pairs = materialize(pairs, "pairs")
-    likely = materialize(compared(pairs, nodes.filter("n > 0").select("node", "n", "keys"), bounded(similarity, common)), "likely")
-    needed = materialize(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "hash"), "node"), "needed")
-    sent = F.broadcast(needed.select("hash")) if needed.count() <= MOST_SENT else needed.select("hash")
+    likely = pairs = materialize(pairs, "pairs")
+    if pairs.count() > nodes.count():
+        likely = materialize(compared(pairs, nodes.filter("n > 0").select("node", "n", "keys"), bounded(similarity, common)), "likely")
+        release(spark, pairs)
+    needed = materialize(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "hash"), "node").select("hash"), "needed")
+    sent = F.broadcast(needed) if needed.count() <= MOST_SENT else needed
     texts = pick(docs, "text").withColumn("hash", F.xxhash64("text")).join(sent, "hash", "left_semi").select("text")
     sets = materialize(whole_sets(texts, n), "sets")
     near = materialize(compared(likely, sets, jaccard(similarity)), "near")
-    for done in (pairs, likely, needed, sets):
+    for done in (likely, needed, sets):
         release(spark, done)
     return near
 
@@ -625,6 +704,8 @@ def first_of_each(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR)
 
     left = rows.join(F.broadcast(gone) if few else gone, among(gone), "left_anti")
     twice = materialize(marks.groupBy("doc_id", "hash").count().filter("count > 1").select("doc_id", "hash"), "twice")
+    for done in (marks, nodes):
+        release(docs.sparkSession, done)
     if not twice.isEmpty():
         left = left.join(twice, among(twice), "left_anti").union(left.join(twice, among(twice), "left_semi").dropDuplicates([key, "hash"]))
     return left.drop("hash").toDF(*docs.columns)

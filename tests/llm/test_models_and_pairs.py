@@ -486,6 +486,34 @@ def test_the_bound_of_two_prefixes_is_never_below_what_they_share():
     assert dropped > 100
 
 
+def test_common_shingles_are_counted_over_all_tasks(spark):
+    """A text a task: no task meets the template twice, yet each of its shingles is counted once for each text."""
+    shared = " ".join(f"t{i}" for i in range(20))
+    rows = [(k, f"{shared} " + " ".join(f"own{k}x{i}" for i in range(12))) for k in range(80)]
+    common = simhash.common_shingles(spark.createDataFrame(spark.sparkContext.parallelize(rows, 80), "doc_id long, text string"))
+    assert len(common) == 16 and set(common.of(np.unique(simhash.shingle_hashes(shared, 5)[1])).tolist()) == {80}
+    assert not common.of(simhash.shingle_hashes("own1x0 own1x1 own1x2 own1x3 own1x4", 5)[1]).any()
+
+
+def test_prefixes_by_counts_of_similar_sets_meet():
+    """As with common shingles that are not told apart: rarer ones come first, similar sets share a prefix shingle and their prefixes do not rule them out."""
+    draw = np.random.default_rng(9)
+    met = 0
+    for _ in range(400):
+        n = int(draw.integers(1, 60))
+        a = np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[draw.random(len(a)) > 0.12], draw.integers(0, 1 << 63, int(draw.integers(0, 8))).astype(np.uint64)]))
+        some = draw.choice(np.union1d(a, b), int(draw.integers(0, len(a))), replace=False) >> np.uint64(simhash.DROPPED)
+        common = simhash.Counts(some, draw.integers(9, 40, len(some)))
+        both = len(np.intersect1d(a, b))
+        x, y = simhash.prefix(a, 0.8, common), simhash.prefix(b, 0.8, common)
+        assert np.all(np.diff(common.of(x)) >= 0)
+        if both and both >= 0.8 * (len(a) + len(b) - both):
+            met += 1
+            assert len(np.intersect1d(x, y)) and simhash.bounded(0.8, SimpleNamespace(value=common))(len(a), x, len(b), y)
+    assert met > 50
+
+
 def test_first_of_each_loses_no_class_where_ids_repeat(spark, clashing):
     draw = np.random.default_rng(4)
     a, b, d = (" ".join(f"v{i}" for i in draw.integers(0, 500, 90)) for _ in range(3))
