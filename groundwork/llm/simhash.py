@@ -26,6 +26,8 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from groundwork.llm.common import map_arrow, materialize, numbered, per_text, pick, release, slices, splitmix
 from groundwork.llm.pieces import forget
@@ -301,7 +303,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, bits: int = BITS) -> Data
 # ---- Near copies by similarity: at 0.8 two texts lie some ten bits apart, beyond the grid's reach.
 
 WORDS, SIMILAR = 5, 0.8  # words a shingle; Jaccard similarity
-STARS, CHEAP = 6, 8  # most rounds of stars; pairs a posting up to which all are verified at once
+STARS, CHEAP = 1, 8  # most rounds of stars, of which each finds few links in a crowd; pairs a posting up to which all are verified at once, also of one key
 WINDOW, OFTEN, COMMON = 1 << 20, 64, 1 << 20  # shingles that a task packs at once; a shingle is common in more than an eighth of OFTEN texts; the most that are sent, the most frequent first
 BUCKETS, DROPPED = 1 << 10, 22  # shingles are counted by their first 42 bits: ten name a bucket, 32 are sent
 KEYS_SENT = 1 << 22  # shared keys that are sent to tasks (32 MB); more are joined by shuffle
@@ -475,8 +477,8 @@ def whole_sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """nodes (node, n, keys) -> key, pos, n, node of the prefix shingles that several nodes have (and of few that only their first 42 bits share)."""
-    spark = nodes.sparkSession
+    """nodes (own..., keys) -> key, pos, own... of the shingles that several lists of keys have (and of few that only their first 42 bits share)."""
+    spark, own = nodes.sparkSession, nodes.columns[:-1]
 
     def run(batches):
         yield from packed(k.view(np.uint64) for (keys,) in sets_of(batches) for k in keys)
@@ -487,21 +489,22 @@ def postings(nodes: DataFrame) -> DataFrame:
         found = materialize(of_keys(nodes, sent), "postings")
         sent.destroy()
     else:
-        flat = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key")).withColumn("first", F.shiftrightunsigned("key", DROPPED))
-        found = materialize(flat.join(keys.toDF("first"), "first").select("key", "pos", "n", "node"), "postings")
+        flat = nodes.select(*own, F.posexplode("keys").alias("pos", "key")).withColumn("first", F.shiftrightunsigned("key", DROPPED))
+        found = materialize(flat.join(keys.toDF("first"), "first").select("key", "pos", *own), "postings")
     release(spark, keys)
     return found
 
 
 def of_keys(nodes: DataFrame, sent) -> DataFrame:
     """The postings of the keys with these first bits alone."""
+    own = nodes.schema[:-1]
 
     def run(batches):
         import pyarrow as pa
 
         wanted = sent.value
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(batch.num_columns - 1)
             offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
             flat = flat[offsets[0] : offsets[-1]]
             size = np.diff(offsets)
@@ -513,9 +516,10 @@ def of_keys(nodes: DataFrame, sent) -> DataFrame:
             for at in range(0, len(kept), 1 << 16):
                 k, p = kept[at : at + (1 << 16)], pos[at : at + (1 << 16)]
                 rows = pa.array(row[k])
-                yield pa.RecordBatch.from_arrays([pa.array(flat[k]), pa.array(p.astype(np.int32)), batch.column(1).take(rows), batch.column(0).take(rows)], ["key", "pos", "n", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[k]), pa.array(p.astype(np.int32)), *(c.take(rows) for c in batch.columns[:-1])], ["key", "pos", *names])
 
-    return map_arrow(nodes.select("node", "n", "keys"), run, "key long, pos int, n long, node binary")
+    names = [f.name for f in own]
+    return map_arrow(nodes, run, ", ".join(["key long", "pos int", *(f"{f.name} {f.dataType.simpleString()}" for f in own)]))
 
 
 def open_postings(cells: DataFrame, member: DataFrame) -> DataFrame:
@@ -545,7 +549,12 @@ def paired(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, fits) -> DataFrame:
-    """Of pairs (a, b) of nodes those that fit; sets (node, n, keys), fits(n, keys, n, keys).
+    """Of pairs (a, b) of nodes those that fit; sets (node, n, keys), fits(n, keys, n, keys)."""
+    return beside(pairs, sets, lambda a, b, one, other: (a, b) if fits(*one, *other) else None, "a binary, b binary")
+
+
+def beside(pairs: DataFrame, sets: DataFrame, told, form: str) -> DataFrame:
+    """What told(a, b, (n, keys) of b, (n, keys) of a) says of each pair (a, b) of nodes, rows of this form or None; sets (node, n, keys).
 
     A node's keys are read once a task of GROUP partners, not once a pair, and then stay while the partners' come in.
     They come in pieces, so that a batch of rows is small however long texts are.
@@ -555,13 +564,16 @@ def compared(pairs: DataFrame, sets: DataFrame, fits) -> DataFrame:
     partners = dealt.join(sets, dealt.a == sets.node).select("b", "part", F.lit(1).alias("kind"), "a", "n", "keys")
     centres = dealt.select("b", "part").distinct().join(sets, F.col("b") == sets.node).select("b", "part", F.lit(0).alias("kind"), F.col("b").alias("a"), "n", "keys")
 
+    schema = _parse_datatype_string(form)
+    arrow = to_arrow_schema(schema)
+
     def run(batches):
         import pyarrow as pa
 
         centre, at, held = None, None, []
 
-        def told() -> list:
-            """The pair that is complete, if it fits; a complete centre is kept."""
+        def complete() -> list:
+            """What is told of the pair that is complete; a complete centre is kept."""
             nonlocal centre
             if at is None:
                 return []
@@ -569,24 +581,25 @@ def compared(pairs: DataFrame, sets: DataFrame, fits) -> DataFrame:
             if not at[1]:
                 centre = own
                 return []
-            return [(at[2], at[0])] if fits(*centre, *own) else []
+            row = told(at[2], at[0], centre, own)
+            return [] if row is None else [row]
 
         def sent(found):
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
         for b, _, kind, a, n, _, keys in sets_of(batches):
             found = []
             for row, own in zip(zip(b, kind, a, n), keys):
                 if row != at:
-                    found += told()
+                    found += complete()
                     at, held = row, []
                 held.append(own)
             yield sent(found)
-        yield sent(told())
+        yield sent(complete())
 
     cut = F.transform(F.sequence(F.lit(0), F.size("keys") - 1, F.lit(PIECE)), lambda i: F.slice("keys", i + 1, F.lit(PIECE)))
     together = centres.union(partners).select("b", "part", "kind", "a", "n", F.posexplode(cut).alias("piece", "keys"))
-    return map_arrow(together.repartition("b", "part").sortWithinPartitions("b", "part", "kind", "a", "piece"), run, "a binary, b binary")
+    return map_arrow(together.repartition("b", "part").sortWithinPartitions("b", "part", "kind", "a", "piece"), run, form)
 
 
 def bounded(similarity: float, common):
@@ -617,14 +630,95 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, common, simila
     if pairs.count() > nodes.count():
         likely = materialize(compared(pairs, nodes.filter("n > 0").select("node", "n", "keys"), bounded(similarity, common)), "likely")
         release(spark, pairs)
-    needed = materialize(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "hash"), "node").select("hash"), "needed")
+    sets = sets_behind(likely, docs, nodes, n)
+    near = materialize(compared(likely, sets, jaccard(similarity)), "near")
+    for done in (likely, sets):
+        release(spark, done)
+    return near
+
+
+def sets_behind(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """The whole sets of the nodes that pairs (a, b) name."""
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "hash"), "node").select("hash"), "needed")
     sent = F.broadcast(needed) if needed.count() <= MOST_SENT else needed
     texts = pick(docs, "text").withColumn("hash", F.xxhash64("text")).join(sent, "hash", "left_semi").select("text")
     sets = materialize(whole_sets(texts, n), "sets")
-    near = materialize(compared(likely, sets, jaccard(similarity)), "near")
-    for done in (likely, needed, sets):
+    release(docs.sparkSession, needed)
+    return sets
+
+
+PARITY = [f"parity{i}" for i in range(8)]
+FARTHER = f"a binary, b binary, n long, size long, excess double, near boolean, ahead int, {', '.join(f'{p} long' for p in PARITY)}, keys array<long>"
+LEEWAY = 1e-6  # of bounds, which then let more pairs through, never fewer
+
+
+def differing(similarity: float, common):
+    """Rows of FARTHER: how a node a differs from its hub b, as the shingles that one of the two has, in an order that all nodes of the hub share.
+
+    Sets of n and m shingles are similar if at most c(n + m) of them lie in one alone, c = (1 - s) / (1 + s).
+    If x and y differ from the hub in d(x) and d(y) shingles, d(x) + d(y) - c(n + m) over two of these must
+    be the same ones: half the sum of both excesses, d - cn. That is over zero unless both are similar to the hub,
+    so differences meet by prefixes in turn: nodes that share most of a text, and with it many keys, differ
+    from the hub each in its own shingles. These come first; then those the hub has alone, last its own.
+    Of a pair the node with the smaller excess need only show its first `ahead` shingles; keys has these,
+    and if the other may have a smaller excess, all that can be shared with that. Each shingle flips one of
+    512 bits of parity: two nodes differ in as many shingles at least as in bits.
+    """
+    c = (1 - similarity) / (1 + similarity)
+    fits = jaccard(similarity)
+
+    def told(a: bytes, b: bytes, hub: tuple[int, np.ndarray], own: tuple[int, np.ndarray]):
+        (m, x), (n, y) = hub, own
+        mine, lost = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+        mine, lost = mine[np.argsort(ranks(mine, common.value), kind="stable")], lost[np.argsort(-ranks(lost, common.value), kind="stable")]
+        size = len(mine) + len(lost)
+        excess, reach, near = size - c * n, c * m, fits(m, x, n, y)
+
+        def first(shared: float) -> int:
+            return max(0, size - max(1, math.ceil(shared - LEEWAY)) + 1)
+
+        ahead = first(max(excess, (excess + reach) / 2))
+        far = 0 if near else first(excess - c * n / similarity)
+        keys = np.concatenate([mine, lost])[: max(ahead, far)]
+        bits = np.bincount((splitmix(np.concatenate([mine, lost])) >> np.uint64(55)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+        parity = np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+        return a, b, n, size, excess, near, ahead, *parity, splitmix(keys ^ np.frombuffer(b[:8], np.uint64)).view(np.int64)
+
+    return told
+
+
+def hubs(cells: DataFrame, similarity: float) -> DataFrame:
+    """Open postings -> a, b: nodes with the hub of each of their keys, the node that has the key foremost, so the fewest shingles of its own before.
+
+    Nodes of one key are told apart by length, and are in reach of two lengths, so that a hub is about as long as its nodes and similar ones meet.
+    """
+    long = F.floor(F.log("n") / (1.01 * math.log(1 / similarity)))
+    reached = cells.select("key", "node", "pos", long.alias("long")).union(cells.select("key", "node", "pos", long + 1))
+    hub = F.min(F.struct("pos", F.xxhash64("node").alias("draw"), "node")).over(Window.partitionBy("key", "long"))
+    return reached.select(F.col("node").alias("a"), hub["node"].alias("b")).distinct().filter("a <> b")
+
+
+def crowded(cells: DataFrame, member: DataFrame, docs: DataFrame, nodes: DataFrame, common, similarity: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """Of open postings whose keys bring many together: links to hubs, and pairs (a, b) that may be similar by how they differ from a hub they share."""
+    spark = docs.sparkSession
+    star = materialize(hubs(cells, similarity), "hubs")
+    sets = sets_behind(star, docs, nodes, n)
+    told = materialize(beside(star, sets, differing(similarity, common), FARTHER), "farther")
+    for done in (star, sets):
         release(spark, done)
-    return near
+    link = told.filter("near").select("a", "b")
+    class_of = member.select(F.col("node").alias("a"), F.col("root").alias("class"))
+    hub_class = class_of.toDF("b", "hub_class")
+    named = told.join(class_of, "a", "left").join(hub_class, "b", "left").withColumn("class", F.coalesce("class", "a")).withColumn("inside", F.col("near") | (F.col("class") == F.coalesce("hub_class", "b")))
+    own = ["b", "a", "n", "size", "excess", "near", "ahead", "class", "inside", *PARITY]
+    met = postings(named.select(*own, "keys"))
+    me = F.struct(*own, "pos").alias("x")
+    shared = (F.col("excess") + F.col("x.excess")) / 2 - LEEWAY
+    unlike = sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"x.{p}"))) for p in PARITY)
+    c = (1 - similarity) / (1 + similarity)
+    fit = (F.col("class") != F.col("x.class")) & (unlike <= c * (F.col("n") + F.col("x.n")) + LEEWAY) & ~(F.col("inside") & F.col("x.inside")) & (F.col("x.excess") <= F.col("excess")) & (F.least(F.col("size") - F.col("pos"), F.col("x.size") - F.col("x.pos")) >= shared)
+    pairs = met.filter("not near").join(met.filter("pos < ahead").select("key", "b", me), ["key", "b"]).filter(fit)
+    return link, pairs.select(F.least("a", "x.a").alias("a"), F.greatest("a", "x.a").alias("b")).distinct()
 
 
 def sets_of(batches):
@@ -656,20 +750,28 @@ def similar(docs: DataFrame, nodes: DataFrame, common, n: int = WORDS, similarit
     which puts common shingles last, as words of a template, so that keys bring few together. What
     the grid links is verified first. Then, while the nodes that share a key are many and of several
     classes, one of each key that is not in the key's largest class is compared with all of other
-    classes; and in the end, all that are not in the largest class with all of other classes. So no
-    link between classes is lost, and a family of copies gives stars, not all pairs.
+    classes; and in the end, all that are not in the largest class with all of other classes. Where
+    those are more than CHEAP of a key, all its nodes are compared with a hub, and with each other
+    by how they differ from it. So no link between classes is lost, and a family of copies gives
+    stars, not all pairs, also where many of its texts are just too different to be linked.
     """
     member = components(verified(gridded(nodes), docs, nodes, common, similarity, n))
-    cells = postings(nodes)
+    cells = postings(nodes.select("n", "node", "keys"))
     for draw in range(STARS + 1):
         cells = open_postings(cells, member)
         of = cells.agg(F.count("*").alias("n"), F.sum(F.when(F.col("out"), F.col("m"))).alias("pairs")).first()
         last = (of["pairs"] or 0) <= CHEAP * of["n"] or draw == STARS
         centre = cells.filter("out").groupBy("key").agg(F.min_by(F.struct("node", "n", "pos", "class"), F.xxhash64("node", F.lit(draw))).alias("c")).select("key", "c.*")
-        found = verified(paired(cells.filter("out") if last else centre, cells, similarity), docs, nodes, common, similarity, n)
-        member = components(member.toDF("a", "b").union(found))
+        few, pairs = (cells.filter(F.col("outside") <= CHEAP), None) if last else (cells, centre)
+        pairs = paired(few.filter("out") if last else pairs, few, similarity)
+        linked, crowd = member.toDF("a", "b"), ()
+        if last and not (many := cells.filter(F.col("outside") > CHEAP)).isEmpty():
+            crowd = link, more = crowded(many, member, docs, nodes, common, similarity, n)
+            pairs, linked = pairs.union(more).distinct(), linked.union(link)
+        member = components(linked.union(verified(pairs, docs, nodes, common, similarity, n)))
         if last:
-            release(docs.sparkSession, cells)
+            for done in (cells, *crowd):
+                release(docs.sparkSession, done)
             return member
 
 

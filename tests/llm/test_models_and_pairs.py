@@ -454,6 +454,58 @@ def test_families_of_copies_equal_brute_force(spark):
     assert {r.doc_id for r in simhash.first_of_each(docs).collect()} == want
 
 
+@pytest.mark.parametrize("texts", [200, 400])
+def test_a_crowd_of_copies_at_the_limit_is_not_compared_in_pairs(spark, monkeypatch, texts):
+    """Variants of one text, many too different to be linked: the pairs verified stay a few a text, and no link is lost."""
+    import random
+
+    draw = random.Random(texts)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    first = draw.choices(vocabulary, k=150)
+    named = {0: " ".join(first)}
+    for k in range(1, texts):
+        words_now = list(first)
+        for at in draw.sample(range(150), draw.randint(2, 6)):
+            words_now[at] = draw.choice(vocabulary)
+        named[k] = " ".join(words_now[: draw.choice([150, 150, 145])])
+    counted, verified = [], simhash.verified
+
+    def counting(pairs, *more):
+        counted.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(simhash, "verified", counting)
+    want = {d for d, c in similar_classes(named).items() if c == d}
+    docs = spark.createDataFrame(list(named.items()), "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in simhash.first_of_each(docs).collect()} == want and 0.3 * texts < len(want) < 0.9 * texts
+    assert sum(counted) < 12 * texts
+
+
+def test_differences_from_a_hub_of_similar_sets_meet():
+    """Two similar sets of which one at least is not similar to the hub share a key among the first that they show, and pass the bounds of the join."""
+    draw = np.random.default_rng(12)
+    told = simhash.differing(0.8, SimpleNamespace(value=None))
+    met = 0
+    for _ in range(3000):
+        hub = np.unique(draw.integers(0, 1 << 60, int(draw.integers(1, 60))).astype(np.uint64))
+        some = lambda of, most: np.unique(np.concatenate([of[draw.random(len(of)) > draw.choice([0, 0.1, 0.3])], draw.integers(0, 1 << 60, int(draw.integers(0, most))).astype(np.uint64)]))
+        x = some(hub, 30)
+        y = some(x, 4)
+        if not len(x) or not len(y) or not simhash.jaccard(0.8)(len(x), x, len(y), y):
+            continue
+        rows = [dict(zip([f.split()[0] for f in simhash.FARTHER.split(", ")], told(name, b"hub-hub-hub-hub-", (len(hub), hub), (len(k), k)))) for name, k in ((b"x", x), (b"y", y))]
+        low, high = sorted(rows, key=lambda r: r["excess"])
+        assert sum(((low[p] ^ high[p]) & (1 << 64) - 1).bit_count() for p in simhash.PARITY) <= len(np.setxor1d(x, y))
+        if low["near"] and high["near"]:
+            continue
+        met += 1
+        assert not high["near"]
+        shown, ahead = high["keys"].tolist(), low["keys"][: low["ahead"]].tolist()
+        shared = [(shown.index(k), q) for q, k in enumerate(ahead) if k in shown]
+        assert any(min(high["size"] - p, low["size"] - q) >= (low["excess"] + high["excess"]) / 2 - simhash.LEEWAY for p, q in shared)
+    assert met > 100
+
+
 def test_prefixes_of_similar_sets_meet():
     """Any two sets of similarity 0.8 share a prefix shingle, and their first shared one passes the position bound, common shingles or not."""
     draw = np.random.default_rng(6)
